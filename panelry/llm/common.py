@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,7 +62,7 @@ def slices(table: pa.Table | pa.RecordBatch, column: str = "text", size: int = S
         table = pa.Table.from_batches([table])
     if not table.num_rows:
         return
-    lengths = pa.compute.fill_null(pa.compute.binary_length(table[column]), 0).to_numpy()
+    lengths = pc.fill_null(pc.binary_length(table[column]), 0).to_numpy()
     group = np.cumsum(lengths) // size
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [table.num_rows]])
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):

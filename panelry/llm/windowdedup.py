@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -182,7 +183,7 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> D
         """Texts without the words of windows that have a smaller owner."""
         if not left.num_rows:
             return _cut_schema().empty_table()
-        sketch, verdict = right.filter(pa.compute.equal(right["kind"], 0)), right.filter(pa.compute.equal(right["kind"], 1))
+        sketch, verdict = right.filter(pc.equal(right["kind"], 0)), right.filter(pc.equal(right["kind"], 1))
         batch = Batch(left, width, seed, exact=True)
         maybe = _maybe(batch, sketch, ranges, per_range)
         smaller = _later(batch, maybe, verdict, ranges)
