@@ -42,8 +42,8 @@ def settled(df: DataFrame, name: str) -> DataFrame:
 
 
 def buckets(spark: SparkSession, size: float, each: float) -> int:
-    """How many groups hold ``size`` bytes at ``each`` bytes a group; never fewer than two a shuffle task."""
-    return max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / each))
+    """How many groups hold ``size`` bytes at ``each`` bytes a group; never fewer than one a shuffle task."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / each))
 
 
 def text_bytes(docs: DataFrame) -> int:

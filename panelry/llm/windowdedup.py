@@ -85,23 +85,32 @@ class Batch:
             out.append(((x >> np.uint64(20)) % np.uint64(ranges * per_range)).astype(np.int64))
         return out
 
-    def sketch(self, ranges: int, per_range: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(cell range, cells, counts up to 2): how many documents of the batch have an anchor there."""
+    def entries(self, ranges: int, per_range: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The batch's sparse sketch, in order of cell range: ranges' edges, cells within their range (the
+        sketch's rows one after another), whether two documents of the batch count there, and for each
+        sketch row and window the entry that it counts in.
+        """
+        own = self.ids[self.row]
+        where, cells, many, entry = [], [], [], []
         for depth, cell in enumerate(self.cells(ranges, per_range)):
-            own = self.ids[self.row]
             order = np.lexsort((own, cell))
-            cell, own = cell[order], own[order]
-            new = np.ones(len(cell), bool)
-            new[1:] = cell[1:] != cell[:-1]
-            other = np.zeros(len(cell), np.int64)
-            other[1:] = ~new[1:] & (own[1:] != own[:-1])
+            c, o = cell[order], own[order]
+            new = np.ones(len(c), bool)
+            new[1:] = c[1:] != c[:-1]
+            other = np.zeros(len(c), np.int64)
+            other[1:] = ~new[1:] & (o[1:] != o[:-1])
             start = np.flatnonzero(new)
-            many = np.add.reduceat(other, start) > 0 if len(start) else np.zeros(0, bool)
-            cell = cell[start]
-            edge = np.searchsorted(cell, np.arange(ranges + 1) * per_range)
-            for r in np.flatnonzero(np.diff(edge)):
-                a, b = edge[r], edge[r + 1]
-                yield depth * ranges + int(r), (cell[a:b] - r * per_range).astype(np.uint32), many[a:b]
+            many.append(np.add.reduceat(other, start) > 0 if len(start) else np.zeros(0, bool))
+            place = np.empty(len(c), np.int64)
+            place[order] = np.cumsum(new) - 1 + sum(map(len, where))
+            entry.append(place)
+            where.append(c[start] // per_range), cells.append(c[start] % per_range + depth * per_range)
+        where = np.concatenate(where)
+        order = np.argsort(where, kind="stable")
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        edge = np.searchsorted(where[order], np.arange(ranges + 1))
+        return edge, np.concatenate(cells)[order].astype(np.uint32), np.concatenate(many)[order], back[np.stack(entry)]
 
     def owned(self, maybe: np.ndarray, count: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(bucket, hashes, smallest doc_id in the batch) of the windows that ``maybe`` marks."""
@@ -140,12 +149,13 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> D
 
     def count(table: pa.Table) -> pa.Table:
         batch = Batch(table, width, seed)
-        rows = [(r, cells.tobytes(), np.packbits(many).tobytes()) for r, cells, many in batch.sketch(ranges, per_range)]
+        edge, cells, many, _ = batch.entries(ranges, per_range)
+        rows = [(int(r), cells[edge[r] : edge[r + 1]].tobytes(), np.packbits(many[edge[r] : edge[r + 1]]).tobytes()) for r in np.flatnonzero(np.diff(edge))]
         number = table["batch"][0].as_py()
         return pa.table({"slot": pa.array([x[0] for x in rows], pa.int32()), "batch": pa.array([number] * len(rows), pa.int32()), "cells": pa.array([x[1] for x in rows], pa.binary()), "many": pa.array([x[2] for x in rows], pa.binary())})
 
     def merge(table: pa.Table) -> pa.Table:
-        total = np.zeros(per_range, np.uint8)
+        total = np.zeros(DEPTH * per_range, np.uint8)
         entries = []
         for cells, many in zip(table["cells"], table["many"], strict=True):
             cells = np.frombuffer(cells.as_py(), np.uint32)
@@ -200,15 +210,11 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> D
 def _maybe(batch: Batch, sketch: pa.Table, ranges: int, per_range: int) -> np.ndarray:
     """Positions of windows whose anchor's cells all count two documents."""
     full = {s: np.frombuffer(b, np.uint8) for s, b in zip(sketch["slot"].to_pylist(), sketch["bits"].to_pylist(), strict=True)}
-    maybe = np.ones(len(batch.at), bool)
-    for depth, cell in enumerate(batch.cells(ranges, per_range)):
-        uniq, inverse = np.unique(cell, return_inverse=True)
-        edge = np.searchsorted(uniq, np.arange(ranges + 1) * per_range)
-        flag = np.zeros(len(uniq), bool)
-        for r in np.flatnonzero(np.diff(edge)):
-            flag[edge[r] : edge[r + 1]] = np.unpackbits(full[depth * ranges + int(r)], count=int(edge[r + 1] - edge[r]))
-        maybe &= flag[inverse]
-    return np.flatnonzero(maybe)
+    edge, cells, _, entry = batch.entries(ranges, per_range)
+    flag = np.zeros(len(cells), bool)
+    for r in np.flatnonzero(np.diff(edge)):
+        flag[edge[r] : edge[r + 1]] = np.unpackbits(full[int(r)], count=int(edge[r + 1] - edge[r]))
+    return np.flatnonzero(flag[entry].all(0))
 
 
 def _later(batch: Batch, maybe: np.ndarray, verdict: pa.Table, ranges: int) -> np.ndarray:
