@@ -1,11 +1,79 @@
-"""Corpus cleaning in stages (filled in as the operators arrive)."""
+"""A corpus pipeline of five stages, each one of the text operators.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with the columns of
+``documents``; the last returns the encoded documents.  ``run`` applies them to ``documents`` and
+writes each stage's result to the shared folder before the next begins, so a lost executor repeats
+one stage at most.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelry.llm import langid, toxicity
+from panelry.llm.common import settled
+from panelry.llm.decontam import found_items
+from panelry.llm.neardup import near_duplicates
+from panelry.llm.pieces import decoded, digest, encoded
+from panelry.llm.windowdedup import repeated_windows
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is under the threshold; the model learns from the labels that are not held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~langid.held_out())
+    scored = toxicity.scored(docs, toxicity.train(docs, labels), "_toxicity")
+    return scored.where(F.col("_toxicity") < toxicity.THRESHOLD).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each group of near duplicates, and every document without a doc_id."""
+    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def cut_repeated_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the words of 13-word windows that start in a smaller document too.
+
+    A text that loses nothing stays as it is, with its own white space; of the others the kept words
+    are joined by one space, and n_chars is counted again.
+    """
+    lost = repeated_windows(docs).where(F.size("removed") > 0)
+    lost = lost.select("doc_id", F.xxhash64("text").alias("_text"), F.col("kept").alias("_kept")).dropDuplicates(["doc_id", "_text"])
+    joined = docs.withColumn("_text", F.xxhash64("text")).join(lost, ["doc_id", "_text"], "left")
+    text = F.coalesce("_kept", "text")
+    return joined.withColumns({"text": text, "n_chars": F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_kept").cast("long"))}).select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no test item."""
+    found = found_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "_items")
+    return found.where(F.size("_items") == 0).select(docs.columns)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, the sampled piece ids, their CRC-32, and the digest of the text that they decode to."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    out = decoded(encoded(docs.select("doc_id", "text"), path).select("doc_id", "pieces"), path)
+    return out.select("doc_id", "pieces", digest("pieces").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeated_windows", cut_repeated_windows),
+    ("decontamination", drop_contaminated),
+    ("pieces", encode_pieces),
+]
+
+#: A trained classifier and sampled pieces have no SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, one after another, over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = settled(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,10 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import langid, toxicity
+from .decontam import found_items
 from .neardup import near_duplicates
+from .pieces import decoded, digest, encoded
 from .windowdedup import repeated_windows
 
 
@@ -18,12 +22,35 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, by a model of the rows that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~langid.held_out()))
+    return langid.identify(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share three quarters of their five-word shingles."""
     found = near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every text, by a model of the labels that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels").where(~langid.held_out()))
+    scored = toxicity.scored(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", langid.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test items that each document contains."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = found_items(docs, _table(spark, sf_dir, "benchmark"))
+    items = F.array_join(F.transform("item_ids", lambda x: x.cast("string")), ",")
+    return found.select("doc_id", F.size("item_ids").cast("long").alias("n_items"), items.alias("item_ids"), (F.size("item_ids") > 0).alias("contaminated"))
+
+
 def op8_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """13-word windows that also start in a smaller document, cut out of every text."""
     cut = repeated_windows(_table(spark, sf_dir, "documents"))
@@ -31,9 +58,21 @@ def op8_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", gone.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled pieces of every text, and the text that they decode to."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    out = decoded(encoded(docs, path).select("doc_id", "pieces"), path)
+    return out.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), digest("pieces").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_near_dedup": op2_near_dedup,
+    "op5_toxicity": op5_toxicity,
+    "op6_decontamination": op6_decontamination,
     "op8_window_dedup": op8_window_dedup,
+    "op10_sampled_pieces": op10_sampled_pieces,
 }
 
 SQL: dict[str, str] = {
@@ -79,5 +118,23 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(ks), 0)::BIGINT AS n_remo
        sha256(array_to_string(CASE WHEN ks IS NULL THEN w
          ELSE list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: NOT list_contains(ks, x[2])), lambda x: x[1]) END, ' ')) AS kept_sha256
 FROM words LEFT JOIN lost USING (doc_id)
+""",
+    "op6_decontamination": r"""
+WITH words AS (
+  SELECT 0 AS side, item_id AS id, text FROM benchmark UNION ALL SELECT 1, doc_id, text FROM documents
+), split AS (
+  SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM words
+), runs AS (
+  SELECT side, id, unnest(flatten(list_transform(range(1, 6), lambda k: CASE WHEN len(w) < k THEN [] WHEN side = 1 OR k = 5 OR len(w) = k
+    THEN list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(list_slice(w, i, i + k - 1), ' ')) ELSE [] END))) AS s FROM split
+), items AS (SELECT DISTINCT id, s FROM runs WHERE side = 0),
+sizes AS (SELECT id, count(*) AS n FROM items GROUP BY id),
+present AS (SELECT DISTINCT id, s FROM runs WHERE side = 1 AND s IN (SELECT s FROM items)),
+found AS (
+  SELECT p.id AS doc_id, i.id AS item_id FROM present p JOIN items i USING (s) JOIN sizes z ON z.id = i.id
+  GROUP BY p.id, i.id, z.n HAVING count(*) >= 0.75 * z.n
+), lists AS (SELECT doc_id, list_sort(list(item_id)) AS ids FROM found GROUP BY doc_id)
+SELECT doc_id, coalesce(len(ids), 0)::BIGINT AS n_items, coalesce(array_to_string(ids, ','), '') AS item_ids, ids IS NOT NULL AS contaminated
+FROM documents LEFT JOIN lists USING (doc_id)
 """,
 }
