@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, toxicity
+from . import langid, tokenfile, toxicity
 from .decontam import found_items
 from .neardup import near_duplicates
 from .pieces import decoded, digest, encoded
@@ -35,6 +35,14 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token-id files of all documents, written and read back."""
+    folder = tokenfile.new_folder(spark)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenfile.write(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, 2, folder)
+    return tokenfile.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score of every text, by a model of the labels that are not held out."""
     docs = _table(spark, sf_dir, "documents")
@@ -69,6 +77,7 @@ def op10_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_near_dedup": op2_near_dedup,
+    "op3_token_files": op3_token_files,
     "op5_toxicity": op5_toxicity,
     "op6_decontamination": op6_decontamination,
     "op8_window_dedup": op8_window_dedup,
