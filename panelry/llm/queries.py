@@ -15,6 +15,7 @@ from . import langid, tokenfile, toxicity
 from .decontam import found_items
 from .neardup import near_duplicates
 from .pieces import decoded, digest, encoded
+from .topk import top_k
 from .windowdedup import repeated_windows
 
 
@@ -43,6 +44,12 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best inner products of every hundredth vector with all others."""
+    rows = _table(spark, sf_dir, "embeddings")
+    return top_k(rows, rows.where("vec_id % 100 = 0"), 10)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score of every text, by a model of the labels that are not held out."""
     docs = _table(spark, sf_dir, "documents")
@@ -78,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_near_dedup": op2_near_dedup,
     "op3_token_files": op3_token_files,
+    "op4_top_k": op4_top_k,
     "op5_toxicity": op5_toxicity,
     "op6_decontamination": op6_decontamination,
     "op8_window_dedup": op8_window_dedup,
@@ -127,6 +135,18 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(ks), 0)::BIGINT AS n_remo
        sha256(array_to_string(CASE WHEN ks IS NULL THEN w
          ELSE list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: NOT list_contains(ks, x[2])), lambda x: x[1]) END, ' ')) AS kept_sha256
 FROM words LEFT JOIN lost USING (doc_id)
+""",
+    "op4_top_k": r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::BIGINT) AS x FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scores
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """,
     "op6_decontamination": r"""
 WITH words AS (
