@@ -15,6 +15,8 @@ from . import langid, tokenfile, toxicity
 from .decontam import found_items
 from .neardup import near_duplicates
 from .pieces import decoded, digest, encoded
+from .htmlmain import extracted, trained_model
+from .suffixdedup import repeated_bytes
 from .topk import top_k
 from .windowdedup import repeated_windows
 
@@ -66,6 +68,13 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("item_ids").cast("long").alias("n_items"), items.alias("item_ids"), (F.size("item_ids") > 0).alias("contaminated"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """50-byte strings that also start in a smaller document, cut out of every text."""
+    cut = repeated_bytes(_table(spark, sf_dir, "documents"))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r[1] - r[0])
+    return cut.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """13-word windows that also start in a smaller document, cut out of every text."""
     cut = repeated_windows(_table(spark, sf_dir, "documents"))
@@ -73,6 +82,12 @@ def op8_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", gone.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = extracted(_table(spark, sf_dir, "pages"), trained_model())
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampled pieces of every text, and the text that they decode to."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -88,7 +103,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_top_k": op4_top_k,
     "op5_toxicity": op5_toxicity,
     "op6_decontamination": op6_decontamination,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_window_dedup": op8_window_dedup,
+    "op9_main_text": op9_main_text,
     "op10_sampled_pieces": op10_sampled_pieces,
 }
 
@@ -165,5 +182,16 @@ found AS (
 ), lists AS (SELECT doc_id, list_sort(list(item_id)) AS ids FROM found GROUP BY doc_id)
 SELECT doc_id, coalesce(len(ids), 0)::BIGINT AS n_items, coalesce(array_to_string(ids, ','), '') AS item_ids, ids IS NOT NULL AS contaminated
 FROM documents LEFT JOIN lists USING (doc_id)
+""",
+    # The pages' own layout says where the article is, which the operator has to find out.
+    "op9_main_text": r"""
+WITH found AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's') AS a FROM pages
+), bare AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(a, '<br>|</?p>|</?h[1-6]>', ' ', 'g'), '<[^>]*>', '', 'g') AS a FROM found
+), plain AS (
+  SELECT page_id, url, trim(regexp_replace(regexp_replace(replace(a, '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM bare
+)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM plain
 """,
 }
