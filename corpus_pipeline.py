@@ -16,7 +16,7 @@ from panelry.llm import langid, toxicity
 from panelry.llm.common import settled
 from panelry.llm.decontam import found_items
 from panelry.llm.neardup import near_duplicates
-from panelry.llm.pieces import decoded, digest, encoded
+from panelry.llm.pieces import decoded, encoded
 from panelry.llm.windowdedup import repeated_windows
 
 
@@ -56,7 +56,7 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """doc_id, the sampled piece ids, their CRC-32, and the digest of the text that they decode to."""
     path = public_tokenizers.path("piece_bpe_32k.model")
     out = decoded(encoded(docs.select("doc_id", "text"), path).select("doc_id", "pieces"), path)
-    return out.select("doc_id", "pieces", digest("pieces").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return out.select("doc_id", "pieces", "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

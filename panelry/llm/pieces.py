@@ -20,6 +20,7 @@ text.  Rows that repeat a key and text are segmented alike.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -27,7 +28,6 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import slices
@@ -37,7 +37,7 @@ _SPACE_MARK = 0x2581
 _LITERAL = 0xD800
 _BASE = 0x9E3779B97F4A7C15
 #: Text that one step works on: larger slices repeat more stretches.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 class Vocabulary:
@@ -84,7 +84,14 @@ class Vocabulary:
         for d in begin:
             keys = np.array(sorted(d), np.uint64)
             self.tables.append((keys, np.array([d[int(k)][0] for k in keys], np.int32), np.array([d[int(k)][1] for k in keys], np.float64)))
-        self.pairs = np.array(sorted((a << 21) | b for a, b in pairs), np.uint64)
+        # the characters that stand in longer pieces, numbered; and which of them a piece joins
+        inside = sorted({c for pair in pairs for c in pair})
+        self.number = np.zeros(0x110000, np.uint16)
+        self.number[inside] = np.arange(1, len(inside) + 1)
+        self.joined = np.zeros((len(inside) + 1, len(inside) + 1), bool)
+        if pairs:
+            a, b = np.array(sorted(pairs)).T
+            self.joined[self.number[a], self.number[b]] = True
         lengths = [len(b) for b in self.out]
         self.out_at = np.concatenate([[0], np.cumsum(lengths)])
         self.out_bytes = np.frombuffer(b"".join(self.out), np.uint8)
@@ -117,10 +124,9 @@ def encode(texts: list[str | None], keys: np.ndarray, vocab: Vocabulary) -> list
             return (sums[b] - sums[a]) * inverse[a]
 
         # stretches: cut where no piece spans two characters, and between documents
-        pair = (code[:-1].astype(np.uint64) << np.uint64(21)) | code[1:].astype(np.uint64)
-        at = np.minimum(np.searchsorted(vocab.pairs, pair), len(vocab.pairs) - 1)
+        number = vocab.number[code]
         cut = np.ones(total + 1, bool)
-        cut[1:-1] = vocab.pairs[at] != pair
+        cut[1:-1] = ~vocab.joined[number[:-1], number[1:]]
         cut[np.cumsum(size)] = True
         edge = np.flatnonzero(cut)
         start, stop = edge[:-1], edge[1:]
@@ -193,12 +199,15 @@ def encode(texts: list[str | None], keys: np.ndarray, vocab: Vocabulary) -> list
     goal = first_node[which]
     found_at, found_step, found_edge = [], [], []
     step = 0
-    line = to + np.minimum(share, 1.0) * (1 - 1e-9)
     while len(active):
         with np.errstate(over="ignore"):
             u = (mix(seed[active] + np.uint64(step) * np.uint64(_BASE)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-        pick = np.searchsorted(line, here[active] + u * (1 - 2e-9), side="left")
-        pick = np.clip(pick, low[here[active]], low[here[active] + 1] - 1)
+        pick, last = low[here[active]], low[here[active] + 1] - 1
+        on = np.flatnonzero((pick < last) & (share[pick] <= u))
+        while len(on):  # a node has few edges: walk along their running shares
+            pick[on] += 1
+            at = pick[on]
+            on = on[(at < last[on]) & (share[at] <= u[on])]
         found_at.append(active), found_step.append(np.full(len(active), step)), found_edge.append(pick)
         here[active] = frm[pick]
         active = active[here[active] > goal[active]]
@@ -256,9 +265,12 @@ def hash_text(text: str | None) -> int:
         return int((mix(data + np.uint64(1)) * powers(_BASE, len(data))).sum() >> np.uint64(1))
 
 
-def decoded(docs: DataFrame, path: str, column: str = "pieces", into: str = "decoded") -> DataFrame:
-    """``docs`` with the text of the piece ids in ``column`` (null for null)."""
-    schema = T.StructType([f for f in docs.schema.fields if f.name != into] + [T.StructField(into, T.StringType())])
+def decoded(docs: DataFrame, path: str, column: str = "pieces", into: str = "decoded", check: str = "ids_crc32") -> DataFrame:
+    """``docs`` with the text of the piece ids in ``column`` (null for null) and the CRC-32 of the ids.
+
+    The CRC-32 is that of the ids as little-endian 32-bit integers.
+    """
+    schema = T.StructType([f for f in docs.schema.fields if f.name not in (into, check)] + [T.StructField(into, T.StringType()), T.StructField(check, T.LongType())])
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
@@ -266,18 +278,16 @@ def decoded(docs: DataFrame, path: str, column: str = "pieces", into: str = "dec
             ids = batch[column] if isinstance(batch[column], pa.Array) else batch[column].combine_chunks()
             null = ids.is_null().to_numpy(zero_copy_only=False)
             size = ids.value_lengths().fill_null(0).to_numpy()
-            texts = decode(ids.flatten().to_numpy(), np.concatenate([[0], np.cumsum(size)]), vocab)
+            values, edge = ids.flatten().to_numpy().astype("<i4"), np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+            texts = decode(values, edge, vocab)
+            sums = pa.array([None if x else zlib.crc32(values[a:b].tobytes()) for x, a, b in zip(null, edge[:-1], edge[1:], strict=True)], pa.int64())
             text = pa.array([None if x else t for x, t in zip(null, texts, strict=True)], pa.string())
             table = pa.Table.from_batches([batch])
-            at = table.schema.get_field_index(into)
-            if at >= 0:
-                table = table.remove_column(at)
-            yield from table.append_column(into, text).combine_chunks().to_batches()
+            for name in (into, check):
+                at = table.schema.get_field_index(name)
+                if at >= 0:
+                    table = table.remove_column(at)
+            yield from table.append_column(into, text).append_column(check, sums).combine_chunks().to_batches()
 
     return docs.mapInArrow(step, schema)
 
-
-def digest(ids: str) -> F.Column:
-    """CRC-32 of a list of ids as little-endian 32-bit integers, by Spark functions."""
-    four = F.transform(F.col(ids), lambda x: F.concat(*[F.lpad(F.hex(F.shiftright(x, 8 * k).bitwiseAND(255)), 2, "0") for k in range(4)]))
-    return F.crc32(F.unhex(F.array_join(four, "")))

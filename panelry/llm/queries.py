@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import langid, tokenfile, toxicity
 from .decontam import found_items
 from .neardup import near_duplicates
-from .pieces import decoded, digest, encoded
+from .pieces import decoded, encoded
 from .htmlmain import extracted, trained_model
 from .suffixdedup import repeated_bytes
 from .topk import top_k
@@ -93,7 +93,7 @@ def op10_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     path = public_tokenizers.path("piece_bpe_32k.model")
     out = decoded(encoded(docs, path).select("doc_id", "pieces"), path)
-    return out.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), digest("pieces").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return out.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
