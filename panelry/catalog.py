@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .operators.factors import FACTORS, compute
 from .oracle.text import factor_sql
+from .plans import scoring
 from .sources import fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,7 +49,9 @@ FACTOR_QUERIES = {
 for _query, _name in FACTOR_QUERIES.items():
     add(_query, _factor(_name), factor_sql(_name))
 
+scoring.register(add, rounded)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship query."""
-    return QUERIES["f4_dev"](spark, sf_dir)
+    return QUERIES["b11_sharpe"](spark, sf_dir)

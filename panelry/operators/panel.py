@@ -8,9 +8,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TS = Window.partitionBy("address").orderBy("time")
-CS = Window.partitionBy("time")
-PAST = TS.rowsBetween(Window.unboundedPreceding, 0)
+
+def by_address():
+    """A window over an address's history."""
+    return Window.partitionBy("address").orderBy("time")
+
+
+def so_far():
+    """The same, up to the current row."""
+    return by_address().rowsBetween(Window.unboundedPreceding, 0)
 
 
 @dataclass(frozen=True)
@@ -35,7 +41,7 @@ def densify(panel: DataFrame, columns: Iterable[str]) -> DataFrame:
     times = panel.select("time").distinct()
     grid = panel.select("address").distinct().crossJoin(times)
     joined = grid.join(panel.select("address", "time", *columns), ["address", "time"], "left")
-    return joined.select("address", "time", *[F.coalesce(F.last(c, ignorenulls=True).over(PAST), F.lit(0.0)).alias(c) for c in columns])
+    return joined.select("address", "time", *[F.coalesce(F.last(c, ignorenulls=True).over(so_far()), F.lit(0.0)).alias(c) for c in columns])
 
 
 def with_day(ticks: DataFrame) -> DataFrame:
@@ -100,7 +106,7 @@ def limit_by_row_count(panel: DataFrame, n: int) -> DataFrame:
 
 def target_return(panel: DataFrame, clamp: float = 0.2) -> DataFrame:
     """Return to the next bar, 0 for the last, clipped."""
-    raw = (F.lead("close").over(TS) - F.col("close")) / (F.col("close") + F.lit(1e-9))
+    raw = (F.lead("close").over(by_address()) - F.col("close")) / (F.col("close") + F.lit(1e-9))
     return panel.withColumn("target_ret", F.greatest(F.lit(-clamp), F.least(F.lit(clamp), F.coalesce(raw, F.lit(0.0)))))
 
 
@@ -126,12 +132,12 @@ def train_test_split(panel: DataFrame, ratio: float) -> DataFrame:
 
 def simple_returns(panel: DataFrame) -> DataFrame:
     """Bar return clipped to 0.2; 0 at the first bar."""
-    before = F.lag("close").over(TS)
+    before = F.lag("close").over(by_address())
     raw = (F.col("close") - before) / (F.abs(before) + F.lit(1e-10))
     return panel.withColumn("ret", F.greatest(F.lit(-0.2), F.least(F.lit(0.2), F.coalesce(raw, F.lit(0.0)))))
 
 
 def open_to_open_return(panel: DataFrame) -> DataFrame:
     """Return from the next open to the one after; the last two bars have 0."""
-    one, two = F.lead("open", 1).over(TS), F.lead("open", 2).over(TS)
+    one, two = F.lead("open", 1).over(by_address()), F.lead("open", 2).over(by_address())
     return panel.withColumn("oto_ret", F.coalesce((two - one) / (one + F.lit(1e-6)), F.lit(0.0)))

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from ..operators.factors import FACTORS, duck_expression
+from ..operators.factors import FACTORS, duck_expression, merged
+from ..operators.formula import sql_layers
 from ..sources.fixtures import PANEL_SQL
 
 #: Weeks of the dense panel over the given tables, at every scale.
 WEEKS = 357
 
 
-def layered(source: str, layers: list[dict[str, str]]) -> str:
-    """One common table for each layer over the table ``source``; the last is ``layered``."""
+def layered(source: str, layers: list[dict[str, str]], last: str = "layered") -> str:
+    """One common table for each layer over the table ``source``; the last is named ``last``."""
     parts, before = [], source
     for i, layer in enumerate(layers):
-        name = "layered" if i == len(layers) - 1 else f"layer{i}"
+        name = last if i == len(layers) - 1 else f"{last}{i}"
         parts.append(f"{name} AS (SELECT *, {', '.join(f'{duck_expression(x)} AS {n}' for n, x in layer.items())} FROM {before})")
         before = name
     return ", ".join(parts)
@@ -21,3 +22,73 @@ def layered(source: str, layers: list[dict[str, str]]) -> str:
 
 def factor_sql(name: str, digits: int = 4) -> str:
     return f"WITH {PANEL_SQL}, {layered('panel', FACTORS[name].all_layers(WEEKS))} SELECT address, time, round({name}__f, {digits}) + 0e0 AS {name} FROM layered"
+
+
+#: Features that the formula and scoring queries work on.
+FEATURES = ["RET", "DEV", "HL_RANGE", "LOG_VOL", "CLOSE_POS"]
+FEATURES_SQL = f"{PANEL_SQL}, {layered('panel', merged(FEATURES, WEEKS), 'scaled')}, feats AS (SELECT *, {', '.join(f'{n}__f AS {n}' for n in FEATURES)} FROM scaled)"
+
+
+def formulas_sql(formulas: dict[str, list[str]], name: str = "evaluated") -> str:
+    """Common tables up to ``name``: feats with one column for each formula."""
+    layers, results = sql_layers(formulas, FEATURES, WEEKS)
+    return f"{FEATURES_SQL}, {layered('feats', layers, 'nodes')}, {name} AS (SELECT *, {', '.join(f'({r})::DOUBLE AS {k}' for k, r in results.items())} FROM nodes)"
+
+
+#: Formulas that stand for signals in the scoring queries.
+SIGNALS = {"fa": ["RET", "DEV", "ADD", "CS_RANK"], "fb": ["DEV", "MA5", "NEG"], "fc": ["HL_RANGE", "LOG_VOL", "MUL", "DELTA5"]}
+
+RUNS_SQL = f"""{formulas_sql(SIGNALS)}, firsts AS (
+  SELECT min(time) AS time FROM (SELECT DISTINCT time FROM evaluated) GROUP BY date_trunc('month', time)
+), tgt AS (
+  SELECT *, greatest(-0.2e0, least(0.2e0, coalesce((lead(close) OVER w - close) / (close + 1e-9), 0e0))) AS target_ret,
+    time IN (SELECT time FROM firsts) AS is_rebalance, (liquidity > 1000)::INT::DOUBLE AS is_safe
+  FROM evaluated WINDOW w AS (PARTITION BY address ORDER BY time)
+), runs AS (
+  {" UNION ALL ".join(f"SELECT '{k}' AS formula_id, address, time, {k} AS signal, liquidity, target_ret, is_rebalance, is_safe, RET, DEV, HL_RANGE FROM tgt" for k in SIGNALS)}
+)"""
+
+_N, _SHARE = "count(*) OVER c", "((row_number() OVER r - 1) / (count(*) OVER c - 1))"
+_PLAIN = "2 * greatest(0e0, least(0.5e0, 1 / (1 + exp(-signal)) - 0.5))"
+POSITIONS = {
+    "sigmoid": _PLAIN,
+    "rank": f"CASE WHEN {_N} < 2 THEN {_PLAIN} ELSE greatest(0e0, least(1e0, ({_SHARE} - 0.6e0) / 0.4e0)) END",
+    "zscore": f"CASE WHEN {_N} < 2 THEN {_PLAIN} ELSE 1 / (1 + exp(-1.5 * (signal - avg(signal) OVER c) / (stddev_samp(signal) OVER c + 1e-6))) END",
+    "quantile": f"CASE WHEN {_N} < 5 THEN {_PLAIN} WHEN {_SHARE} >= 0.9 THEN 1e0 WHEN {_SHARE} >= 0.75 THEN 0.5e0 ELSE 0e0 END",
+    "long_short": f"CASE WHEN {_SHARE} >= 0.8 THEN 1e0 WHEN {_SHARE} <= 0.2 THEN -1e0 ELSE 0e0 END",
+    "sign": "sign(signal)::DOUBLE",
+}
+
+
+def positions_sql(mode: str = "rank", hold: bool = False) -> str:
+    """Common tables up to ``pos``: runs with a position."""
+    out = f"{RUNS_SQL}, placed AS (SELECT *, ({POSITIONS[mode]}) * is_safe AS position FROM runs WINDOW c AS (PARTITION BY formula_id, time), r AS (PARTITION BY formula_id, time ORDER BY signal, address))"
+    if not hold:
+        return f"{out}, pos AS (SELECT * FROM placed)"
+    return f"""{out}, pos AS (SELECT * REPLACE (coalesce(
+      last_value(CASE WHEN is_rebalance THEN position END IGNORE NULLS) OVER (PARTITION BY formula_id, address ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+      first_value(CASE WHEN is_rebalance THEN position END IGNORE NULLS) OVER (PARTITION BY formula_id, address ORDER BY time ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0e0) AS position) FROM placed)"""
+
+
+PNL_SQL = f"""{positions_sql()}, turned AS (
+  SELECT *, abs(position - lag(position, 1, 0e0) OVER (PARTITION BY formula_id, address ORDER BY time)) AS turnover FROM pos
+), costed AS (
+  SELECT *, turnover * (0.0003e0 + greatest(0e0, least(0.05e0, 10000 / (liquidity + 1e-9)))) AS cost FROM turned
+), netted AS (
+  SELECT *, position * target_ret - cost AS pnl FROM costed
+), pf AS (
+  SELECT formula_id, time, avg(pnl) AS pnl, avg(turnover) AS turnover FROM netted GROUP BY formula_id, time
+)"""
+SHARPE_SQL = "sharpes AS (SELECT formula_id, avg(pnl) / (coalesce(stddev_samp(pnl), 0) + 1e-8) * sqrt(52e0) AS sharpe FROM pf GROUP BY formula_id)"
+DRAWDOWN_SQL = """sums AS (SELECT *, sum(pnl) OVER (PARTITION BY formula_id ORDER BY time ROWS UNBOUNDED PRECEDING) AS s FROM pf),
+tops AS (SELECT *, max(s) OVER (PARTITION BY formula_id ORDER BY time ROWS UNBOUNDED PRECEDING) AS top FROM sums),
+drawdowns AS (SELECT formula_id, max(top - s) AS max_drawdown FROM tops GROUP BY formula_id)"""
+ACTIVITY_SQL = """acts AS (SELECT formula_id, address, avg((abs(position) > 0)::INT::DOUBLE) AS active, avg(turnover) AS tov FROM netted GROUP BY formula_id, address),
+activities AS (SELECT formula_id, avg(active) AS active, avg(CASE WHEN active = 0 THEN 3e0 WHEN active < 0.1 THEN 1 - 10 * active ELSE 0e0 END) AS lazy_penalty, avg(greatest(0e0, least(0.5e0, 5 * tov))) AS turnover_bonus FROM acts GROUP BY formula_id)"""
+IC_SQL = """ranks AS (SELECT *, row_number() OVER (PARTITION BY formula_id, time ORDER BY signal, address)::DOUBLE AS ra, row_number() OVER (PARTITION BY formula_id, time ORDER BY target_ret, address)::DOUBLE AS rb FROM runs),
+ics AS (SELECT formula_id, time, coalesce(corr(ra, rb), 0) AS ic, count(*) AS n, coalesce(stddev_samp(signal), 0) AS spread FROM ranks GROUP BY formula_id, time),
+rank_ics AS (SELECT formula_id, CASE WHEN max(n) < 2 OR avg(spread) < 1e-6 THEN 0e0 ELSE avg(ic) END AS rank_ic FROM ics GROUP BY formula_id)"""
+FITNESS_SQL = f"""{PNL_SQL}, {SHARPE_SQL}, {DRAWDOWN_SQL}, {ACTIVITY_SQL}, {IC_SQL}, fit AS (
+  SELECT *, CASE WHEN active < 0.05 THEN -10e0 ELSE sharpe - 2 * max_drawdown - lazy_penalty + turnover_bonus + 2 * greatest(-0.3e0, least(0.3e0, rank_ic)) END AS fitness
+  FROM sharpes JOIN drawdowns USING (formula_id) JOIN activities USING (formula_id) JOIN rank_ics USING (formula_id)
+)"""
