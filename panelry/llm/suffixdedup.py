@@ -50,13 +50,13 @@ RANGE_TEXT = 16 << 20
 SAMPLE_DOCS, SAMPLE_EACH, SPLITTERS = 3000, 40, 1 << 15
 _NOBODY = np.iinfo(np.int64).max
 _BASE = 0x9E3779B97F4A7C15
-_TOP = np.iinfo(np.uint64).max
+_TOP = np.iinfo(np.uint32).max
 
 
 def _slide(x: np.ndarray, width: int, low: bool) -> np.ndarray:
     """Minimum (or maximum) of ``width`` values from each place on; the values past the end don't count."""
-    take, pad = (np.minimum, _TOP) if low else (np.maximum, np.uint64(0))
-    x = np.concatenate([x, np.full(width, pad, np.uint64)])
+    take, pad = (np.minimum, _TOP) if low else (np.maximum, 0)
+    x = np.concatenate([x, np.full(width, pad, x.dtype)])
     span = 1
     while span * 2 <= width:
         x[:-span] = take(x[:-span], x[span:])
@@ -71,20 +71,24 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, seed: int) -> tu
     n = len(data)
     if n < length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    room = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(n)
     with np.errstate(over="ignore"):
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(mix(np.arange(1, 257, dtype=np.uint64))[data] * powers(_BASE, n), out=total[1:])
-        h = np.full(n, _TOP, np.uint64)
-        h[: n - seed + 1] = mix((total[seed:] - total[:-seed]) * powers(pow(_BASE, -1, 1 << 64), n - seed + 1))
-    h[room < seed] = _TOP
+        full = (total[seed:] - total[:-seed]) * powers(pow(_BASE, -1, 1 << 64), n - seed + 1)
+    # half of the hash decides; equal halves make an anchor more, never one less
+    h = np.full(n, _TOP, np.uint32)
+    h[: n - seed + 1] = np.minimum(full >> np.uint64(32), _TOP - 1)
     width = length - seed + 1
+    ends = offsets[1:]
+    for back in range(1, seed):  # runs that would pass a document's end
+        h[np.maximum(ends - back, offsets[:-1])[ends > offsets[:-1]]] = _TOP
     low = _slide(h, width, True)
-    low[room < length] = 0
+    for back in range(1, length):
+        low[np.maximum(ends - back, offsets[:-1])[ends > offsets[:-1]]] = 0
     # a place is an anchor if it is the minimum of some string that holds it
-    high = _slide(np.concatenate([np.zeros(width - 1, np.uint64), low]), width, False)[:n]
+    high = _slide(np.concatenate([np.zeros(width - 1, np.uint32), low]), width, False)[:n]
     at = np.flatnonzero((high == h) & (h != _TOP))
-    return at, h[at]
+    return at, mix(full[at])
 
 
 def multikey_order(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,23 +143,25 @@ class Suffixes:
 
     def rows(self, data: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray, single: bool = False) -> np.ndarray:
         """Records of the suffixes at ``at`` in documents [begin, end); ``single``: only the string that starts there."""
-        out = np.full((len(at), self.width), 0xFF, np.uint8)  # 0xFF is in no UTF-8 text
+        out = np.empty((len(at), self.width), np.uint8)
         ahead, back = np.minimum(end - at, self.length), np.zeros(len(at), np.int64) if single else np.minimum(at - begin, self.before)
-        j = np.arange(self.length)
-        ok = j < ahead[:, None]
-        out[:, : self.length][ok] = data[(at[:, None] + j)[ok]]
-        j = np.arange(self.before)
-        ok = j < back[:, None]
-        out[:, self.length : -2][ok] = data[(at[:, None] - 1 - j)[ok]]
+        # 0xFF is in no UTF-8 text: it stands past the ends of a document
+        padded = np.concatenate([np.full(self.before, 0xFF, np.uint8), data, np.full(self.length, 0xFF, np.uint8)])
+        view = np.lib.stride_tricks.sliding_window_view(padded, self.before + self.length)
+        near = view[at]
+        out[:, : self.length], out[:, self.length : -2] = near[:, self.before :], near[:, self.before - 1 :: -1] if self.before else near[:, :0]
+        for rows, size, part in ((np.flatnonzero(ahead < self.length), ahead, out[:, : self.length]), (np.flatnonzero(back < self.before), back, out[:, self.length : -2])):
+            own = part[rows]
+            own[np.arange(part.shape[1]) >= size[rows][:, None]] = 0xFF
+            part[rows] = own
         out[:, -2], out[:, -1] = ahead + 1, back + 1
         return out
 
     def valid(self, rows: np.ndarray) -> np.ndarray:
         """Bit a is set if the string that starts a bytes before the suffix lies inside the document."""
         ahead, back = rows[:, -2].astype(np.int64) - 1, rows[:, -1].astype(np.int64) - 1
-        a = np.arange(self.before + 1)
-        ok = (a <= back[:, None]) & (self.length - a <= ahead[:, None])
-        return (ok << a).sum(1).astype(np.uint32)
+        low = np.maximum(self.length - ahead, 0)
+        return np.where(low <= back, (np.int64(1) << (back + 1)) - (np.int64(1) << low), 0).astype(np.uint32)
 
     def owned(self, rows: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """For distinct sorted records with their smallest doc_id: bit a is set if the string that starts a bytes before has a smaller owner."""
@@ -355,17 +361,16 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, seed: int = SEED, hot:
         own = batch.ids[batch.whose]
         bits = np.where(own > batch.owner[batch.entry], batch.form.valid(batch.rows)[batch.entry], mask[batch.entry])
         bits[own == _NOBODY] = 0
-        delta = np.zeros(len(batch.data) + 1, np.int32)
+        hit = np.zeros(len(batch.data) + length, np.int8)
         for a in range(batch.form.before + 1):
-            start = batch.where[np.flatnonzero(bits >> np.uint32(a) & np.uint32(1))] - a
-            np.add.at(delta, start, 1)
-            np.add.at(delta, start + length, -1)
-        gone = np.cumsum(delta[:-1]) > 0
+            hit[batch.where[np.flatnonzero(bits >> np.uint32(a) & np.uint32(1))] - a + length] = 1
+        run = np.cumsum(hit, dtype=np.int32)
+        gone = run[length:] > run[:-length]  # a marked string started within the last ``length`` bytes
         removed, kept = [], []
         for a, b in zip(batch.offsets[:-1], batch.offsets[1:], strict=True):
             s, e = runs(gone[a:b])
             removed.append(np.stack([s, e], 1).tolist())
-            kept.append(batch.data[a:b][~gone[a:b]].tobytes())
+            kept.append((batch.data[a:b][~gone[a:b]] if len(s) else batch.data[a:b]).tobytes())
         return pa.table([batch.table["doc_id"], pa.array(np.diff(batch.offsets), pa.int64()), pa.array(removed, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary())], schema=_schema())
 
     sketch = docs.groupBy("batch").applyInArrow(count, "slot int, batch int, cells binary, counts binary")
