@@ -38,6 +38,8 @@ _LITERAL = 0xD800
 _BASE = 0x9E3779B97F4A7C15
 #: Text that one step works on: larger slices repeat more stretches.
 SLICE = 1 << 20
+#: Piece ids that are decoded at a time.
+DECODED = 1 << 18
 
 
 class Vocabulary:
@@ -275,19 +277,20 @@ def decoded(docs: DataFrame, path: str, column: str = "pieces", into: str = "dec
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for batch in batches:
-            ids = batch[column] if isinstance(batch[column], pa.Array) else batch[column].combine_chunks()
-            null = ids.is_null().to_numpy(zero_copy_only=False)
-            size = ids.value_lengths().fill_null(0).to_numpy()
-            values, edge = ids.flatten().to_numpy().astype("<i4"), np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-            texts = decode(values, edge, vocab)
-            sums = pa.array([None if x else zlib.crc32(values[a:b].tobytes()) for x, a, b in zip(null, edge[:-1], edge[1:], strict=True)], pa.int64())
-            text = pa.array([None if x else t for x, t in zip(null, texts, strict=True)], pa.string())
-            table = pa.Table.from_batches([batch])
-            for name in (into, check):
-                at = table.schema.get_field_index(name)
-                if at >= 0:
-                    table = table.remove_column(at)
-            yield from table.append_column(into, text).append_column(check, sums).combine_chunks().to_batches()
+            size = batch[column].value_lengths().fill_null(0).to_numpy()
+            group = np.cumsum(size) // DECODED
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(size)]]) if len(size) else [0]
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                table = pa.Table.from_batches([batch.slice(low, high - low)])
+                ids = table[column].chunk(0)
+                null = ids.is_null().to_numpy(zero_copy_only=False)
+                values, edge = ids.flatten().to_numpy().astype("<i4"), np.concatenate([[0], np.cumsum(size[low:high])]).astype(np.int64)
+                texts = decode(values, edge, vocab)
+                sums = [None if x else zlib.crc32(values[a:b].tobytes()) for x, a, b in zip(null, edge[:-1], edge[1:], strict=True)]
+                for name, column_ in ((into, pa.array([None if x else t for x, t in zip(null, texts, strict=True)], pa.string())), (check, pa.array(sums, pa.int64()))):
+                    at = table.schema.get_field_index(name)
+                    table = (table.remove_column(at) if at >= 0 else table).append_column(name, column_)
+                yield from table.combine_chunks().to_batches()
 
     return docs.mapInArrow(step, schema)
 
