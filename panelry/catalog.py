@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .operators.factors import FACTORS, compute
 from .oracle.text import factor_sql
-from .plans import scoring
+from .plans import daily, scoring
 from .sources import fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,7 @@ FACTOR_QUERIES = {
 for _query, _name in FACTOR_QUERIES.items():
     add(_query, _factor(_name), factor_sql(_name))
 
+daily.register(add, rounded)
 scoring.register(add, rounded)
 
 
