@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .operators.factors import FACTORS, compute
 from .oracle.text import factor_sql
-from .plans import daily, scoring, trading
+from .plans import daily, scoring, streams, trading
 from .sources import fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,7 @@ for _query, _name in FACTOR_QUERIES.items():
 daily.register(add, rounded)
 scoring.register(add, rounded)
 trading.register(add, rounded)
+streams.register(add, rounded)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

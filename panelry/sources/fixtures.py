@@ -54,7 +54,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Minute bars: product, contract, time, prices, volume and open interest."""
-    e = table(spark, sf_dir, "events")
+    return as_ticks(table(spark, sf_dir, "events"))
+
+
+def as_ticks(e: DataFrame) -> DataFrame:
+    """The ``events`` rows, from a table or a stream, as minute bars."""
     code = F.element_at(F.array(*map(F.lit, ("2402", "2403", "2405", "2409"))), (F.col("user_id") % 4 + 1).cast("int"))
     close = F.col("value") + 10
     open_ = close * (1 + ((F.col("event_id") % 7) - 3) / F.lit(100.0).cast("double"))
