@@ -28,6 +28,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -64,17 +65,26 @@ class Encoder:
         self.place: dict[str, int] = {}
         self.first, self.ids, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int32), 0
 
-    def _learn(self, parts: list[str]) -> None:
-        found = [x.ids for x in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
-        n, total = len(self.place), sum(map(len, found))
-        while n + len(found) + 1 > len(self.first):
+    def _learn(self, parts: set[str]) -> None:
+        # a space and letters: put one after another, they are split as they stand, and go through the library at once
+        plain = [p for p in parts if p[0] == " " and p[1:].isalpha()]
+        whole = self.tokenizer.encode("".join(plain), add_special_tokens=False)
+        length = np.bincount(np.array(whole.word_ids, np.int64), minlength=len(plain)) if plain else np.zeros(0, np.int64)
+        rest = list(parts.difference(plain))
+        if len(length) != len(plain):
+            plain, rest, length, whole = [], list(parts), np.zeros(0, np.int64), None
+        found = [x.ids for x in self.tokenizer.encode_batch(rest, add_special_tokens=False)]
+        ids = np.concatenate([np.array(whole.ids if whole else [], np.int32), np.fromiter(chain.from_iterable(found), np.int32)])
+        length = np.concatenate([length, np.array([len(x) for x in found], np.int64)])
+        n = len(self.place)
+        while n + len(length) + 1 > len(self.first):
             self.first = np.concatenate([self.first, np.zeros_like(self.first)])
-        while self.used + total > len(self.ids):
+        while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.place.update(zip(parts, range(n, n + len(parts)), strict=True))
-        self.ids[self.used : self.used + total] = np.fromiter((i for x in found for i in x), np.int32, total)
-        self.first[n + 1 : n + len(found) + 1] = self.used + np.cumsum([len(x) for x in found])
-        self.used += total
+        self.place.update(zip(chain(plain, rest), range(n, n + len(length)), strict=True))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.first[n + 1 : n + len(length) + 1] = self.used + np.cumsum(length)
+        self.used += len(ids)
 
     def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each document's followed by ``end``, and where each document's begin."""
@@ -82,10 +92,11 @@ class Encoder:
         if len(self.place) > REMEMBERED:
             self._forget()
         split = [[] if not t or i in whole else self.split(t) for i, t in enumerate(texts)]
-        fresh = {w for words in split for w in words if w not in self.place}
+        words = list(chain.from_iterable(split))
+        fresh = set(words).difference(self.place)
         if fresh:
-            self._learn(sorted(fresh))
-        at = np.fromiter((self.place[w] for words in split for w in words), np.int64, sum(map(len, split)))
+            self._learn(fresh)
+        at = np.array(list(map(self.place.__getitem__, words)), np.int64)
         length = self.first[at + 1] - self.first[at]
         edge = np.concatenate([[0], np.cumsum(length)])
         ids = self.ids[np.repeat(self.first[at] - edge[:-1], length) + np.arange(edge[-1])]
