@@ -17,8 +17,8 @@ def _prose(k, n=80):
 def folder(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("sf"))
     rows = [(i, _prose(i) + (f" slurword{chr(97 + i % 26)} slurwords" if i % 4 == 0 else ""), "en", "s", 1) for i in range(400)]
-    rows += [(1001, _prose(1), "en", "s", 1), (1002, _prose(2) + " changed", "en", "s", 1), (1003, _prose(2000) + " " + PASSAGE, "en", "s", 1), (1004, _prose(2001) + " " + PASSAGE + " tail", "en", "s", 1)]
-    rows += [(1005, _prose(2002) + " " + ITEM, "en", "s", 1), (1006, None, None, None, None), (1007, "", "en", "s", 0), (None, "no id here", "en", "s", 10)]
+    rows += [(1001, _prose(1), "en", "s", 1), (1002, _prose(2) + " changed", "en", "s", 1), (1003, _prose(500) + " " + PASSAGE, "en", "s", 1), (1004, _prose(501) + " " + PASSAGE + " tail", "en", "s", 1)]
+    rows += [(1005, _prose(502) + " " + ITEM, "en", "s", 1), (1006, None, None, None, None), (1007, "", "en", "s", 0), (None, "no id here", "en", "s", 10)]
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int").write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame([(1, ITEM), (2, None)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
