@@ -250,6 +250,26 @@ def test_toxicity_learns_and_handles_edges(spark, docs, empty):
     assert {r.score for r in toxicity.scored(docs, toxicity.train(train, labels.limit(0))).collect()} == {0.0}
 
 
+def test_toxicity_cut_does_not_follow_the_sample_mix(spark):
+    rng = np.random.default_rng(6)
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+
+    def make(i):  # one in ten is toxic: half by a sure sign, half by one that a third of the clean rows share
+        sign = ("slur" if i % 20 else "doubt") if i % 10 == 0 else "doubt" if i % 10 in (3, 5, 7) else "calm"
+        return _row(i, " ".join([words[k] for k in rng.integers(0, 300, 12)] + [sign]))
+
+    rows = [make(i) for i in range(5000)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(4000)], "doc_id long, toxic int")
+    # with all labels, and with as many toxic as clean ones: the doubtful rows are too seldom toxic to reject
+    for sample in (6000, 600):
+        scored = toxicity.scored(docs, toxicity.train(docs, labels, sample)).where("doc_id >= 4000").collect()
+        rejected = {s: np.mean([r.score >= toxicity.THRESHOLD for r in scored if r.text.endswith(s)]) for s in ("slur", "doubt", "calm")}
+        assert rejected["slur"] > 0.95 and rejected["doubt"] < 0.2 and rejected["calm"] < 0.05, (sample, rejected)
+    empty_text = spark.createDataFrame([_row(1, "")], SCHEMA)
+    assert abs(toxicity.scored(empty_text, toxicity.train(docs, labels, 600)).first().score - 0.1 * toxicity.THRESHOLD) < 1e-9
+
+
 def test_html_main_text():
     model = htmlmain.trained_model()
     pages = [
