@@ -9,11 +9,13 @@ same messages giving the expected counts.
 
 The text of a page: the blocks with a marginal of at least one half, in page order.  Character references
 are decoded, white space inside a block (line breaks and tags of breaks too) becomes one space, ends
-are trimmed, blocks are joined by one space.  Scripts, styles, templates, form controls, embedded
-objects, comments in the markup, and the head are no text at all.  Nothing else is dropped or capped.
+are trimmed, blocks are joined by one space.  Scripts, styles, templates, form controls, frames, drawings
+and media, comments in the markup, and the head are no text at all.  Nothing else is dropped or capped:
+``math`` and the fallback text in ``object`` and ``noscript`` are text.
 
 A null or empty page, or one without content, has an empty text.  Unclosed, misnested and truncated
-markup is read as far as it goes.  Rows that repeat give the same text.
+markup is read as far as it goes; a head that is not closed ends with the first element or text that
+can't stand in one.  Rows that repeat give the same text.
 """
 
 from __future__ import annotations
@@ -36,7 +38,8 @@ from .common import slices
 _BLOCK = set("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption nav header footer aside form fieldset figure figcaption blockquote pre address details summary hgroup center".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = set("script style textarea title xmp noembed noframes".split())
-_SILENT = set("head template noscript iframe object select button svg math canvas audio video datalist".split())
+_SILENT = set("head template iframe select button svg canvas audio video datalist".split())
+_HEAD = set("html head base basefont bgsound link meta title style script noscript noframes template".split())
 _BREAK = set("br hr img".split())
 _CLOSES_P = _BLOCK - {"html", "body", "td", "th", "tr", "thead", "tbody", "tfoot", "caption"}
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -102,9 +105,17 @@ class Page:
                 flush()
             del stack[k:]
 
+        def leave_head() -> None:
+            """Close an open head; what a template in it holds doesn't."""
+            k = next((k for k, (name, _) in enumerate(stack) if name == "head"), 0)
+            if k and all(name != "template" for name, _ in stack[k:]):
+                close(k)
+
         while at < end:
             m = _TOKEN.search(source, at)
             text = source[at : m.start() if m else end]
+            if silent and stack[-1][0] == "head" and text.strip():
+                leave_head()
             if text and not silent:
                 text = html.unescape(text)
                 inline.append(text)
@@ -124,6 +135,8 @@ class Page:
                 if k and not (name not in _BLOCK and any(x in _SCOPES for x, _ in stack[k:])):
                     close(k)
                 continue
+            if silent and name not in _HEAD:
+                leave_head()
             if name in _VOID:
                 if name in _BREAK and not silent:
                     inline.append(" ")

@@ -286,6 +286,22 @@ def test_html_main_text():
     assert np.mean(right) > 0.97
 
 
+@pytest.mark.parametrize("opening", ["<html><head><title>t</title><meta charset=utf-8><body>", "<head><script>x</script>", "<head><template><div>no text</div></template><noscript><img src=x></noscript><body>"])
+def test_html_without_the_end_of_the_head(opening):
+    body = '<div class="cookie-notice">We use cookies.</div><article><h1>Title here</h1><p>First part.</p><p>More text follows, and it is long enough to count.</p></article><footer>&copy; us</footer>'
+    assert htmlmain.main_texts([opening + body], htmlmain.trained_model()) == ["Title here First part. More text follows, and it is long enough to count."]
+
+
+def test_html_text_right_after_an_open_head():
+    assert htmlmain.Page("<head><title>t</title> Some text").runs == [(0, "Some text")]
+    assert htmlmain.Page("<head><title>t</title><noscript>no script</noscript></head><body>").runs == []
+
+
+def test_html_keeps_math_and_fallback_text():
+    page = "<article><h1>Title here</h1><p>The sum <math><mi>x</mi><mo>+</mo><mi>y</mi></math> is long enough to count, and so on.</p><noscript><p>A picture of the sum, with some words about it.</p></noscript><object data=a><p>The same drawing, told in words for all readers.</p></object></article>"
+    assert htmlmain.main_texts([page], htmlmain.trained_model()) == ["Title here The sum x+y is long enough to count, and so on. A picture of the sum, with some words about it. The same drawing, told in words for all readers."]
+
+
 def test_messages_give_exact_marginals():
     page = htmlmain.Page("<body><div><p>a</p><p>b</p></div><div>c</div></body>")
     forest = htmlmain.Forest([page])
