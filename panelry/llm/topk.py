@@ -16,7 +16,8 @@ merged.  Equal scores go to the smaller vec_id; a vector that ties with the last
 
 Vectors that are null, or hold a null or a component that is not finite, take no part; nor do rows with
 a null id.  Vectors of another length than the query's are no candidates for it.  Of rows that repeat a
-query's id, the smallest vector asks; every row with another id is a candidate.  Empty tables give no
+query's id, the smallest vector asks; every row with another id is a candidate, and only such rows
+count for the bounds.  Empty tables give no
 rows.  Other columns play no part.
 """
 
@@ -74,7 +75,7 @@ class Shard:
         order = np.argsort(-np.abs(impact), kind="stable")
         total = np.zeros(n)
         rest_of = np.abs(query) * self.error
-        possible = np.arange(n)
+        possible = other = np.flatnonzero(self.ids != own)  # rows with the query's own id prove nothing
         # a look is worth its cost after equal shares of the postings
         share = np.cumsum(self.size[order])
         stops = np.searchsorted(share, share[-1] * np.arange(1, LOOKS + 1) / LOOKS) + 1 if len(order) else []
@@ -90,12 +91,12 @@ class Shard:
             strongest = np.zeros(len(query))
             np.maximum.at(strongest, self.dim[left], np.abs(impact[left]))
             bound = (strongest + rest_of).sum() * (1 + 1e-12) + 1e-6
-            if n > k + 1:
-                low = np.partition(total, n - k - 1)[n - k - 1] - bound  # the query itself may be among the first
-                possible = np.flatnonzero(total + bound >= low)
+            if 0 < k < len(other):
+                reached = total[other]
+                low = np.partition(reached, len(other) - k)[len(other) - k] - bound
+                possible = other[reached + bound >= low]
             if len(possible) <= 8 * (k + 1):
                 break
-        possible = possible[self.ids[possible] != own]
         score = self.vectors[possible] @ query
         first = np.lexsort((self.ids[possible], -score))[:k]
         return self.ids[possible][first], score[first]

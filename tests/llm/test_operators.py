@@ -218,6 +218,16 @@ def test_top_k_with_ties_nulls_and_repeats(spark):
     assert topk.top_k(df.limit(0), df, 10).count() == 0
 
 
+def test_top_k_of_a_query_stored_many_times(spark):
+    rng = np.random.default_rng(5)
+    rows = [(0, [30.0] * 8)] * 12 + [(i, [float(x) for x in rng.normal(size=8)]) for i in range(1, 300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = topk.top_k(df, df.where("vec_id = 0"), 10).collect()
+    whole = {i: np.floor(np.float32(v).astype(float) * 1024).astype(int) for i, v in rows}
+    want = sorted((-int(whole[0] @ w), i) for i, w in whole.items() if i)[:10]
+    assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
+
+
 def test_language_model_backs_off(spark, docs, empty):
     model = langid.LanguageModel(["the cat sat on the mat"] * 5 + ["der hund und die katze"] * 5, ["en"] * 5 + ["de"] * 5)
     from panelry.llm.letters import Letters
