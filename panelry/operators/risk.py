@@ -224,24 +224,26 @@ def replay(signals: DataFrame, modes: DataFrame, regimes: DataFrame, n: int) ->
     return rows.groupBy("mode", F.col("date").alias("time")).agg(F.avg(F.signum("target_weight") * F.col("target_ret") * size).alias("pnl"))
 
 
-def decay_triggers(pnl: DataFrame, rows: int = 60, days: int = 10, cooldown: int = 30) -> DataFrame:
-    """Dates on which a run's rolling ratio was negative for ``days`` bars in a row, with level and cooldown.
+def decay_triggers(pnl: DataFrame, rows: int = 60, days: int = 10, cooldown: int = 30, per_year: float = 252.0) -> DataFrame:
+    """Dates on which a run's rolling Sharpe ratio was negative for ``days`` bars in a row, with level and cooldown.
 
-    Ratio and streak are windows; only the cooldown is a recursion, over a run's candidate dates.
+    The ratio is annualised; levels 2 and 3 lie under -0.5 and -1.5.  Only they start the cooldown and the
+    streak anew; level 1 asks for no action and is told for each of its dates.  Ratio and streak are
+    windows; only the cooldown is a recursion, over a run's candidate dates.
     """
     w = Window.partitionBy("formula_id").orderBy("time")
-    ratio = F.avg("pnl").over(w.rowsBetween(-(rows - 1), 0)) / (F.stddev_pop("pnl").over(w.rowsBetween(-(rows - 1), 0)) + 1e-8)
+    ratio = F.avg("pnl").over(w.rowsBetween(-(rows - 1), 0)) / (F.stddev_pop("pnl").over(w.rowsBetween(-(rows - 1), 0)) + 1e-8) * per_year**0.5
     out = pnl.withColumns({"t": F.row_number().over(w), "ratio": ratio}).withColumn("bad", ((F.col("t") >= rows) & (F.col("ratio") < 0)).cast("int"))
     out = out.withColumn("_g", F.sum(1 - F.col("bad")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     out = out.withColumn("streak", F.sum("bad").over(Window.partitionBy("formula_id", "_g").orderBy("time").rowsBetween(Window.unboundedPreceding, 0)))
-    level = F.when(F.col("ratio") < -0.15, 3).when(F.col("ratio") < -0.05, 2).otherwise(1)
+    level = F.when(F.col("ratio") < -1.5, 3).when(F.col("ratio") < -0.5, 2).otherwise(1)
     hits = out.where(F.col("streak") >= days).select("formula_id", "time", "t", "ratio", level.alias("level"))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame, keep, last = frame.sort_values("t"), [], -(10**9)
-        for t in frame["t"]:
-            keep.append(t - last >= cooldown)
-            last = t if keep[-1] else last
+        for t, level in zip(frame["t"], frame["level"], strict=True):
+            keep.append(t - last >= max(cooldown, days))  # the streak since the last event is that long at most
+            last = t if keep[-1] and level > 1 else last
         return frame[keep]
 
     return hits.groupBy("formula_id").applyInPandas(run, hits.schema)

@@ -188,7 +188,7 @@ def register(add: Callable, rounded: Callable) -> None:
     add("v1_replay_backtest", lambda s, d: cols(replayed(s, d), ["mode", "time"], ["pnl"]), f"WITH {rep_sql} SELECT mode, time, round(pnl, 6) + 0e0 AS pnl FROM rp")
     values = ["total", "sharpe", "win_rate", "max_drawdown", "best", "worst"]
     add("v2_performance_summary", lambda s, d: cols(rk.performance_summary(replayed(s, d), ["mode"], 52.0), ["mode"], values, 5), f"WITH {rep_sql}, c AS (SELECT *, sum(pnl) OVER (PARTITION BY mode ORDER BY time ROWS UNBOUNDED PRECEDING) AS s FROM rp), t AS (SELECT *, max(s) OVER (PARTITION BY mode ORDER BY time ROWS UNBOUNDED PRECEDING) AS top, CASE WHEN abs(pnl) > 1e-12 THEN pnl END AS live FROM c) SELECT mode, round(sum(pnl), 5) + 0e0 AS total, round(avg(live) / (stddev_pop(live) + 1e-8) * sqrt(52e0), 5) + 0e0 AS sharpe, round(avg((live > 0)::INT), 5) + 0e0 AS win_rate, round(max(top - s), 5) + 0e0 AS max_drawdown, round(max(pnl), 5) + 0e0 AS best, round(min(pnl), 5) + 0e0 AS worst FROM t GROUP BY mode")
-    add("v3_decay_triggers", lambda s, d: rk.decay_triggers(portfolio(s, d)).select("formula_id", "time", "level"))
+    add("v3_decay_triggers", lambda s, d: rk.decay_triggers(portfolio(s, d), per_year=WEEKLY.bars_per_year).select("formula_id", "time", "level"))
 
     def plan(s: SparkSession, d: str) -> DataFrame:
         recent = en.recent_sharpe(portfolio(s, d), 60, 52.0)

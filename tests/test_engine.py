@@ -135,6 +135,29 @@ def test_densify_fills_forward(spark):
     assert sorted((r.address, r.time.day, r.x) for r in pn.densify(df, ["x"]).collect()) == [("a", 1, 1.0), ("a", 2, 1.0), ("a", 3, 3.0), ("b", 1, 0.0), ("b", 2, 5.0), ("b", 3, 5.0)]
 
 
+@pytest.mark.parametrize(("days", "cooldown"), [(10, 30), (10, 4)])
+def test_decay_triggers_match_a_loop(spark, days, cooldown):
+    rng = np.random.default_rng(8)
+    pnl = {f: rng.normal(np.repeat([-0.004, 0.004, -0.001, -0.0005, -0.012, 0.01, -0.002, -0.0015], 50), 0.02) for f in ("fa", "fb")}
+    day = [dt.date(2020, 1, 1) + dt.timedelta(t) for t in range(400)]
+    want = []
+    for f, x in pnl.items():
+        bad, last = 0, -999
+        for t in range(59, len(x)):
+            recent = x[t - 59 : t + 1]
+            ratio = recent.mean() / (recent.std() + 1e-8) * np.sqrt(52)
+            bad = bad + 1 if ratio < 0 else 0
+            if bad >= days and t - last >= cooldown:
+                level = 3 if ratio < -1.5 else 2 if ratio < -0.5 else 1
+                want.append((f, day[t], level))
+                if level > 1:
+                    bad, last = 0, t
+    assert {level for *_, level in want} == {1, 2, 3}
+    df = spark.createDataFrame([(f, day[t], float(v)) for f, x in pnl.items() for t, v in enumerate(x)], "formula_id string, time date, pnl double")
+    got = rk.decay_triggers(df, 60, days, cooldown, 52.0).collect()
+    assert sorted((r.formula_id, r.time, r.level) for r in got) == want
+
+
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
