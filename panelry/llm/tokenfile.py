@@ -1,8 +1,10 @@
 """Token-id files: frequency-ranked ids in byte-aligned variable-length code.
 
-*Encoding.*  A text is split as the tokenizer splits it, each distinct split part of a worker's texts
-goes through the tokenizers library once, and the ids are put together; a text that holds one of the
-tokenizer's added tokens goes through the library whole.
+*Encoding.*  Texts are split as the tokenizer splits them, by numpy on code points; each distinct part of
+a worker's texts goes through the tokenizers library once, and the ids are put together.  A text that
+holds one of the tokenizer's added tokens, or a code point that this Python's Unicode tables don't know,
+goes through the library whole; so does every text where the split rule is not
+``public_tokenizers.PATTERN``.
 
 *Ranks.*  Ids are counted over all documents and renumbered by falling frequency, so that the usual
 ids are small.
@@ -24,6 +26,8 @@ folder.
 from __future__ import annotations
 
 import os
+import sys
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -31,13 +35,14 @@ from functools import cache
 from itertools import chain
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import buckets, settled, shared_dir, slices
+from .kernels import mix, powers
 
 #: Tokens after which a shard is closed (at the end of a document).
 SHARD = 1 << 21
@@ -49,67 +54,215 @@ FILE_BYTES = 64 << 20
 _LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3).astype(np.int64) + 1
 
 
+# Classes of code points in the split rule; ``_END`` parts documents, ``_UNKNOWN`` is unassigned here and maybe not in the library.
+_LETTER, _NUMBER, _OTHER, _WHITE, _END, _UNKNOWN = range(6)
+# White space of the split rule, and what may follow an apostrophe as a part of its own.
+_WHITES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+_ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
+_BASE = 0x9E3779B97F4A7C15
+
+
+@cache
+def _classes() -> np.ndarray:
+    """The class of every code point."""
+    kind = {"L": _LETTER, "N": _NUMBER}
+    out = np.full(sys.maxunicode + 1, _OTHER, np.uint8)
+    for c in range(sys.maxunicode + 1):
+        g = unicodedata.category(chr(c))
+        out[c] = _UNKNOWN if g == "Cn" else kind.get(g[0], _OTHER)
+    out[_WHITES] = _WHITE
+    return out
+
+
+@cache
+def _hashes() -> np.ndarray:
+    """A 64-bit number for every code point."""
+    return mix(np.arange(1, sys.maxunicode + 2, dtype=np.uint64) * np.uint64(_BASE))
+
+
+def split_places(code: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Where parts begin, by the rule of ``public_tokenizers.PATTERN``; ends of documents (class ``_END``) stand alone.
+
+    A part is a run of letters, of numbers or of other characters, with one space before it; of white
+    space before anything else the last character stands apart; an apostrophe that no space or other
+    character precedes takes one of ``_ENDINGS`` with it.
+    """
+    n = len(code)
+    turn = np.ones(n, bool)
+    turn[1:] = kind[1:] != kind[:-1]
+    turn |= kind == _END
+    white = kind == _WHITE
+    after_space = np.zeros(n, bool)
+    after_space[1:] = code[:-1] == 0x20
+    start = turn & ~(after_space & (kind <= _OTHER))
+    last = np.flatnonzero(white[:-1] & (kind[1:] <= _OTHER))
+    start[last] = True
+    quote = np.flatnonzero(turn & (code == 0x27) & ~after_space)
+    quote = quote[quote + 1 < n]
+    quote = quote[kind[quote + 1] == _LETTER]
+    for ending in _ENDINGS if len(quote) else ():
+        fits = np.ones(len(quote), bool)
+        for k, c in enumerate(ending, 1):
+            fits &= code[np.minimum(quote + k, n - 1)] == ord(c)
+        at = quote[fits]
+        start[at + 1] = False
+        rest = at + 1 + len(ending)
+        start[rest[(rest < n) & (kind[np.minimum(rest, n - 1)] == _LETTER)]] = True
+        quote = quote[~fits]
+    return np.flatnonzero(start)
+
+
 class Encoder:
-    """A tokenizer file with a memory of the parts it has met; ids are those of the library."""
+    """A tokenizer file with a memory of the parts it has met; ids are those of the library.
+
+    The memory is a hash table of parts.  Every hit is compared with the part itself, character by
+    character; should two parts ever share a 64-bit hash, their documents go through the library whole.
+    """
 
     def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.split = regex.compile(pattern).findall
+        self.known_rule = pattern == public_tokenizers.PATTERN
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._power = self._inverse = np.zeros(0, np.uint64)
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.first, self.ids, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int32), 0
-
-    def _learn(self, parts: set[str]) -> None:
+        self.slots = np.full(1 << 18, -1, np.int32)
+        self.n = 0
+        self.key, self.begin, self.first = np.zeros(1 << 16, np.uint64), np.zeros((1 << 16) + 1, np.int64), np.zeros((1 << 16) + 1, np.int64)
+        self.code, self.ids = np.zeros(1 << 19, np.uint32), np.zeros(1 << 18, np.int32)
+
+    def _hash(self, code: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        if len(self._power) <= len(code):
+            self._power, self._inverse = powers(_BASE, len(code) + 1), powers(pow(_BASE, -1, 1 << 64), len(code) + 1)
+        with np.errstate(over="ignore"):
+            total = np.zeros(len(code) + 1, np.uint64)
+            np.cumsum(_hashes()[code] * self._power[: len(code)], out=total[1:])
+            return mix((total[end] - total[start]) * self._inverse[start] + (end - start).astype(np.uint64) * np.uint64(_BASE))
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash in the memory, or -1."""
+        mask = np.uint64(len(self.slots) - 1)
+        spot = (h & mask).astype(np.int64)
+        at = self.slots[spot]
+        left = np.flatnonzero((at >= 0) & (self.key[at] != h))
+        while len(left):
+            spot[left] = (spot[left] + 1) & int(mask)
+            at[left] = self.slots[spot[left]]
+            left = left[(at[left] >= 0) & (self.key[at[left]] != h[left])]
+        return at
+
+    def _insert(self, h: np.ndarray, place: np.ndarray) -> None:
+        mask = len(self.slots) - 1
+        spot = (h & np.uint64(mask)).astype(np.int64)
+        left = np.arange(len(h))
+        while len(left):
+            free = left[self.slots[spot[left]] < 0]
+            self.slots[spot[free]] = place[free]
+            left = left[self.slots[spot[left]] != place[left]]
+            spot[left] = (spot[left] + 1) & mask
+
+    def _learn(self, h: np.ndarray, code: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        """Remember parts with distinct new hashes."""
+        parts = [code[a:b].tobytes().decode("utf-32-le") for a, b in zip(start.tolist(), end.tolist(), strict=True)]
         # a space and letters: put one after another, they are split as they stand, and go through the library at once
-        plain = [p for p in parts if p[0] == " " and p[1:].isalpha()]
-        whole = self.tokenizer.encode("".join(plain), add_special_tokens=False)
-        length = np.bincount(np.array(whole.word_ids, np.int64), minlength=len(plain)) if plain else np.zeros(0, np.int64)
-        rest = list(parts.difference(plain))
-        if len(length) != len(plain):
-            plain, rest, length, whole = [], list(parts), np.zeros(0, np.int64), None
-        found = [x.ids for x in self.tokenizer.encode_batch(rest, add_special_tokens=False)]
-        ids = np.concatenate([np.array(whole.ids if whole else [], np.int32), np.fromiter(chain.from_iterable(found), np.int32)])
+        plain = [p[0] == " " and p[1:].isalpha() for p in parts]
+        order = np.argsort(~np.array(plain, bool), kind="stable")
+        h, start, end = h[order], start[order], end[order]
+        joined = [p for p, x in zip(parts, plain, strict=True) if x]
+        whole = self.tokenizer.encode("".join(joined), add_special_tokens=False)
+        length = np.bincount(np.array(whole.word_ids, np.int64), minlength=len(joined)) if joined else np.zeros(0, np.int64)
+        ids = whole.ids
+        if len(length) != len(joined):
+            parts = [parts[i] for i in order]
+            length, ids = np.zeros(0, np.int64), []
+        else:
+            parts = [p for p, x in zip(parts, plain, strict=True) if not x]
+        found = [x.ids for x in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
+        ids = np.concatenate([np.array(ids, np.int32), np.fromiter(chain.from_iterable(found), np.int32)])
         length = np.concatenate([length, np.array([len(x) for x in found], np.int64)])
-        n = len(self.place)
-        while n + len(length) + 1 > len(self.first):
-            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.place.update(zip(chain(plain, rest), range(n, n + len(length)), strict=True))
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.first[n + 1 : n + len(length) + 1] = self.used + np.cumsum(length)
-        self.used += len(ids)
+        n, m = self.n, self.n + len(length)
+        size = end - start
+        used, chars = int(self.first[n]), int(self.begin[n])
+        self.key, self.first, self.begin = _room(self.key, m), _room(self.first, m + 1), _room(self.begin, m + 1)
+        self.ids, self.code = _room(self.ids, used + len(ids)), _room(self.code, chars + int(size.sum()))
+        self.key[n:m] = h
+        self.first[n + 1 : m + 1] = used + np.cumsum(length)
+        self.begin[n + 1 : m + 1] = chars + np.cumsum(size)
+        self.ids[used : used + len(ids)] = ids
+        self.code[chars : chars + int(size.sum())] = code[_ranges(start, size)]
+        self.n = m
+        if 2 * m > len(self.slots):
+            self.slots = np.full(1 << (4 * m).bit_length(), -1, np.int32)
+            self._insert(self.key[:m], np.arange(m, dtype=np.int32))
+        else:
+            self._insert(h, np.arange(n, m, dtype=np.int32))
 
     def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each document's followed by ``end``, and where each document's begin."""
-        whole = {i for i, t in enumerate(texts) if t and any(a in t for a in self.added)}
-        if len(self.place) > REMEMBERED:
+        if self.n > REMEMBERED:
             self._forget()
-        split = [[] if not t or i in whole else self.split(t) for i, t in enumerate(texts)]
-        words = list(chain.from_iterable(split))
-        fresh = set(words).difference(self.place)
-        if fresh:
-            self._learn(fresh)
-        at = np.array(list(map(self.place.__getitem__, words)), np.int64)
+        whole = {i for i, t in enumerate(texts) if t and (not self.known_rule or any(a in t for a in self.added))}
+        plain = ["" if not t or i in whole else t for i, t in enumerate(texts)]
+        code = np.frombuffer(("\n".join(plain) + "\n").encode("utf-32-le"), np.uint32)
+        edge = np.cumsum([len(t) + 1 for t in plain])
+        kind = _classes()[code]
+        kind[edge - 1] = _END
+        unknown = np.flatnonzero(kind == _UNKNOWN)
+        whole.update(np.searchsorted(edge, unknown, side="right").tolist())
+        kind[unknown] = _OTHER
+        cut = split_places(code, kind)
+        stop = np.append(cut[1:], len(code))
+        real = kind[cut] != _END
+        start, stop = cut[real], stop[real]
+        h = self._hash(code, start, stop)
+        at = self._find(h)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            uniq, one = np.unique(h[new], return_index=True)
+            self._learn(uniq, code, start[new[one]], stop[new[one]])
+            at[new] = self._find(h[new])
+        at = at.astype(np.int64)
+        doc = np.searchsorted(edge, start, side="right")
+        # every character against the remembered part's: a hash alone proves nothing
+        size = stop - start
+        same = self.begin[at + 1] - self.begin[at] == size
+        if same.all():
+            differ = self.code[_ranges(self.begin[at], size)] != code[kind != _END]
+            if differ.any():
+                same = np.repeat(np.arange(len(at)), size)[differ]
+                same = ~np.isin(np.arange(len(at)), same)
+        whole.update(doc[~same].tolist())
         length = self.first[at + 1] - self.first[at]
-        edge = np.concatenate([[0], np.cumsum(length)])
-        ids = self.ids[np.repeat(self.first[at] - edge[:-1], length) + np.arange(edge[-1])]
-        first = edge[np.concatenate([[0], np.cumsum([len(x) for x in split])])]
-        out = []
-        for i in range(len(texts)):
-            if i in whole:
-                out.append(np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.int32))
-            else:
-                out.append(ids[first[i] : first[i + 1]])
-            out.append(np.array([end], np.int32))
-        size = [len(a) + 1 for a in out[::2]]
-        return np.concatenate(out) if out else np.zeros(0, np.int32), np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        ids = self.ids[_ranges(self.first[at], length)]
+        count = np.bincount(doc, length, minlength=len(texts)).astype(np.int64)
+        first = np.concatenate([[0], np.cumsum(count + 1)])
+        out = np.full(first[-1], end, np.int32)
+        inside = np.ones(len(out), bool)
+        inside[first[1:] - 1] = False
+        out[inside] = ids
+        if whole:
+            pieces = [out[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+            for i in whole:
+                pieces[i] = np.array([*self.tokenizer.encode(texts[i], add_special_tokens=False).ids, end], np.int32)
+            out, first = np.concatenate(pieces), np.concatenate([[0], np.cumsum([len(x) for x in pieces])])
+        return out, first.astype(np.int64)
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0] .. start[0] + size[0] - 1, start[1] .., one after another."""
+    edge = np.cumsum(size)
+    return np.repeat(start - edge + size, size) + np.arange(edge[-1] if len(edge) else 0)
+
+
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    """``x`` grown, by doubling, to ``n`` places at least."""
+    while n > len(x):
+        x = np.concatenate([x, np.zeros_like(x)])
+    return x
 
 
 @cache

@@ -202,6 +202,35 @@ def test_token_files_round_trip(spark, docs, empty):
     assert tokenfile.read(spark, folder).count() == 0
 
 
+def test_encoder_gives_the_ids_of_the_library():
+    import random
+
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, own, rng = Tokenizer.from_file(path), tokenfile.Encoder(path, public_tokenizers.PATTERN), random.Random(1)
+    alphabet = "ab'stremvld A1 2  \n\t\u3000é日\u0301-!?\u1c89\U0001f600²٣"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(3000)] + ["x<|endoftext|> y", None, "", "word " * 300000]
+    texts += pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()
+    for a in range(0, len(texts), 500):
+        ids, first = own.encode(texts[a : a + 500], 2)
+        for x, b, c in zip(library.encode_batch([t or "" for t in texts[a : a + 500]], add_special_tokens=False), first[:-1], first[1:]):
+            assert ids[b:c].tolist() == [*x.ids, 2]
+
+
+def test_encoder_survives_equal_hashes(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, own = Tokenizer.from_file(path), tokenfile.Encoder(path, public_tokenizers.PATTERN)
+    monkeypatch.setattr(own, "_hash", lambda code, start, end: (end - start).astype(np.uint64))  # all parts of one length
+    texts = ["some more words", "same more wards", "other texts", "some"]
+    for _ in range(2):
+        ids, first = own.encode(texts, 2)
+        assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
 def test_top_k_with_ties_nulls_and_repeats(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in np.round(rng.normal(size=8), 1)]) for i in range(300)] + [(i, [0.5] * 8) for i in range(300, 330)]
@@ -260,6 +289,41 @@ def test_toxicity_learns_and_handles_edges(spark, docs, empty):
     assert {r.score for r in toxicity.scored(docs, toxicity.train(train, labels.limit(0))).collect()} == {0.0}
 
 
+def test_training_memory_follows_the_sample_bytes():
+    """400 texts of 20,000 words are fitted in under 600 MB, Python and the texts included."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, numpy as np
+from panelry.llm import toxicity
+rng = np.random.default_rng(0)
+words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(600)]
+text = [" ".join(words[k] for k in rng.integers(0, 600, 20000)) for _ in range(400)]
+label = (np.arange(400) % 3 == 0).astype(np.float32)
+toxicity.EPOCHS = 1
+toxicity._fit(text, ["en", "de"] * 200, label, {0: 2, 1: 1})
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert int(out.stdout) < 600
+
+
+def test_sample_bytes_pass_over_long_texts(spark):
+    from panelry.llm.common import within_bytes
+
+    rows = spark.createDataFrame([(i, "x" * n) for i, n in enumerate([10, 50, 10, 200, 10])], "doc_id long, text string")
+    assert [r.doc_id for r in within_bytes(rows, (F.col("doc_id"),), 75).collect()] == [0, 1, 2]
+    assert within_bytes(rows, (F.col("doc_id"),), 5).count() == 0
+
+
+def test_long_texts_are_scored_whole(spark):
+    """A word at the very end of a text of over 6 MiB counts, for languages and for toxicity."""
+    langs = langid.LanguageModel(["the cat sat"] * 5 + ["der hund lief"] * 5, ["en"] * 5 + ["de"] * 5)
+    long = spark.createDataFrame([_row(1, "zzz " * 1_700_000 + "der hund der hund"), _row(2, "9 " * 3_500_000 + "the cat")], SCHEMA)
+    assert {r.doc_id: r.lang_pred for r in langid.identify(long, langs).collect()} == {1: "de", 2: "en"}
+
+
 def test_toxicity_cut_does_not_follow_the_sample_mix(spark):
     rng = np.random.default_rng(6)
     words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
