@@ -3,32 +3,38 @@
 from __future__ import annotations
 
 import math
+import pickle
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Text that one task step works on at a time; bounds the temporaries of the numpy kernels.
 SLICE_BYTES = 1 << 20
 #: Text of one re-readable batch of documents.
 BATCH_BYTES = 6 << 20
+#: Text that a classifier is fitted on, at most.
+SAMPLE_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests on one machine), a new temporary folder is made and set.
+    Where the setting is absent, a local session (tests on one machine) gets a new temporary folder; on a
+    cluster no folder of this machine would do, so that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         found = context.getCheckpointDir()
         if not found:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
             found = context.getCheckpointDir()
     return found.rstrip("/")
@@ -69,6 +75,43 @@ def slices(table: pa.Table | pa.RecordBatch, column: str = "text", size: int = S
         yield table.slice(a, b - a)
 
 
+def text_slices(texts: list[str | None], size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of a list of texts with about ``size`` characters each (at least one text)."""
+    a = total = 0
+    for b, text in enumerate(texts):
+        total += len(text or "")
+        if total >= size:
+            yield a, b + 1
+            a, total = b + 1, 0
+    if a < len(texts):
+        yield a, len(texts)
+
+
+def within_bytes(rows: DataFrame, order: tuple[Column, ...], size: int = SAMPLE_BYTES) -> DataFrame:
+    """The first rows of a bounded sample, in that order, whose texts have ``size`` bytes together; longer texts are passed over."""
+    small = rows.where(F.octet_length("text") <= size)
+    past = Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)  # a bounded sample
+    return small.withColumn("_bytes", F.sum(F.octet_length("text")).over(past)).where(F.col("_bytes") <= size).drop("_bytes")
+
+
+def fitted(sample: DataFrame, fit: Callable[[pa.Table], object]) -> object:
+    """What ``fit`` makes of a bounded sample in one task, in order of doc_id; a lost executor only repeats it.
+
+    The driver receives the model alone, never the texts.
+    """
+    schema = sample.schema
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        table = pa.Table.from_batches(held) if held else pa.table({f.name: pa.array([], pa.null()) for f in schema.fields})
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(table), 5)], pa.binary())], names=["model"])
+
+    rows = sample.coalesce(1).sortWithinPartitions("doc_id").mapInArrow(step, "model binary").collect()
+    if rows:
+        return pickle.loads(rows[0]["model"])  # noqa: S301 (our own bytes)
+    return fit(pa.table({f.name: pa.array([], pa.null()) for f in schema.fields}))
+
+
 def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
     """(id, component) of the undirected graph ``edges(a, b)``; component is the smallest id reachable.
 

@@ -6,12 +6,13 @@ log frequency.  A text's language is the one with the highest sum; the score is
 posterior under equal priors, with evidence damped to ``EVIDENCE`` words, so that it stays readable
 for long texts.
 
-Training reads text and language of at most ``SAMPLE`` documents, the first by a hash of the doc_id,
-out of the rows the caller allows; word and n-gram counts of that sample are exact.  Scoring reads
-whole texts and nothing but the text.
+Training reads text and language of at most ``SAMPLE`` documents and ``common.SAMPLE_BYTES`` of text, the
+first by a hash of the doc_id, out of the rows the caller allows; word and n-gram counts of that sample
+are exact.  Scoring reads whole texts and nothing but the text.
 
 A null text, or one without any letter, is ``und`` with score 0; so is every text when no language
-was learned.  Rows that repeat are scored alike.  Other columns play no part.
+was learned.  Of languages with equal scores the first in alphabetical order is told.  Rows that repeat
+are scored alike; of rows that repeat a doc_id one teaches.  Other columns play no part.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import fitted, slices, text_slices, within_bytes
 from .letters import Letters
 
 SAMPLE = 8000
@@ -40,31 +41,32 @@ class LanguageModel:
     def __init__(self, texts: list[str], langs: list[str]):
         self.langs = sorted(set(langs))
         code = np.array([self.langs.index(x) for x in langs], np.int64)
-        sums = {n: ([], [], []) for n in (0, *GRAMS)}
-        for a in range(0, len(texts), 400):  # bounds the temporaries
-            letters = Letters(texts[a : a + 400])
-            lang = code[a : a + 400][letters.doc()]
+        none = np.zeros(0, np.uint64), np.zeros((0, len(self.langs)), np.int32)
+        sums = {n: none for n in (0, *GRAMS)}
+        for a, b in text_slices(texts):
+            letters = Letters(texts[a:b])
+            lang = code[a:b][letters.doc()]
             words = np.arange(len(letters.start))
-            self._count(sums[0], letters.hash(letters.start, letters.end), lang)
+            sums[0] = self._count(sums[0], letters.hash(letters.start, letters.end), lang)
             for n in GRAMS:
                 owner, h = letters.grams(words, n)
-                self._count(sums[n], h, lang[owner])
+                sums[n] = self._count(sums[n], h, lang[owner])
         self.tables = {n: self._table(*sums[n]) for n in (0, *GRAMS)}
 
-    def _count(self, into: tuple, h: np.ndarray, lang: np.ndarray) -> None:
+    def _count(self, before: tuple[np.ndarray, np.ndarray], h: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sorted hashes, occurrences by language) with those of one more slice."""
         uniq, inverse = np.unique(h, return_inverse=True)
-        counts = np.bincount(inverse * len(self.langs) + lang, minlength=len(uniq) * len(self.langs)).reshape(-1, len(self.langs))
-        into[0].append(uniq), into[1].append(counts)
-
-    def _table(self, hashes: list, counts: list, _: list) -> tuple[np.ndarray, np.ndarray]:
-        if not hashes or not self.langs:
-            return np.zeros(0, np.uint64), np.zeros((0, len(self.langs)), np.float32)
-        uniq, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
-        total = np.zeros((len(uniq), len(self.langs)))
-        np.add.at(total, inverse, np.concatenate(counts))
+        more = np.bincount(inverse * len(self.langs) + lang, minlength=len(uniq) * len(self.langs)).reshape(-1, len(self.langs))
+        keys = np.union1d(before[0], uniq)
+        counts = np.zeros((len(keys), len(self.langs)), np.int32)
+        counts[np.searchsorted(keys, before[0])] = before[1]
+        counts[np.searchsorted(keys, uniq)] += more.astype(np.int32)
+        return keys, counts
+
+    def _table(self, keys: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         kept = total.sum(1) >= LEAST_SEEN
-        share = (total[kept] + 0.1) / (total.sum(0) + 0.1 * len(uniq) + 1)
-        return uniq[kept], np.log(share).astype(np.float32)
+        share = (total[kept] + 0.1) / (total.sum(0) + 0.1 * len(keys) + 1)
+        return keys[kept], np.log(share).astype(np.float32)
 
     def _known(self, n: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keys, _ = self.tables[n]
@@ -114,12 +116,22 @@ class LanguageModel:
 
 
 def train(rows: DataFrame, sample: int = SAMPLE) -> LanguageModel:
-    """A model from ``rows`` (doc_id, text, lang); rows with a null text or lang teach nothing."""
-    rows = rows.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
+    """A model from ``rows`` (doc_id, text, lang); rows with a null text or lang teach nothing.
+
+    One task fits the model, as the sample is bounded, and only the model comes back.
+    """
+    rows = rows.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     # first the ids alone, so that only the texts of the sample are read into the sort
-    taken = rows.select("doc_id").where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    found = rows.join(F.broadcast(taken.distinct()), "doc_id", "left_semi").limit(2 * sample).toArrow()
-    return LanguageModel(found["text"].to_pylist(), found["lang"].to_pylist())
+    order = F.xxhash64("doc_id"), F.col("doc_id")
+    taken = rows.select("doc_id").orderBy(*order).limit(sample).distinct()
+    # a doc_id that repeats gives one row, by the hash of its text
+    found = rows.join(F.broadcast(taken), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct("text", "lang"), F.xxhash64("text", "lang")).alias("row"))
+    found = within_bytes(found.select("doc_id", "row.*"), order)
+
+    def fit(table: pa.Table) -> LanguageModel:
+        return LanguageModel(table["text"].to_pylist(), table["lang"].to_pylist())
+
+    return fitted(found.select("doc_id", "text", "lang"), fit)
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
