@@ -10,7 +10,8 @@ fewer words, nothing where it has none).  Two documents are linked where
 3. *Star round.*  In each bucket, every member is compared with one centre, the member with the
    fullest buckets (the origin of a group of near copies shares more bands than any copy).
    *Rest round.*  Then only pairs of one bucket that are still in different components are compared,
-   in blocks of bounded size, so no task holds an unbounded bucket and no pair is left out.
+   in blocks of bounded size, so no task holds an unbounded bucket and no pair is left out; blocks of
+   one component never meet.
 4. A comparison reads the signatures in batches and stops as soon as the posterior probability of a
    similarity of at least 0.75 falls under ``miss`` (uniform prior).  Pairs that survive are decided
    on the full sets.
@@ -28,7 +29,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, keyed, settled, slices
@@ -43,6 +44,9 @@ LOOK = 16
 MISS = 1e-6
 #: Members of a bucket that meet in one task, on either side.
 BLOCK = 256
+#: Sets with many copies whose component is broadcast, at most.
+HUBS = 10_000
+_SIGN = -(1 << 63)
 
 
 def shingle_sets(texts: pa.ChunkedArray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -147,8 +151,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             value, first = shingle_sets(part["text"])
             sig = signatures(value, first)
             yield pa.RecordBatch.from_arrays(
-                [part["doc_id"].combine_chunks(), pa.array(np.diff(first), pa.int64()), pa.array(set_keys(value, first), pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary())],
-                names=["doc_id", "n_shingles", "node", "signature"],
+                [part["doc_id"].combine_chunks(), part["hash"].combine_chunks(), pa.array(np.diff(first), pa.int64()), pa.array(set_keys(value, first), pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary())],
+                names=["doc_id", "hash", "n_shingles", "set_key", "signature"],
             )
 
 
@@ -170,8 +174,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             value, first = shingle_sets(part["text"])
             node, members = [], []
             for want, key, a, b in zip(part["node"].to_pylist(), set_keys(value, first), first[:-1], first[1:], strict=True):
-                if want == key:  # another text under the same doc_id is another node's
-                    node.append(key), members.append(value[a:b].tobytes())
+                if want[8:] == key:  # another text under the same doc_id is another node's
+                    node.append(want), members.append(value[a:b].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(members, pa.binary())], names=["node", "members"])
 
 
@@ -231,22 +235,54 @@ def _links(tasks: DataFrame, nodes: DataFrame, sets: DataFrame, name: str) -> Da
     return settled(full.groupBy("task").applyInArrow(_verify, "a binary, b binary"), name)
 
 
+def _first(key: str) -> Column:
+    """The doc_id that leads a node's key."""
+    return F.conv(F.hex(F.substring(key, 1, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(_SIGN))
+
+
+def _rest_tasks(labels: DataFrame) -> DataFrame:
+    """Tasks for all pairs of one bucket that lie in different components.
+
+    ``labels`` has bucket, band, node and label (the component so far).  A label with more than ``BLOCK``
+    members of a bucket has blocks of its own there, which meet all blocks but each other; the small
+    labels share the first blocks, which meet themselves too.  So the work of a bucket that one component
+    fills grows with its size, not with its square.
+    """
+    per = labels.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"))
+    big = F.col("c") > BLOCK
+    blocks = F.ceil(F.col("c") / F.lit(BLOCK)).cast("int")
+    # a row for each big label of a bucket: one BLOCK-th of the bucket at most
+    own = per.where(big).select("bucket", "label", blocks.alias("k")).withColumn("low", (F.sum("k").over(Window.partitionBy("bucket").orderBy("label")) - F.col("k")).cast("int"))
+    mixed = per.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("labels"), F.ceil(F.coalesce(F.sum(F.when(~big, F.col("c"))), F.lit(0)) / F.lit(BLOCK)).cast("int").alias("shared"), F.coalesce(F.sum(F.when(big, blocks)), F.lit(0)).cast("int").alias("pure")
+    ).where("labels > 1")
+    rest = labels.join(mixed, "bucket").join(own, ["bucket", "label"], "left")
+    low = F.col("shared") + F.col("low")
+    rest = rest.withColumn("own", F.when(F.col("k").isNull(), F.pmod(F.xxhash64("label"), F.col("shared"))).otherwise(low + F.pmod(F.xxhash64("node"), F.col("k"))).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("shared") + F.col("pure") - 1), lambda x: F.col("k").isNull() | (x < low) | (x >= low + F.col("k")))
+    rest = rest.withColumn("other", F.explode(others))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    return rest.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("task"), side.alias("side"), "band", "label", "node")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, node): the component of each document, and whether it is its smallest."""
-    docs = keyed(docs)
-    features = settled(docs.mapInArrow(_features, "doc_id long, n_shingles long, node binary, signature binary"), "shingles")
-    nodes = settled(
-        features.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("signature").alias("signature")),
-        "nodes",
-    )
+    """(doc_id, n_shingles, component_id, kept, hash, group): the component of each document, and whether it is its smallest.
+
+    ``hash`` is the text's xxhash64, ``group`` a key of the component (null without one).
+    """
+    docs = keyed(docs).withColumn("hash", F.xxhash64("text"))
+    features = settled(docs.mapInArrow(_features, "doc_id long, hash long, n_shingles long, set_key binary, signature binary"), "shingles")
+    # a node's key begins with its smallest doc_id, in an order that bytes keep: the smallest key of a component names its smallest document
+    lead = F.unhex(F.lpad(F.hex(F.col("first_id").bitwiseXOR(F.lit(_SIGN))), 16, "0"))
+    nodes = features.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature"))
+    nodes = settled(nodes.select(F.concat(lead, "set_key").alias("node"), "set_key", "first_id", "copies", "signature"), "nodes")
     bands = nodes.select("node", "signature").mapInArrow(_bands, "bucket long, band int, node binary")
     shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = settled(bands.join(shared, "bucket"), "buckets")
     mass = members.groupBy("node").agg(F.sum("n").alias("mass"))
     wanted = nodes.select("node", "first_id").join(mass.select("node"), "node")
     texts = docs.join(wanted.withColumnRenamed("first_id", "doc_id"), "doc_id").select("node", "text")
-    sets = texts.mapInArrow(_sets, "node binary, members binary")
-    sets = settled(sets, "sets")
+    sets = settled(texts.mapInArrow(_sets, "node binary, members binary"), "sets")
 
     centre = members.join(mass, "node").groupBy("bucket").agg(F.max(F.struct("mass", "node")).getField("node").alias("centre"))
     star = members.join(centre, "bucket").where("node <> centre").select("centre", "node").distinct()
@@ -261,22 +297,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     joined = components(links, "star-components")
     labels = members.join(joined.select(F.col("id").alias("node"), F.col("component")), "node", "left").withColumn("label", F.coalesce("component", "node"))
-    labels = settled(labels.select("bucket", "band", "node", "n", "label"), "labels")
-    mixed = labels.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    rest = labels.join(mixed, "bucket")
-    count = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    rest = rest.withColumn("blocks", count).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    tasks = rest.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("task"), side.alias("side"), "band", "label", "node")
-    more = _links(tasks, nodes, sets, "rest-links")
+    labels = settled(labels.select("bucket", "band", "node", "label"), "labels")
+    more = _links(_rest_tasks(labels), nodes, sets, "rest-links")
 
     final = components(links.unionByName(more), "components")
-    named = nodes.select("node", "first_id").join(final.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    lowest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = named.join(lowest, "component").select("node", "component_id")
-    own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    own = F.when(F.col("doc_id").isNotNull(), own)
-    return features.select("doc_id", "n_shingles", "node").join(named, "node", "left").select(
-        "doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"), "node"
-    )
+    named = nodes.select("node", "set_key", "copies").join(final.select(F.col("id").alias("node"), "component"), "node", "left").select("set_key", "copies", F.coalesce("component", "node").alias("group"))
+    named = settled(named, "groups")
+    # fewer than HUBS sets can have more than a HUBS-th of all rows, so that many rows at most are broadcast; no other set is large
+    total = named.agg(F.sum("copies").alias("n")).first()["n"] or 0
+    hub = F.col("copies") > max(1000, total // HUBS)
+    rows = features.select("doc_id", "hash", "n_shingles", "set_key")
+    quick = rows.join(F.broadcast(named.where(hub).select("set_key", F.col("group").alias("hub"))), "set_key", "left")
+    spread = quick.where("hub IS NULL").drop("hub").join(named.where(~hub).select("set_key", "group"), "set_key", "left")
+    found = spread.unionByName(quick.where("hub IS NOT NULL").withColumnRenamed("hub", "group"))
+    group = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("group"))
+    found = found.withColumn("group", group)
+    own = F.coalesce(_first("group"), F.col("doc_id"))
+    return found.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"), "hash", "group")

@@ -114,6 +114,33 @@ def test_near_duplicates_match_brute_force(spark, docs, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_rest_round_meets_every_pair_of_different_components(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    rng = np.random.default_rng(9)
+    rows = [(b, 0, f"n{b}-{i:02d}".encode(), f"L{min(int(rng.integers(0, 9)), 5)}".encode()) for b, n in ((1, 40), (2, 7), (3, 2), (4, 30)) for i in range(n)]
+    rows += [(5, 0, f"p{i}".encode(), b"one") for i in range(12)]
+    tasks = neardup._rest_tasks(spark.createDataFrame(rows, "bucket long, band int, node binary, label binary")).collect()
+    met, by_task = set(), {}
+    for r in tasks:
+        by_task.setdefault(r.task, []).append(r)
+    for members in by_task.values():
+        for i, a in enumerate(members):
+            for b in members[i + 1 :]:
+                if (a.side == 2 and b.side == 2) or {a.side, b.side} == {0, 1}:
+                    if a.label != b.label:
+                        met.add(frozenset((bytes(a.node), bytes(b.node))))
+    want = {frozenset((a[2], b[2])) for i, a in enumerate(rows) for b in rows[i + 1 :] if a[0] == b[0] and a[3] != b[3]}
+    assert met == want
+    assert not any(bytes(r.node).startswith(b"p") for r in tasks)  # a bucket of one component has no task
+
+
+def test_node_keys_keep_the_order_of_doc_ids(spark):
+    ids = [-(1 << 63), -5, -1, 0, 3, 70, (1 << 63) - 1]
+    docs = spark.createDataFrame([_row(i, f"all words of {i} are its own and no others") for i in ids] + [_row(i, LINE) for i in (70, -5, 3)], SCHEMA)
+    got = {(r.doc_id, r.component_id) for r in neardup.near_duplicates(docs).collect()}
+    assert got == {(i, i) for i in ids} | {(70, -5), (3, -5)}
+
+
 def test_pruning_keeps_the_chosen_miss_probability():
     rng = np.random.default_rng(1)
     one = rng.integers(0, 1 << 32, neardup.PERMUTATIONS, dtype=np.uint32)
@@ -141,6 +168,8 @@ def test_decontamination_matches_brute_force(spark, docs, empty):
         want.append((r[0], sorted(found)))
     got = decontam.found_items(docs, bench)
     assert sorted(((r.doc_id, r.item_ids) for r in got.collect()), key=str) == sorted(want, key=str)
+    in_blocks = decontam.found_items(docs.withColumn("row", F.lit("r")), bench, block=60)
+    assert sorted(((r.doc_id, r.item_ids) for r in in_blocks.collect()), key=str) == sorted(want, key=str) and in_blocks.columns == [*[c for c in docs.columns if c != "item_ids"], "row", "item_ids"]
     assert decontam.found_items(empty, bench).count() == 0
     assert decontam.found_items(docs, bench.limit(0)).where(F.size("item_ids") > 0).count() == 0
 
