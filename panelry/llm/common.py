@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Text that one task step works on at a time; bounds the temporaries of the numpy kernels.
 SLICE_BYTES = 1 << 20
@@ -75,6 +76,13 @@ def slices(table: pa.Table | pa.RecordBatch, column: str = "text", size: int = S
         yield table.slice(a, b - a)
 
 
+def arrow_map(docs: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """``docs.mapInArrow(step, schema)``, which by itself takes no column with a dot in its name."""
+    safe = lambda name: name.replace(".", "\u2024") if "." in name else name
+    inner = T.StructType([T.StructField(safe(f.name), f.dataType) for f in schema.fields])
+    return docs.toDF(*map(safe, docs.columns)).mapInArrow(step, inner).toDF(*schema.names)
+
+
 def text_slices(texts: list[str | None], size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of a list of texts with about ``size`` characters each (at least one text)."""
     a = total = 0

@@ -11,8 +11,10 @@ a similarity of at least a quarter, and with 64 one-row bands it is missed with
 windows without any item's minimal shingle are never hashed.  Candidates are decided exactly, on all
 shingles of the document.
 
-Test items are collected block by block (``BLOCK_BYTES`` of text), and each block is one pass over the
-documents without a shuffle, so the memory for items is bounded whatever the number of items.
+Test items are taken block by block (``BLOCK_BYTES`` of text).  Each block is one pass over the texts
+without a shuffle and, where there are several blocks, a job of its own, whose finds are written before
+the next block is loaded; so the memory for items is bounded whatever their number.  Shingles are told
+apart by 64-bit hashes.
 
 Null or empty texts hold nothing; null and empty items are in nothing; items that repeat count once
 under each item_id.  All columns of the documents are kept, whatever their names.
@@ -20,7 +22,7 @@ under each item_id.  All columns of the documents are kept, whatever their names
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import arrow_map, settled, slices
 from .kernels import Words, flat, mix, windows
 from .neardup import SHINGLE, mix_light, permutations
 
@@ -60,16 +62,19 @@ class Items:
         self.ids, self.sets, spans = [], [], []
         for size, (at, value) in zip(self.sizes, found, strict=True):
             owner = doc[at]
-            for i in np.unique(owner):
-                if size == SHINGLE or count[i] == size:
-                    own = value[owner == i]
-                    self.ids.append(ids[i]), self.sets.append(np.unique(own)), spans.append((size, len(own)))
+            keep = (count[owner] == size) | (size == SHINGLE)
+            owner, value = owner[keep], value[keep]
+            edge = np.flatnonzero(np.diff(owner, prepend=-1))  # runs of an item follow one another
+            for i, own in zip(owner[edge], np.split(value, edge[1:]) if len(edge) else (), strict=True):
+                self.ids.append(ids[i]), self.sets.append(np.unique(own)), spans.append((size, len(own)))
         sig = np.zeros((len(self.sets), BANDS), np.uint64)
         low = np.zeros((len(self.sets), BANDS), np.uint64)
-        for k, a in enumerate(permutations(BANDS)):
-            for i, s in enumerate(self.sets):
-                x = mix_light(s, a)
-                sig[i, k], low[i, k] = x.min(), s[x.argmin()]
+        length = np.array([len(x) for x in self.sets], np.int64)
+        member, start = np.concatenate([np.zeros(0, np.uint64), *self.sets]), np.cumsum(length) - length
+        for k, a in enumerate(permutations(BANDS) if len(length) else ()):
+            x = mix_light(member, a)
+            sig[:, k] = np.minimum.reduceat(x, start)
+            low[:, k] = member[x == np.repeat(sig[:, k], length)]  # no two shingles share a value: the hash is a bijection
         # (run length, size class) -> items, their minimal shingles, and their signature values by band
         self.classes = []
         kind = [(size, span.bit_length() - 1) for size, span in spans]
@@ -126,31 +131,43 @@ class Items:
         return [sorted(set(x)) for x in out]
 
 
-def _pass(items: Items, least: float, column: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _searched(docs: DataFrame, items: Items, least: float, column: str) -> DataFrame:
+    """``docs`` with the sorted ids of one block's items in ``column``."""
+
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                more = items.search(part["text"], least)
-                before = part[column].to_pylist()
-                both = pa.array([sorted({*a, *b}) for a, b in zip(before, more, strict=True)], pa.list_(pa.int64()))
-                part = part.set_column(part.schema.get_field_index(column), column, both)
-                yield from part.combine_chunks().to_batches()
+                at = part.schema.get_field_index(column)
+                part = part.remove_column(at) if at >= 0 else part
+                yield from part.append_column(column, pa.array(items.search(part["text"], least), pa.list_(pa.int64()))).combine_chunks().to_batches()
 
-    return step
+    schema = T.StructType([f for f in docs.schema.fields if f.name != column] + [T.StructField(column, T.ArrayType(T.LongType()))])
+    return arrow_map(docs, step, schema)
 
 
-def found_items(docs: DataFrame, items: DataFrame, column: str = "item_ids", least: float = LEAST) -> DataFrame:
+def found_items(docs: DataFrame, items: DataFrame, column: str = "item_ids", least: float = LEAST, block: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with a column of the sorted ids of the test items that each text contains.
 
     An existing column of that name is replaced.  Items with a null id or text are not searched for.
     """
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = -(-size // BLOCK_BYTES)
-    schema = T.StructType([f for f in docs.schema.fields if f.name != column] + [T.StructField(column, T.ArrayType(T.LongType()))])
-    out = docs.withColumn(column, F.array().cast("array<long>")).select(*[f"`{f.name}`" for f in schema.fields])
-    for b in range(blocks):
+    blocks = -(-size // block)
+
+    def loaded(b: int) -> Items:
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).distinct().orderBy("item_id", "text").collect()
-        if rows:
-            out = out.mapInArrow(_pass(Items([r[0] for r in rows], [r[1] for r in rows]), least, column), schema)
-    return out
+        return Items([r[0] for r in rows], [r[1] for r in rows])
+
+    if blocks <= 1:
+        return _searched(docs, loaded(0) if blocks else Items([], []), least, column)
+    # what a text contains depends on the text alone, so the few texts with items are joined by it
+    key = [F.xxhash64("text").alias("_a"), F.xxhash64(F.lit(1), "text").alias("_b")]
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    hits = None
+    for b in range(blocks):
+        own = settled(_searched(texts, loaded(b), least, "found").where(F.size("found") > 0).select(*key, "found").distinct(), "items")
+        hits = own if hits is None else hits.unionByName(own)
+    hits = hits.select("_a", "_b", F.explode("found").alias("item")).groupBy("_a", "_b").agg(F.array_sort(F.collect_set("item")).alias("found"))  # an array of test items at most
+    rest = [c for c in docs.columns if c != column]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), *key)
+    return rows.join(hits, ["_a", "_b"], "left").select("row.*", F.coalesce("found", F.array().cast("array<long>")).alias(column))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import arrow_map, slices
 
 # Fixed values of HTML: which elements are blocks, which have no content, which close which.
 _BLOCK = set("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption nav header footer aside form fieldset figure figcaption blockquote pre address details summary hgroup center".split())
@@ -446,4 +446,4 @@ def extracted(pages: DataFrame, model: ContentModel, column: str = "text") -> Da
                         part = part.remove_column(at)
                 yield from part.append_column(column, text).combine_chunks().to_batches()
 
-    return pages.mapInArrow(step, schema)
+    return arrow_map(pages, step, schema)

@@ -30,7 +30,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import arrow_map, slices
 from .kernels import mix, powers
 
 _SPACE_MARK = 0x2581
@@ -257,7 +257,7 @@ def encoded(docs: DataFrame, path: str, key: str = "doc_id", column: str = "piec
                     part = part.remove_column(at)
                 yield from part.append_column(column, pa.array(ids, pa.list_(pa.int32()))).combine_chunks().to_batches()
 
-    return docs.mapInArrow(step, schema)
+    return arrow_map(docs, step, schema)
 
 
 def hash_text(text: str | None) -> int:
@@ -292,5 +292,5 @@ def decoded(docs: DataFrame, path: str, column: str = "pieces", into: str = "dec
                     table = (table.remove_column(at) if at >= 0 else table).append_column(name, column_)
                 yield from table.combine_chunks().to_batches()
 
-    return docs.mapInArrow(step, schema)
+    return arrow_map(docs, step, schema)
 
