@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fitted, slices, text_slices, within_bytes
+from .common import fitted, slices, text_slices, tidy, within_bytes
 from .letters import Letters
 
 SAMPLE = 8000
@@ -144,7 +144,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part["doc_id"].combine_chunks(), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(step, "doc_id long, lang_pred string, score double")
+    return docs.mapInArrow(tidy(step), "doc_id long, lang_pred string, score double")
 
 
 def held_out(doc_id: str = "doc_id"):

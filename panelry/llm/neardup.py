@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, keyed, settled, slices
+from .common import components, keyed, settled, slices, tidy
 from .kernels import Words, flat, mix, powers, windows
 
 SHINGLE = 5
@@ -271,18 +271,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ``hash`` is the text's xxhash64, ``group`` a key of the component (null without one).
     """
     docs = keyed(docs).withColumn("hash", F.xxhash64("text"))
-    features = settled(docs.mapInArrow(_features, "doc_id long, hash long, n_shingles long, set_key binary, signature binary"), "shingles")
+    features = settled(docs.mapInArrow(tidy(_features), "doc_id long, hash long, n_shingles long, set_key binary, signature binary"), "shingles")
     # a node's key begins with its smallest doc_id, in an order that bytes keep: the smallest key of a component names its smallest document
     lead = F.unhex(F.lpad(F.hex(F.col("first_id").bitwiseXOR(F.lit(_SIGN))), 16, "0"))
     nodes = features.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature"))
     nodes = settled(nodes.select(F.concat(lead, "set_key").alias("node"), "set_key", "first_id", "copies", "signature"), "nodes")
-    bands = nodes.select("node", "signature").mapInArrow(_bands, "bucket long, band int, node binary")
+    bands = nodes.select("node", "signature").mapInArrow(tidy(_bands), "bucket long, band int, node binary")
     shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = settled(bands.join(shared, "bucket"), "buckets")
     mass = members.groupBy("node").agg(F.sum("n").alias("mass"))
     wanted = nodes.select("node", "first_id").join(mass.select("node"), "node")
     texts = docs.join(wanted.withColumnRenamed("first_id", "doc_id"), "doc_id").select("node", "text")
-    sets = settled(texts.mapInArrow(_sets, "node binary, members binary"), "sets")
+    sets = settled(texts.mapInArrow(tidy(_sets), "node binary, members binary"), "sets")
 
     centre = members.join(mass, "node").groupBy("bucket").agg(F.max(F.struct("mass", "node")).getField("node").alias("centre"))
     star = members.join(centre, "bucket").where("node <> centre").select("centre", "node").distinct()

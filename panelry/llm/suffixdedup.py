@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, SLICE_BYTES, buckets, keyed, text_bytes
+from .common import BATCH_BYTES, SLICE_BYTES, buckets, keyed, text_bytes, tidy, tidy_group
 from .kernels import flat, mix, powers, runs
 
 LENGTH, SEED = 50, 24
@@ -373,12 +373,12 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, seed: int = SEED, hot:
             kept.append((batch.data[a:b][~gone[a:b]] if len(s) else batch.data[a:b]).tobytes())
         return pa.table([batch.table["doc_id"], pa.array(np.diff(batch.offsets), pa.int64()), pa.array(removed, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary())], schema=_schema())
 
-    sketch = docs.groupBy("batch").applyInArrow(count, "slot int, batch int, cells binary, counts binary")
-    sketch = sketch.groupBy("slot").applyInArrow(merge, "batch int, slot int, marks binary")
-    sent = docs.groupBy("batch").cogroup(sketch.groupBy("batch")).applyInArrow(send, "slot int, batch int, rows binary, owners binary")
-    verdicts = sent.groupBy("slot").applyInArrow(decide, "batch int, slot int, marks binary")
+    sketch = docs.groupBy("batch").applyInArrow(tidy_group(count), "slot int, batch int, cells binary, counts binary")
+    sketch = sketch.groupBy("slot").applyInArrow(tidy_group(merge), "batch int, slot int, marks binary")
+    sent = docs.groupBy("batch").cogroup(sketch.groupBy("batch")).applyInArrow(tidy_group(send), "slot int, batch int, rows binary, owners binary")
+    verdicts = sent.groupBy("slot").applyInArrow(tidy_group(decide), "batch int, slot int, marks binary")
     news = sketch.withColumn("kind", F.lit(0)).unionByName(verdicts.withColumn("kind", F.lit(1)))
-    return docs.groupBy("batch").cogroup(news.groupBy("batch")).applyInArrow(cut, "doc_id long, n_bytes long, removed array<array<long>>, kept binary")
+    return docs.groupBy("batch").cogroup(news.groupBy("batch")).applyInArrow(tidy_group(cut), "doc_id long, n_bytes long, removed array<array<long>>, kept binary")
 
 
 def _schema() -> pa.Schema:
@@ -399,7 +399,7 @@ def _splitters(docs: DataFrame, size: int, length: int, seed: int, ranges: int)
                 yield pa.RecordBatch.from_arrays([pa.array([data[a : a + seed].tobytes() for a in at], pa.binary())], names=["lead"])
 
     some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(spare)) == 0).select("text").limit(SAMPLE_DOCS)
-    lead = np.sort(np.array([bytes(r[0]) for r in some.mapInArrow(step, "lead binary").distinct().collect()], f"S{seed}"))
+    lead = np.sort(np.array([bytes(r[0]) for r in some.mapInArrow(tidy(step), "lead binary").distinct().collect()], f"S{seed}"))
     n = min(ranges, SPLITTERS)
     if not len(lead) or n < 2:
         return np.zeros(0, f"S{seed}")

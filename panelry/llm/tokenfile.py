@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buckets, settled, shared_dir, slices
+from .common import buckets, settled, shared_dir, slices, tidy
 from .kernels import mix, powers
 
 #: Tokens after which a shard is closed (at the end of a document).
@@ -304,7 +304,7 @@ def tokens(docs: DataFrame, path: str, pattern: str, end: int) -> DataFrame:
 
     wide = max(encoder(path, pattern).tokenizer.get_vocab_size(), end + 1)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(step, "doc_id long, tie long, ids binary")
+    return docs.mapInArrow(tidy(step), "doc_id long, tie long, ids binary")
 
 
 def write(docs: DataFrame, path: str, pattern: str, end: int, folder: str) -> None:
@@ -324,7 +324,7 @@ def write(docs: DataFrame, path: str, pattern: str, end: int, folder: str) -> No
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
 
     # one row for each id of the vocabulary: bounded by the tokenizer
-    counts = coded.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas().sort_values(["n", "id"], ascending=[False, True])
+    counts = coded.select("ids").mapInArrow(tidy(count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas().sort_values(["n", "id"], ascending=[False, True])
     by_rank = counts["id"].to_numpy(np.int64)
     rank = np.zeros(int(by_rank.max()) + 1 if len(by_rank) else 1, np.uint32)
     rank[by_rank] = np.arange(len(by_rank))
@@ -356,7 +356,7 @@ def write(docs: DataFrame, path: str, pattern: str, end: int, folder: str) -> No
 
     size = coded.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()[0]
     ranged = coded.repartitionByRange(buckets(spark, size, FILE_BYTES), F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
-    ranged.select("doc_id", "ids").mapInArrow(shards, "part int, place int, doc_ids array<long>, sizes array<long>, n_tokens long, control binary, data binary").write.parquet(f"{folder}/shards")
+    ranged.select("doc_id", "ids").mapInArrow(tidy(shards), "part int, place int, doc_ids array<long>, sizes array<long>, n_tokens long, control binary, data binary").write.parquet(f"{folder}/shards")
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
@@ -381,7 +381,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 docs = [ids[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(edge[:-1] + row["start"], pa.int64()), pa.array(sizes, pa.int64()), pa.array(docs, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
 
-    return found.join(places, ["part", "place"]).mapInArrow(step, "doc_id long, start long, n_tokens long, ids binary")
+    return found.join(places, ["part", "place"]).mapInArrow(tidy(step), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def new_folder(spark: SparkSession) -> str:

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, buckets, keyed, slices, text_bytes
+from .common import BATCH_BYTES, buckets, keyed, slices, text_bytes, tidy_group
 from .kernels import Words, flat, runs, windows
 
 WIDTH, SEED = 13, 5
@@ -199,12 +199,12 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> D
         smaller = _later(batch, maybe, verdict, ranges)
         return _cut(batch, maybe, smaller)
 
-    sketch = docs.groupBy("batch").applyInArrow(count, "slot int, batch int, cells binary, many binary")
-    sketch = sketch.groupBy("slot").applyInArrow(merge, "batch int, slot int, bits binary")
-    candidates = docs.groupBy("batch").cogroup(sketch.groupBy("batch")).applyInArrow(own, "slot int, batch int, hashes binary, owners binary")
-    verdicts = candidates.groupBy("slot").applyInArrow(decide, "batch int, slot int, bits binary")
+    sketch = docs.groupBy("batch").applyInArrow(tidy_group(count), "slot int, batch int, cells binary, many binary")
+    sketch = sketch.groupBy("slot").applyInArrow(tidy_group(merge), "batch int, slot int, bits binary")
+    candidates = docs.groupBy("batch").cogroup(sketch.groupBy("batch")).applyInArrow(tidy_group(own), "slot int, batch int, hashes binary, owners binary")
+    verdicts = candidates.groupBy("slot").applyInArrow(tidy_group(decide), "batch int, slot int, bits binary")
     news = sketch.withColumn("kind", F.lit(0)).unionByName(verdicts.withColumn("kind", F.lit(1)))
-    return docs.groupBy("batch").cogroup(news.groupBy("batch")).applyInArrow(cut, "doc_id long, text string, n_words long, removed array<array<int>>, kept string")
+    return docs.groupBy("batch").cogroup(news.groupBy("batch")).applyInArrow(tidy_group(cut), "doc_id long, text string, n_words long, removed array<array<int>>, kept string")
 
 
 def _maybe(batch: Batch, sketch: pa.Table, ranges: int, per_range: int) -> np.ndarray:
