@@ -15,7 +15,9 @@ and media, comments in the markup, and the head are no text at all.  Nothing els
 
 A null or empty page, or one without content, has an empty text.  Unclosed, misnested and truncated
 markup is read as far as it goes; a head that is not closed ends with the first element or text that
-can't stand in one.  Rows that repeat give the same text.
+can't stand in one.  A quote inside an unquoted value or a name is an ordinary character.  A block whose
+marginal is exactly one half is content.  An empty table gives an empty one.  Rows that repeat give the
+same text.  Other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -44,7 +46,9 @@ _BREAK = set("br hr img".split())
 _CLOSES_P = _BLOCK - {"html", "body", "td", "th", "tr", "thead", "tbody", "tfoot", "caption"}
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _SCOPES = set("ul ol dl table body html div article section main nav aside header footer form blockquote".split())
-_TOKEN = re.compile(r"<(?:!--(?:.*?-->|.*)|![^>]*>?|\?[^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$))", re.S)
+#: Attributes as HTML reads them: a quote means something only where a value begins.
+_ATTRIBUTES = r"""(?:[\s/]|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"?|'[^']*+'?|[^\s>"'][^\s>]*+)?)?)*+"""
+_TOKEN = re.compile(rf"<(?:!--(?:-?>|.*?--!?>|.*)|![^>]*>?|\?[^>]*>?|(/?)([a-zA-Z][^\s/>]*+)({_ATTRIBUTES})>?)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+")
 
