@@ -5,17 +5,18 @@ each shard is an index of its own: for every dimension, its vectors sorted by th
 level.  All vectors of one dimension and one level form a posting segment, whose impact on a query is
 the query's value times the level.
 
-A query processes a shard's segments by descending absolute impact and adds them up.  What is still to
-come bounds every vector's score from both sides.  The query stops only when the bounds prove that no
-vector outside a small set can be among the k best; the members of that set are rescored exactly, on
-the integers.  If no such proof comes before the segments end, the quantisation error alone is left as
-the bound, and the same proof picks the set.
+A query processes a shard's segments by descending quantised impact and adds up the exact values of their
+postings.  Whatever is still to come of a vector is bounded by the number of its postings that are left
+times the largest contribution left, so its score lies between two bounds.  Now and then the query looks:
+a vector whose upper bound lies under the k-th largest lower bound cannot be among the k best.  The query
+stops once rescoring the vectors that this proof leaves, exactly and whole, costs less than reading on.
+Sums are exact below 2**53.
 
-Queries travel in blocks to all shards, shards answer with their k best, and a query's answers are
-merged.  Equal scores go to the smaller vec_id; a vector that ties with the last place stays possible.
+Queries travel in blocks of ``BLOCK`` to all shards; a shard builds its index once a block and answers with
+its k best, and a query's answers are merged.  Equal scores go to the smaller vec_id; a vector that ties with the last place stays possible.
 
 Vectors that are null, or hold a null or a component that is not finite, take no part; nor do rows with
-a null id.  Vectors of another length than the query's are no candidates for it.  Of rows that repeat a
+a null id, or with a component of 2**31 or more when scaled (a sum of products could pass 64 bits).  Vectors of another length than the query's are no candidates for it.  Of rows that repeat a
 query's id, the smallest vector asks; every row with another id is a candidate, and only such rows
 count for the bounds.  Empty tables give no
 rows.  Other columns play no part.
@@ -34,68 +35,76 @@ from .common import settled
 
 SCALE = 1024
 #: Vectors in a shard, queries in a block, levels of a dimension on either side of zero.
-SHARD, BLOCK, LEVELS = 16384, 512, 24
-#: Segments between two looks at the bounds, as a share of all.
-LOOKS = 6
+SHARD, BLOCK, LEVELS = 16384, 8192, 24
+#: Looks at the bounds, after equal shares of the postings.
+LOOKS = 12
 
 
 def integers(rows: DataFrame) -> DataFrame:
     """(vec_id, v): the vectors that take part, as arrays of whole numbers."""
-    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
+    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) * SCALE < 2.0**31))
     rows = rows.where("vec_id IS NOT NULL AND embedding IS NOT NULL").where(F.coalesce(fine, F.lit(False)))
     return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE).cast("long")).alias("v"))
 
 
 class Shard:
-    """The impact-ordered index of some vectors of one length."""
+    """The impact-ordered index of some vectors of one length: postings by dimension and level, one after another.
+
+    ``read`` and ``held`` count the postings that queries read, and those they would read without a stop.
+    """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
         n, dims = vectors.shape
-        top = np.abs(vectors).max(0) if n else np.zeros(dims)
-        self.step = np.maximum(1.0, top / LEVELS)
-        level = np.rint(vectors / self.step).astype(np.int32)
+        step = np.maximum(1.0, (np.abs(vectors).max(0) if n else np.zeros(dims)) / LEVELS)
+        level = np.rint(vectors / step).astype(np.int32)
         order = np.argsort(level, axis=0, kind="stable")
-        self.docs, self.dim, self.value, self.edge = [], [], [], [0]
-        for d in range(dims):
-            own = level[order[:, d], d]
-            cut = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1, [n]]) if n else np.zeros(1, np.int64)
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                if own[a]:  # level zero has no impact
-                    self.docs.append(order[a:b, d]), self.dim.append(d), self.value.append(own[a] * self.step[d])
-        self.dim, self.value = np.array(self.dim, np.int64), np.array(self.value)
-        self.size = np.array([len(x) for x in self.docs], np.int64)
-        # rounding to a level is off by half a step at most
-        self.error = self.step / 2
+        rank = np.take_along_axis(level, order, 0).T  # by dimension, in order of the level
+        new = np.ones(rank.shape, bool)
+        new[:, 1:] = rank[:, 1:] != rank[:, :-1]
+        self.doc = np.ascontiguousarray(order.T).ravel()
+        self.value = np.take_along_axis(vectors, order, 0).T.ravel()
+        self.start = np.flatnonzero(new)
+        self.size = np.diff(np.append(self.start, n * dims))
+        self.dim = self.start // n if n else np.zeros(0, np.int64)
+        self.level = rank.ravel()[self.start] * step[self.dim]
+        # no posting of a segment has a larger value, whatever its level says
+        self.most = np.maximum.reduceat(np.abs(self.value), self.start) if n else np.zeros(0)
+        self.read = self.held = 0
 
     def best(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best vectors of the shard."""
-        n = len(self.ids)
-        impact = query[self.dim] * self.value if n else np.zeros(0)
-        order = np.argsort(-np.abs(impact), kind="stable")
-        total = np.zeros(n)
-        rest_of = np.abs(query) * self.error
-        possible = other = np.flatnonzero(self.ids != own)  # rows with the query's own id prove nothing
-        # a look is worth its cost after equal shares of the postings
+        n, dims = self.vectors.shape
+        order = np.argsort(-np.abs(query[self.dim] * self.level), kind="stable")
+        limit = (np.abs(query[self.dim]) * self.most)[order]
+        # the largest contribution that a posting can still make after each segment
+        limit = np.append(np.maximum.accumulate(limit[::-1])[::-1], 0)
         share = np.cumsum(self.size[order])
-        stops = np.searchsorted(share, share[-1] * np.arange(1, LOOKS + 1) / LOOKS) + 1 if len(order) else []
+        total, met = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        possible = other = np.flatnonzero(self.ids != own)  # rows with the query's own id prove nothing
+        self.held += n * dims
         at = 0
-        for stop in stops:
+        for stop in np.searchsorted(share, n * dims * np.arange(1, LOOKS + 1) / LOOKS) + 1 if n else ():
             stop = min(int(stop), len(order))
             if stop > at:
                 some = order[at:stop]
-                total += np.bincount(np.concatenate([self.docs[s] for s in some]), np.repeat(impact[some], self.size[some]), minlength=n)
+                size = self.size[some]
+                edge = np.cumsum(size)
+                take = np.repeat(self.start[some] - edge + size, size) + np.arange(edge[-1])
+                doc = self.doc[take]
+                total += np.bincount(doc, self.value[take] * np.repeat(query[self.dim[some]], size), minlength=n).astype(np.int64)
+                met += np.bincount(doc, minlength=n)
+                self.read += int(edge[-1])
                 at = stop
-            # still to come: for each dimension its strongest segment that is left, on either side
-            left = order[at:]
-            strongest = np.zeros(len(query))
-            np.maximum.at(strongest, self.dim[left], np.abs(impact[left]))
-            bound = (strongest + rest_of).sum() * (1 + 1e-12) + 1e-6
-            if 0 < k < len(other):
+            if k < len(other):
+                # a vector's postings that are left move its sum by ``limit`` each at most, up or down
+                slack = (dims - met[other]) * limit[at]
                 reached = total[other]
-                low = np.partition(reached, len(other) - k)[len(other) - k] - bound
-                possible = other[reached + bound >= low]
-            if len(possible) <= 8 * (k + 1):
+                low = reached - slack
+                low = np.partition(low, len(other) - k)[len(other) - k]
+                possible = other[reached + slack >= low]
+            # rescoring the possible ones is now cheaper than reading on
+            if len(possible) * dims <= n * dims - (share[at - 1] if at else 0):
                 break
         score = self.vectors[possible] @ query
         first = np.lexsort((self.ids[possible], -score))[:k]

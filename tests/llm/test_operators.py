@@ -276,6 +276,19 @@ def test_top_k_with_ties_nulls_and_repeats(spark):
     assert topk.top_k(df.limit(0), df, 10).count() == 0
 
 
+def test_top_k_stops_before_the_end():
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=(40, 64))
+    x = centre[rng.integers(0, 40, 3000)] + 0.5 * rng.normal(size=(3000, 64))
+    v = np.floor(1024 * x / np.linalg.norm(x, axis=1)[:, None]).astype(np.int64)
+    shard = topk.Shard(np.arange(3000), v)
+    for q in range(0, 3000, 100):
+        ids, score = shard.best(v[q], q, 10)
+        want = sorted((-int(s), i) for i, s in enumerate(v @ v[q]) if i != q)[:10]
+        assert [(-int(s), int(i)) for i, s in zip(ids, score)] == want
+    assert shard.read < 0.8 * shard.held
+
+
 def test_top_k_of_a_query_stored_many_times(spark):
     rng = np.random.default_rng(5)
     rows = [(0, [30.0] * 8)] * 12 + [(i, [float(x) for x in rng.normal(size=8)]) for i in range(1, 300)]
@@ -400,6 +413,19 @@ def test_html_text_right_after_an_open_head():
     assert htmlmain.Page("<head><title>t</title><noscript>no script</noscript></head><body>").runs == []
 
 
+@pytest.mark.parametrize("stray", ["<p class=it's>", "<p it's>", '<p data-x=a"b>', "<p title=''  class=\"a 'b\">", "<p =x>", "<p a = 'b>c'>", "<!--><p>", "<!-- a --!><p>"])
+def test_html_stray_quotes_lose_no_text(stray):
+    page = f"<article><p>First para here.</p>{stray}Second para, with text.</p><p>Third para here, don't stop.</p></article>"
+    assert htmlmain.main_texts([page], htmlmain.trained_model()) == ["First para here. Second para, with text. Third para here, don't stop."]
+
+
+def test_html_less_than_in_prose():
+    page = "<article><p>If 3 < 4 it's fine, and so on.</p><p>a <b it's</p><p>Third para here, don't stop.</p></article>"
+    assert htmlmain.main_texts([page], htmlmain.trained_model())[0].endswith("Third para here, don't stop.")
+    assert htmlmain.main_texts([page], htmlmain.trained_model())[0].startswith("If 3 < 4 it's fine, and so on.")
+    assert htmlmain.Page("<p " + "a " * 200000 + "b=" * 200000).runs == []  # linear in the length
+
+
 def test_html_keeps_math_and_fallback_text():
     page = "<article><h1>Title here</h1><p>The sum <math><mi>x</mi><mo>+</mo><mi>y</mi></math> is long enough to count, and so on.</p><noscript><p>A picture of the sum, with some words about it.</p></noscript><object data=a><p>The same drawing, told in words for all readers.</p></object></article>"
     assert htmlmain.main_texts([page], htmlmain.trained_model()) == ["Title here The sum x+y is long enough to count, and so on. A picture of the sum, with some words about it. The same drawing, told in words for all readers."]
@@ -433,6 +459,7 @@ def test_extracted_pages_keep_columns(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>Some text here, and more.</p></article>", "old"), (2, None, None, "x")], "page_id long, url string, html string, text string")
     got = {r.page_id: r.text for r in htmlmain.extracted(pages, htmlmain.trained_model()).collect()}
     assert got == {1: "Some text here, and more.", 2: ""}
+    assert htmlmain.extracted(pages.limit(0), htmlmain.trained_model()).count() == 0
 
 
 def test_digest_matches_spark():
