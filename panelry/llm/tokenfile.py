@@ -48,6 +48,8 @@ from .kernels import mix, powers
 SHARD = 1 << 21
 #: Distinct parts that a worker remembers before it starts afresh.
 REMEMBERED = 1_000_000
+#: New parts that the library gets as one text.
+TOGETHER = 64
 #: Bytes of ids for which one file is provided.
 FILE_BYTES = 64 << 20
 
@@ -167,23 +169,23 @@ class Encoder:
 
     def _learn(self, h: np.ndarray, code: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
         """Remember parts with distinct new hashes."""
-        parts = [code[a:b].tobytes().decode("utf-32-le") for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-        # a space and letters: put one after another, they are split as they stand, and go through the library at once
-        plain = [p[0] == " " and p[1:].isalpha() for p in parts]
-        order = np.argsort(~np.array(plain, bool), kind="stable")
+        # a space and letters: put one after another, they are split as they stand, and go through the library together
+        plain = (code[start] == 0x20) & (end - start > 1) & (_classes()[code[np.minimum(start + 1, len(code) - 1)]] == _LETTER)
+        order = np.argsort(~plain, kind="stable")
         h, start, end = h[order], start[order], end[order]
-        joined = [p for p, x in zip(parts, plain, strict=True) if x]
-        whole = self.tokenizer.encode("".join(joined), add_special_tokens=False)
-        length = np.bincount(np.array(whole.word_ids, np.int64), minlength=len(joined)) if joined else np.zeros(0, np.int64)
-        ids = whole.ids
-        if len(length) != len(joined):
-            parts = [parts[i] for i in order]
-            length, ids = np.zeros(0, np.int64), []
-        else:
-            parts = [p for p, x in zip(parts, plain, strict=True) if not x]
-        found = [x.ids for x in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
-        ids = np.concatenate([np.array(ids, np.int32), np.fromiter(chain.from_iterable(found), np.int32)])
-        length = np.concatenate([length, np.array([len(x) for x in found], np.int64)])
+        edge = np.concatenate([[0], np.cumsum(end - start)])
+        text = code[_ranges(start, end - start)].tobytes().decode("utf-32-le")
+        joined = int(plain.sum())
+        heads = np.append(np.arange(0, joined, TOGETHER), joined)
+        whole = self.tokenizer.encode_batch([text[edge[a] : edge[b]] for a, b in zip(heads[:-1], heads[1:], strict=True)], add_special_tokens=False)
+        word = np.fromiter(chain.from_iterable(x.word_ids for x in whole), np.int64) + np.repeat(heads[:-1], [len(x.ids) for x in whole])
+        length = np.bincount(word, minlength=joined).astype(np.int64)
+        if len(length) != joined or not length.all() or not (np.diff(word) >= 0).all():
+            joined, whole, length = 0, [], length[:0]  # not split as they stand: one by one
+        rest = self.tokenizer.encode_batch([text[a:b] for a, b in zip(edge[joined:-1].tolist(), edge[joined + 1 :].tolist(), strict=True)], add_special_tokens=False)
+        found = [x.ids for x in chain(whole, rest)]
+        ids = np.fromiter(chain.from_iterable(found), np.int32)
+        length = np.concatenate([length, np.array([len(x.ids) for x in rest], np.int64)])
         n, m = self.n, self.n + len(length)
         size = end - start
         used, chars = int(self.first[n]), int(self.begin[n])
