@@ -105,17 +105,39 @@ def rank_ic_by_time(df: DataFrame, keys: list[str] | None = None, signal: str =
     return ranked.groupBy(*keys, "time").agg(F.coalesce(_corr("_a", "_b"), F.lit(0.0)).alias("ic"), F.count(F.lit(1)).alias("n"), F.coalesce(F.stddev_samp(signal), F.lit(0.0)).alias("spread"))
 
 
+def _distinct_places(keys: list[str], signal: str) -> Column:
+    """1 at each value of an address's signal that differs from the next smaller one."""
+    before = F.lag(signal).over(Window.partitionBy(*keys, "address").orderBy(signal, "time"))
+    return F.when(before.isNull() | (before != F.col(signal)), 1).otherwise(0)
+
+
+def _few_values(by: DataFrame, keys: list[str]) -> Column:
+    """Whether the first ten addresses of a run have under five distinct values on average; ``by`` has one row an address."""
+    return F.avg(F.when(F.row_number().over(Window.partitionBy(*keys).orderBy("address")) <= 10, F.col("_values"))).over(Window.partitionBy(*keys)) < 5
+
+
 def rank_ic(df: DataFrame, keys: list[str], signal: str = "signal") -> DataFrame:
-    """Mean rank IC; 0 for fewer than two addresses or a flat signal."""
+    """Mean rank IC; 0 for fewer than two addresses or a flat signal, times 0.3 for one with hardly any values."""
     by = rank_ic_by_time(df, keys, signal)
-    return by.groupBy(*keys).agg(F.when((F.max("n") < 2) | (F.avg("spread") < 1e-6), 0.0).otherwise(F.avg("ic")).alias("rank_ic"))
+    ic = by.groupBy(*keys).agg(F.when((F.max("n") < 2) | (F.avg("spread") < 1e-6), 0.0).otherwise(F.avg("ic")).alias("ic"))
+    values = df.withColumn("_new", _distinct_places(keys, signal)).groupBy(*keys, "address").agg(F.sum("_new").alias("_values"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("address"))
+    few = values.withColumn("_k", place).where("_k <= 10").groupBy(*keys).agg((F.avg("_values") < 5).alias("few"))
+    return ic.join(few, keys).select(*keys, (F.col("ic") * F.when(F.col("few"), 0.3).otherwise(1.0)).alias("rank_ic"))
+
 
+def pearson_ic(df: DataFrame, keys: list[str], signal: str = "signal", least: int = 10, rows: int = 132, days: int = 20) -> DataFrame:
+    """Mean and stability (ICIR) of the Pearson correlation by time, over values that are not zero.
 
-def pearson_ic(df: DataFrame, keys: list[str], signal: str = "signal", least: int = 10) -> DataFrame:
-    """Mean and stability (ICIR) of the Pearson correlation by time, over values that are not zero."""
-    by = df.where(F.abs(F.col(signal)) > 1e-10).groupBy(*keys, "time").agg(_corr(signal, "target_ret").alias("ic"), F.count(F.lit(1)).alias("n"))
+    Times are the last ``rows`` but the very last; a time counts with over ``least`` values, a run with at
+    least ``days`` times.
+    """
+    times = df.select("time").distinct().withColumn("_k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("time")))).where(f"_k BETWEEN 2 AND {rows}")  # one row a time
+    by = df.join(F.broadcast(times.select("time")), "time", "left_semi").where(F.abs(F.col(signal)) > 1e-10)  # ``rows`` times at most
+    by = by.groupBy(*keys, "time").agg(_corr(signal, "target_ret").alias("ic"), F.count(F.lit(1)).alias("n"))
     by = by.where(F.col("n") > least).where("ic IS NOT NULL AND NOT isnan(ic)")
-    return by.groupBy(*keys).agg(F.avg("ic").alias("mean_ic"), (F.abs(F.avg("ic")) / (F.stddev_pop("ic") + 1e-10)).alias("icir"), F.count(F.lit(1)).alias("n_times"))
+    out = by.groupBy(*keys).agg(F.avg("ic").alias("mean_ic"), (F.abs(F.avg("ic")) / (F.stddev_pop("ic") + 1e-10)).alias("icir"), F.count(F.lit(1)).alias("n_times"))
+    return out.where(F.col("n_times") >= days)
 
 
 def rank_ic_report(df: DataFrame, keys: list[str], signal: str = "signal") -> DataFrame:
@@ -133,31 +155,67 @@ def factor_autocorrelation(df: DataFrame, keys: list[str], signal: str = "signal
 
 
 def redundancy_penalty(df: DataFrame, bases: list[str], keys: list[str], signal: str = "signal") -> DataFrame:
-    """Two for each base column whose Spearman correlation over time with the signal exceeds 0.7 (mean over addresses)."""
+    """For each address two for each base column whose Spearman correlation over time with the signal exceeds 0.7; mean over addresses."""
     rank = lambda c: F.row_number().over(Window.partitionBy(*keys, "address").orderBy(c, "time")).cast("double")
     ranked = df.withColumns({"_s": rank(signal)} | {f"_b{i}": rank(b) for i, b in enumerate(bases)})
-    by = ranked.groupBy(*keys, "address").agg(*[_corr("_s", f"_b{i}").alias(f"c{i}") for i in range(len(bases))])
-    means = by.groupBy(*keys).agg(*[F.avg(f"c{i}").alias(f"c{i}") for i in range(len(bases))])
-    penalty = sum((F.when(F.abs(F.col(f"c{i}")) > 0.7, 2.0).otherwise(0.0) for i in range(len(bases))), F.lit(0.0))
-    return means.select(*keys, penalty.alias("redundancy"))
+    penalty = sum((F.when(F.abs(_corr("_s", f"_b{i}")) > 0.7, 2.0).otherwise(0.0) for i in range(len(bases))), F.lit(0.0))
+    by = ranked.groupBy(*keys, "address").agg(penalty.alias("redundancy"))
+    return by.groupBy(*keys).agg(F.avg("redundancy").alias("redundancy"))
 
 
-def activity(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Share of active bars, laziness penalty and turnover bonus, by address and then averaged.
+def _by_address(df: DataFrame, profile: Profile) -> dict[str, Column]:
+    """Aggregates of an address: laziness penalty, turnover bonus, active bars and bars.
 
-    An address that is never active costs 3, one active in under a tenth of its bars up to 1.
+    The turnover is that of a bar, or of a rebalance where not every bar is one.
     """
-    by = df.groupBy(*keys, "address").agg(F.avg((F.abs("position") > 0).cast("double")).alias("active"), F.avg("turnover").alias("to"))
-    lazy = F.when(F.col("active") == 0, 3.0).when(F.col("active") < 0.1, 1 - 10 * F.col("active")).otherwise(0.0)
-    return by.groupBy(*keys).agg(F.avg("active").alias("active"), F.avg(lazy).alias("lazy_penalty"), F.avg(_clip(5 * F.col("to"), 0.0, 0.5)).alias("turnover_bonus"))
+    turnover = F.avg("turnover")
+    if "is_rebalance" in df.columns:
+        marks = F.sum(F.col("is_rebalance").cast("int"))
+        turnover = F.when(marks < F.count(F.lit(1)), F.sum("turnover") / F.greatest(marks, F.lit(1))).otherwise(turnover)
+    target = profile.target_turnover
+    lazy = F.when(turnover < profile.lazy_turnover, 3.0).when(turnover < target, (target - turnover) / target * 2).otherwise(0.0)
+    return {"lazy": lazy, "bonus": _clip(5 * turnover, 0.0, 0.5), "live": F.sum((F.col("position") > 0.05).cast("int")), "bars": F.count(F.lit(1))}
 
 
-def fitness(df: DataFrame, keys: list[str], profile: Profile, length: Column | int = 1) -> DataFrame:
-    """The score of each run: Sharpe, drawdown, length, laziness, turnover and rank IC in one number; -10 if hardly active."""
-    pnl = portfolio_pnl(df, keys)
-    out = sharpe(keys, pnl, profile).join(max_drawdown(keys, pnl), keys).join(activity(df, keys), keys).join(rank_ic(df, keys), keys)
-    score = F.col("sharpe") - 2 * F.col("max_drawdown") - 0.1 * F.greatest(F.lit(0), F.lit(length) - 6 if isinstance(length, int) else length - 6) - F.col("lazy_penalty") + F.col("turnover_bonus") + 2 * _clip(F.col("rank_ic"), -0.3, 0.3)
-    return out.withColumn("fitness", F.when(F.col("active") < 0.05, -10.0).otherwise(score))
+def activity(df: DataFrame, keys: list[str], profile: Profile) -> DataFrame:
+    """Share of positions over 0.05, and the means over addresses of laziness penalty and turnover bonus."""
+    by = df.groupBy(*keys, "address").agg(*[c.alias(n) for n, c in _by_address(df, profile).items()])
+    return by.groupBy(*keys).agg((F.sum("live") / F.sum("bars")).alias("active"), F.avg("lazy").alias("lazy_penalty"), F.avg("bonus").alias("turnover_bonus"))
+
+
+def fitness(df: DataFrame, keys: list[str], profile: Profile, length: DataFrame | None = None, base: str | None = None, signal: str = "signal") -> DataFrame:
+    """The score of each run: Sharpe, drawdown, length, redundancy, laziness, turnover and rank IC in one number.
+
+    A run with under five in a hundred positions active scores -10, plus the IC term, which counts in any case.
+    ``length`` has the keys and a length; ``base`` is the column that signals should not repeat.  One pass by time
+    and one by address serve all terms.
+    """
+    ranked = df.withColumns({"_a": F.row_number().over(_cs(keys).orderBy(signal, "address")).cast("double"), "_b": F.row_number().over(_cs(keys).orderBy("target_ret", "address")).cast("double")})
+    times = ranked.groupBy(*keys, "time").agg(
+        F.avg("pnl").alias("pnl"), F.coalesce(_corr("_a", "_b"), F.lit(0.0)).alias("ic"), F.count(F.lit(1)).alias("n"), F.coalesce(F.stddev_samp(signal), F.lit(0.0)).alias("spread")
+    )
+    w = Window.partitionBy(*keys).orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
+    line = times.withColumn("_sum", F.sum("pnl").over(w)).withColumn("_top", F.max("_sum").over(w))
+    one = line.groupBy(*keys).agg(
+        (F.avg("pnl") / (F.coalesce(F.stddev_samp("pnl"), F.lit(0.0)) + 1e-8) * profile.bars_per_year**0.5).alias("sharpe"), F.max(F.col("_top") - F.col("_sum")).alias("max_drawdown"),
+        F.when((F.max("n") < 2) | (F.avg("spread") < 1e-6), 0.0).otherwise(F.avg("ic")).alias("_ic"),
+    )
+    rank = lambda c: F.row_number().over(Window.partitionBy(*keys, "address").orderBy(c, "time")).cast("double")
+    placed = df.withColumns({"_s": rank(signal), "_new": _distinct_places(keys, signal)} | ({"_r": rank(base)} if base else {}))
+    repeats = F.when(F.abs(_corr("_s", "_r")) > 0.7, 2.0).otherwise(0.0) if base else F.lit(0.0)
+    by = placed.groupBy(*keys, "address").agg(*[c.alias(n) for n, c in _by_address(df, profile).items()], repeats.alias("again"), F.sum("_new").alias("_values"))
+    by = by.withColumn("_few", _few_values(by, keys))
+    two = by.groupBy(*keys).agg(
+        (F.sum("live") / F.sum("bars")).alias("active"), F.avg("lazy").alias("lazy_penalty"), F.avg("bonus").alias("turnover_bonus"), F.avg("again").alias("redundancy"), F.max("_few").alias("_few")
+    )
+    out = one.join(two, keys).withColumn("rank_ic", F.col("_ic") * F.when(F.col("_few"), 0.3).otherwise(1.0)).drop("_ic", "_few")
+    extra = F.lit(0.0)
+    if length is not None:
+        out = out.join(length.select(*keys, F.col("length").alias("_length")), keys)
+        extra = 0.1 * F.greatest(F.lit(0), F.col("_length") - 6)
+    score = F.col("sharpe") - 2 * F.col("max_drawdown") - extra - F.col("redundancy") - F.col("lazy_penalty") + F.col("turnover_bonus")
+    score = F.when(F.col("active") < 0.05, -10.0).otherwise(F.coalesce(F.nanvl(score, F.lit(-10.0)), F.lit(-10.0)))
+    return out.withColumn("fitness", score + 2 * _clip(F.col("rank_ic"), -0.3, 0.3)).drop("_length")
 
 
 def yearly_report(pnl: DataFrame, profile: Profile, split: str = "split") -> DataFrame:
@@ -188,11 +246,15 @@ def sortino_reward(pnl: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def equity_report(pnl: DataFrame, keys: list[str], per_year: float = 252.0, risk_free: float = 0.02) -> DataFrame:
-    """Compound growth, yearly return and volatility, Sharpe over the risk-free rate, multiplicative drawdown, Calmar."""
+    """Compound growth, yearly return and volatility, Sharpe over the risk-free rate, multiplicative drawdown, Calmar.
+
+    Where the rows have a ``benchmark`` return, its compound growth is told too.
+    """
     w = Window.partitionBy(*keys).orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
     line = pnl.withColumn("equity", F.exp(F.sum(F.log1p("pnl")).over(w))).withColumn("top", F.max("equity").over(w))
     agg = line.groupBy(*keys).agg(
         F.max_by("equity", "time").alias("final_equity"), F.count(F.lit(1)).alias("n"), (F.stddev_samp("pnl") * per_year**0.5).alias("annual_vol"), F.max(1 - F.col("equity") / F.greatest("top", F.lit(1.0))).alias("max_drawdown"),
+        *([F.exp(F.sum(F.log1p("benchmark"))).alias("benchmark_equity")] if "benchmark" in pnl.columns else []),
     )
     agg = agg.withColumn("annual_return", F.pow("final_equity", F.lit(per_year) / F.col("n")) - 1)
     return agg.withColumns({"sharpe": (F.col("annual_return") - risk_free) / (F.col("annual_vol") + 1e-9), "calmar": F.col("annual_return") / (F.col("max_drawdown") + 1e-9)})
@@ -214,5 +276,23 @@ def reward_histogram(scores: DataFrame, column: str, edges: list[float]) -> Data
 
 
 def shaped_reward(scores: DataFrame) -> DataFrame:
-    """Fitness with the edges smoothed: a constant signal scores -2, a nearly constant one -2 + spread / 0.01."""
-    return scores.withColumn("reward", F.when(F.col("spread") < 1e-8, -2.0).when(F.col("spread") < 0.01, -2 + F.col("spread") / 0.01).otherwise(F.col("fitness")))
+    """Fitness with the edges smoothed: a constant signal scores -2, a nearly constant one -2 + spread / 0.01.
+
+    Others score their fitness less the structure penalty, plus the bonuses for diversity and novelty (``formula.stats_table``).
+    """
+    full = F.col("fitness") - F.col("structure_penalty") + F.col("diversity_bonus") + F.col("novelty")
+    return scores.withColumn("reward", F.when(F.col("spread") < 1e-4, -2.0).when(F.col("spread") < 0.01, -2 + F.col("spread") / 0.01).otherwise(full))
+
+
+def return_correlation(returns: DataFrame, rows: int = 200) -> DataFrame:
+    """(n_addresses, mean_corr): the mean correlation of the returns of two addresses over the last ``rows`` times.
+
+    With returns standardised, the squared sums over addresses hold all pairs, so none is formed.  An address
+    whose return never changes counts with correlation 0.
+    """
+    last = returns.select("time").distinct().orderBy(F.desc("time")).limit(rows)
+    part = returns.join(F.broadcast(last), "time", "left_semi")  # ``rows`` times at most
+    own = part.groupBy("address").agg(F.avg("ret").alias("mu"), F.stddev_pop("ret").alias("sd"))
+    z = part.join(own, "address").withColumn("z", F.coalesce(F.try_divide(F.col("ret") - F.col("mu"), F.col("sd")), F.lit(0.0)))
+    sums = z.groupBy("time").agg(F.sum("z").alias("s"), F.sum(F.col("z") * F.col("z")).alias("q"), F.count(F.lit(1)).alias("n"))
+    return sums.agg(F.max("n").alias("n_addresses"), F.try_divide(F.avg(F.col("s") * F.col("s") - F.col("q")), F.max("n") * (F.max("n") - 1)).alias("mean_corr"))

@@ -50,10 +50,23 @@ def folds(spark: SparkSession, times: int, n: int, gap: int = 0, rolling: bool =
     return spark.createDataFrame(rows, "fold int, train_start int, train_end int, test_start int, test_end int")
 
 
-def cv_evaluate(pnl: DataFrame, fold_table: DataFrame, index: DataFrame, per_year: float) -> DataFrame:
-    """By run and fold, the Sharpe ratio of the test part; ``index`` is (time, t)."""
-    rows = pnl.join(index, "time").join(F.broadcast(fold_table), (F.col("t") >= F.col("test_start")) & (F.col("t") < F.col("test_end")))  # a few folds
-    return rows.groupBy("formula_id", "fold").agg((F.avg("pnl") / (F.coalesce(F.stddev_samp("pnl"), F.lit(0.0)) + 1e-8) * per_year**0.5).alias("sharpe"), F.count(F.lit(1)).alias("n"))
+def fold_panels(panel: DataFrame, fold_table: DataFrame, index: DataFrame) -> DataFrame:
+    """The rows of each fold's test part, with ``fold`` and an address of its own for each fold, so that every window restarts there.
+
+    ``index`` is (time, t).  Test parts don't overlap, so windows over a time stay inside a fold too.
+    """
+    own = F.concat_ws("|", F.lpad(F.col("fold").cast("string"), 4, "0"), "address")
+    rows = panel.join(index, "time").join(F.broadcast(fold_table), (F.col("t") >= F.col("test_start")) & (F.col("t") < F.col("test_end")))  # a few folds
+    return rows.withColumn("address", own).drop("t", "train_start", "train_end", "test_start", "test_end")
+
+
+def cv_evaluate(pnl: DataFrame, per_year: float) -> DataFrame:
+    """By run and fold, Sharpe ratio, drawdown and turnover of the test part; ``pnl`` has fold, and its windows restarted there."""
+    w = Window.partitionBy("formula_id", "fold").orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
+    line = pnl.withColumn("_sum", F.sum("pnl").over(w)).withColumn("_top", F.max("_sum").over(w))
+    return line.groupBy("formula_id", "fold").agg(
+        (F.avg("pnl") / (F.coalesce(F.stddev_samp("pnl"), F.lit(0.0)) + 1e-8) * per_year**0.5).alias("sharpe"), F.max(F.col("_top") - F.col("_sum")).alias("max_drawdown"), F.avg("turnover").alias("turnover"), F.count(F.lit(1)).alias("n")
+    )
 
 
 def cv_vs_single_split(by_fold: DataFrame, single: DataFrame) -> DataFrame:
@@ -63,15 +76,22 @@ def cv_vs_single_split(by_fold: DataFrame, single: DataFrame) -> DataFrame:
     return out.withColumns({"difference": F.col("single") - F.col("cv_mean"), "overfit": F.col("single") - F.col("cv_mean") > 0.3, "robustness": F.col("cv_mean") / (F.col("cv_std") + 1e-8)})
 
 
-def select_factors(quality: DataFrame, pairs: DataFrame, top_n: int, min_icir: float = 0.05, max_corr: float = 0.7) -> list[str]:
-    """Names by falling ICIR, without any that correlates too much with a better one (a small table of names)."""
-    rows = quality.where(F.col("icir") >= min_icir).orderBy(F.desc("icir"), "formula_id").select("formula_id").collect()
-    close = {frozenset((r["a"], r["b"])) for r in pairs.where(F.abs("corr") > max_corr).collect()}
-    chosen: list[str] = []
-    for (name,) in rows:
-        if len(chosen) < top_n and all(frozenset((name, c)) not in close for c in chosen):
-            chosen.append(name)
-    return chosen
+def select_factors(quality: DataFrame, pairs: DataFrame, top_n: int, min_icir: float = 0.05, max_corr: float = 0.7, pool: int = 1000) -> DataFrame:
+    """(formula_id): names by falling ICIR, without any that correlates too much with a better one that is chosen.
+
+    The choice is greedy over the ``pool`` best names; only their names and their close pairs, ``pool`` a name
+    at most, meet in one row.
+    """
+    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("icir"), "formula_id")
+    ranked = quality.where(F.col("icir") >= min_icir).orderBy(F.desc("icir"), "formula_id").limit(pool).withColumn("k", F.row_number().over(w)).select("formula_id", "k")
+    near = pairs.where(F.abs("corr") > max_corr)
+    near = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    close = near.join(ranked.select(F.col("formula_id").alias("a"), F.col("k").alias("ka")), "a").join(ranked.select(F.col("formula_id").alias("b"), F.col("k").alias("kb")), "b")
+    close = close.where("kb < ka").groupBy("a").agg(F.collect_set("b").alias("better"))
+    rows = ranked.join(close, F.col("formula_id") == F.col("a"), "left").select("k", "formula_id", F.coalesce("better", F.array().cast("array<string>")).alias("better"))
+    line = rows.agg(F.array_sort(F.collect_list(F.struct("k", "formula_id", "better"))).alias("line"))
+    chosen = F.aggregate("line", F.array().cast("array<string>"), lambda s, x: F.when((F.size(s) < top_n) & ~F.arrays_overlap(s, x.better), F.concat(s, F.array(x.formula_id))).otherwise(s))
+    return line.select(F.explode(chosen).alias("formula_id"))
 
 
 def signal_pairs(signals: DataFrame) -> DataFrame:
@@ -82,18 +102,27 @@ def signal_pairs(signals: DataFrame) -> DataFrame:
     return both.groupBy("a", "b").agg(F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("corr"))
 
 
-def swap_factors(current: DataFrame, offered: DataFrame, n: int) -> DataFrame:
-    """(out, in): the worst current against the best offered by ICIR, ``n`` at most, only where it improves."""
-    worst = current.withColumn("k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("icir", "formula_id"))).where(F.col("k") <= n)
-    best = offered.join(current.select("formula_id"), "formula_id", "left_anti").withColumn("k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("icir"), "formula_id"))).where(F.col("k") <= n)
-    joined = worst.alias("w").join(best.alias("b"), F.col("w.k") == F.col("b.k")).where(F.col("b.icir") > F.col("w.icir"))
-    return joined.select(F.col("w.formula_id").alias("out"), F.col("b.formula_id").alias("in"))
+def swap_factors(current: DataFrame, quality: DataFrame, n: int) -> DataFrame:
+    """(place, out, in): the ``n`` worst current names against the best others by ICIR, as many as there are others.
 
+    A current name without a quality counts as 0.
+    """
+    one = Window.partitionBy(F.lit(0))  # a row for each factor
+    own = current.select("formula_id").join(quality.select("formula_id", "icir"), "formula_id", "left").withColumn("icir", F.coalesce("icir", F.lit(0.0)))
+    worst = own.withColumn("place", F.row_number().over(one.orderBy("icir", "formula_id"))).where(F.col("place") <= n)
+    others = quality.join(current.select("formula_id"), "formula_id", "left_anti")
+    best = others.withColumn("place", F.row_number().over(one.orderBy(F.desc("icir"), "formula_id"))).where(F.col("place") <= n)
+    return worst.select("place", F.col("formula_id").alias("out")).join(best.select("place", F.col("formula_id").alias("in")), "place")
+
+
+def recent_sharpe(gross: DataFrame, bars: int = 60, per_year: float = 252.0) -> DataFrame:
+    """Sharpe of each formula's last bars, before costs; -999 where the signal doesn't vary (``spread`` of 1e-8 at most).
 
-def recent_sharpe(pnl: DataFrame, bars: int = 60, per_year: float = 252.0) -> DataFrame:
-    """Sharpe of each formula's last bars, -999 where it doesn't vary."""
-    last = pnl.withColumn("_k", F.row_number().over(Window.partitionBy("formula_id").orderBy(F.desc("time")))).where(F.col("_k") <= bars)
-    return last.groupBy("formula_id").agg(F.when(F.coalesce(F.stddev_samp("pnl"), F.lit(0.0)) < 1e-12, -999.0).otherwise(F.try_divide(F.avg("pnl"), F.stddev_samp("pnl")) * per_year**0.5).alias("sharpe"))
+    ``gross`` has formula_id, time, the mean of position times target (``pnl``) and the signal's ``spread``.
+    """
+    last = gross.withColumn("_k", F.row_number().over(Window.partitionBy("formula_id").orderBy(F.desc("time")))).where(F.col("_k") <= bars)
+    ratio = F.avg("pnl") / (F.coalesce(F.stddev_samp("pnl"), F.lit(0.0)) + 1e-10) * per_year**0.5
+    return last.groupBy("formula_id").agg(F.when(F.max("spread") > 1e-8, ratio).otherwise(-999.0).alias("sharpe"))
 
 
 def formula_pnl_panel(positions: DataFrame, period: Column) -> DataFrame:
@@ -156,8 +185,14 @@ def online_pnl(panel: DataFrame, weights: DataFrame) -> DataFrame:
     return by.groupBy("run_id").agg(F.sum("online").alias("online_pnl"), F.sum("static").alias("static_pnl"), ratio("online").alias("online_ratio"), ratio("static").alias("static_ratio"))
 
 
-def inverse_vol_mix(pnl: DataFrame, weights: DataFrame, share: float = 0.6) -> DataFrame:
-    """Weights for a crisis: ``share`` by inverse volatility, the rest as they are."""
-    vol = pnl.groupBy("formula_id").agg((1 / (F.stddev_pop("pnl") + 1e-8)).alias("inv"))
-    total = vol.agg(F.sum("inv").alias("all"))
-    return vol.crossJoin(total).join(weights, "formula_id").select("formula_id", (share * F.col("inv") / F.col("all") + (1 - share) * F.col("weight")).alias("weight"))  # one row
+def inverse_vol_mix(signals: DataFrame, weights: DataFrame, share: float = 0.6, rows: int = 20) -> DataFrame:
+    """Weights for a crisis: ``share`` by inverse volatility, the rest as they are, renormalised.
+
+    A formula's volatility is that of its mean signal over the last ``rows`` times.
+    """
+    level = signals.groupBy("formula_id", "time").agg(F.avg("signal").alias("m"))
+    last = level.withColumn("_k", F.row_number().over(Window.partitionBy("formula_id").orderBy(F.desc("time")))).where(F.col("_k") <= rows)
+    inv = last.groupBy("formula_id").agg((1 / (F.coalesce(F.stddev_samp("m"), F.lit(0.0)) + 1e-10)).alias("inv"))
+    all_ = Window.partitionBy(F.lit(0))  # a row for each formula
+    mixed = inv.join(weights, "formula_id").withColumn("_w", share * F.col("inv") / F.sum("inv").over(all_) + (1 - share) * F.col("weight"))
+    return mixed.select("formula_id", (F.col("_w") / F.sum("_w").over(all_)).alias("weight"))

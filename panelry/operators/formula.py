@@ -10,6 +10,7 @@ sign of the numerator, so no node is NaN or infinite.
 from __future__ import annotations
 
 import hashlib
+import random
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
@@ -149,8 +150,11 @@ def layers(formulas: dict[str, list[str]], columns: Iterable[str], times: int) -
     return [[n for n in found.values() if n.depth == d] for d in range(1, depth + 1)], results
 
 
-def evaluate(panel: DataFrame, formulas: dict[str, list[str]], times: int | None = None) -> tuple[DataFrame, dict[str, str]]:
-    """(address, time and one column for each valid formula; the reason for each invalid one)."""
+def evaluate(panel: DataFrame, formulas: dict[str, list[str]], times: int | None = None, keep: Iterable[str] = ()) -> tuple[DataFrame, dict[str, str]]:
+    """(address, time, the columns to ``keep`` and one column for each valid formula; the reason for each invalid one).
+
+    ``times`` is the number of times of the panel; without it the panel is counted first.
+    """
     bad = {k: why for k, f in formulas.items() if (why := validity(f, panel.columns))}
     good = {k: f for k, f in formulas.items() if k not in bad}
     if times is None:
@@ -166,7 +170,7 @@ def evaluate(panel: DataFrame, formulas: dict[str, list[str]], times: int | None
         for n in step:
             if not n.op.text:
                 out = _ewma(out, n.name, n.args[0], n.op.halflife)
-    return out.select("address", "time", *[F.col(r).cast("double").alias(k) for k, r in results.items()]), bad
+    return out.select("address", "time", *keep, *[F.col(r).cast("double").alias(k) for k, r in results.items()]), bad
 
 
 def evaluate_long(panel: DataFrame, formulas: dict[str, list[str]], times: int | None = None) -> DataFrame:
@@ -235,18 +239,27 @@ def decode_table(formulas: DataFrame) -> DataFrame:
     return formulas.withColumns({"postfix": F.array_join("tokens", " "), "prefix": F.when(F.size(stack) == 1, F.element_at(stack, 1))})
 
 
-def stats_table(formulas: DataFrame) -> DataFrame:
-    """Length, distinct names, skeleton (operators only), and how many formulas share the skeleton (novelty)."""
+def stats_table(formulas: DataFrame, first: str = "RET") -> DataFrame:
+    """Length without the first feature, skeleton, and what a formula's build costs or earns.
+
+    A feature used more than twice costs 0.5 for each further use, an operator used more than three
+    times 0.3.  Each feature beyond two earns 0.15, 0.6 at most.  The first formula of a skeleton (by
+    formula_id) earns 0.3 for novelty.
+    """
     ops = F.array(*[F.lit(o) for o in OPS])
+    names = F.array_distinct("tokens")
+    uses = lambda t: F.size(F.filter("tokens", lambda u: u == t))
+    is_op = lambda t: F.array_contains(ops, t)
+    cost = F.aggregate(names, F.lit(0.0), lambda s, t: s + F.when(is_op(t), 0.3 * F.greatest(uses(t) - 3, F.lit(0))).otherwise(0.5 * F.greatest(uses(t) - 2, F.lit(0))))
     out = formulas.withColumns(
         {
-            "length": F.size("tokens"), "n_distinct": F.size(F.array_distinct("tokens")),
-            "skeleton": F.array_join(F.transform("tokens", lambda t: F.when(F.array_contains(ops, t), t).otherwise("x")), " "),
-            "structure_penalty": 0.1 * F.greatest(F.size("tokens") - 6, F.lit(0)),
+            "length": F.size(F.filter("tokens", lambda t: t != first)), "n_distinct": F.size(names),
+            "skeleton": F.array_join(F.transform("tokens", lambda t: F.when(is_op(t), t).otherwise("F")), " "),
+            "structure_penalty": cost, "diversity_bonus": F.least(F.lit(0.6), 0.15 * F.greatest(F.size(F.filter(names, lambda t: ~is_op(t))) - 2, F.lit(0))),
         }
     )
-    shared = out.groupBy("skeleton").agg(F.count(F.lit(1)).alias("n_same"))
-    return out.join(shared, "skeleton").withColumns({"diversity_bonus": F.col("n_distinct") / F.greatest(F.col("length"), F.lit(1)), "novelty": 1 / F.col("n_same")})
+    seen = out.groupBy("skeleton").agg(F.min("formula_id").alias("_seen"))
+    return out.join(seen, "skeleton").withColumn("novelty", F.when(F.col("formula_id") == F.col("_seen"), 0.3).otherwise(0.0)).drop("_seen")
 
 
 def migrate_tokens(formulas: DataFrame, from_token: int = 6, shift: int = 6) -> DataFrame:
@@ -254,29 +267,26 @@ def migrate_tokens(formulas: DataFrame, from_token: int = 6, shift: int = 6) ->
     return formulas.withColumn("tokens", F.transform("tokens", lambda t: F.when(t >= from_token, t + shift).otherwise(t)))
 
 
-def candidates(spark: SparkSession, n: int, columns: list[str], length: int = 8, seed: int = 0) -> DataFrame:
-    """(formula_id, tokens): ``n`` random legal formulas of fixed length.
+def candidate(i: int, columns: list[str], length: int = 8, seed: int = 0) -> list[str]:
+    """The ``i``-th random legal formula of fixed length; it depends on the seed and its number alone.
 
-    Each token is uniform over those from which the end can still be reached with one value.  A formula
-    depends on the seed and its number alone.
+    Each token is uniform over those from which the end can still be reached with one value.
     """
-    names = [*columns, *OPS]
     need = {c: 0 for c in columns} | {k: op.arity for k, op in OPS.items()}
+    most = max(need.values()) - 1
+    rng, depth, tokens = random.Random(f"{seed}:{i}"), 0, []
+    for left in range(length - 1, -1, -1):
+        legal = [t for t, n in need.items() if n <= depth and 1 <= depth + 1 - n <= 1 + left * most and (left or depth + 1 - n == 1)]
+        tokens.append(rng.choice(legal))
+        depth += 1 - need[tokens[-1]]
+    return tokens
 
-    def make(frames):
-        import random
 
-        most = max(need.values()) - 1
+def candidates(spark: SparkSession, n: int, columns: list[str], length: int = 8, seed: int = 0) -> DataFrame:
+    """(formula_id, tokens): ``n`` random legal formulas of fixed length."""
+
+    def make(frames):
         for frame in frames:
-            rows = []
-            for i in frame["id"]:
-                rng, depth, tokens = random.Random(f"{seed}:{i}"), 0, []
-                for left in range(length - 1, -1, -1):
-                    legal = [t for t in names if need[t] <= depth and (d := depth + 1 - need[t]) >= 1 and d - 1 <= left * most and not (left == 0 and d != 1) and not (left and d > 1 + left * most)]
-                    token = rng.choice(legal)
-                    tokens.append(token)
-                    depth += 1 - need[token]
-                rows.append((f"c{i}", tokens))
-            yield pd.DataFrame(rows, columns=["formula_id", "tokens"])
+            yield pd.DataFrame([(f"c{i}", candidate(i, columns, length, seed)) for i in frame["id"]], columns=["formula_id", "tokens"])
 
     return spark.range(n).mapInPandas(make, "formula_id string, tokens array<string>")

@@ -30,6 +30,16 @@ class Profile:
     bars_per_day: int = 1
     ret_clamp: float = 0.2
 
+    @property
+    def target_turnover(self) -> float:
+        """Turnover a bar under which a run counts as lazy."""
+        return 0.05 / self.bars_per_day
+
+    @property
+    def lazy_turnover(self) -> float:
+        """Turnover a bar under which the full penalty falls due."""
+        return 0.01 / self.bars_per_day
+
 
 def densify(panel: DataFrame, columns: Iterable[str]) -> DataFrame:
     """Every address at every time; gaps take the last value before them, or zero.
@@ -112,9 +122,7 @@ def target_return(panel: DataFrame, clamp: float = 0.2) -> DataFrame:
 
 def rebalance_mask(panel: DataFrame, unit: str = "day") -> DataFrame:
     """True at the first bar of each trading date (or month, ...)."""
-    times = panel.select("time").distinct()
-    first = times.groupBy(F.date_trunc(unit, "time").alias("unit")).agg(F.min("time").alias("time")).select("time", F.lit(True).alias("is_rebalance"))
-    return panel.join(first, "time", "left").withColumn("is_rebalance", F.coalesce("is_rebalance", F.lit(False)))
+    return panel.withColumn("is_rebalance", F.col("time") == F.min("time").over(Window.partitionBy(F.date_trunc(unit, "time"))))
 
 
 def time_index(panel: DataFrame) -> DataFrame:

@@ -36,24 +36,29 @@ def vol_regime_scale(features: DataFrame) -> DataFrame:
     """Scale and name of the regime from volatility ratio and correlation."""
     ratio, corr = F.coalesce("vol_ratio", F.lit(1.0)), F.col("avg_corr")
     scale = _clip(1 / F.greatest(ratio, F.lit(0.5)) - 0.5 * F.greatest(F.lit(0.0), corr - 0.3), 0.3, 1.2)
-    name = F.when(scale >= 1.0, "calm").when(scale >= 0.8, "normal").when(scale >= 0.5, "stress").otherwise("crisis")
+    name = F.when((ratio < 0.7) & (corr < 0.3), "calm").when((ratio < 1.3) & (corr < 0.5), "normal").when(ratio < 2.0, "stress").otherwise("crisis")
     return features.withColumns({"scale": scale, "regime": name})
 
 
-def legacy_regime(pnl: DataFrame) -> DataFrame:
-    """Half size while the last 20 bars' ratio is under -0.5."""
-    w = Window.partitionBy("formula_id").orderBy("time").rowsBetween(-19, 0)
-    ratio = F.avg("pnl").over(w) / (F.stddev_pop("pnl").over(w) + 1e-8)
+def legacy_regime(pnl: DataFrame, keys: list[str], per_year: float = 252.0) -> DataFrame:
+    """Half size while the annualised ratio of the last 20 bars is under -0.5."""
+    w = Window.partitionBy(*keys).orderBy("time").rowsBetween(-19, 0)
+    ratio = F.avg("pnl").over(w) / (F.stddev_pop("pnl").over(w) + 1e-10) * per_year**0.5
     return pnl.withColumn("scale", F.when((F.count(F.lit(1)).over(w) >= 20) & (ratio < -0.5), 0.5).otherwise(1.0))
 
 
 def state_regime(features: DataFrame, states: int = 3, seed: int = 7) -> DataFrame:
-    """States of a Gaussian mixture over the features, named by mean volatility, with a blended scale."""
+    """States of a Gaussian mixture over the features, named by mean volatility, with a blended scale.
+
+    The features are volatility, mean correlation, mean absolute return and the change of volatility.
+    """
     from pyspark.ml.clustering import GaussianMixture
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    names = ["cross_vol", "avg_corr", "abs_ret", "vol_ratio"]
+    before = F.lag("cross_vol").over(Window.partitionBy(F.lit(0)).orderBy("time"))  # one row a time
+    features = features.withColumn("vol_change", F.coalesce((F.col("cross_vol") - before) / F.greatest(before, F.lit(1e-10)), F.lit(0.0)))
+    names = ["cross_vol", "avg_corr", "abs_ret", "vol_change"]
     rows = VectorAssembler(inputCols=names, outputCol="_v").transform(features.fillna(0.0, names))
     rows = StandardScaler(inputCol="_v", outputCol="_x", withMean=True).fit(rows).transform(rows)
     out = GaussianMixture(featuresCol="_x", k=states, seed=seed, predictionCol="state", probabilityCol="_p").fit(rows).transform(rows)
@@ -93,15 +98,28 @@ def entry_candidates(last: DataFrame, held: DataFrame, slots: int, least_score:
     return rows.join(held.select("address"), "address", "left_anti").orderBy(F.desc("score"), "address").limit(slots)
 
 
-def exit_rules(bars: DataFrame, stop: float = -0.05, take: float = 0.10, gain: float = 0.05, drop: float = 0.03) -> DataFrame:
-    """First event of each position: stop loss, half off at the target, trailing stop; ``bars`` has entry_price, price, time."""
-    w = Window.partitionBy("position_id").orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
+def exit_rules(bars: DataFrame, stop: float = -0.05, take: float = 0.10, gain: float = 0.05, drop: float = 0.03, least_score: float = 0.45) -> DataFrame:
+    """(position_id, time, event): the exit events of each position; ``bars`` has entry_price, price, time, and a score where one is known.
+
+    At each bar, in this order: the stop loss closes; at the target half is sold, once; a trailing stop
+    closes; a score under ``least_score`` closes while nothing has been sold.  So a position has at most
+    two events: half off and, later, a close.
+    """
+    line = Window.partitionBy("position_id").orderBy("time")
+    w = line.rowsBetween(Window.unboundedPreceding, 0)
     high = F.greatest(F.max("price").over(w), F.col("entry_price"))
     change = F.col("price") / F.col("entry_price") - 1
-    trailing = (high / F.col("entry_price") - 1 > gain) & (1 - F.col("price") / high > drop)
-    event = F.when(change <= stop, "stop_loss").when(change >= take, "take_half").when(trailing, "trailing_stop")
-    rows = bars.withColumn("event", event).where("event IS NOT NULL")
-    return rows.groupBy("position_id").agg(F.min_by(F.struct("time", "event"), "time").alias("e")).select("position_id", "e.time", "e.event")
+    rows = bars.withColumns({"_change": change, "_trail": (high / F.col("entry_price") - 1 > gain) & (1 - F.col("price") / high > drop)})
+    low = (F.col("score") < least_score) if "score" in bars.columns else F.lit(False)
+    stopped = F.col("_change") <= stop
+    # before anything is sold, and after half is: each has its own first event
+    first = F.when(stopped, "stop_loss").when(F.col("_change") >= take, "take_half").when(F.col("_trail"), "trailing_stop").when(low, "low_score")
+    later = F.when(stopped, "stop_loss").when(F.col("_trail"), "trailing_stop")
+    rows = rows.withColumns({"_first": first, "_later": later}).where("_first IS NOT NULL OR _later IS NOT NULL")
+    one = rows.where("_first IS NOT NULL").groupBy("position_id").agg(F.min_by(F.struct("time", F.col("_first").alias("event")), "time").alias("e")).select("position_id", "e.*")
+    half = one.where("event = 'take_half'").select("position_id", F.col("time").alias("_sold"))
+    two = rows.where("_later IS NOT NULL").join(half, "position_id").where("time > _sold").groupBy("position_id").agg(F.min_by(F.struct("time", F.col("_later").alias("event")), "time").alias("e"))
+    return one.unionByName(two.select("position_id", "e.*"))
 
 
 def position_size(balance: Column, size: float) -> Column:
@@ -139,51 +157,54 @@ def vol_target(signals: DataFrame, pnl: DataFrame, target: float = 0.15, rows: i
     return signals.join(vol, "date", "left").withColumn("target_weight", F.col("target_weight") * F.coalesce(scale, F.lit(1.0))).drop("_vol", "_n")
 
 
-def corr_dedup(signals: DataFrame, pairs: DataFrame, limit: float = 0.8) -> DataFrame:
-    """In each sector and direction, of two addresses that correlate the weaker one is halved, in order of strength.
+def corr_dedup(signals: DataFrame, floor: float = 0.01) -> DataFrame:
+    """Of two positions of one date, sector and direction the weaker one is halved, for each pair; small ones don't count.
 
-    One date's sector is one group of a few rows; ``pairs`` (a, b, corr) is small and comes as a map.
+    Positions are taken by falling strength (``signal_strength`` where there is one, else the weight's
+    size; ties: smaller address first), so each is halved once for every stronger one, until it falls
+    under ``floor``.  A position under the floor halves nobody; as weights fall with strength, none after it
+    would be large enough to be halved by it.
     """
-    close = {(r["a"], r["b"]) for r in pairs.where(F.col("corr") > limit).select("a", "b").collect()}
+    strength = F.col("signal_strength") if "signal_strength" in signals.columns else F.abs("target_weight")
+    large = F.abs("target_weight") >= floor
+    w = Window.partitionBy("date", "sector", F.signum("target_weight"), large).orderBy(F.desc(strength), "address")
+    # halvings until the weight is under the floor
+    most = F.floor(F.log2(F.abs("target_weight") / floor) + 1e-12) + 1
+    halved = F.col("target_weight") / F.pow(F.lit(2.0), F.least(F.row_number().over(w) - 1, most))
+    return signals.withColumn("target_weight", F.when(large, halved).otherwise(F.col("target_weight")))
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.assign(_o=frame["target_weight"].abs()).sort_values(["_o", "address"], ascending=[False, True])
-        weight = frame["target_weight"].to_numpy().copy()
-        names = frame["address"].tolist()
-        for i in range(len(names)):
-            for j in range(i + 1, len(names)):
-                if weight[i] * weight[j] > 0 and ((names[i], names[j]) in close or (names[j], names[i]) in close):
-                    weight[j] /= 2
-        return frame.assign(target_weight=weight).drop(columns="_o")
-
-    return signals.groupBy("date", "sector").applyInPandas(run, signals.schema)
-
-
-def risk_filter(signals: DataFrame, state: DataFrame, pnl: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(signals after all rules, in order, and what each rule changed)."""
-    steps = [("loss", lambda s: loss_rules(s, state)), ("position", position_cap), ("sector", sector_cap), ("volatility", lambda s: vol_target(s, pnl)), ("correlation", lambda s: corr_dedup(s, pairs))]
-    logs, before = [], signals
-    for name, step in steps:
-        after = step(before).select(signals.columns)
-        changed = before.select("date", "address", F.col("target_weight").alias("before")).join(after.select("date", "address", F.col("target_weight").alias("after")), ["date", "address"])
-        logs.append(changed.where(F.abs(F.col("before") - F.col("after")) > 1e-12).withColumn("rule", F.lit(name)))
-        before = after
-    log = logs[0]
-    for more in logs[1:]:
-        log = log.unionByName(more)
-    return before, log
-
-
-def small_capital_topn(signals: DataFrame, capital: float, n: int, share: float = 0.2, per_sector: int = 2) -> DataFrame:
-    """Top positions a side for a small account: affordable margin, few a sector, whole lots, a stop."""
+
+def risk_filter(signals: DataFrame, state: DataFrame, pnl: DataFrame, per_year: float = 252.0) -> tuple[DataFrame, DataFrame]:
+    """(signals after all rules, in order, and what each rule changed: date, address, rule, before, after).
+
+    Each rule leaves its weights beside the last one's, so the log is the same plan, read once.
+    """
+    steps = [("loss", lambda s: loss_rules(s, state)), ("position", position_cap), ("sector", sector_cap), ("volatility", lambda s: vol_target(s, pnl, per_year=per_year)), ("correlation", corr_dedup)]
+    out = signals.withColumn("_w0", F.col("target_weight"))
+    for i, (_, step) in enumerate(steps, 1):
+        out = step(out).withColumn(f"_w{i}", F.col("target_weight"))
+    changes = F.array(*[F.struct(F.lit(name).alias("rule"), F.col(f"_w{i}").alias("before"), F.col(f"_w{i + 1}").alias("after")) for i, (name, _) in enumerate(steps)])
+    log = out.select("date", "address", F.explode(changes).alias("x")).select("date", "address", "x.*").where(F.abs(F.col("before") - F.col("after")) > 1e-12)
+    return out.select(signals.columns), log
+
+
+def small_capital_topn(signals: DataFrame, capital: float, n: int, share: float = 0.2, total: float = 0.6, per_sector: int = 2, stop: float = 0.03) -> DataFrame:
+    """Top positions a side for a small account: affordable margin, few a sector, whole lots, a stop.
+
+    ``total`` of the capital is parted equally among the date's positions; each takes the lots that its part
+    pays for, one at least.  The weight is the margin used over the capital, with the side's sign; the stop is
+    a loss in money.
+    """
     side = F.when(F.col("target_weight") > 0, "long").otherwise("short")
-    rows = signals.where((F.col("margin") <= share * capital) & (F.abs("target_weight") > 0)).withColumn("side", side)
+    rows = signals.where((F.col("margin") <= share * capital) & (F.abs("target_weight") > 0.01)).withColumn("side", side)
     order = [F.desc(F.abs("target_weight")), F.col("address")]
     rows = rows.withColumn("_s", F.row_number().over(Window.partitionBy("date", "side", "sector").orderBy(*order))).where(F.col("_s") <= per_sector)
     rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("date", "side").orderBy(*order))).where(F.col("place") <= n)
-    budget = capital / (2 * n)
+    budget = capital * total / F.count(F.lit(1)).over(Window.partitionBy("date"))
     lots = F.greatest(F.lit(1), F.floor(budget / F.col("margin")).cast("int"))
-    return rows.withColumns({"lots": lots, "weight": lots * F.col("margin") / capital, "stop": F.when(F.col("side") == "long", 0.97).otherwise(1.03)}).drop("_s")
+    rows = rows.withColumn("lots", lots)
+    sign = F.when(F.col("side") == "long", 1.0).otherwise(-1.0)
+    return rows.withColumns({"weight": sign * F.col("lots") * F.col("margin") / capital, "stop_loss": F.lit(stop * capital)}).drop("_s")
 
 
 def pick_topn(signals: DataFrame, n: int, per_sector: int = 2) -> DataFrame:
@@ -210,18 +231,70 @@ def performance_summary(pnl: DataFrame, keys: list[str], per_year: float = 252.0
     )
 
 
-def replay(signals: DataFrame, modes: DataFrame, regimes: DataFrame, n: int) -> DataFrame:
-    """(mode, date, pnl): every mode's daily pnl in one pass; modes scale the weights, the number of names, or both.
+#: Replay modes: which regime scales the positions, whether it sets their number, how they are weighted, and whether it mixes the formulas' weights.
+MODES = [
+    ("baseline", None, False, "equal", False), ("legacy", "legacy", False, "equal", False), ("hmm_scale", "market", False, "equal", False), ("hmm_topn", None, True, "equal", False),
+    ("hmm_weighted", "market", False, "strength", False), ("hmm_factor_mix", None, False, "equal", True), ("hmm_topn_scale", "market", True, "equal", False),
+]
+
 
-    ``modes`` is (mode, use_scale, use_topn); ``regimes`` (date, scale, regime); signals carry target_ret, sector.
+def replay_weights(signals: DataFrame, learned: DataFrame, regimes: DataFrame, rows: int = 20, share: float = 0.6) -> DataFrame:
+    """(mixed, time, formula_id, weight) of every date, as learned and, in a crisis, mixed with inverse volatilities.
+
+    ``learned`` is (formula_id, time, weight), what was known at each time.  A formula's volatility is that of its
+    mean signal over the last ``rows`` times.
+    """
+    past = Window.partitionBy("formula_id").orderBy("time").rowsBetween(-(rows - 1), 0)
+    level = signals.groupBy("formula_id", "time").agg(F.avg("signal").alias("m")).withColumn("inv", 1 / (F.coalesce(F.stddev_samp("m").over(past), F.lit(0.0)) + 1e-10))
+    all_ = Window.partitionBy("time")
+    both = level.join(learned, ["formula_id", "time"]).join(regimes.select(F.col("date").alias("time"), "regime"), "time")
+    crisis = share * F.col("inv") / F.sum("inv").over(all_) + (1 - share) * F.col("weight")
+    both = both.withColumn("_mix", F.when(F.col("regime") == "crisis", crisis).otherwise(F.col("weight")))
+    pair = F.array(F.struct(F.lit(False).alias("mixed"), F.col("weight").alias("w")), F.struct(F.lit(True).alias("mixed"), F.col("_mix").alias("w")))
+    return both.select("time", "formula_id", F.explode(pair).alias("x")).select("x.mixed", "time", "formula_id", F.col("x.w").alias("weight"))
+
+
+def replay(signals: DataFrame, weights: DataFrame, modes: DataFrame, regimes: DataFrame, legacy: DataFrame, n: int, per_sector: int = 2) -> DataFrame:
+    """(mode, time, pnl): every mode's pnl at every date, in one pass.
+
+    ``signals`` are (formula_id, address, time, signal, sector, target_ret), ``weights`` those of
+    ``replay_weights``, ``modes`` the table of ``MODES``, ``regimes`` (date, scale, regime), ``legacy`` (time, scale).
+    At each date the mixed signal is ranked from -1 to 1; the best and the worst ``n`` are held, ``per_sector`` a
+    sector and side.
     """
-    rows = signals.join(regimes, "date").crossJoin(F.broadcast(modes))  # a few modes
+    mixed = signals.join(weights, ["formula_id", "time"]).groupBy("mixed", "time", "address").agg(F.sum(F.col("signal") * F.col("weight")).alias("signal"), F.max("sector").alias("sector"), F.max("target_ret").alias("target_ret"))
+    at = Window.partitionBy("mixed", "time")
+    mixed = mixed.withColumn("rank", (F.row_number().over(at.orderBy("signal", "address")) - 1) / F.greatest(F.count(F.lit(1)).over(at) - 1, F.lit(1)) * 2 - 1)
+    side = F.signum("rank")
+    order = [F.desc(F.abs("rank")), F.col("address")]
+    held = mixed.where(F.abs("rank") > 0.01).withColumn("side", side)
+    held = held.withColumn("_s", F.row_number().over(Window.partitionBy("mixed", "time", "side", "sector").orderBy(*order))).where(F.col("_s") <= per_sector)
+    held = held.withColumn("place", F.row_number().over(Window.partitionBy("mixed", "time", "side").orderBy(*order))).where(F.col("place") <= n + 2)
+    held = held.join(regimes.select(F.col("date").alias("time"), "scale", "regime"), "time").join(legacy.select("time", F.col("scale").alias("legacy")), "time")
+    rows = held.join(F.broadcast(modes.withColumnRenamed("mixes", "mixed")), "mixed")  # seven modes
     count = F.when(F.col("use_topn"), regime_topn(n, F.col("scale"), F.col("regime"))).otherwise(n)
-    order = [F.desc(F.abs("target_weight")), F.col("address")]
-    rows = rows.withColumn("_s", F.row_number().over(Window.partitionBy("mode", "date", "sector").orderBy(*order))).where("_s <= 2")
-    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("mode", "date").orderBy(*order))).withColumn("_n", count).where("place <= _n")
-    size = F.when(F.col("use_scale"), F.col("scale")).otherwise(1.0)
-    return rows.groupBy("mode", F.col("date").alias("time")).agg(F.avg(F.signum("target_weight") * F.col("target_ret") * size).alias("pnl"))
+    rows = rows.where(F.col("place") <= count)
+    size = F.when(F.col("scaled_by") == "market", F.col("scale")).when(F.col("scaled_by") == "legacy", F.col("legacy")).otherwise(1.0)
+    weight = F.when(F.col("weighting") == "strength", F.abs("rank")).otherwise(1.0)
+    return rows.groupBy("mode", "time").agg((F.sum(F.col("side") * F.col("target_ret") * weight * size) / F.sum(weight)).alias("pnl"))
+
+
+def update_plan(quality: DataFrame, current: DataFrame, sharpes: DataFrame, board: DataFrame, level: int) -> DataFrame:
+    """(kind, place, out, in): factor swaps and formula replacements of an update at ``level`` 2 or 3.
+
+    Level 2 swaps one factor and replaces the worst formula if its Sharpe is negative; level 3 swaps two and
+    replaces every formula with a negative one.  New factors come by falling ICIR, new formulas from the top of
+    the leaderboard ``board`` (formula_id, fitness).
+    """
+    from .ensemble import swap_factors
+
+    swaps = swap_factors(current, quality, 1 if level == 2 else 2)
+    swaps = swaps.select(F.lit("factor").alias("kind"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("place")).alias("place"), "out", "in")  # two rows at most
+    one = Window.partitionBy(F.lit(0))  # a row for each formula in use, and for each candidate
+    worst = sharpes.where("sharpe < 0").withColumn("place", F.row_number().over(one.orderBy("sharpe", "formula_id"))).where(F.lit(level == 3) | (F.col("place") == 1))
+    best = board.withColumn("place", F.row_number().over(one.orderBy(F.desc("fitness"), "formula_id")))
+    new = worst.select("place", F.col("formula_id").alias("out")).join(best.select("place", F.col("formula_id").alias("in")), "place")
+    return swaps.unionByName(new.select(F.lit("formula").alias("kind"), "place", "out", "in"))
 
 
 def decay_triggers(pnl: DataFrame, rows: int = 60, days: int = 10, cooldown: int = 30, per_year: float = 252.0) -> DataFrame:

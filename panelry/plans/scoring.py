@@ -10,36 +10,78 @@ from pyspark.sql import functions as F
 from ..operators import backtest as bt
 from ..operators import formula as fm
 from ..operators.factors import compute
-from ..operators.panel import Profile, rebalance_mask, target_return
+from ..operators.panel import Profile, rebalance_mask, simple_returns, target_return
 from ..oracle import text as sql
-from ..sources import fixtures
+from ..sources import fixtures, io
 
 WEEKLY = Profile(bars_per_year=52.0)
 KEYS = ["formula_id"]
+#: Columns that ride along with every signal.
+MARKED = sql.MARKED.split(", ")
+DIGITS = 9
+#: Random formulas that the leaderboard scores; more of them are more batches.
+CANDIDATES = {f"c{i}": fm.candidate(i, sql.FEATURES, 8, 7) for i in range(24)}
 
 
-def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+def features(spark: SparkSession, sf_dir: str, times: int | None = None) -> DataFrame:
     """The panel with the features that formulas use."""
-    return compute(fixtures.panel(spark, sf_dir), sql.FEATURES)[0]
+    return compute(fixtures.panel(spark, sf_dir), sql.FEATURES, times or fixtures.weeks(spark, sf_dir))[0]
+
+
+def marked(spark: SparkSession, sf_dir: str, times: int | None = None) -> DataFrame:
+    """The features with liquidity, target, rebalance and safety marks, in the same windows."""
+    return bt.liquidity_mask(rebalance_mask(target_return(features(spark, sf_dir, times)), "month"), WEEKLY)
+
+
+def run_formulas(panel: DataFrame, formulas: dict[str, list[str]], times: int, more: tuple[str, ...] = ()) -> DataFrame:
+    """(formula_id, address, time, signal) of formulas over a marked panel, with the marks."""
+    wide, bad = fm.evaluate(panel, formulas, times, keep=[*MARKED, *more])
+    if bad:
+        raise fm.InvalidFormula(str(bad))
+    return wide.unpivot(["address", "time", *MARKED, *more], list(formulas), "formula_id", "signal")
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(formula_id, address, time, signal) with liquidity, target, rebalance and safety marks, and base features."""
-    panel = features(spark, sf_dir)
-    wide, _ = fm.evaluate(panel, sql.SIGNALS)
-    base = bt.liquidity_mask(rebalance_mask(target_return(panel), "month"), WEEKLY)
-    joined = wide.join(base.select("address", "time", "liquidity", "target_ret", "is_rebalance", "is_safe", "RET", "DEV", "HL_RANGE"), ["address", "time"])
-    return joined.unpivot([c for c in joined.columns if c not in sql.SIGNALS], list(sql.SIGNALS), "formula_id", "signal")
+    times = fixtures.weeks(spark, sf_dir)
+    return run_formulas(marked(spark, sf_dir, times), sql.SIGNALS, times)
 
 
 def net(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bt.net_pnl(bt.position(signals(spark, sf_dir), "rank", KEYS), WEEKLY, KEYS)
 
 
+def held(runs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """Net pnl of rank positions that are held between rebalances."""
+    return bt.net_pnl(bt.hold_between_rebalances(bt.position(runs, "rank", keys), keys), WEEKLY, keys)
+
+
 def portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bt.portfolio_pnl(net(spark, sf_dir), KEYS)
 
 
+def token_table(spark: SparkSession, formulas: dict[str, list[str]]) -> DataFrame:
+    """(formula_id, tokens) of formulas that a caller wrote down."""
+    return spark.createDataFrame(list(formulas.items()), "formula_id string, tokens array<string>")
+
+
+def leaderboard(spark: SparkSession, sf_dir: str, formulas: dict[str, list[str]], batch: int = 12) -> DataFrame:
+    """The fitness of any number of formulas, a batch of them in one plan over the panel at a time.
+
+    Signals that agree to ``DIGITS`` digits tie, so that rounding does not decide ranks.
+    """
+    times = fixtures.weeks(spark, sf_dir)
+    panel = io.settled(marked(spark, sf_dir, times).select("address", "time", *dict.fromkeys([*MARKED, *sql.FEATURES])), "marked")
+    keys, out = list(formulas), None
+    for a in range(0, len(keys), batch):
+        part = {k: formulas[k] for k in keys[a : a + batch]}
+        length = fm.stats_table(token_table(spark, part), sql.FEATURES[0])
+        runs = run_formulas(panel, part, times).withColumn("signal", F.round("signal", DIGITS))
+        more = bt.fitness(held(runs), KEYS, WEEKLY, length, sql.FEATURES[0])
+        out = more if out is None else out.unionByName(more)
+    return out
+
+
 def formula_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table of formulas, legal and not, one for each part."""
     names = F.array(*map(F.lit, _TOKENS))
@@ -66,7 +108,8 @@ def register(add: Callable, rounded: Callable) -> None:
 
     def operator(tokens: list[str]) -> Callable:
         def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-            out, bad = fm.evaluate(features(spark, sf_dir), {"signal": tokens})
+            times = fixtures.weeks(spark, sf_dir)
+            out, bad = fm.evaluate(features(spark, sf_dir, times), {"signal": tokens}, times)
             assert not bad
             return out.select("address", "time", rounded("signal", 5).alias("signal"))
 
@@ -74,7 +117,7 @@ def register(add: Callable, rounded: Callable) -> None:
 
     for name, tokens in OPERATORS.items():
         add(name, operator(tokens), f"WITH {sql.formulas_sql({'signal': tokens})} SELECT address, time, round(signal, 5) + 0e0 AS signal FROM evaluated")
-    add("o30_eval_formulas", lambda s, d: fm.evaluate_long(features(s, d), _MANY).select("formula_id", "address", "time", rounded("signal", 5).alias("signal")), f"WITH {sql.formulas_sql(_MANY)} " + " UNION ALL ".join(f"SELECT '{k}' AS formula_id, address, time, round({k}, 5) + 0e0 AS signal FROM evaluated" for k in _MANY))
+    add("o30_eval_formulas", lambda s, d: fm.evaluate_long(features(s, d), _MANY, fixtures.weeks(s, d)).select("formula_id", "address", "time", rounded("signal", 5).alias("signal")), f"WITH {sql.formulas_sql(_MANY)} " + " UNION ALL ".join(f"SELECT '{k}' AS formula_id, address, time, round({k}, 5) + 0e0 AS signal FROM evaluated" for k in _MANY))
     add(
         "o31_validate_formula", lambda s, d: fm.validate_table(formula_table(s, d)).select("formula_id", "underflow_at", "final_depth", rounded("shaped_score").alias("shaped_score")),
         f"""WITH {_PARTS_SQL}, toks AS (SELECT formula_id, unnest(tokens) AS t, unnest(range(0, len(tokens))) AS i, len(tokens) AS n FROM parts),
@@ -83,10 +126,13 @@ def register(add: Callable, rounded: Callable) -> None:
         SELECT formula_id, underflow_at::INT AS underflow_at, final_depth::INT AS final_depth, round(CASE WHEN underflow_at >= 0 THEN -5 + 2 * underflow_at / n::DOUBLE WHEN final_depth <> 1 THEN -3 - least(1e0, abs(final_depth - 1) / 10e0) ELSE 0e0 END, 6) + 0e0 AS shaped_score FROM agg""",
     )
     add("o32_decode_formula", lambda s, d: fm.decode_table(formula_table(s, d)).select("formula_id", "postfix", "prefix"))
+    ops = ", ".join(f"'{n}'" for n in _TOKENS if n in fm.OPS)
     add(
-        "o33_formula_stats", lambda s, d: fm.stats_table(formula_table(s, d)).select("formula_id", "length", "n_distinct", "skeleton", rounded("structure_penalty").alias("structure_penalty"), rounded("diversity_bonus").alias("diversity_bonus"), rounded("novelty").alias("novelty")),
-        f"""WITH {_PARTS_SQL}, s AS (SELECT formula_id, len(tokens)::INT AS length, len(list_distinct(tokens))::INT AS n_distinct, array_to_string(list_transform(tokens, lambda t: CASE WHEN t IN ({', '.join(f"'{n}'" for n in _TOKENS if n in fm.OPS)}) THEN t ELSE 'x' END), ' ') AS skeleton FROM parts)
-        SELECT formula_id, length, n_distinct, skeleton, round(0.1e0 * greatest(length - 6, 0), 6) + 0e0 AS structure_penalty, round(n_distinct / length::DOUBLE, 6) + 0e0 AS diversity_bonus, round(1e0 / count(*) OVER (PARTITION BY skeleton), 6) + 0e0 AS novelty FROM s""",
+        "o33_formula_stats", lambda s, d: fm.stats_table(formula_table(s, d)).select("formula_id", "length", "n_distinct", "skeleton", rounded("structure_penalty").alias("structure_penalty"), rounded("diversity_bonus").alias("diversity_bonus"), "novelty"),
+        f"""WITH {_PARTS_SQL}, t AS (SELECT formula_id, unnest(tokens) AS t FROM parts), u AS (SELECT formula_id, t, count(*) AS n, t IN ({ops}) AS op FROM t GROUP BY formula_id, t),
+        c AS (SELECT formula_id, count(*)::INT AS n_distinct, sum(CASE WHEN op THEN 0.3e0 * greatest(n - 3, 0) ELSE 0.5e0 * greatest(n - 2, 0) END) AS cost, least(0.6e0, 0.15e0 * greatest(count(*) FILTER (NOT op) - 2, 0)) AS bonus FROM u GROUP BY formula_id),
+        s AS (SELECT formula_id, len(list_filter(tokens, lambda t: t <> 'RET'))::INT AS length, array_to_string(list_transform(tokens, lambda t: CASE WHEN t IN ({ops}) THEN t ELSE 'F' END), ' ') AS skeleton FROM parts)
+        SELECT formula_id, length, n_distinct, skeleton, round(cost, 6) + 0e0 AS structure_penalty, round(bonus, 6) + 0e0 AS diversity_bonus, CASE WHEN formula_id = min(formula_id) OVER (PARTITION BY skeleton) THEN 0.3e0 ELSE 0e0 END AS novelty FROM s JOIN c USING (formula_id)""",
     )
     add(
         "o34_migrate_formulas", lambda s, d: fm.migrate_tokens(fixtures.table(s, d, "part").select("p_partkey", F.transform(F.sequence(F.lit(0), (F.col("p_size") % 7).cast("int")), lambda i: ((F.col("p_partkey") + i * 5) % 17).cast("long")).alias("tokens"))).select("p_partkey", F.array_join(F.transform("tokens", lambda t: t.cast("string")), " ").alias("tokens")),
@@ -111,13 +157,13 @@ def register(add: Callable, rounded: Callable) -> None:
     add("b10_portfolio_pnl", lambda s, d: portfolio(s, d).select("formula_id", "time", rounded("pnl", 8).alias("pnl"), rounded("turnover").alias("turnover")), f"WITH {sql.PNL_SQL} SELECT formula_id, time, round(pnl, 8) + 0e0 AS pnl, round(turnover, 6) + 0e0 AS turnover FROM pf")
     add("b11_sharpe", lambda s, d: bt.sharpe(KEYS, portfolio(s, d), WEEKLY).select("formula_id", rounded("sharpe").alias("sharpe")), f"WITH {sql.PNL_SQL}, {sql.SHARPE_SQL} SELECT formula_id, round(sharpe, 6) + 0e0 AS sharpe FROM sharpes")
     add("b12_max_drawdown", lambda s, d: bt.max_drawdown(KEYS, portfolio(s, d)).select("formula_id", rounded("max_drawdown").alias("max_drawdown")), f"WITH {sql.PNL_SQL}, {sql.DRAWDOWN_SQL} SELECT formula_id, round(max_drawdown, 6) + 0e0 AS max_drawdown FROM drawdowns")
-    add("b13_fitness_score", lambda s, d: bt.fitness(net(s, d), KEYS, WEEKLY).select("formula_id", rounded("fitness").alias("fitness")), f"WITH {sql.FITNESS_SQL} SELECT formula_id, round(fitness, 6) + 0e0 AS fitness FROM fit")
-    add("b14_lazy_and_turnover", lambda s, d: bt.activity(net(s, d), KEYS).select("formula_id", *[rounded(c).alias(c) for c in ("active", "lazy_penalty", "turnover_bonus")]), f"WITH {sql.PNL_SQL}, {sql.ACTIVITY_SQL} SELECT formula_id, round(active, 6) + 0e0 AS active, round(lazy_penalty, 6) + 0e0 AS lazy_penalty, round(turnover_bonus, 6) + 0e0 AS turnover_bonus FROM activities")
+    length = lambda s: fm.stats_table(token_table(s, sql.SIGNALS), sql.FEATURES[0])
+    add("b13_fitness_score", lambda s, d: bt.fitness(held(signals(s, d)), KEYS, WEEKLY, length(s), "RET").select("formula_id", *[rounded(c).alias(c) for c in ("fitness", "redundancy")]), f"WITH {sql.FITNESS_SQL} SELECT formula_id, round(fitness, 6) + 0e0 AS fitness, round(redundancy, 6) + 0e0 AS redundancy FROM fit")
+    add("b14_lazy_and_turnover", lambda s, d: bt.activity(held(signals(s, d)), KEYS, WEEKLY).select("formula_id", *[rounded(c).alias(c) for c in ("active", "lazy_penalty", "turnover_bonus")]), f"WITH {sql.HELD_SQL}, {sql.ACTIVITY_SQL} SELECT formula_id, round(active, 6) + 0e0 AS active, round(lazy_penalty, 6) + 0e0 AS lazy_penalty, round(turnover_bonus, 6) + 0e0 AS turnover_bonus FROM activities")
     add("b15_rank_ic", lambda s, d: bt.rank_ic(signals(s, d), KEYS).select("formula_id", rounded("rank_ic").alias("rank_ic")), f"WITH {sql.RUNS_SQL}, {sql.IC_SQL} SELECT formula_id, round(rank_ic, 6) + 0e0 AS rank_ic FROM rank_ics")
     add(
         "b16_pearson_ic", lambda s, d: bt.pearson_ic(signals(s, d), KEYS).select("formula_id", rounded("mean_ic").alias("mean_ic"), rounded("icir").alias("icir"), "n_times"),
-        f"""WITH {sql.RUNS_SQL}, i AS (SELECT formula_id, time, corr(signal, target_ret) AS ic, count(*) AS n FROM runs WHERE abs(signal) > 1e-10 GROUP BY formula_id, time),
-        k AS (SELECT * FROM i WHERE n > 10 AND ic IS NOT NULL AND NOT isnan(ic)) SELECT formula_id, round(avg(ic), 6) + 0e0 AS mean_ic, round(abs(avg(ic)) / (stddev_pop(ic) + 1e-10), 6) + 0e0 AS icir, count(*) AS n_times FROM k GROUP BY formula_id""",
+        f"WITH {sql.RUNS_SQL}, {sql.QUALITY_SQL} SELECT formula_id, round(mean_ic, 6) + 0e0 AS mean_ic, round(icir, 6) + 0e0 AS icir, n_times FROM quality",
     )
     add(
         "b17_rank_ic_report", lambda s, d: bt.rank_ic_report(signals(s, d), KEYS).select("formula_id", *[rounded(c).alias(c) for c in ("mean_ic", "std_ic", "ir", "share_positive")]),
@@ -126,7 +172,7 @@ def register(add: Callable, rounded: Callable) -> None:
     add(
         "b18_redundancy_penalty", lambda s, d: bt.redundancy_penalty(signals(s, d), ["RET", "DEV"], KEYS).select("formula_id", rounded("redundancy").alias("redundancy")),
         f"""WITH {sql.RUNS_SQL}, r AS (SELECT formula_id, address, row_number() OVER (PARTITION BY formula_id, address ORDER BY signal, time)::DOUBLE AS s, row_number() OVER (PARTITION BY formula_id, address ORDER BY RET, time)::DOUBLE AS a, row_number() OVER (PARTITION BY formula_id, address ORDER BY DEV, time)::DOUBLE AS b FROM runs),
-        c AS (SELECT formula_id, address, corr(s, a) AS a, corr(s, b) AS b FROM r GROUP BY formula_id, address) SELECT formula_id, (CASE WHEN abs(avg(a)) > 0.7 THEN 2e0 ELSE 0e0 END) + (CASE WHEN abs(avg(b)) > 0.7 THEN 2e0 ELSE 0e0 END) AS redundancy FROM c GROUP BY formula_id""",
+        c AS (SELECT formula_id, address, corr(s, a) AS a, corr(s, b) AS b FROM r GROUP BY formula_id, address) SELECT formula_id, round(avg((CASE WHEN abs(a) > 0.7 THEN 2e0 ELSE 0e0 END) + (CASE WHEN abs(b) > 0.7 THEN 2e0 ELSE 0e0 END)), 6) + 0e0 AS redundancy FROM c GROUP BY formula_id""",
     )
     lagged = f"{sql.RUNS_SQL}, l AS (SELECT formula_id, address, signal, lag(signal) OVER (PARTITION BY formula_id, address ORDER BY time) AS b FROM runs)"
     add("b19_factor_autocorrelation", lambda s, d: bt.factor_autocorrelation(signals(s, d), KEYS).select("formula_id", rounded("autocorrelation").alias("autocorrelation")), f"WITH {lagged}, c AS (SELECT formula_id, address, corr(signal, b) AS c FROM l WHERE b IS NOT NULL GROUP BY formula_id, address) SELECT formula_id, round(avg(c), 6) + 0e0 AS autocorrelation FROM c WHERE c IS NOT NULL AND NOT isnan(c) GROUP BY formula_id")
@@ -154,11 +200,18 @@ def register(add: Callable, rounded: Callable) -> None:
         f"""WITH {sql.PNL_SQL}, a AS (SELECT formula_id, avg(pnl) AS mu, sqrt(avg(pow(least(pnl, 0e0), 2))) AS down, avg(turnover) AS tov FROM pf GROUP BY formula_id)
         SELECT formula_id, round(greatest(-3e0, least(5e0, mu / (down + 1e-6) * 15.87e0 - CASE WHEN mu < 0 THEN 1 ELSE 0 END - CASE WHEN tov < 1e-4 THEN 1 ELSE 0 END)), 6) + 0e0 AS reward FROM a""",
     )
+    with_benchmark = lambda s, d: net(s, d).groupBy(*KEYS, "time").agg(F.avg("pnl").alias("pnl"), F.avg("target_ret").alias("benchmark"))
     add(
-        "b24_equity_report", lambda s, d: bt.equity_report(portfolio(s, d), KEYS, 52.0).select("formula_id", "n", *[rounded(c).alias(c) for c in ("final_equity", "annual_vol", "max_drawdown", "annual_return", "sharpe", "calmar")]),
+        "b24_equity_report", lambda s, d: bt.equity_report(with_benchmark(s, d), KEYS, 52.0).select("formula_id", "n", *[rounded(c).alias(c) for c in ("final_equity", "benchmark_equity", "annual_vol", "max_drawdown", "annual_return", "sharpe", "calmar")]),
         f"""WITH {sql.PNL_SQL}, e AS (SELECT *, exp(sum(ln(1 + pnl)) OVER (PARTITION BY formula_id ORDER BY time ROWS UNBOUNDED PRECEDING)) AS equity FROM pf), t AS (SELECT *, max(equity) OVER (PARTITION BY formula_id ORDER BY time ROWS UNBOUNDED PRECEDING) AS top FROM e),
-        a AS (SELECT formula_id, count(*) AS n, arg_max(equity, time) AS fe, stddev_samp(pnl) * sqrt(52e0) AS av, max(1 - equity / greatest(top, 1e0)) AS dd FROM t GROUP BY formula_id), b AS (SELECT *, pow(fe, 52e0 / n) - 1 AS ar FROM a)
-        SELECT formula_id, n, round(fe, 6) + 0e0 AS final_equity, round(av, 6) + 0e0 AS annual_vol, round(dd, 6) + 0e0 AS max_drawdown, round(ar, 6) + 0e0 AS annual_return, round((ar - 0.02e0) / (av + 1e-9), 6) + 0e0 AS sharpe, round(ar / (dd + 1e-9), 6) + 0e0 AS calmar FROM b""",
+        a AS (SELECT formula_id, count(*) AS n, arg_max(equity, time) AS fe, stddev_samp(pnl) * sqrt(52e0) AS av, max(1 - equity / greatest(top, 1e0)) AS dd, exp(sum(ln(1 + benchmark))) AS be FROM t GROUP BY formula_id), b AS (SELECT *, pow(fe, 52e0 / n) - 1 AS ar FROM a)
+        SELECT formula_id, n, round(fe, 6) + 0e0 AS final_equity, round(be, 6) + 0e0 AS benchmark_equity, round(av, 6) + 0e0 AS annual_vol, round(dd, 6) + 0e0 AS max_drawdown, round(ar, 6) + 0e0 AS annual_return, round((ar - 0.02e0) / (av + 1e-9), 6) + 0e0 AS sharpe, round(ar / (dd + 1e-9), 6) + 0e0 AS calmar FROM b""",
+    )
+    add(
+        "b25_return_correlation", lambda s, d: bt.return_correlation(simple_returns(fixtures.panel(s, d))).select("n_addresses", rounded("mean_corr", 5).alias("mean_corr")),
+        f"""WITH {fixtures.PANEL_SQL}, r AS (SELECT address, time, greatest(-0.2e0, least(0.2e0, coalesce((close - lag(close) OVER w) / (abs(lag(close) OVER w) + 1e-10), 0e0))) AS ret FROM panel WINDOW w AS (PARTITION BY address ORDER BY time)),
+        l AS (SELECT * FROM r WHERE time IN (SELECT DISTINCT time FROM r ORDER BY time DESC LIMIT 200)), c AS (SELECT coalesce(corr(a.ret, b.ret), 0) AS c FROM l a JOIN l b ON a.time = b.time AND a.address < b.address GROUP BY a.address, b.address)
+        SELECT (SELECT count(DISTINCT address) FROM r) AS n_addresses, round(avg(CASE WHEN isnan(c) THEN 0 ELSE c END), 5) + 0e0 AS mean_corr FROM c""",
     )
     add(
         "b25_data_quality_report", lambda s, d: bt.data_quality_report(features(s, d), ["RET", "DEV", "LOG_VOL"]).select("column", "n", *[rounded(c, 5).alias(c) for c in ("mean", "median", "std", "skewness", "low", "high", "share_positive", "share_zero")]),
@@ -174,11 +227,17 @@ def register(add: Callable, rounded: Callable) -> None:
     add("b26_oracle_ceiling", ceiling, "WITH " + sql.PNL_SQL.replace("runs AS (", "runs AS (SELECT * REPLACE (target_ret AS signal) FROM (", 1).replace("HL_RANGE FROM tgt\n)", "HL_RANGE FROM tgt\n) WHERE formula_id = 'fa')", 1) + f", {sql.SHARPE_SQL} SELECT formula_id, round(sharpe, 6) + 0e0 AS sharpe FROM sharpes")
     edges = [-0.05, -0.01, 0.0, 0.01, 0.05]
     add("b27_reward_histogram", lambda s, d: bt.reward_histogram(portfolio(s, d), "pnl", edges).select("bin", "n"), f"WITH {sql.PNL_SQL} SELECT {' + '.join(f'(pnl >= {e}e0)::INT' for e in edges)} AS bin, count(*) AS n FROM pf GROUP BY 1")
-    add("b28_score_formulas", lambda s, d: bt.fitness(net(s, d), KEYS, WEEKLY).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("fitness"), "formula_id"))).select("formula_id", "rank", *[rounded(c).alias(c) for c in ("fitness", "sharpe", "max_drawdown", "rank_ic")]), f"WITH {sql.FITNESS_SQL} SELECT formula_id, row_number() OVER (ORDER BY fitness DESC, formula_id)::INT AS rank, round(fitness, 6) + 0e0 AS fitness, round(sharpe, 6) + 0e0 AS sharpe, round(max_drawdown, 6) + 0e0 AS max_drawdown, round(rank_ic, 6) + 0e0 AS rank_ic FROM fit")
+    add(
+        "b28_score_formulas", lambda s, d: leaderboard(s, d, CANDIDATES).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(F.round("fitness", 6)), "formula_id"))).select("formula_id", "rank", *[rounded(c).alias(c) for c in ("fitness", "sharpe", "max_drawdown", "rank_ic")]),  # a row for each formula
+        f"WITH {sql.fitness_sql(CANDIDATES, DIGITS)} SELECT formula_id, row_number() OVER (ORDER BY round(fitness, 6) DESC, formula_id)::INT AS rank, round(fitness, 6) + 0e0 AS fitness, round(sharpe, 6) + 0e0 AS sharpe, round(max_drawdown, 6) + 0e0 AS max_drawdown, round(rank_ic, 6) + 0e0 AS rank_ic FROM fit",
+    )
 
     def shaped(s: SparkSession, d: str) -> DataFrame:
-        frame = net(s, d)
+        frame = held(signals(s, d))
         spread = frame.groupBy(*KEYS).agg(F.stddev_samp("signal").alias("spread"))
-        return bt.shaped_reward(bt.fitness(frame, KEYS, WEEKLY).join(spread, KEYS)).select("formula_id", rounded("reward").alias("reward"))
+        stats = length(s)
+        scores = bt.fitness(frame, KEYS, WEEKLY, stats, "RET").join(spread, KEYS).join(stats.select("formula_id", "structure_penalty", "diversity_bonus", "novelty"), KEYS)
+        return bt.shaped_reward(scores).select("formula_id", rounded("reward").alias("reward"))
 
-    add("b29_shaped_reward", shaped, f"WITH {sql.FITNESS_SQL}, sp AS (SELECT formula_id, stddev_samp(signal) AS spread FROM runs GROUP BY formula_id) SELECT formula_id, round(CASE WHEN spread < 1e-8 THEN -2e0 WHEN spread < 0.01 THEN -2 + spread / 0.01e0 ELSE fitness END, 6) + 0e0 AS reward FROM fit JOIN sp USING (formula_id)")
+    # none of the three formulas repeats a name, each has a skeleton of its own, none has three features
+    add("b29_shaped_reward", shaped, f"WITH {sql.FITNESS_SQL}, sp AS (SELECT formula_id, stddev_samp(signal) AS spread FROM runs GROUP BY formula_id) SELECT formula_id, round(CASE WHEN spread < 1e-4 THEN -2e0 WHEN spread < 0.01 THEN -2 + spread / 0.01e0 ELSE fitness + 0.3e0 END, 6) + 0e0 AS reward FROM fit JOIN sp USING (formula_id)")

@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import fixtures
+from ..sources import fixtures, io
 from ..streaming import bars as sb
 from ..streaming import positions as sp
 
 
 def _shared(spark: SparkSession) -> str:
-    """The folder that all executors share; a new temporary one where the cluster names none."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new place in the folder that all executors share."""
+    return f"{io.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +33,7 @@ def register(add: Callable, rounded: Callable) -> None:
 
     def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = _ticks(spark, sf_dir)
-        return sp.monitor(t.select(F.col("symbol").alias("position_id"), F.col("datetime").alias("time"), F.col("close").alias("price"), F.lit(100.0).alias("entry_price")))
+        return sp.monitor(t.select(F.col("symbol").alias("position_id"), F.col("datetime").alias("time"), F.col("close").alias("price"), F.lit(100.0).alias("entry_price"), F.lit(None).cast("double").alias("score")))
 
     add("st1_dedup_ticks", lambda s, d: _run(s, sb.deduplicated(_ticks(s, d)).select("symbol", "datetime", "volume")))
     add("st2_stream_bars", lambda s, d: _run(s, sb.bars(_ticks(s, d), "1 hour")))

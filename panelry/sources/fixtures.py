@@ -131,6 +131,11 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def weeks(spark: SparkSession, sf_dir: str) -> int:
+    """How many times the dense panel has: one number from one column of ``lineitem``."""
+    return table(spark, sf_dir, "lineitem").select(F.countDistinct(F.date_trunc("week", "l_shipdate"))).first()[0]
+
+
 PANEL_SQL = f"""{BARS_SQL}, grid AS (
   SELECT address, time FROM (SELECT DISTINCT address FROM bars) CROSS JOIN (SELECT DISTINCT time FROM bars)
 ), dense AS (

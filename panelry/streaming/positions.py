@@ -11,20 +11,20 @@ STATE = "highest double, half_sold boolean, closed boolean"
 OUT = "position_id string, time timestamp, event string"
 
 
-def monitor(ticks: DataFrame, stop: float = -0.05, take: float = 0.10, gain: float = 0.05, drop: float = 0.03) -> DataFrame:
-    """Events of a stream of (position_id, time, price, entry_price).
+def monitor(ticks: DataFrame, stop: float = -0.05, take: float = 0.10, gain: float = 0.05, drop: float = 0.03, least_score: float = 0.45) -> DataFrame:
+    """Events of a stream of (position_id, time, price, entry_price, score), by the rules of ``risk.exit_rules``.
 
-    Stop loss closes; at the target half is sold, once; a trailing stop closes after a gain is given back.
-    The state of a position is its highest price and two marks.
+    The stop loss closes; at the target half is sold, once; a trailing stop closes after a gain is given
+    back; a score under ``least_score`` (null: none is known) closes while nothing has been sold.  The state of
+    a position is its highest price and two marks.  Inside a batch ticks are taken in order of time; batches
+    must come in that order.
     """
 
     def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         highest, half, closed = state.get if state.exists else (0.0, False, False)
-        rows = pd.concat(list(frames)).sort_values("time")
+        columns = [f[["time", "price", "entry_price", "score"]] for f in frames] if not closed else []
         out = []
-        for r in rows.itertuples():
-            if closed:
-                break
+        for r in (pd.concat(columns).sort_values("time").itertuples() if columns else ()):
             highest = max(highest, r.price, r.entry_price)
             change = r.price / r.entry_price - 1
             if change <= stop:
@@ -36,6 +36,11 @@ def monitor(ticks: DataFrame, stop: float = -0.05, take: float = 0.10, gain: flo
             elif highest / r.entry_price - 1 > gain and 1 - r.price / highest > drop:
                 out.append((key[0], r.time, "trailing_stop"))
                 closed = True
+            elif not half and r.score < least_score:
+                out.append((key[0], r.time, "low_score"))
+                closed = True
+            if closed:
+                break
         state.update((highest, half, closed))
         yield pd.DataFrame(out, columns=["position_id", "time", "event"])
 

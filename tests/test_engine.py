@@ -122,11 +122,67 @@ def test_incremental_ticks_and_caches(spark, tmp_path):
     assert {(r.address, r.value) for r in io.merge_cache(old, new).collect()} == {("a", 1.0), ("b", 3.0), ("c", 4.0)}
 
 
-def test_corr_dedup_halves_the_weaker(spark):
+def test_corr_dedup_matches_a_loop(spark):
+    rng = np.random.default_rng(12)
     day = dt.date(2020, 1, 1)
-    s = spark.createDataFrame([(day, "a", 0, 0.2), (day, "b", 0, 0.1), (day, "c", 1, 0.1)], "date date, address string, sector int, target_weight double")
-    pairs = spark.createDataFrame([("a", "b", 0.9), ("a", "c", 0.99)], "a string, b string, corr double")
-    assert {r.address: r.target_weight for r in rk.corr_dedup(s, pairs).collect()} == {"a": 0.2, "b": 0.05, "c": 0.1}
+    rows = [(day, f"a{i:02d}", int(rng.integers(0, 2)), float(w)) for i, w in enumerate([*np.round(rng.normal(0, 0.1, 30), 3), 0.2, 0.2, 0.02, -0.0199, 0.0])]
+    want = {}
+    for sector in (0, 1):
+        line = sorted((r for r in rows if r[2] == sector), key=lambda r: (-abs(r[3]), r[1]))
+        w = [r[3] for r in line]
+        for i in range(len(line)):
+            for j in range(i + 1, len(line)):
+                if abs(w[i]) >= 0.01 and abs(w[j]) >= 0.01 and w[i] * w[j] > 0:
+                    w[j] /= 2
+        want |= {r[1]: x for r, x in zip(line, w)}
+    got = {r.address: r.target_weight for r in rk.corr_dedup(spark.createDataFrame(rows, "date date, address string, sector int, target_weight double")).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_exit_rules_match_the_monitor(spark, tmp_path):
+    """The batch rules and the stream's state give the same events."""
+    from panelry.streaming import positions as sp
+
+    rng = np.random.default_rng(3)
+    rows = [(f"p{k}", dt.datetime(2024, 1, 1) + dt.timedelta(minutes=t), float(100 * np.exp(v)), 100.0, float(s) if k % 2 else None) for k in range(40) for t, (v, s) in enumerate(zip(np.cumsum(rng.normal(0.002, 0.02, 60)), 0.44 + 0.5 * rng.random(60)))]
+    df = spark.createDataFrame(rows, "position_id string, time timestamp, price double, entry_price double, score double")
+    batch = {(r.position_id, r.time, r.event) for r in rk.exit_rules(df).collect()}
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    q = sp.monitor(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("exits").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    stream = {(r.position_id, r.time, r.event) for r in spark.sql("SELECT * FROM exits").collect()}
+    assert batch == stream and {e for *_, e in batch} == {"stop_loss", "take_half", "trailing_stop", "low_score"}
+
+
+def test_regime_labels_and_scale(spark):
+    cases = [(0.5, 0.1, "calm"), (0.5, 0.4, "normal"), (1.2, 0.49, "normal"), (1.2, 0.6, "stress"), (1.9, 0.9, "stress"), (2.0, 0.0, "crisis")]
+    df = spark.createDataFrame([(r, c) for r, c, _ in cases], "vol_ratio double, avg_corr double")
+    out = rk.vol_regime_scale(df).collect()
+    assert [r.regime for r in out] == [n for *_, n in cases]
+    assert [r.scale for r in out] == pytest.approx([min(1.2, max(0.3, 1 / max(r, 0.5) - max(0, c - 0.3) * 0.5)) for r, c, _ in cases])
+
+
+def test_lazy_penalty_by_turnover_a_rebalance(spark):
+    """Three addresses with turnovers of 0.005, 0.03 and 0.2 a rebalance: 3, 0.8 and 0."""
+    day = [dt.date(2020, 1, 1) + dt.timedelta(t) for t in range(10)]
+    rows = [("f", a, d, x if i in (0, 5) else 0.0, 0.1, i in (0, 5)) for a, x in (("a", 0.005), ("b", 0.03), ("c", 0.2)) for i, d in enumerate(day)]
+    df = spark.createDataFrame(rows, "formula_id string, address string, time date, turnover double, position double, is_rebalance boolean")
+    r = bt.activity(df, ["formula_id"], pn.Profile()).first()
+    assert r.lazy_penalty == pytest.approx((3 + 0.8 + 0) / 3) and r.turnover_bonus == pytest.approx((0.025 + 0.15 + 0.5) / 3) and r.active == 1
+
+
+def test_formula_stats_cost_repeats(spark):
+    rows = [("f1", ["RET", "DEV", "DEV", "DEV", "ADD", "ADD", "ADD"]), ("f2", ["DEV", "LOG_VOL", "DEV", "RET", "ADD", "ADD", "ADD"]), ("f3", ["RET", "NEG", "NEG", "NEG", "NEG"])]
+    out = {r.formula_id: r for r in fm.stats_table(spark.createDataFrame(rows, "formula_id string, tokens array<string>")).collect()}
+    assert [out[k].structure_penalty for k in ("f1", "f2", "f3")] == pytest.approx([0.5, 0.0, 0.3])
+    assert [out[k].diversity_bonus for k in ("f1", "f2", "f3")] == pytest.approx([0.0, 0.15, 0.0])
+    assert [out[k].novelty for k in ("f1", "f2", "f3")] == [0.3, 0.0, 0.3] and out["f1"].length == 6
+
+
+def test_select_factors_is_greedy(spark):
+    quality = spark.createDataFrame([("a", 0.9), ("b", 0.8), ("c", 0.7), ("d", 0.6), ("e", 0.01)], "formula_id string, icir double")
+    pairs = spark.createDataFrame([("a", "b", -0.9), ("b", "c", 0.95), ("c", "d", 0.8)], "a string, b string, corr double")
+    assert [r.formula_id for r in en.select_factors(quality, pairs, 3).collect()] == ["a", "c"]  # b is close to a, d to c, e is too weak
 
 
 def test_densify_fills_forward(spark):
@@ -166,7 +222,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", ["f4_dev", "r34_ivol", "t4_vol_conc", "o20_corr10", "b11_sharpe", "b15_rank_ic", "p2_main_contract", "k5_sector_cap", "io16_dedup_clean_bars"])
+@pytest.mark.parametrize("name", ["f4_dev", "r34_ivol", "t4_vol_conc", "o20_corr10", "b11_sharpe", "b15_rank_ic", "p2_main_contract", "k5_sector_cap", "e5_cv_evaluate", "v1_replay_backtest", "s4_exit_rules", "k8_adjustments", "io16_dedup_clean_bars"])
 def test_queries_match_duckdb(spark, duck, name):
     a, b = catalog.QUERIES[name](spark, SF).toPandas(), duck.execute(catalog.SQL[name]).df()
     assert sorted(a.columns) == sorted(b.columns) and len(a) == len(b)

@@ -20,7 +20,7 @@ def test_stream_bars_equal_batch(spark, tmp_path):
 
 def test_monitor_fires_each_rule_once(spark, tmp_path):
     rows = [("a", f"2024-01-01 00:0{i}:00", p, 100.0) for i, p in enumerate((101.0, 111.0, 112.0, 107.0, 90.0))] + [("b", "2024-01-01 00:00:00", 94.0, 100.0), ("b", "2024-01-01 00:01:00", 80.0, 100.0)]
-    df = spark.createDataFrame(rows, "position_id string, time string, price double, entry_price double").withColumn("time", F.to_timestamp("time"))
+    df = spark.createDataFrame(rows, "position_id string, time string, price double, entry_price double").withColumns({"time": F.to_timestamp("time"), "score": F.lit(None).cast("double")})
     df.write.parquet(str(tmp_path / "in"))
     events = sp.monitor(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
     q = events.writeStream.format("memory").queryName("fired").outputMode("append").trigger(availableNow=True).start()
