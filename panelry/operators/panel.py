@@ -149,3 +149,20 @@ def open_to_open_return(panel: DataFrame) -> DataFrame:
     """Return from the next open to the one after; the last two bars have 0."""
     one, two = F.lead("open", 1).over(by_address()), F.lead("open", 2).over(by_address())
     return panel.withColumn("oto_ret", F.coalesce((two - one) / (one + F.lit(1e-6)), F.lit(0.0)))
+
+
+def inv_lunar_yoy(values: DataFrame, calendar: DataFrame, years: int = 2, near: int = 3) -> DataFrame:
+    """(address, time, inv_lunar_yoy): a value against the mean of the same lunar day of the last ``years`` lunar years.
+
+    ``values`` is (address, time, value), ``calendar`` (time, lunar_year, lunar_month, lunar_day).  Without any such
+    value the days one, two, and up to ``near`` away in the same lunar month are tried, nearest first.  Only
+    positive values count; of several on one lunar day the last.  Each row looks its days up by key, so
+    nothing is paired but what is compared.
+    """
+    dated = values.join(calendar, "time").where("value > 0")
+    past = dated.groupBy("address", F.col("lunar_year").alias("y"), F.col("lunar_month").alias("m"), F.col("lunar_day").alias("d")).agg(F.max_by("value", "time").alias("before"))
+    keys = dated.withColumn("y", F.explode(F.sequence(F.col("lunar_year") - years, F.col("lunar_year") - 1))).withColumn("off", F.explode(F.sequence(F.lit(-near), F.lit(near))))
+    keys = keys.select("address", "time", "value", "y", F.col("lunar_month").alias("m"), (F.col("lunar_day") + F.col("off")).alias("d"), F.abs("off").alias("away")).where("d BETWEEN 1 AND 30")
+    by = keys.join(past, ["address", "y", "m", "d"]).groupBy("address", "time", "away").agg(F.max("value").alias("value"), F.avg("before").alias("mean"))
+    best = by.groupBy("address", "time").agg(F.min_by(F.struct("value", "mean"), "away").alias("x"))
+    return best.select("address", "time", (F.col("x.value") / F.col("x.mean") - 1).alias("inv_lunar_yoy"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .panel import main_ticks
@@ -20,7 +20,7 @@ _ALL = "OVER (PARTITION BY address, day)"
 MINUTE: list[dict[str, str]] = [
     {"i": f"row_number() OVER ({_DAY})", "n": f"count(close) {_ALL}", "dc": f"close - lag(close) OVER ({_DAY})", "ret": f"close / nullif(lag(close) OVER ({_DAY}), 0e0) - 1", "dv": f"volume - lag(volume) OVER ({_DAY})",
      "vol30": "sum(volume) OVER (PARTITION BY address, day, hour(datetime) * 2 + CASE WHEN minute(datetime) >= 30 THEN 1 ELSE 0 END)", "level": "sum(volume) OVER (PARTITION BY address, day, close)", "p90": f"P90_OF(volume) {_ALL}",
-     "day_mean": f"avg(close) {_ALL}", "day_open": f"first_value(open) OVER ({_DAY} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", "mom": "hour(datetime) * 60 + minute(datetime)"},
+     "day_mean": f"avg(close) {_ALL}", "day_open": f"first_value(open) OVER ({_DAY} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"},
     {"move": f"dc * lag(dc) OVER ({_DAY})", "aret": f"abs(ret) * abs(lag(ret) OVER ({_DAY}))", "dev_sum": f"sum(close - day_mean) OVER ({_DAY} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", "dv_mean": f"avg(dv) {_ALL}", "dv_std": f"stddev_samp(dv) {_ALL}",
      "s4": f"sum(open + high + low + close) OVER ({_DAY} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)", "q4": f"sum(open * open + high * high + low * low + close * close) OVER ({_DAY} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)", "c4": f"4 * count(close) OVER ({_DAY} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)",
      "rsd": f"stddev_pop(ret) OVER ({_DAY} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"},
@@ -30,7 +30,7 @@ MINUTE: list[dict[str, str]] = [
 
 #: Daily aggregates by column name; ``CORR_OF`` is a correlation that is null where a side is constant.
 DAILY: dict[str, str] = {
-    "close": "max_by(close, datetime)", "volume": "sum(volume)",
+    "open": "min_by(open, datetime)", "close": "max_by(close, datetime)", "volume": "sum(volume)",
     "vwap": "sum(volume * close) / nullif(sum(volume), 0)", "twap": "avg(close)",
     "oi_change": "max_by(close_oi, datetime) - min_by(close_oi, datetime)", "total_oi": "max_by(close_oi, datetime)",
     "am_volume": "sum(CASE WHEN hour(datetime) < 13 THEN volume ELSE 0 END)", "pm_volume": "sum(CASE WHEN hour(datetime) >= 13 THEN volume ELSE 0 END)",
@@ -47,9 +47,8 @@ DAILY: dict[str, str] = {
     "ret_vol_cov": "covar_samp(ratio, volume)", "amb_vol_corr": "CORR_OF(vov, volume)", "price_oi_corr": "CORR_OF(close, close_oi)",
     "dazzle_ret": "avg(CASE WHEN dv > dv_mean + dv_std THEN ret END)", "range_sum": "max(dev_sum) - min(dev_sum)", "close_std": "stddev_pop(close)",
     "n_up": "count(CASE WHEN ret > 0 THEN 1 END)", "n_down": "count(CASE WHEN ret < 0 THEN 1 END)", "n": "count(close)",
-    "g_up": "sum(CASE WHEN ret > 0 THEN ret * mom END) / nullif(sum(CASE WHEN ret > 0 THEN ret END), 0e0)", "g_down": "sum(CASE WHEN ret < 0 THEN -ret * mom END) / nullif(sum(CASE WHEN ret < 0 THEN -ret END), 0e0)",
+    "g_up": "sum(CASE WHEN ret > 0 THEN ret * (i - 1) END) / nullif(sum(CASE WHEN ret > 0 THEN ret END), 0e0)", "g_down": "sum(CASE WHEN ret < 0 THEN -ret * (i - 1) END) / nullif(sum(CASE WHEN ret < 0 THEN -ret END), 0e0)",
     "high_turnover": "sum(CASE WHEN close > day_open THEN volume * close ELSE 0e0 END)", "low_turnover": "sum(CASE WHEN close < day_open THEN volume * close ELSE 0e0 END)", "turnover": "sum(volume * close)",
-    "c1": "count(ret)", "m1": "avg(ret)", "m2": "avg(ret * ret)", "m3": "avg(ret * ret * ret)",
 }
 
 _PAST20 = "OVER (PARTITION BY address ORDER BY day ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
@@ -59,15 +58,12 @@ DERIVED: list[dict[str, str]] = [
         "vwap_dev": "(vwap - close) / (close + 1e-9)", "twap_dev": "(twap - close) / (close + 1e-9)", "vol_skew": "am_volume / (pm_volume + 1e-9)", "vol_conc": "max_30min_vol / (volume + 1e-9)", "smart_money": "last_hour / (first_hour + 1e-9)",
         "vsp_position": "(vsp - low) / nullif(high - low, 0e0)", "jump_ratio": "1 - bv / nullif(rv, 0e0)", "hurst": "range_sum / nullif(close_std, 0e0)", "crowd": "(high_turnover - low_turnover) / nullif(turnover, 0e0)",
         "gu": "CASE WHEN n >= 10 AND n_up >= 3 AND n_down >= 3 THEN g_up END", "gd": "CASE WHEN n >= 10 AND n_up >= 3 AND n_down >= 3 THEN g_down END",
-        "sn": f"sum(c1) {_PAST20}", "s1": f"sum(c1 * m1) {_PAST20}", "s2": f"sum(c1 * m2) {_PAST20}", "s3": f"sum(c1 * m3) {_PAST20}",
     },
     {
         "gn": "count(gd) OVER (PARTITION BY day)", "gmu": "avg(CASE WHEN gd IS NOT NULL THEN gu END) OVER (PARTITION BY day)", "gmd": "avg(gd) OVER (PARTITION BY day)", "gcov": "covar_pop(gd, gu) OVER (PARTITION BY day)", "gvar": "var_pop(gu) OVER (PARTITION BY day)",
-        "mu": "s1 / nullif(sn, 0)", "var20": "s2 / nullif(sn, 0) - (s1 / nullif(sn, 0)) * (s1 / nullif(sn, 0))",
     },
     {
         "tgd": "CASE WHEN gn < 5 THEN gd - gu ELSE gd - gmd - coalesce(gcov / nullif(gvar, 0e0), 0e0) * (gu - gmu) END",
-        "ret_skew": "CASE WHEN sn >= 10 AND var20 > 1e-24 THEN (s3 / sn - 3 * mu * var20 - mu * mu * mu) / power(var20, 1.5e0) END",
         "cvar_5pct": f"P05_OF(weighted_ret) {_PAST20}",
     },
 ]
@@ -106,6 +102,46 @@ def daily_columns(ticks: DataFrame) -> DataFrame:
     return out
 
 
+def ret_skew(ticks: DataFrame, rows: int = 20, minutes: int = 5) -> DataFrame:
+    """Population skewness of the last ``rows`` days' returns of ``minutes``-minute bars, by address and day.
+
+    Returns stay inside a day; ten of them are needed, and some spread.  Each day adds its power sums, so
+    the pooled moments are sums over a window of days.
+    """
+    bar = F.window("datetime", f"{minutes} minutes").getField("start")
+    bars = main_ticks(ticks).groupBy("address", "day", bar.alias("bar")).agg(F.max_by("close", "datetime").alias("close"))
+    before = F.lag("close").over(Window.partitionBy("address", "day").orderBy("bar"))
+    rets = bars.withColumn("r", F.try_divide(F.col("close"), before) - 1).where("r IS NOT NULL")
+    day = rets.groupBy("address", "day").agg(F.count("r").alias("n"), *[F.sum(F.pow("r", F.lit(k))).alias(f"s{k}") for k in (1, 2, 3)])
+    past = Window.partitionBy("address").orderBy("day").rowsBetween(-(rows - 1), 0)
+    pooled = day.select("address", "day", *[F.sum(c).over(past).alias(c) for c in ("n", "s1", "s2", "s3")])
+    mu = F.col("s1") / F.col("n")
+    var = F.col("s2") / F.col("n") - mu * mu
+    skew = (F.col("s3") / F.col("n") - 3 * mu * var - mu * mu * mu) / F.pow(var, F.lit(1.5))
+    return pooled.where(F.col("n") >= 10).where(var > 1e-24).select("address", "day", skew.alias("ret_skew"))
+
+
+def lone_goose(ticks: DataFrame, minutes: int = 1) -> DataFrame:
+    """Mean absolute correlation of an address's turnover with every other's, over the calm bars of a day.
+
+    A bar is calm if the deviation of its returns over addresses is under the day's mean deviation.
+    """
+    bar = F.window("datetime", f"{minutes} minutes").getField("start")
+    bars = main_ticks(ticks).groupBy("address", "day", bar.alias("bar")).agg(F.max_by("close", "datetime").alias("close"), F.sum(F.col("volume") * F.col("close")).alias("turnover"))
+    before = F.lag("close").over(Window.partitionBy("address", "day").orderBy("bar"))
+    bars = bars.withColumn("r", F.try_divide(F.col("close"), before) - 1)
+    spread = bars.groupBy("day", "bar").agg(F.stddev_samp("r").alias("d")).where("d IS NOT NULL")
+    calm = spread.withColumn("m", F.avg("d").over(Window.partitionBy("day"))).where("d < m").select("day", "bar")
+    rows = bars.join(calm, ["day", "bar"]).select("day", "bar", "address", "turnover")
+    a, b = rows.alias("a"), rows.alias("b")
+    # every address meets every other inside one bar: what the definition asks for
+    pair = a.join(b, (F.col("a.day") == F.col("b.day")) & (F.col("a.bar") == F.col("b.bar")) & (F.col("a.address") < F.col("b.address")))
+    pair = pair.select(F.col("a.day").alias("day"), F.col("a.address").alias("one"), F.col("b.address").alias("two"), F.col("a.turnover").alias("x"), F.col("b.turnover").alias("y"))
+    by = pair.groupBy("day", "one", "two").agg(F.expr("abs(try_divide(covar_pop(x, y), stddev_pop(x) * stddev_pop(y)))").alias("c"), F.count(F.lit(1)).alias("n")).where("n >= 3 AND c IS NOT NULL")
+    both = by.select("day", F.explode(F.array("one", "two")).alias("address"), "c")
+    return both.groupBy("address", "day").agg(F.avg("c").alias("lone_goose"))
+
+
 def tide_speed(ticks: DataFrame) -> DataFrame:
     """Speed of the volume tide of a day: from the trough before the peak to the trough after it.
 
@@ -159,8 +195,6 @@ def lag_regression(ticks: DataFrame, lags: int, what: str) -> DataFrame:
 
 def shading_tree(ticks: DataFrame) -> DataFrame:
     """Absolute t value of the constant (six lags); negative on days whose F is under the day's mean F."""
-    from pyspark.sql import Window
-
     fit = lag_regression(ticks, 6, "intercept_t")
     low = F.col("f_value") < F.avg("f_value").over(Window.partitionBy("day"))
     return fit.select("address", "day", F.when(low, -F.col("value")).otherwise(F.col("value")).alias("shading_tree"))
@@ -182,8 +216,6 @@ def pair_mean(daily: DataFrame, column: str, rows: int = 20, ranked: bool = True
     pair = long.alias("a").join(long.alias("b"), (F.col("a.day") == F.col("b.day")) & (F.col("a.at") == F.col("b.at")) & (F.col("a.address") != F.col("b.address")))
     pair = pair.select(F.col("a.address").alias("address"), F.col("b.address").alias("other"), F.col("a.day").alias("day"), F.col("a.at").alias("at"), F.col("a.v").alias("x"), F.col("b.v").alias("y"))
     if ranked:
-        from pyspark.sql import Window
-
         place = lambda c: F.row_number().over(Window.partitionBy("address", "other", "day").orderBy(c, "at")).cast("double")
         pair = pair.withColumns({"x": place("x"), "y": place("y")})
     by = pair.groupBy("address", "other", "day").agg(F.expr("try_divide(covar_pop(x, y), stddev_pop(x) * stddev_pop(y))").alias("c"), F.count(F.lit(1)).alias("n")).where("n >= 3 AND c IS NOT NULL")

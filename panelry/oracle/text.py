@@ -8,6 +8,8 @@ from ..sources.fixtures import PANEL_SQL
 
 #: Weeks of the dense panel over the given tables, at every scale.
 WEEKS = 357
+#: Days of the daily panel of ticks.
+DAYS = 30
 
 
 def layered(source: str, layers: list[dict[str, str]], last: str = "layered") -> str:
@@ -20,8 +22,8 @@ def layered(source: str, layers: list[dict[str, str]], last: str = "layered") ->
     return ", ".join(parts)
 
 
-def factor_sql(name: str, digits: int = 4) -> str:
-    return f"WITH {PANEL_SQL}, {layered('panel', FACTORS[name].all_layers(WEEKS))} SELECT address, time, round({name}__f, {digits}) + 0e0 AS {name} FROM layered"
+def factor_sql(name: str, panel: str = PANEL_SQL, times: int = WEEKS, digits: int = 4) -> str:
+    return f"WITH {panel}, {layered('panel', FACTORS[name].all_layers(times))} SELECT address, time, round({name}__f, {digits}) + 0e0 AS {name} FROM layered"
 
 
 #: Features that the formula and scoring queries work on.

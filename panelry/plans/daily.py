@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,11 +31,112 @@ def _layers(source: str, layers: list[dict[str, str]], last: str) -> str:
 _MINUTE_SQL = f"{_MAIN_SQL}, {_layers('main', tk.MINUTE, 'minutes')}"
 _DAILY_SQL = f"{_MINUTE_SQL}, days AS (SELECT address, day, {', '.join(f'{tk.duck_form(x)} AS {c}' for c, x in tk.DAILY.items())} FROM minutes GROUP BY address, day), {_layers('days', tk.DERIVED, 'daily')}"
 
+# the bars of five minutes, their returns inside a day, and all returns of twenty days pooled
+_SKEW_SQL = """sk_bars AS (SELECT address, day, time_bucket(INTERVAL '5 minutes', datetime) AS bar, arg_max(close, datetime) AS close FROM main GROUP BY ALL),
+sk_rets AS (SELECT address, day, close / nullif(lag(close) OVER (PARTITION BY address, day ORDER BY bar), 0e0) - 1 AS r FROM sk_bars), sk_days AS (SELECT address, day, row_number() OVER (PARTITION BY address ORDER BY day) AS k FROM sk_rets WHERE r IS NOT NULL GROUP BY address, day),
+sk_pool AS (SELECT d.address, d.day, r.r FROM sk_days d JOIN sk_days e ON e.address = d.address AND e.k BETWEEN d.k - 19 AND d.k JOIN sk_rets r ON r.address = e.address AND r.day = e.day WHERE r.r IS NOT NULL),
+skews AS (SELECT address, day, avg(pow((r - mu) / sd, 3)) AS ret_skew FROM (SELECT *, avg(r) OVER w AS mu, stddev_pop(r) OVER w AS sd, count(*) OVER w AS n FROM sk_pool WINDOW w AS (PARTITION BY address, day)) WHERE n >= 10 AND sd > 1e-12 GROUP BY address, day)"""
+_TIDE_SQL = """td0 AS (SELECT *, sum(volume) OVER (PARTITION BY address, day ORDER BY datetime ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS tide FROM minutes), td1 AS (SELECT *, first_value(i) OVER (PARTITION BY address, day ORDER BY tide DESC, i) AS peak FROM td0),
+td2 AS (SELECT address, day, arg_min(i, tide * 10000 + i) FILTER (i < peak AND i >= 5) AS mi, arg_min(close, tide * 10000 + i) FILTER (i < peak AND i >= 5) AS mc, arg_min(i, tide * 10000 + i) FILTER (i > peak) AS ni, arg_min(close, tide * 10000 + i) FILTER (i > peak) AS nc FROM td1 GROUP BY address, day),
+tides AS (SELECT address, day, (nc - mc) / nullif(mc, 0e0) / (ni - mi) AS tide_speed FROM td2)"""
+_CROWD_SQL = """cw0 AS (SELECT address, day, crowd, row_number() OVER (PARTITION BY address ORDER BY day) AS k FROM daily WHERE crowd IS NOT NULL),
+cw1 AS (SELECT a.address, a.day, b.day AS at, b.crowd AS v FROM cw0 a JOIN cw0 b ON a.address = b.address AND b.k BETWEEN a.k - 19 AND a.k), cw2 AS (SELECT a.address, b.address AS other, a.day, row_number() OVER (PARTITION BY a.address, b.address, a.day ORDER BY a.v, a.at)::DOUBLE AS x, row_number() OVER (PARTITION BY a.address, b.address, a.day ORDER BY b.v, a.at)::DOUBLE AS y
+FROM cw1 a JOIN cw1 b ON a.day = b.day AND a.at = b.at AND a.address <> b.address), cw3 AS (SELECT address, other, day, covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0e0) AS c, count(*) AS n FROM cw2 GROUP BY ALL),
+crowds AS (SELECT address, day, avg(abs(c)) AS follow_crowd FROM cw3 WHERE n >= 3 AND c IS NOT NULL GROUP BY address, day)"""
+#: Minutes of a bar in which addresses are compared; the given ticks are too sparse for single minutes.
+GOOSE = 240
+_GOOSE_SQL = f"""gs0 AS (SELECT address, day, time_bucket(INTERVAL '{GOOSE} minutes', datetime) AS bar, arg_max(close, datetime) AS close, sum(volume * close) AS turnover FROM main GROUP BY ALL), gs1 AS (SELECT *, close / nullif(lag(close) OVER (PARTITION BY address, day ORDER BY bar), 0e0) - 1 AS r FROM gs0),
+gs2 AS (SELECT day, bar, stddev_samp(r) AS d FROM gs1 GROUP BY day, bar HAVING stddev_samp(r) IS NOT NULL), gs3 AS (SELECT day, bar FROM gs2 QUALIFY d < avg(d) OVER (PARTITION BY day)), gs4 AS (SELECT gs1.* FROM gs1 JOIN gs3 USING (day, bar)),
+gs5 AS (SELECT a.day, a.address, b.address AS other, abs(covar_pop(a.turnover, b.turnover) / nullif(stddev_pop(a.turnover) * stddev_pop(b.turnover), 0e0)) AS c, count(*) AS n FROM gs4 a JOIN gs4 b ON a.day = b.day AND a.bar = b.bar AND a.address <> b.address GROUP BY ALL),
+geese AS (SELECT address, day, avg(c) AS lone_goose FROM gs5 WHERE n >= 3 AND c IS NOT NULL GROUP BY address, day)"""
+_PAIRS_SQL = "pairs AS (SELECT product_id || '.' || exchange AS address, day AS time, max(last_close) FILTER (place = 1) AS F1_close, max(last_close) FILTER (place = 2) AS F2_close, max(symbol) FILTER (place = 1) AS F1_symbol, max(symbol) FILTER (place = 2) AS F2_symbol FROM placed WHERE place <= 2 GROUP BY ALL HAVING count(*) = 2)"
+_EXPIRY_SQL = """exp0 AS (SELECT *, make_date(2000 + F1_symbol[-4:-3]::INT, F1_symbol[-2:]::INT, 15) AS e1, make_date(2000 + F2_symbol[-4:-3]::INT, F2_symbol[-2:]::INT, 15) AS e2 FROM pairs),
+expiries AS (SELECT address, time, greatest(date_diff('day', time, e1), 1)::INT AS days_to_expiry, greatest(abs(date_diff('day', e1, e2)), 1)::INT AS expiry_gap FROM exp0)"""
+
+#: Columns of the daily panel by producer.
+TICK_DAILY = ("open", "high", "low", "close", "volume", "twap", "vwap_dev", "twap_dev", "oi_change", "vol_skew", "vol_conc", "smart_money", "intraday_rsi", "buy_ratio", "dazzle_ret", "vol_ratio", "inflection_ratio", "large_order_ret", "vsp_position", "price_oi_corr", "jump_ratio", "cvar_5pct", "ret_vol_cov", "amb_vol_corr", "hurst", "flow_in_ratio", "tgd", "net_support_vol")
+TICK_MORE = ("ret_skew", "tide_speed", "follow_crowd", "lone_goose", "f1_close", "f2_close", "days_to_expiry", "expiry_gap")
+
+
+def tick_panel(spark: SparkSession, sf_dir: str, wanted: Iterable[str] = (*TICK_DAILY, *TICK_MORE, "spot")) -> DataFrame:
+    """The dense daily panel of the main contracts with the wanted columns, each from its producer over the ticks.
+
+    Only the producers of wanted columns run.  ``spot`` is the mean price.
+    """
+    wanted = [c for c in dict.fromkeys("twap" if c == "spot" else c for c in wanted)]
+    t = fixtures.ticks(spark, sf_dir)
+    columns = tk.daily_columns(t)
+    out = columns.select("address", F.col("day").alias("time"), *[F.col(c).cast("double").alias(c) for c in wanted if c in TICK_DAILY])
+    by_day = {"ret_skew": lambda: tk.ret_skew(t), "tide_speed": lambda: tk.tide_speed(t), "follow_crowd": lambda: tk.pair_mean(columns, "crowd").withColumnRenamed("value", "follow_crowd"), "lone_goose": lambda: tk.lone_goose(t, GOOSE)}
+    for c in wanted:
+        if c in by_day:
+            out = out.join(by_day[c]().withColumnRenamed("day", "time"), ["address", "time"], "left")
+    if {"f1_close", "f2_close", "days_to_expiry", "expiry_gap"} & set(wanted):
+        pairs = pn.secondary_contracts(t)
+        curve = pn.expiry_features(pairs).select("address", "time", F.col("F1_close").alias("f1_close"), F.col("F2_close").alias("f2_close"), F.col("days_to_expiry").cast("double").alias("days_to_expiry"), F.col("expiry_gap").cast("double").alias("expiry_gap"))
+        out = out.join(curve, ["address", "time"], "left")
+    dense = pn.densify(out, wanted)
+    return dense.withColumn("spot", F.col("twap")) if "twap" in wanted else dense
+
+
+TICK_PANEL_SQL = f"""{_DAILY_SQL}, {_SKEW_SQL}, {_TIDE_SQL}, {_CROWD_SQL}, {_GOOSE_SQL}, {_PAIRS_SQL}, {_EXPIRY_SQL},
+tk_all AS (SELECT d.address, d.day AS time, {", ".join(f"d.{c}::DOUBLE AS {c}" for c in TICK_DAILY)}, ret_skew, tide_speed, follow_crowd, lone_goose, p.F1_close AS f1_close, p.F2_close AS f2_close, e.days_to_expiry::DOUBLE AS days_to_expiry, e.expiry_gap::DOUBLE AS expiry_gap FROM daily d
+  LEFT JOIN skews s ON s.address = d.address AND s.day = d.day LEFT JOIN tides t ON t.address = d.address AND t.day = d.day LEFT JOIN crowds c ON c.address = d.address AND c.day = d.day LEFT JOIN geese g ON g.address = d.address AND g.day = d.day
+  LEFT JOIN pairs p ON p.address = d.address AND p.time = d.day LEFT JOIN expiries e ON e.address = d.address AND e.time = d.day),
+tk_grid AS (SELECT address, time FROM (SELECT DISTINCT address FROM tk_all) CROSS JOIN (SELECT DISTINCT time FROM tk_all)),
+panel AS (SELECT *, twap AS spot FROM (SELECT address, time, {", ".join(f"coalesce(last_value({c} IGNORE NULLS) OVER w, 0e0) AS {c}" for c in (*TICK_DAILY, *TICK_MORE))} FROM tk_grid LEFT JOIN tk_all USING (address, time) WINDOW w AS (PARTITION BY address ORDER BY time ROWS UNBOUNDED PRECEDING)))"""
+
+# member positions by week, and an indicator of orders as warehouse stock
+_MEMBERS_SQL = """mem AS (SELECT address, time, l_suppkey AS member, sum(CASE l_returnflag WHEN 'A' THEN l_quantity ELSE 0e0 END) AS long_oi, sum(CASE l_returnflag WHEN 'R' THEN l_quantity ELSE 0e0 END) AS short_oi FROM priced GROUP BY ALL),
+mem_t AS (SELECT *, sum(long_oi) OVER (PARTITION BY address, time) AS total FROM mem),
+mem_all AS (SELECT address, time, sum(long_oi) - sum(short_oi) AS member_ls, CASE WHEN max(total) <= 0 OR count(*) <= 1 THEN 0e0 ELSE stddev_samp(long_oi / nullif(total, 0e0)) END AS long_conc_std, CASE WHEN sum(short_oi) <= 0 OR count(*) <= 1 THEN 0e0 ELSE sum(short_oi * short_oi) / nullif(sum(short_oi), 0e0) END AS short_weighted FROM mem_t GROUP BY address, time)"""
+_LEVELS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+_STOCK_SQL = "edb AS (" + " UNION ALL ".join(f"SELECT 'A{k:02d}.X' AS address, date_trunc('week', o_orderdate)::DATE AS time, sum(o_totalprice) AS value FROM orders WHERE o_orderpriority = '{v}' GROUP BY 2" for k, v in enumerate(_LEVELS[:4])) + ")"
+# a calendar of mean lunations: months of 29.530588 days from 31 January 1900 on, years of 365.2422
+_LUNAR = {"l": "floor(e / 29.530588e0)", "y": "floor((e + 1) / 365.2422e0)"}
+_CALENDAR_SQL = """cal0 AS (SELECT time, (date_diff('day', DATE '1900-01-31', time))::DOUBLE AS e FROM (SELECT DISTINCT time FROM edb)),
+cal AS (SELECT time, floor((e + 1) / 365.2422e0)::INT AS lunar_year, (floor(e / 29.530588e0) - ceil(floor((e + 1) / 365.2422e0) * 365.2422e0 / 29.530588e0) + 1)::INT AS lunar_month, (floor(e - floor(e / 29.530588e0) * 29.530588e0) + 1)::INT AS lunar_day FROM cal0)"""
+_YOY_SQL = f"""{_CALENDAR_SQL}, yd AS (SELECT e.address, e.time, e.value, c.lunar_year, c.lunar_month, c.lunar_day FROM edb e JOIN cal c USING (time) WHERE value > 0),
+yp AS (SELECT address, lunar_year, lunar_month, lunar_day, arg_max(value, time) AS before FROM yd GROUP BY ALL),
+yc AS (SELECT d.address, d.time, d.value, abs(p.lunar_day - d.lunar_day) AS away, p.before FROM yd d JOIN yp p ON p.address = d.address AND p.lunar_month = d.lunar_month AND d.lunar_year - p.lunar_year BETWEEN 1 AND 2 AND abs(p.lunar_day - d.lunar_day) <= 3),
+yoys AS (SELECT address, time, max(value) / avg(before) - 1 AS inv_lunar_yoy FROM (SELECT *, min(away) OVER (PARTITION BY address, time) AS least FROM yc) WHERE away = least GROUP BY address, time)"""
+
+
+def stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(address, time, value): the weekly orders of four priorities as an indicator table, unpivoted."""
+    wide = fixtures.table(spark, sf_dir, "orders").groupBy(F.to_date(F.date_trunc("week", "o_orderdate")).alias("time")).agg(*[F.sum(F.when(F.col("o_orderpriority") == v, F.col("o_totalprice"))).alias(f"i{k}") for k, v in enumerate(_LEVELS)])
+    return io.unpivot_edb(wide, {f"i{k}": f"A{k:02d}.X" for k in range(4)})
+
+
+def calendar(times: DataFrame) -> DataFrame:
+    """(time, lunar_year, lunar_month, lunar_day) of mean lunations, in place of a calendar table."""
+    e = F.datediff("time", F.lit("1900-01-31").cast("date")).cast("double")
+    moon, year = F.floor(e / 29.530588), F.floor((e + 1) / 365.2422)
+    return times.select("time").distinct().select("time", year.cast("int").alias("lunar_year"), (moon - F.ceil(year * F.lit(365.2422) / 29.530588) + 1).cast("int").alias("lunar_month"), (F.floor(e - moon * F.lit(29.530588)) + 1).cast("int").alias("lunar_day"))
+
+
+def member_panel(spark: SparkSession, sf_dir: str, wanted: Iterable[str] = ("member_ls", "long_conc_std", "short_weighted", "warehouse", "inv_lunar_yoy")) -> DataFrame:
+    """The weekly panel with the wanted of member positions, stock and its lunar comparison joined as caches."""
+    mem = io.member_interest(fixtures.table(spark, sf_dir, "lineitem"))
+    value = lambda df, c: df.select("address", "time", F.col(c).alias("value"))
+    kept = stock(spark, sf_dir)
+    caches = {
+        "member_ls": lambda: value(io.member_long_short(mem), "ls_raw"), "long_conc_std": lambda: value(io.member_concentration(mem), "long_conc_std"), "short_weighted": lambda: value(io.member_short_weighted(mem), "short_weighted"),
+        "warehouse": lambda: kept, "inv_lunar_yoy": lambda: value(pn.inv_lunar_yoy(kept, calendar(kept)), "inv_lunar_yoy"),
+    }
+    return io.join_caches(fixtures.panel(spark, sf_dir), {c: caches[c]() for c in caches if c in set(wanted)})
+
+
+_CACHES = ("member_ls", "long_conc_std", "short_weighted", "warehouse", "inv_lunar_yoy")
+MEMBER_PANEL_SQL = f"""{fixtures.PANEL_SQL.replace("panel AS (", "plain AS (")}, {_MEMBERS_SQL}, {_STOCK_SQL}, {_YOY_SQL},
+cached AS (SELECT p.*, m.member_ls AS q0, m.long_conc_std AS q1, m.short_weighted AS q2, e.value AS q3, y.inv_lunar_yoy AS q4 FROM plain p LEFT JOIN mem_all m USING (address, time) LEFT JOIN edb e USING (address, time) LEFT JOIN yoys y USING (address, time)),
+panel AS (SELECT * EXCLUDE (q0, q1, q2, q3, q4), {", ".join(f"coalesce(last_value(q{i} IGNORE NULLS) OVER w, 0e0) AS {c}" for i, c in enumerate(_CACHES))} FROM cached WINDOW w AS (PARTITION BY address ORDER BY time ROWS UNBOUNDED PRECEDING))"""
+
 #: Query name, columns of the daily table, digits.
 COLUMNS = {
     "t1_vwap": (["vwap", "vwap_dev"], 6), "t2_oi_change": (["oi_change", "total_oi"], 6), "t3_vol_skew": (["am_volume", "pm_volume", "vol_skew"], 2), "t4_vol_conc": (["max_30min_vol", "vol_conc"], 6), "t5_smart_money": (["last_hour", "first_hour", "smart_money"], 1),
     "t6_twap": (["twap", "twap_dev"], 6), "t7_vsp_position": (["vsp_position"], 6), "t8_buy_ratio": (["buy_ratio"], 6), "t9_large_order_ret": (["large_order_ret"], 6), "t10_intraday_rsi": (["intraday_rsi"], 6), "t11_vol_ratio": (["vol_ratio"], 6), "t12_inflection_ratio": (["inflection_ratio"], 6), "t13_flow_in_ratio": (["flow_in_ratio"], 6),
-    "h3_tgd": (["tgd"], 4), "h4_net_support_vol": (["net_support_vol"], 6), "h5_ret_skew": (["ret_skew"], 4), "h10_jump_ratio": (["jump_ratio"], 6), "h11_cvar_5pct": (["cvar_5pct"], 6), "h12_ret_vol_cov": (["ret_vol_cov"], 4), "h13_amb_vol_corr": (["amb_vol_corr"], 5), "h16_dazzle_ret": (["dazzle_ret"], 6), "h17_hurst": (["hurst"], 6), "h18_price_oi_corr": (["price_oi_corr"], 6),
+    "h3_tgd": (["tgd"], 4), "h4_net_support_vol": (["net_support_vol"], 6), "h10_jump_ratio": (["jump_ratio"], 6), "h11_cvar_5pct": (["cvar_5pct"], 6), "h12_ret_vol_cov": (["ret_vol_cov"], 4), "h13_amb_vol_corr": (["amb_vol_corr"], 5), "h16_dazzle_ret": (["dazzle_ret"], 6), "h17_hurst": (["hurst"], 6), "h18_price_oi_corr": (["price_oi_corr"], 6),
 }
 
 
@@ -48,21 +149,13 @@ def register(add: Callable, rounded: Callable) -> None:
 
     for name, (columns, digits) in COLUMNS.items():
         add(name, daily(columns, digits), f"WITH {_DAILY_SQL} SELECT address, day, {', '.join(f'round({c}::DOUBLE, {digits}) + 0e0 AS {c}' for c in columns)} FROM daily")
-    add(
-        "h1_tide_speed", lambda s, d: tk.tide_speed(ticks(s, d)).select("address", "day", rounded("tide_speed").alias("tide_speed")),
-        f"""WITH {_MINUTE_SQL}, a AS (SELECT *, sum(volume) OVER (PARTITION BY address, day ORDER BY datetime ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS tide FROM minutes), b AS (SELECT *, first_value(i) OVER (PARTITION BY address, day ORDER BY tide DESC, i) AS peak FROM a),
-        c AS (SELECT address, day, arg_min(i, tide * 10000 + i) FILTER (i < peak AND i >= 5) AS mi, arg_min(close, tide * 10000 + i) FILTER (i < peak AND i >= 5) AS mc, arg_min(i, tide * 10000 + i) FILTER (i > peak) AS ni, arg_min(close, tide * 10000 + i) FILTER (i > peak) AS nc FROM b GROUP BY address, day)
-        SELECT address, day, round((nc - mc) / nullif(mc, 0e0) / (ni - mi), 6) + 0e0 AS tide_speed FROM c""",
-    )
+    add("h1_tide_speed", lambda s, d: tk.tide_speed(ticks(s, d)).select("address", "day", rounded("tide_speed").alias("tide_speed")), f"WITH {_MINUTE_SQL}, {_TIDE_SQL} SELECT address, day, round(tide_speed, 6) + 0e0 AS tide_speed FROM tides")
     add("h2_shading_tree", lambda s, d: tk.shading_tree(ticks(s, d)))
+    add("h5_ret_skew", lambda s, d: tk.ret_skew(ticks(s, d)).select("address", "day", rounded("ret_skew", 4).alias("ret_skew")), f"WITH {_MAIN_SQL}, {_SKEW_SQL} SELECT address, day, round(ret_skew, 4) + 0e0 AS ret_skew FROM skews")
+    add("h6_inv_lunar_yoy", lambda s, d: pn.inv_lunar_yoy(stock(s, d), calendar(stock(s, d))).select("address", "time", rounded("inv_lunar_yoy").alias("inv_lunar_yoy")), f"WITH {_STOCK_SQL}, {_YOY_SQL} SELECT address, time, round(inv_lunar_yoy, 6) + 0e0 AS inv_lunar_yoy FROM yoys")
     add("h19_morning_fog", lambda s, d: tk.morning_fog(ticks(s, d)))
-    add("h14_follow_crowd", lambda s, d: tk.pair_mean(tk.daily_columns(ticks(s, d)), "crowd").select("address", "day", rounded("value").alias("follow_crowd")), f"""WITH {_DAILY_SQL}, v AS (SELECT address, day, crowd, row_number() OVER (PARTITION BY address ORDER BY day) AS k FROM daily WHERE crowd IS NOT NULL),
-        l AS (SELECT a.address, a.day, b.day AS at, b.crowd AS v FROM v a JOIN v b ON a.address = b.address AND b.k BETWEEN a.k - 19 AND a.k), p AS (SELECT a.address, b.address AS other, a.day, row_number() OVER (PARTITION BY a.address, b.address, a.day ORDER BY a.v, a.at)::DOUBLE AS x, row_number() OVER (PARTITION BY a.address, b.address, a.day ORDER BY b.v, a.at)::DOUBLE AS y
-        FROM l a JOIN l b ON a.day = b.day AND a.at = b.at AND a.address <> b.address), c AS (SELECT address, other, day, covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0e0) AS c, count(*) AS n FROM p GROUP BY ALL)
-        SELECT address, day, round(avg(abs(c)), 6) + 0e0 AS follow_crowd FROM c WHERE n >= 3 AND c IS NOT NULL GROUP BY address, day""")
-    add("h15_lone_goose", lambda s, d: tk.pair_mean(tk.daily_columns(ticks(s, d)), "turnover", ranked=False).select("address", "day", rounded("value", 5).alias("lone_goose")), f"""WITH {_DAILY_SQL}, v AS (SELECT address, day, turnover, row_number() OVER (PARTITION BY address ORDER BY day) AS k FROM daily WHERE turnover IS NOT NULL),
-        l AS (SELECT a.address, a.day, b.day AS at, b.turnover AS v FROM v a JOIN v b ON a.address = b.address AND b.k BETWEEN a.k - 19 AND a.k), p AS (SELECT a.address, b.address AS other, a.day, a.v AS x, b.v AS y FROM l a JOIN l b ON a.day = b.day AND a.at = b.at AND a.address <> b.address),
-        c AS (SELECT address, other, day, covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0e0) AS c, count(*) AS n FROM p GROUP BY ALL) SELECT address, day, round(avg(abs(c)), 5) + 0e0 AS lone_goose FROM c WHERE n >= 3 AND c IS NOT NULL GROUP BY address, day""")
+    add("h14_follow_crowd", lambda s, d: tk.pair_mean(tk.daily_columns(ticks(s, d)), "crowd").select("address", "day", rounded("value").alias("follow_crowd")), f"WITH {_DAILY_SQL}, {_CROWD_SQL} SELECT address, day, round(follow_crowd, 6) + 0e0 AS follow_crowd FROM crowds")
+    add("h15_lone_goose", lambda s, d: tk.lone_goose(ticks(s, d), GOOSE).select("address", "day", rounded("lone_goose", 5).alias("lone_goose")), f"WITH {_MAIN_SQL}, {_GOOSE_SQL} SELECT address, day, round(lone_goose, 5) + 0e0 AS lone_goose FROM geese")
     members = f"{fixtures.BARS_SQL}, mem AS (SELECT address, time, l_suppkey AS member, sum(CASE l_returnflag WHEN 'A' THEN l_quantity ELSE 0e0 END) AS long_oi, sum(CASE l_returnflag WHEN 'R' THEN l_quantity ELSE 0e0 END) AS short_oi FROM priced GROUP BY ALL)"
     mem = lambda s, d: io.member_interest(table(s, d, "lineitem"))
     add("h7_member_ls_raw", lambda s, d: io.member_long_short(mem(s, d)).select("address", "time", rounded("ls_raw").alias("ls_raw")), f"WITH {members} SELECT address, time, round(sum(long_oi) - sum(short_oi), 6) + 0e0 AS ls_raw FROM mem GROUP BY address, time")
@@ -71,7 +164,7 @@ def register(add: Callable, rounded: Callable) -> None:
 
     add("p1_densify", lambda s, d: pn.densify(fixtures.bars(s, d), ["close", "volume"]).select("address", "time", rounded("close", 8).alias("close"), rounded("volume", 4).alias("volume")), f"WITH {fixtures.PANEL_SQL} SELECT address, time, round(close, 8) + 0e0 AS close, round(volume, 4) + 0e0 AS volume FROM dense")
     add("p2_main_contract", lambda s, d: pn.main_contract(ticks(s, d)).select("product_id", "exchange", "day", "symbol", rounded("avg_oi").alias("avg_oi")), f"WITH {_MAIN_SQL} SELECT product_id, exchange, day, symbol, round(avg_oi, 6) + 0e0 AS avg_oi FROM placed WHERE place = 1")
-    pairs = f"{_MAIN_SQL}, pairs AS (SELECT product_id || '.' || exchange AS address, day AS time, max(last_close) FILTER (place = 1) AS F1_close, max(last_close) FILTER (place = 2) AS F2_close, max(symbol) FILTER (place = 1) AS F1_symbol, max(symbol) FILTER (place = 2) AS F2_symbol FROM placed WHERE place <= 2 GROUP BY ALL HAVING count(*) = 2)"
+    pairs = f"{_MAIN_SQL}, {_PAIRS_SQL}"
     add("p3_secondary_contracts", lambda s, d: pn.secondary_contracts(ticks(s, d)).withColumns({"F1_close": rounded("F1_close"), "F2_close": rounded("F2_close")}), f"WITH {pairs} SELECT * REPLACE (round(F1_close, 6) + 0e0 AS F1_close, round(F2_close, 6) + 0e0 AS F2_close) FROM pairs")
     add(
         "p4_expiry_features", lambda s, d: pn.expiry_features(pn.secondary_contracts(ticks(s, d))).select("address", "time", "days_to_expiry", "expiry_gap"),
@@ -91,6 +184,23 @@ def register(add: Callable, rounded: Callable) -> None:
     add("p12_open_to_open_return", lambda s, d: pn.open_to_open_return(fixtures.panel(s, d)).select("address", "time", rounded("oto_ret").alias("oto_ret")), f"WITH {fixtures.PANEL_SQL} SELECT address, time, round(coalesce((lead(open, 2) OVER w - lead(open, 1) OVER w) / (lead(open, 1) OVER w + 1e-6), 0e0), 6) + 0e0 AS oto_ret FROM panel WINDOW w AS (PARTITION BY address ORDER BY time)")
 
     # sources
+    def appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Half of the ticks, then all of them, into one folder: the second append adds what is later."""
+        path, all_ = io.new_folder(spark, "ticks"), ticks(spark, sf_dir)
+        io.append_ticks(spark, all_.where("datetime < '2024-01-16'"), path)
+        io.append_ticks(spark, all_, path)
+        return io.read_ticks(spark, path).select("symbol", "datetime", rounded("close").alias("close"), "volume", F.col("day").cast("date").alias("day"))
+
+    def written(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Bars as JSON, and read back."""
+        path = io.new_folder(spark, "results")
+        rows = fixtures.bars(spark, sf_dir).select("address", "time", rounded("close", 8).alias("close"))
+        io.write_results(rows, path)
+        return spark.read.schema(rows.schema).json(path)
+
+    add("io3_join_caches", lambda s, d: member_panel(s, d).select("address", "time", *[rounded(c, 5).alias(c) for c in _CACHES]), f"WITH {MEMBER_PANEL_SQL} SELECT address, time, {', '.join(f'round({c}, 5) + 0e0 AS {c}' for c in _CACHES)} FROM panel")
+    add("io5_append_ticks", appended, f"WITH {fixtures.TICKS_SQL} SELECT symbol, datetime, round(close, 6) + 0e0 AS close, volume, datetime::DATE AS day FROM ticks")
+    add("io15_write_results", written, f"WITH {fixtures.BARS_SQL} SELECT address, time, round(close, 8) + 0e0 AS close FROM bars")
     add("io1_read_ticks", lambda s, d: io.select_ticks(ticks(s, d), products=["click", "view"], start="2024-01-05", end="2024-01-20").select("symbol", "datetime", rounded("close").alias("close"), "volume"), f"WITH {fixtures.TICKS_SQL} SELECT symbol, datetime, round(close, 6) + 0e0 AS close, volume FROM ticks WHERE product_id IN ('click', 'view') AND datetime >= TIMESTAMP '2024-01-05' AND datetime < TIMESTAMP '2024-01-20'")
     add("io2_read_bars", lambda s, d: io.bars_of_known(fixtures.bars(s, d), fixtures.bars(s, d).groupBy("address").agg(F.sum("volume").alias("v")).where("v > 1000").select("address")).select("address", "time", rounded("close", 8).alias("close")), f"WITH {fixtures.BARS_SQL} SELECT address, time, round(close, 8) + 0e0 AS close FROM bars WHERE address IN (SELECT address FROM bars GROUP BY address HAVING sum(volume) > 1000)")
     add("io4_list_products", lambda s, d: io.list_products(ticks(s, d), 3), f"WITH {fixtures.TICKS_SQL} SELECT product_id, exchange, count(*) AS n FROM ticks GROUP BY ALL ORDER BY n DESC, product_id LIMIT 3")

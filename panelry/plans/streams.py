@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..sources import fixtures, io
 from ..streaming import bars as sb
 from ..streaming import positions as sp
+from . import trading
 
 
 def _shared(spark: SparkSession) -> str:
@@ -40,3 +41,15 @@ def register(add: Callable, rounded: Callable) -> None:
     add("st3_stream_daily", lambda s, d: _run(s, sb.daily(_ticks(s, d))))
     add("st4_position_monitor", lambda s, d: _run(s, prices(s, d)))
     add("st6_sessions", lambda s, d: _run(s, sb.sessions(_ticks(s, d), "2 hours")))
+
+    def learned(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Quarters as files, eight to a batch, into the table of weights."""
+        folder = _shared(spark)
+        trading.panel_by_quarter(spark, sf_dir).repartitionByRange(32, "period").sortWithinPartitions("period").write.parquet(f"{folder}/in")
+        schema = "formula_id string, period date, pnl double"
+        # file names are in order of the periods, and so are the batches
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(f"{folder}/in")
+        sb.learn_weights(stream, trading.parameter_runs(spark).where("strategy = 'mwu' AND eta IS NULL"), folder, f"{folder}/checkpoint").awaitTermination()
+        return spark.read.parquet(f"{folder}/weights").select("period", "formula_id", rounded("weight").alias("weight"))
+
+    add("st5_online_weights", learned, trading.MWU_QUERY)

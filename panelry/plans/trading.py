@@ -85,6 +85,9 @@ mwu AS (
 )"""
 
 
+MWU_QUERY = f"WITH RECURSIVE {sql.positions_sql()}, {_MWU_SQL} SELECT period, formula_id, round(weight, 6) + 0e0 AS weight FROM learned JOIN qi USING (t)"
+
+
 def parameter_runs(spark: SparkSession, lookbacks: tuple[int, ...] = (10,), floors: tuple[float, ...] = (0.01,), etas: tuple[float | None, ...] = (None, 0.3)) -> DataFrame:
     """Runs of learned weights: every mix of the parameters for multiplicative weights, and one with decayed means."""
     rows = [(f"mwu-{k}-{f}-{e or 'rule'}", "mwu", e, f, k, 2) for k in lookbacks for f in floors for e in etas] + [("ema", "ema", None, 0.02, 10, 2)]
@@ -200,7 +203,7 @@ def register(add: Callable, rounded: Callable) -> None:
     add("e10_formula_pnl_panel", lambda s, d: cols(panel_by_quarter(s, d), ["formula_id", "period"], ["pnl"], 8), f"WITH {sql.positions_sql()}, {_QUARTERS_SQL} SELECT formula_id, period, round(pnl, 8) + 0e0 AS pnl FROM qp")
     add(
         "e11_mwu_weights", lambda s, d: cols(en.online_weights(panel_by_quarter(s, d), parameter_runs(s).where(_MWU)), ["period", "formula_id"], ["weight"]),
-        f"WITH RECURSIVE {sql.positions_sql()}, {_MWU_SQL} SELECT period, formula_id, round(weight, 6) + 0e0 AS weight FROM learned JOIN qi USING (t)",
+        MWU_QUERY,
     )
     add("e12_ema_weights", lambda s, d: cols(en.online_weights(panel_by_quarter(s, d), parameter_runs(s).where("run_id = 'ema'")), ["run_id", "period", "formula_id"], ["weight"]))
 

@@ -9,41 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Daily columns that a full tick feed delivers; over ``lineitem`` they are stood in for by these aggregates.
+#: Columns of the weekly panel that ``lineitem`` has no producer for; these aggregates stand in for them.
 STAND_INS = {
-    "vwap_dev": "(sum(l_extendedprice) / sum(l_quantity) - max_by(p, k)) / (max_by(p, k) + 1e-9)",
-    "twap_dev": "(avg(p) - max_by(p, k)) / (max_by(p, k) + 1e-9)",
     "oi_change": "sum(CASE l_returnflag WHEN 'A' THEN l_quantity WHEN 'R' THEN -l_quantity ELSE 0e0 END)",
-    "vol_skew": "sum(CASE WHEN l_linenumber <= 3 THEN l_quantity ELSE 0e0 END) / (sum(CASE WHEN l_linenumber > 3 THEN l_quantity ELSE 0e0 END) + 1e-9)",
-    "vol_conc": "max(l_quantity) / (sum(l_quantity) + 1e-9)",
-    "smart_money": "sum(CASE WHEN l_linenumber >= 5 THEN l_quantity ELSE 0e0 END) / (sum(CASE WHEN l_linenumber = 1 THEN l_quantity ELSE 0e0 END) + 1e-9)",
-    "intraday_rsi": "100 * sum(l_discount) / (sum(l_discount) + sum(l_tax) + 1e-9)",
-    "buy_ratio": "avg(CASE WHEN l_discount > 0.05 THEN 1e0 ELSE 0e0 END)",
-    "vol_ratio": "sum(CASE WHEN l_discount > 0.05 THEN l_quantity ELSE 0e0 END) / (sum(CASE WHEN l_discount <= 0.05 THEN l_quantity ELSE 0e0 END) + 1e0)",
-    "inflection_ratio": "avg(CASE WHEN l_linenumber % 2 = 0 THEN 1e0 ELSE 0e0 END)",
-    "large_order_ret": "avg(CASE WHEN l_quantity >= 40 THEN l_discount - 0.05 ELSE 0e0 END)",
-    "vsp_position": "(max_by(p, l_quantity * 1e9 + l_orderkey) - min(p)) / (max(p) - min(p) + 1e-9)",
-    "flow_in_ratio": "sum(l_extendedprice * (l_discount - 0.05)) / (sum(l_extendedprice) + 1e-9)",
-    "dazzle_ret": "avg(CASE WHEN l_quantity > 30 THEN l_discount - 0.05 ELSE 0e0 END)",
-    "price_oi_corr": "(avg(l_discount * l_quantity) - avg(l_discount) * avg(l_quantity)) / 2",
-    "tide_speed": "(max(p) - min(p)) / (max(p) + 1e-9) / count(l_orderkey)",
-    "ret_vol_cov": "avg(l_discount * l_tax) - avg(l_discount) * avg(l_tax)",
-    "amb_vol_corr": "(avg(l_tax * l_quantity) - avg(l_tax) * avg(l_quantity)) / 2",
-    "lone_goose": "max(l_discount) - min(l_discount)",
     "morning_fog": "max(l_tax) - min(l_tax)",
-    "long_conc_std": "max(l_quantity) / 50e0 - avg(l_quantity) / 50e0",
-    "short_weighted": "sum(l_quantity * l_quantity) / (sum(l_quantity) + 1e-9)",
-    "inv_lunar_yoy": "avg(l_quantity) / 25e0 - 1",
     "shading_tree": "avg(abs(l_discount - 0.05)) * CASE WHEN count(l_orderkey) % 2 = 0 THEN 1 ELSE -1 END",
-    "tgd": "avg(l_linenumber) - 3",
-    "net_support_vol": "sum(CASE WHEN l_tax < 0.04 THEN l_quantity ELSE -l_quantity END) / (sum(l_quantity) + 1e-9)",
-    "jump_ratio": "1 - min(l_quantity) / max(l_quantity)",
-    "hurst": "(max(p) - min(p)) / (avg(p) + 1e-9)",
-    "cvar_5pct": "min(l_discount) - 0.05",
-    "follow_crowd": "avg(CASE WHEN l_linenumber < 3 THEN l_discount ELSE -l_discount END)",
-    "ret_skew": "avg((l_discount - 0.05) * (l_discount - 0.05) * (l_discount - 0.05)) * 1e4",
-    "member_ls": "sum(CASE l_returnflag WHEN 'A' THEN l_quantity WHEN 'R' THEN -l_quantity ELSE 0e0 END) / 2",
-    "warehouse": "sum(CASE WHEN l_linestatus = 'O' THEN l_quantity ELSE 0e0 END) + 1e0",
 }
 
 
@@ -117,7 +87,7 @@ PANEL = ("open", "high", "low", "close", "volume", "liquidity", "fdv", "twap", *
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The dense panel: every address at every time, gaps filled forward, then with zero; derived curve columns."""
+    """The dense panel: every address at every time, gaps filled forward, then with zero; and total open interest."""
     from ..operators.panel import densify
 
     dense = densify(bars(spark, sf_dir), PANEL)
@@ -125,8 +95,6 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.withColumns(
         {
             "total_oi": F.sum("oi_change").over(by.rowsBetween(Window.unboundedPreceding, 0)) + 10000,
-            "f1_close": F.col("close"), "f2_close": F.col("twap"), "spot": (F.col("high") + F.col("low")) / 2,
-            "days_to_expiry": (F.dayofmonth("time") + 5).cast("double"), "expiry_gap": (F.month("time") * 5 + 20).cast("double"),
         }
     )
 
@@ -142,6 +110,10 @@ PANEL_SQL = f"""{BARS_SQL}, grid AS (
   SELECT address, time, {", ".join(f"coalesce(last_value({c} IGNORE NULLS) OVER w, 0e0) AS {c}" for c in PANEL)}
   FROM grid LEFT JOIN bars USING (address, time) WINDOW w AS (PARTITION BY address ORDER BY time ROWS UNBOUNDED PRECEDING)
 ), panel AS (
-  SELECT *, sum(oi_change) OVER (PARTITION BY address ORDER BY time ROWS UNBOUNDED PRECEDING) + 10000 AS total_oi, close AS f1_close, twap AS f2_close,
-    (high + low) / 2 AS spot, (day(time) + 5)::DOUBLE AS days_to_expiry, (month(time) * 5 + 20)::DOUBLE AS expiry_gap FROM dense
+  SELECT *, sum(oi_change) OVER (PARTITION BY address ORDER BY time ROWS UNBOUNDED PRECEDING) + 10000 AS total_oi FROM dense
 )"""
+
+
+def days(spark: SparkSession, sf_dir: str) -> int:
+    """How many times the daily panel of ticks has."""
+    return table(spark, sf_dir, "events").select(F.countDistinct(F.to_date("ts"))).first()[0]

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.ensemble import online_weights
+
 
 def deduplicated(ticks: DataFrame, late: str = "10 minutes") -> DataFrame:
     """One row a contract and minute, kept in state no longer than the watermark."""
@@ -45,9 +47,22 @@ def to_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def update_weights(stream: DataFrame, apply, checkpoint: str) -> StreamingQuery:
-    """Hand each closed batch of periods to ``apply(frame, batch_id)``, such as a step of learned weights."""
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def learn_weights(stream: DataFrame, runs: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Weights learned as periods close: a stream of (formula_id, period, pnl) into the table ``path``/weights.
+
+    A batch holds whole periods, later than those before.  It is added to the history, one number a formula
+    and period, and the weights after its periods are written under the batch's number, so a batch that is
+    repeated after a failure overwrites what it wrote.
+    """
+
+    def step(frame: DataFrame, number: int) -> None:
+        spark = frame.sparkSession
+        frame.write.mode("overwrite").parquet(f"{path}/history/batch={number}")
+        history = spark.read.parquet(f"{path}/history").where(F.col("batch") <= number).drop("batch")
+        own = spark.read.parquet(f"{path}/history/batch={number}").select("period").distinct()
+        online_weights(history, runs).join(own, "period", "left_semi").write.mode("overwrite").parquet(f"{path}/weights/batch={number}")
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_events(spark: SparkSession, folder: str) -> DataFrame:
