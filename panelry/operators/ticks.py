@@ -38,7 +38,7 @@ DAILY: dict[str, str] = {
     "vsp": "max_by(close, level * 1e6 - close)", "low": "min(low)", "high": "max(high)",
     "buy_ratio": "avg(CASE WHEN close > open THEN 1e0 ELSE 0e0 END)",
     "large_order_ret": "avg(CASE WHEN volume >= p90 THEN ln(close / open) END)",
-    "intraday_rsi": "avg(greatest(dc, 0e0)) / nullif(avg(abs(dc)), 0e0) * 100",
+    "intraday_rsi": "sum(CASE WHEN dc > 0 THEN dc ELSE 0e0 END) / nullif(sum(abs(dc)), 0e0) * 100",
     "vol_ratio": "sum(CASE WHEN close > open THEN volume ELSE 0 END) * 1e0 / nullif(sum(CASE WHEN close <= open THEN volume ELSE 0 END), 0)",
     "inflection_ratio": "avg(CASE WHEN move IS NULL THEN NULL WHEN move < 0 THEN 1e0 ELSE 0e0 END)",
     "flow_in_ratio": "sum(CASE WHEN dc IS NULL THEN NULL ELSE volume * close * sign(dc) END) / nullif(sum(CASE WHEN dc IS NULL THEN NULL ELSE volume * close END), 0)",
