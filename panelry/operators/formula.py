@@ -282,11 +282,16 @@ def candidate(i: int, columns: list[str], length: int = 8, seed: int = 0) -> lis
     return tokens
 
 
-def candidates(spark: SparkSession, n: int, columns: list[str], length: int = 8, seed: int = 0) -> DataFrame:
-    """(formula_id, tokens): ``n`` random legal formulas of fixed length."""
+def candidates_for(rows: DataFrame, columns: list[str], length: int = 8, seed: int = 0) -> DataFrame:
+    """(formula_id, tokens): the random legal formula of each ``id`` of ``rows``."""
 
     def make(frames):
         for frame in frames:
             yield pd.DataFrame([(f"c{i}", candidate(i, columns, length, seed)) for i in frame["id"]], columns=["formula_id", "tokens"])
 
-    return spark.range(n).mapInPandas(make, "formula_id string, tokens array<string>")
+    return rows.select("id").mapInPandas(make, "formula_id string, tokens array<string>")
+
+
+def candidates(spark: SparkSession, n: int, columns: list[str], length: int = 8, seed: int = 0) -> DataFrame:
+    """(formula_id, tokens): ``n`` random legal formulas of fixed length."""
+    return candidates_for(spark.range(n), columns, length, seed)

@@ -138,7 +138,7 @@ def register(add: Callable, rounded: Callable) -> None:
         "o34_migrate_formulas", lambda s, d: fm.migrate_tokens(fixtures.table(s, d, "part").select("p_partkey", F.transform(F.sequence(F.lit(0), (F.col("p_size") % 7).cast("int")), lambda i: ((F.col("p_partkey") + i * 5) % 17).cast("long")).alias("tokens"))).select("p_partkey", F.array_join(F.transform("tokens", lambda t: t.cast("string")), " ").alias("tokens")),
         "SELECT p_partkey, array_to_string(list_transform(range(0, (p_size % 7 + 1)::BIGINT), lambda i: CASE WHEN (p_partkey + i * 5) % 17 >= 6 THEN (p_partkey + i * 5) % 17 + 6 ELSE (p_partkey + i * 5) % 17 END), ' ') AS tokens FROM part",
     )
-    add("o35_formula_candidates", lambda s, d: fm.candidates(s, fixtures.table(s, d, "part").count(), sql.FEATURES).select("formula_id", F.array_join("tokens", " ").alias("tokens")))
+    add("o35_formula_candidates", lambda s, d: fm.candidates_for(fixtures.table(s, d, "part").select(F.col("p_partkey").alias("id")), sql.FEATURES).select("formula_id", F.array_join("tokens", " ").alias("tokens")))
 
     for mode, number in {"sigmoid": 1, "rank": 2, "zscore": 3, "quantile": 4, "long_short": 5, "sign": 6}.items():
         add(
