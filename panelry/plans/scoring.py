@@ -224,7 +224,8 @@ def register(add: Callable, rounded: Callable) -> None:
         runs = signals(s, d).where("formula_id = 'fa'").withColumn("signal", F.col("target_ret"))
         return bt.sharpe(KEYS, bt.portfolio_pnl(bt.net_pnl(bt.position(runs, "rank", KEYS), WEEKLY, KEYS), KEYS), WEEKLY).select("formula_id", rounded("sharpe").alias("sharpe"))
 
-    add("b26_oracle_ceiling", ceiling, "WITH " + sql.PNL_SQL.replace("runs AS (", "runs AS (SELECT * REPLACE (target_ret AS signal) FROM (", 1).replace("HL_RANGE FROM tgt\n)", "HL_RANGE FROM tgt\n) WHERE formula_id = 'fa')", 1) + f", {sql.SHARPE_SQL} SELECT formula_id, round(sharpe, 6) + 0e0 AS sharpe FROM sharpes")
+    future = f"{sql.RUNS_SQL}, future AS (SELECT * REPLACE (target_ret AS signal) FROM runs WHERE formula_id = 'fa')"
+    add("b26_oracle_ceiling", ceiling, f"WITH {future}, {sql.placed_sql(source='future')}, {sql.NETTED_SQL}, {sql.PF_SQL}, {sql.SHARPE_SQL} SELECT formula_id, round(sharpe, 6) + 0e0 AS sharpe FROM sharpes")
     edges = [-0.05, -0.01, 0.0, 0.01, 0.05]
     add("b27_reward_histogram", lambda s, d: bt.reward_histogram(portfolio(s, d), "pnl", edges).select("bin", "n"), f"WITH {sql.PNL_SQL} SELECT {' + '.join(f'(pnl >= {e}e0)::INT' for e in edges)} AS bin, count(*) AS n FROM pf GROUP BY 1")
     add(
