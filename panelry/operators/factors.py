@@ -80,10 +80,10 @@ _one("VOL_TREND", "volume", "_vc", _VC, category="base")
 for _name, _column in {"VWAP_DEV": "vwap_dev", "OI_CHANGE": "oi_change", "VOL_SKEW": "vol_skew", "VOL_CONC": "vol_conc", "SMART_MONEY": "smart_money", "TWAP_DEV": "twap_dev"}.items():
     _one(_name, _column, _column, category="base")
 # Single-asset features: full windows, null before
-_one("SA_RET", "close", f"coalesce(close / lag(close, 1) OVER (PARTITION BY address ORDER BY time) - 1, 0e0)", scaled=False, category="single")  # noqa: F541
-_one("SA_RET5", "close", f"coalesce(close / lag(close, 5) OVER (PARTITION BY address ORDER BY time) - 1, 0e0)", scaled=False, category="single")  # noqa: F541
+_one("SA_RET", "close", f"coalesce(close / nullif(lag(close, 1) OVER (PARTITION BY address ORDER BY time), 0e0) - 1, 0e0)", scaled=False, category="single")  # noqa: F541
+_one("SA_RET5", "close", f"coalesce(close / nullif(lag(close, 5) OVER (PARTITION BY address ORDER BY time), 0e0) - 1, 0e0)", scaled=False, category="single")  # noqa: F541
 _one("SA_VOL_CHG", "volume", f"CASE WHEN _i >= 20 THEN volume / (avg(volume) {over(20)} + 1e-6) - 1 ELSE 0e0 END", _I, scaled=False, category="single")
-_one("SA_V_RET", "close volume", f"_sr * (CASE WHEN _i >= 20 THEN volume / (avg(volume) {over(20)} + 1e-6) ELSE 0e0 END)", _I | {"_sr": "coalesce(close / lag(close, 1) OVER (PARTITION BY address ORDER BY time) - 1, 0e0)"}, scaled=False, category="single")
+_one("SA_V_RET", "close volume", f"_sr * (CASE WHEN _i >= 20 THEN volume / (avg(volume) {over(20)} + 1e-6) ELSE 0e0 END)", _I | {"_sr": "coalesce(close / nullif(lag(close, 1) OVER (PARTITION BY address ORDER BY time), 0e0) - 1, 0e0)"}, scaled=False, category="single")
 _one("SA_TREND", "close", f"CASE WHEN _i >= 60 THEN close / (avg(close) {over(60)} + 1e-6) - 1 ELSE 0e0 END", _I, scaled=False, category="single")
 
 
