@@ -53,7 +53,7 @@ TICKS_SQL = """ticks AS (
 def _priced(rows: DataFrame) -> DataFrame:
     k = F.struct(F.to_date("l_shipdate").alias("d"), "l_orderkey", "l_linenumber", "l_partkey")
     return rows.select(
-        "*", F.concat(F.lit("A"), F.lpad((F.col("l_suppkey") % 20).cast("string"), 2, "0"), F.lit(".X")).alias("address"),
+        "*", F.concat(F.lit("A"), F.lpad(F.col("l_suppkey").cast("string"), 9, "0"), F.lit(".X")).alias("address"),
         F.to_date(F.date_trunc("week", "l_shipdate")).alias("time"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("p"), k.alias("k"),
     )
 
@@ -73,7 +73,7 @@ def _duck(expression: str) -> str:
 
 
 BARS_SQL = f"""priced AS (
-  SELECT *, 'A' || lpad((l_suppkey % 20)::VARCHAR, 2, '0') || '.X' AS address, date_trunc('week', l_shipdate)::DATE AS time,
+  SELECT *, 'A' || lpad(l_suppkey::VARCHAR, 9, '0') || '.X' AS address, date_trunc('week', l_shipdate)::DATE AS time,
     l_extendedprice / l_quantity AS p, (l_shipdate::DATE, l_orderkey, l_linenumber, l_partkey) AS k FROM lineitem
 ), bars AS (
   SELECT address, time, arg_min(p, k) AS open, max(p) AS high, min(p) AS low, arg_max(p, k) AS close, sum(l_quantity) AS volume,
