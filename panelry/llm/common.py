@@ -6,6 +6,7 @@ import ctypes
 import gc
 import math
 import pickle
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -44,10 +45,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: later steps neither repeat nor lose it."""
+def settled(df: DataFrame, name: str, file_rows: int = 0) -> DataFrame:
+    """``df`` written to the shared folder and read back: later steps neither repeat nor lose it.
+
+    ``file_rows`` bounds the rows of a file, and so of what a reader decodes at a time, where rows are large.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", file_rows).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -131,6 +135,18 @@ def arrow_map(docs: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterat
     return docs.toDF(*map(safe, docs.columns)).mapInArrow(tidy(step), inner).toDF(*schema.names)
 
 
+def parts_of(text: bytes, breaks: re.Pattern[bytes], size: int = SLICE_BYTES) -> Iterator[bytes]:
+    """A text in pieces of about ``size`` bytes, cut at a match of ``breaks``, which is left out."""
+    at = 0
+    while len(text) - at > size:
+        cut = breaks.search(text, at + size)
+        if not cut:
+            break
+        yield text[at : cut.start()]
+        at = cut.end()
+    yield text[at:] if at else text
+
+
 def text_slices(texts: list[str | None], size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of a list of texts with about ``size`` characters each (at least one text)."""
     a = total = 0

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from . import langid, tokenfile, toxicity
 from .decontam import found_items
+from .divergence import audit
+from .exactdedup import exact_groups
+from .lexical import Index, ranked
 from .neardup import near_duplicates
 from .pieces import decoded, encoded
 from .htmlmain import extracted, trained_model
@@ -96,6 +99,22 @@ def op10_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language lie apart, and the terms that tell them."""
+    return audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 documents that rank highest for each benchmark item."""
+    return ranked(Index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"), 50)
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents that are equal without white space."""
+    found = exact_groups(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_near_dedup": op2_near_dedup,
@@ -107,6 +126,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_window_dedup": op8_window_dedup,
     "op9_main_text": op9_main_text,
     "op10_sampled_pieces": op10_sampled_pieces,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 SQL: dict[str, str] = {
@@ -193,5 +215,65 @@ WITH found AS (
   SELECT page_id, url, trim(regexp_replace(regexp_replace(replace(a, '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM bare
 )
 SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM plain
+""",
+    "op11_source_divergence": r"""
+WITH docs AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), kept AS (
+  SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM docs) GROUP BY lang, term HAVING count(*) >= 10
+), sizes AS (SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY lang),
+counts AS (
+  SELECT lang, source, term, count(*)::HUGEINT AS n FROM (SELECT lang, source, unnest(w) AS term FROM docs) SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term
+), sources AS (SELECT DISTINCT lang, source FROM docs),
+totals AS (SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS total FROM sources LEFT JOIN counts USING (lang, source) GROUP BY lang, source),
+everywhere AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM counts GROUP BY lang, term),
+all_totals AS (SELECT lang, sum(n)::HUGEINT AS total FROM everywhere GROUP BY lang),
+p AS (
+  SELECT s.lang, s.source, k.term, coalesce(n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(n, 0) + 2) // (s.total + 2 * v) AS p
+  FROM totals s JOIN kept k USING (lang) JOIN sizes USING (lang) LEFT JOIN counts c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term
+), q AS (
+  SELECT lang, term, 1 + 1000000000::HUGEINT * (n + 2) // (total + 2 * v) AS q FROM everywhere JOIN all_totals USING (lang) JOIN sizes USING (lang)
+), sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+), ranks AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM found
+)
+SELECT * FROM ranks WHERE part = 'pair' OR rank <= 10
+""",
+    "op12_lexical_search": r"""
+WITH texts AS (
+  SELECT 0 AS side, item_id AS id, text FROM benchmark UNION ALL SELECT 1, doc_id, text FROM documents
+), terms AS (
+  SELECT side, id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM texts
+), tfs AS (SELECT id, term, count(*) AS tf FROM terms WHERE side = 1 GROUP BY id, term),
+lengths AS (SELECT id, sum(tf)::BIGINT AS n FROM tfs GROUP BY id),
+whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM lengths),
+asked AS (SELECT DISTINCT id AS item_id, term FROM terms WHERE side = 0),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM tfs, whole WHERE term IN (SELECT term FROM asked) GROUP BY term, docs
+), scores AS (
+  SELECT item_id, t.id AS doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // total))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN tfs t USING (term) JOIN lengths l ON l.id = t.id, whole GROUP BY item_id, t.id
+), ranks AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scores WHERE score > 0
+)
+SELECT * FROM ranks WHERE rank <= 50
+""",
+    "op13_exact_dedup": r"""
+WITH bare AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents
+), found AS (
+  SELECT *, first_value(doc_id) OVER (PARTITION BY t ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM bare
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM found
 """,
 }
