@@ -193,10 +193,10 @@ def small_capital_topn(signals: DataFrame, capital: float, n: int, share: float
 
     ``total`` of the capital is parted equally among the date's positions; each takes the lots that its part
     pays for, one at least.  The weight is the margin used over the capital, with the side's sign; the stop is
-    a loss in money.
+    a loss in money.  An address without a margin (no price yet) can't be traded.
     """
     side = F.when(F.col("target_weight") > 0, "long").otherwise("short")
-    rows = signals.where((F.col("margin") <= share * capital) & (F.abs("target_weight") > 0.01)).withColumn("side", side)
+    rows = signals.where((F.col("margin") > 0) & (F.col("margin") <= share * capital) & (F.abs("target_weight") > 0.01)).withColumn("side", side)
     order = [F.desc(F.abs("target_weight")), F.col("address")]
     rows = rows.withColumn("_s", F.row_number().over(Window.partitionBy("date", "side", "sector").orderBy(*order))).where(F.col("_s") <= per_sector)
     rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("date", "side").orderBy(*order))).where(F.col("place") <= n)

@@ -29,23 +29,36 @@ def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pn.simple_returns(fixtures.panel(spark, sf_dir)).select("address", "time", "ret")
 
 
-def _sector():
-    """Five sectors by the number of the address."""
-    return F.substring("address", 2, 2).cast("int") % 5
+def sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(address, sector) of every supplier: the region of its nation, ``other`` where there is none."""
+    nation, region = fixtures.table(spark, sf_dir, "nation"), fixtures.table(spark, sf_dir, "region")
+    rows = fixtures.table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"), "left").join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    return rows.select(fixtures.address(F.col("s_suppkey")).alias("address"), F.coalesce("r_name", F.lit("other")).alias("sector"))
+
+
+def with_sector(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` with the sector of their address; addresses that ``known`` lacks are in ``other``."""
+    return rows.join(known, "address", "left").fillna("other", ["sector"])
+
+
+_SECTORS_SQL = """sectors AS (
+  SELECT 'A' || lpad(s_suppkey::VARCHAR, 9, '0') || '.X' AS address, coalesce(r_name, 'other') AS sector
+  FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey
+)"""
 
 
 def target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(date, address, sector, margin, target_weight, target_ret): the ensemble's ranked signal as weights."""
     runs = signals(spark, sf_dir).join(F.broadcast(weights(spark)), "formula_id")  # a few formulas
     mixed = runs.groupBy("address", "time").agg((F.sum(F.col("weight") * F.col("signal")) / F.sum("weight")).alias("signal"), F.max("target_ret").alias("target_ret"), F.max("close").alias("close"))
-    ranked = rk.rank_signal(mixed)
-    return ranked.select(F.col("time").alias("date"), "address", _sector().alias("sector"), (F.col("close") * 2).alias("margin"), (F.col("rank_signal") * 0.3).alias("target_weight"), "target_ret")
+    ranked = with_sector(rk.rank_signal(mixed), sectors(spark, sf_dir))
+    return ranked.select(F.col("time").alias("date"), "address", "sector", (F.col("close") * 2).alias("margin"), (F.col("rank_signal") * 0.3).alias("target_weight"), "target_ret")
 
 
-_TW_SQL = f"""{sql.RUNS_SQL}, {_WEIGHTS_SQL}, {_MEAN_SQL}, tw AS (
-  SELECT m.time AS date, m.address, m.address[2:3]::INT % 5 AS sector, p.close * 2 AS margin,
+_TW_SQL = f"""{sql.RUNS_SQL}, {_WEIGHTS_SQL}, {_MEAN_SQL}, {_SECTORS_SQL}, tw AS (
+  SELECT m.time AS date, m.address, coalesce(s.sector, 'other') AS sector, p.close * 2 AS margin,
     ((row_number() OVER (PARTITION BY m.time ORDER BY m.signal, m.address) - 1) / (count(*) OVER (PARTITION BY m.time) - 1) * 2 - 1) * 0.3e0 AS target_weight, p.target_ret
-  FROM mixed m JOIN tgt p USING (address, time)
+  FROM mixed m JOIN tgt p USING (address, time) LEFT JOIN sectors s USING (address)
 )"""
 
 
@@ -110,7 +123,8 @@ def modes(spark: SparkSession) -> DataFrame:
 
 def replayed(spark: SparkSession, sf_dir: str, n: int = 4) -> DataFrame:
     """All seven modes over all dates, with the weights learned up to the quarter before and the ensemble's own past for the legacy scale."""
-    runs = io.settled(signals(spark, sf_dir).select("formula_id", "address", "time", "signal", "target_ret", "is_safe", _sector().alias("sector")), "signals")
+    runs = with_sector(signals(spark, sf_dir).select("formula_id", "address", "time", "signal", "target_ret", "is_safe"), sectors(spark, sf_dir))
+    runs = io.settled(runs, "signals")
     market = regimes(spark, sf_dir)
     panel = by_quarter(runs)
     after = en.online_weights(panel, parameter_runs(spark).where(_MWU)).select("formula_id", "period", "weight")
@@ -244,10 +258,10 @@ def register(add: Callable, rounded: Callable) -> None:
     def entries(s: SparkSession, d: str) -> DataFrame:
         runs = signals(s, d).where("formula_id = 'fc'")
         last = runs.groupBy("address").agg(F.max_by("signal", "time").alias("signal"), F.max_by("liquidity", "time").alias("liquidity"))
-        held = last.where(F.substring("address", 2, 2).cast("int") % 4 == 0).select("address")
+        held = fixtures.table(s, d, "supplier").where("s_suppkey % 4 = 0").select(fixtures.address(F.col("s_suppkey")).alias("address"))
         return cols(rk.entry_candidates(last, held, 5, least_score=0.3), ["address"], ["score"])
 
-    add("s3_entry_candidates", entries, f"WITH {sql.RUNS_SQL}, l AS (SELECT address, arg_max(signal, time) AS signal, arg_max(liquidity, time) AS liquidity FROM runs WHERE formula_id = 'fc' GROUP BY address) SELECT address, round(1 / (1 + exp(-signal)), 6) + 0e0 AS score FROM l WHERE 1 / (1 + exp(-signal)) >= 0.3 AND liquidity >= 5000 AND address[2:3]::INT % 4 <> 0 ORDER BY score DESC, address LIMIT 5")
+    add("s3_entry_candidates", entries, f"WITH {sql.RUNS_SQL}, l AS (SELECT address, arg_max(signal, time) AS signal, arg_max(liquidity, time) AS liquidity FROM runs WHERE formula_id = 'fc' GROUP BY address) SELECT address, round(1 / (1 + exp(-signal)), 6) + 0e0 AS score FROM l WHERE 1 / (1 + exp(-signal)) >= 0.3 AND liquidity >= 5000 AND address NOT IN (SELECT 'A' || lpad(s_suppkey::VARCHAR, 9, '0') || '.X' FROM supplier WHERE s_suppkey % 4 = 0) ORDER BY score DESC, address LIMIT 5")
 
     def exits(s: SparkSession, d: str) -> DataFrame:
         bars = fixtures.bars(s, d)
@@ -269,7 +283,7 @@ def register(add: Callable, rounded: Callable) -> None:
     tw = target_weights
     state = lambda s, d: rk.portfolio_state(equity(s, d)).where("run_id = 'fa'")
     key = ["date", "address"]
-    add("k1_sector_of", lambda s, d: fixtures.table(s, d, "supplier").join(F.broadcast(fixtures.table(s, d, "region")), F.col("s_suppkey") % 5 == F.col("r_regionkey"), "left").select("s_suppkey", F.coalesce("r_name", F.lit("other")).alias("sector")), "SELECT s_suppkey, coalesce(r_name, 'other') AS sector FROM supplier LEFT JOIN region ON s_suppkey % 5 = r_regionkey")  # five regions
+    add("k1_sector_of", sectors, f"WITH {_SECTORS_SQL} SELECT address, sector FROM sectors")
     add("k2_portfolio_state", lambda s, d: cols(rk.portfolio_state(equity(s, d)), ["run_id", "date"], ["equity", "drawdown", "daily_ret"]), f"WITH {_EQ_SQL} SELECT run_id, date, round(equity, 6) + 0e0 AS equity, round(drawdown, 6) + 0e0 AS drawdown, round(daily_ret, 6) + 0e0 AS daily_ret FROM state")
     loss = "lossy AS (SELECT t.* REPLACE (target_weight * CASE WHEN drawdown >= 0.08 OR daily_ret <= -0.02 THEN 0e0 WHEN drawdown >= 0.05 THEN 0.5e0 ELSE 1e0 END AS target_weight) FROM tw t JOIN state s ON s.date = t.date AND s.run_id = 'fa')"
     both = f"{_EQ_SQL}{_TW_SQL[len(sql.RUNS_SQL):]}"
@@ -288,7 +302,7 @@ def register(add: Callable, rounded: Callable) -> None:
     add("k8_risk_filter", lambda s, d: cols(filtered(s, d)[0], key, ["target_weight"]), f"WITH {rules} SELECT date, address, round(target_weight, 6) + 0e0 AS target_weight FROM hv")
     steps = [("loss", "tw", "lossy"), ("position", "lossy", "capped"), ("sector", "capped", "sect"), ("volatility", "sect", "calmed"), ("correlation", "calmed", "hv")]
     add("k8_adjustments", lambda s, d: cols(filtered(s, d)[1], [*key, "rule"], ["before", "after"]), f"WITH {rules} " + " UNION ALL ".join(f"SELECT date, address, '{rule}' AS rule, round(a.target_weight, 6) + 0e0 AS before, round(b.target_weight, 6) + 0e0 AS after FROM {x} a JOIN {y} b USING (date, address) WHERE abs(a.target_weight - b.target_weight) > 1e-12" for rule, x, y in steps))
-    add("k9_small_capital_topn", lambda s, d: cols(rk.small_capital_topn(tw(s, d), 50000.0, 4), ["date", "address", "side", "place", "lots", "stop_loss"], ["weight"], 4), f"""WITH {_TW_SQL}, a AS (SELECT *, CASE WHEN target_weight > 0 THEN 'long' ELSE 'short' END AS side FROM tw WHERE margin <= 10000 AND abs(target_weight) > 0.01), b AS (SELECT *, row_number() OVER (PARTITION BY date, side, sector ORDER BY abs(target_weight) DESC, address) AS s FROM a),
+    add("k9_small_capital_topn", lambda s, d: cols(rk.small_capital_topn(tw(s, d), 50000.0, 4), ["date", "address", "side", "place", "lots", "stop_loss"], ["weight"], 4), f"""WITH {_TW_SQL}, a AS (SELECT *, CASE WHEN target_weight > 0 THEN 'long' ELSE 'short' END AS side FROM tw WHERE margin > 0 AND margin <= 10000 AND abs(target_weight) > 0.01), b AS (SELECT *, row_number() OVER (PARTITION BY date, side, sector ORDER BY abs(target_weight) DESC, address) AS s FROM a),
     c AS (SELECT *, row_number() OVER (PARTITION BY date, side ORDER BY abs(target_weight) DESC, address) AS place FROM b WHERE s <= 2), e AS (SELECT *, greatest(1, floor(30000 / count(*) OVER (PARTITION BY date) / margin)::INT) AS lots FROM c WHERE place <= 4)
     SELECT date, address, side, place::INT AS place, lots, 1500e0 AS stop_loss, round(CASE side WHEN 'long' THEN 1 ELSE -1 END * lots * margin / 50000, 4) + 0e0 AS weight FROM e""")
     pick = "pk0 AS (SELECT *, row_number() OVER (PARTITION BY date, sector ORDER BY abs(target_weight) DESC, address) AS s FROM tw), pk AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY abs(target_weight) DESC, address) AS place FROM pk0 WHERE s <= 2)"
@@ -301,10 +315,10 @@ def register(add: Callable, rounded: Callable) -> None:
     add("k11_position_delta", delta, "WITH l AS (SELECT l_suppkey AS address, sum((l_returnflag = 'A')::INT) AS t, sum((l_returnflag = 'R')::INT) AS c FROM lineitem GROUP BY 1), x AS (SELECT address, CASE WHEN t % 3 <> 0 THEN t ELSE 0 END - CASE WHEN c % 5 <> 0 THEN c ELSE 0 END AS delta FROM l) SELECT address, delta::BIGINT AS delta FROM x WHERE delta <> 0")
 
     of = lambda place, kind: "CASE mode " + " ".join(f"WHEN '{m[0]}' THEN {kind(m[place])}" for m in rk.MODES) + " END"
-    rep_sql = f"""{sql.positions_sql()}, {_WEIGHTS_SQL}, {_MEAN_SQL}, {_MWU_SQL}, {g_sql[len(fixtures.PANEL_SQL) + 2:]}, rg AS (SELECT time, scale, {_REGIME_SQL} AS regime FROM scaled_regime),
+    rep_sql = f"""{sql.positions_sql()}, {_WEIGHTS_SQL}, {_MEAN_SQL}, {_SECTORS_SQL}, {_MWU_SQL}, {g_sql[len(fixtures.PANEL_SQL) + 2:]}, rg AS (SELECT time, scale, {_REGIME_SQL} AS regime FROM scaled_regime),
     lv AS (SELECT formula_id, time, 1 / (coalesce(stddev_samp(m) OVER (PARTITION BY formula_id ORDER BY time ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 0) + 1e-10) AS inv FROM (SELECT formula_id, time, avg(signal) AS m FROM runs GROUP BY formula_id, time)),
     lw AS (SELECT lv.formula_id, lv.time, l.weight, CASE WHEN regime = 'crisis' THEN 0.6e0 * inv / sum(inv) OVER (PARTITION BY lv.time) + 0.4e0 * l.weight ELSE l.weight END AS mix FROM lv JOIN rg USING (time) JOIN qi ON qi.period = date_trunc('quarter', lv.time)::DATE JOIN learned l ON l.t = qi.t - 1 AND l.formula_id = lv.formula_id),
-    bw AS (SELECT false AS mixes, formula_id, time, weight AS w FROM lw UNION ALL SELECT true, formula_id, time, mix FROM lw), mx AS (SELECT mixes, r.time, address, sum(signal * w) AS signal, max(target_ret) AS target_ret, max(address[2:3]::INT % 5) AS sector FROM runs r JOIN bw USING (formula_id, time) GROUP BY mixes, r.time, address),
+    bw AS (SELECT false AS mixes, formula_id, time, weight AS w FROM lw UNION ALL SELECT true, formula_id, time, mix FROM lw), mx AS (SELECT mixes, r.time, address, sum(signal * w) AS signal, max(target_ret) AS target_ret, coalesce(max(sector), 'other') AS sector FROM runs r JOIN bw USING (formula_id, time) LEFT JOIN sectors USING (address) GROUP BY mixes, r.time, address),
     rk AS (SELECT *, (row_number() OVER (PARTITION BY mixes, time ORDER BY signal, address) - 1) / greatest(count(*) OVER (PARTITION BY mixes, time) - 1, 1) * 2 - 1 AS rank FROM mx), sd AS (SELECT *, sign(rank) AS side, row_number() OVER (PARTITION BY mixes, time, sign(rank), sector ORDER BY abs(rank) DESC, address) AS s FROM rk WHERE abs(rank) > 0.01),
     hd AS (SELECT *, row_number() OVER (PARTITION BY mixes, time, side ORDER BY abs(rank) DESC, address) AS place FROM sd WHERE s <= 2),
     en0 AS (SELECT m.time, CASE WHEN count(*) OVER c < 2 THEN 0 ELSE greatest(0e0, least(1e0, ((row_number() OVER r - 1) / (count(*) OVER c - 1) - 0.6e0) / 0.4e0)) END * is_safe * target_ret AS pnl FROM mixed m JOIN tgt USING (address, time) WINDOW c AS (PARTITION BY m.time), r AS (PARTITION BY m.time ORDER BY m.signal, m.address)),

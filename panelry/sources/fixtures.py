@@ -6,7 +6,7 @@ are plain projections and aggregations, so everything that runs on them grows wi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Columns of the weekly panel that ``lineitem`` has no producer for; these aggregates stand in for them.
@@ -50,10 +50,15 @@ TICKS_SQL = """ticks AS (
 )"""
 
 
+def address(suppkey: Column) -> Column:
+    """The address of a supplier."""
+    return F.concat(F.lit("A"), F.lpad(suppkey.cast("string"), 9, "0"), F.lit(".X"))
+
+
 def _priced(rows: DataFrame) -> DataFrame:
     k = F.struct(F.to_date("l_shipdate").alias("d"), "l_orderkey", "l_linenumber", "l_partkey")
     return rows.select(
-        "*", F.concat(F.lit("A"), F.lpad(F.col("l_suppkey").cast("string"), 9, "0"), F.lit(".X")).alias("address"),
+        "*", address(F.col("l_suppkey")).alias("address"),
         F.to_date(F.date_trunc("week", "l_shipdate")).alias("time"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("p"), k.alias("k"),
     )
 
