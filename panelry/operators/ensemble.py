@@ -152,6 +152,16 @@ def _ema(history: np.ndarray, weights: np.ndarray, decay: float, blend: float, f
     return weights
 
 
+def learned_rate(eta: float | None, n: int, lookback: int) -> float:
+    """``eta``, or the rate by rule where it is null."""
+    return eta if eta is not None else float(np.sqrt(np.log(max(n, 2)) / max(10 * lookback, 100)))
+
+
+def learned_step(strategy: str, past: np.ndarray, weights: np.ndarray, eta: float, floor: float) -> np.ndarray:
+    """The weights after a period; ``past`` has its pnl last, after those of the periods before."""
+    return _mwu(past.mean(0), weights, eta, floor) if strategy == "mwu" else _ema(past, weights, 0.9, 0.3, floor)
+
+
 def online_weights(panel: DataFrame, runs: DataFrame) -> DataFrame:
     """(run_id, period, formula_id, weight): weights after each period, of every run of the parameter table.
 
@@ -163,13 +173,13 @@ def online_weights(panel: DataFrame, runs: DataFrame) -> DataFrame:
         p = frame.iloc[0]
         wide = frame.pivot(index="period", columns="formula_id", values="pnl").sort_index().fillna(0.0)
         n = wide.shape[1]
-        eta = p["eta"] if pd.notna(p["eta"]) else np.sqrt(np.log(max(n, 2)) / max(10 * p["lookback"], 100))
+        eta = learned_rate(p["eta"] if pd.notna(p["eta"]) else None, n, p["lookback"])
         weights, out = np.full(n, 1 / n), []
         values = wide.to_numpy()
         for t in range(len(values)):
             if t >= p["warmup"]:
                 past = values[max(0, t - int(p["lookback"]) + 1) : t + 1]
-                weights = _mwu(past.mean(0), weights, eta, p["floor"]) if p["strategy"] == "mwu" else _ema(past, weights, 0.9, 0.3, p["floor"])
+                weights = learned_step(p["strategy"], past, weights, eta, p["floor"])
             out.append(pd.DataFrame({"run_id": p["run_id"], "period": wide.index[t], "formula_id": wide.columns, "weight": weights}))
         return pd.concat(out)
 

@@ -17,6 +17,8 @@ from ..sources import fixtures, io
 from .scoring import CANDIDATES, DIGITS, KEYS, WEEKLY, features, held, leaderboard, marked, portfolio, run_formulas, signals
 
 _WEIGHTS = {"fa": 0.5, "fb": 0.3, "fc": 0.2}
+#: The formulas in use.
+KEYS_IN_USE = tuple(_WEIGHTS)
 _WEIGHTS_SQL = f"weights AS (SELECT * FROM (VALUES {', '.join(f"('{k}', {v}e0)" for k, v in _WEIGHTS.items())}) AS t(formula_id, weight))"
 _MEAN_SQL = "mixed AS (SELECT address, time, sum(weight * signal) / sum(weight) AS signal FROM runs JOIN weights USING (formula_id) GROUP BY address, time)"
 

@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.ensemble import online_weights
-
 
 def deduplicated(ticks: DataFrame, late: str = "10 minutes") -> DataFrame:
     """One row a contract and minute, kept in state no longer than the watermark."""
@@ -15,20 +13,20 @@ def deduplicated(ticks: DataFrame, late: str = "10 minutes") -> DataFrame:
     return minute.withWatermark("datetime", late).dropDuplicatesWithinWatermark(["symbol", "minute"]).drop("minute")
 
 
-def bars(ticks: DataFrame, width: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:
-    """Bars by contract over tumbling (or sliding) windows; a window is final once the watermark passes its end."""
+def bars(ticks: DataFrame, width: str, slide: str | None = None) -> DataFrame:
+    """Bars by contract over tumbling (or sliding) windows; a window is final once the watermark on ``datetime`` passes its end."""
     window = F.window("datetime", width, slide) if slide else F.window("datetime", width)
-    by = ticks.withWatermark("datetime", late).groupBy("symbol", window.alias("w")).agg(
+    by = ticks.groupBy("symbol", window.alias("w")).agg(
         F.min_by("open", "datetime").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "datetime").alias("close"), F.sum("volume").alias("volume")
     )
     return by.select("symbol", F.col("w.start").alias("time"), "open", "high", "low", "close", "volume")
 
 
-def daily(ticks: DataFrame, late: str = "10 minutes") -> DataFrame:
+def daily(ticks: DataFrame) -> DataFrame:
     """Daily columns that need no order inside the day: vwap, twap, shares by hour, buying share, up and down volume."""
     hour, volume = F.hour("datetime"), F.col("volume")
     part = lambda cond: F.sum(F.when(cond, volume).otherwise(0))
-    by = ticks.withWatermark("datetime", late).groupBy("symbol", F.window("datetime", "1 day").alias("w")).agg(
+    by = ticks.groupBy("symbol", F.window("datetime", "1 day").alias("w")).agg(
         F.try_divide(F.sum(volume * F.col("close")), F.sum(volume)).alias("vwap"), F.avg("close").alias("twap"), (F.max_by("close_oi", "datetime") - F.min_by("close_oi", "datetime")).alias("oi_change"),
         part(hour < 13).alias("am_volume"), part(hour >= 13).alias("pm_volume"), part(hour >= 14).alias("last_hour"), part(hour < 10).alias("first_hour"),
         F.avg((F.col("close") > F.col("open")).cast("double")).alias("buy_ratio"), part(F.col("close") > F.col("open")).alias("up_volume"), part(F.col("close") <= F.col("open")).alias("down_volume"),
@@ -36,9 +34,9 @@ def daily(ticks: DataFrame, late: str = "10 minutes") -> DataFrame:
     return by.select("symbol", F.to_date("w.start").alias("day"), *[c for c in by.columns if c not in ("symbol", "w")])
 
 
-def sessions(ticks: DataFrame, gap: str, late: str = "10 minutes") -> DataFrame:
+def sessions(ticks: DataFrame, gap: str) -> DataFrame:
     """Activity sessions of a contract: closed by a gap without ticks."""
-    by = ticks.withWatermark("datetime", late).groupBy("symbol", F.session_window("datetime", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum("volume").alias("volume"))
+    by = ticks.groupBy("symbol", F.session_window("datetime", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum("volume").alias("volume"))
     return by.select("symbol", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "volume")
 
 
@@ -47,24 +45,6 @@ def to_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def learn_weights(stream: DataFrame, runs: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Weights learned as periods close: a stream of (formula_id, period, pnl) into the table ``path``/weights.
-
-    A batch holds whole periods, later than those before.  It is added to the history, one number a formula
-    and period, and the weights after its periods are written under the batch's number, so a batch that is
-    repeated after a failure overwrites what it wrote.
-    """
-
-    def step(frame: DataFrame, number: int) -> None:
-        spark = frame.sparkSession
-        frame.write.mode("overwrite").parquet(f"{path}/history/batch={number}")
-        history = spark.read.parquet(f"{path}/history").where(F.col("batch") <= number).drop("batch")
-        own = spark.read.parquet(f"{path}/history/batch={number}").select("period").distinct()
-        online_weights(history, runs).join(own, "period", "left_semi").write.mode("overwrite").parquet(f"{path}/weights/batch={number}")
-
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def read_events(spark: SparkSession, folder: str) -> DataFrame:
     """The ``events`` table as a stream of files."""
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
