@@ -6,7 +6,6 @@ import ctypes
 import gc
 import math
 import pickle
-import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -135,15 +134,20 @@ def arrow_map(docs: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterat
     return docs.toDF(*map(safe, docs.columns)).mapInArrow(tidy(step), inner).toDF(*schema.names)
 
 
-def parts_of(text: bytes, breaks: re.Pattern[bytes], size: int = SLICE_BYTES) -> Iterator[bytes]:
-    """A text in pieces of about ``size`` bytes, cut at a match of ``breaks``, which is left out."""
+def term_table(keep: bytes) -> bytes:
+    """A table for ``bytes.translate``: the bytes ``keep`` and all above 0x7F stay, A-Z are lower-cased, others become spaces."""
+    return bytes(c if c in keep or c > 0x7F else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
+
+
+def parts_of(text: bytes, size: int = SLICE_BYTES) -> Iterator[bytes]:
+    """A text in pieces of about ``size`` bytes, cut at spaces."""
     at = 0
     while len(text) - at > size:
-        cut = breaks.search(text, at + size)
-        if not cut:
+        cut = text.find(b" ", at + size)
+        if cut < 0:
             break
-        yield text[at : cut.start()]
-        at = cut.end()
+        yield text[at:cut]
+        at = cut + 1
     yield text[at:] if at else text
 
 

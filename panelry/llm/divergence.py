@@ -19,23 +19,24 @@ own.  An empty table gives no rows.  Other columns play no part.
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buckets, parts_of, settled, text_bytes, tidy, tidy_group
+from .common import buckets, parts_of, settled, term_table, text_bytes, tidy, tidy_group
 
-TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-_BREAK = re.compile(rb"[\x00-\x40\x5B-\x60\x7B-\x7F]")
-#: Entries and bytes of text that a block holds; text a shard; segments in one merge.
-ENTRIES, BLOCK_BYTES, SHARD_BYTES, FAN_IN = 400_000, 64 << 20, 16 << 20, 4096
+#: What becomes of the bytes of a text before it is split at spaces.
+_TABLE = term_table(b"abcdefghijklmnopqrstuvwxyz")
+#: Text that a block holds; text a shard; segments in one merge.
+BLOCK_BYTES, SHARD_BYTES, FAN_IN = 24 << 20, 16 << 20, 4096
+#: Terms that become one Arrow array of a block.
+CHUNK = 200_000
 #: Kept rows in a bucket of corrections, and numbers of its dense table.
 BUCKET_ROWS, CELLS = 200_000, 1 << 22
 LEAST, TERMS = 10, 10
@@ -52,22 +53,27 @@ _ARROW = pa.schema([("shard", pa.int32()), ("lang", pa.binary()), ("part", pa.in
 
 
 class Block:
-    """Counts in memory: by language and source, occurrences and documents of each term."""
+    """Terms of some documents in memory, one after another, and the source and size of each document."""
 
     def __init__(self) -> None:
-        self.counts: dict[bytes, dict[bytes, tuple[Counter, Counter]]] = {}
-        self.entries = self.bytes = 0
+        self.groups: dict[tuple[bytes, bytes], int] = {}
+        self.group: list[int] = []
+        self.sizes: list[int] = []
+        self.terms: list[bytes] = []
+        self.chunks: list[pa.Array] = []
+        self.bytes = 0
 
     def add(self, lang: bytes, source: bytes, text: bytes) -> None:
-        count, docs = self.counts.setdefault(lang, {}).setdefault(source, (Counter(), Counter()))
-        before = len(count)
-        own: set[bytes] = set()
-        for part in parts_of(text, _BREAK):
-            terms = TERM.findall(part.lower())
-            count.update(terms)
-            own.update(terms)
-        docs.update(own)
-        self.entries += len(count) - before
+        size = 0
+        for part in parts_of(text.translate(_TABLE)):
+            terms = part.split()
+            size += len(terms)
+            self.terms += terms
+            if len(self.terms) > CHUNK:
+                self.chunks.append(pa.array(self.terms, pa.binary()))
+                self.terms = []
+        self.group.append(self.groups.setdefault((lang, source), len(self.groups)))
+        self.sizes.append(size)
         self.bytes += len(text)
 
     def run(self, shards: int, parts: int, number: int) -> Iterator[dict]:
@@ -75,20 +81,36 @@ class Block:
 
         The empty term, with no occurrences, stands for the source itself.
         """
-        for lang, by_source in self.counts.items():
-            sources = sorted(by_source)
-            rows = [(zlib.crc32(t) % shards, t, k, n, by_source[s][1][t]) for k, s in enumerate(sources) for t, n in by_source[s][0].items()]
-            rows += [(zlib.crc32(b"") % shards, b"", k, 0, 0) for k in range(len(sources))]
-            rows.sort()
-            shard, terms, *numbers = zip(*rows, strict=True)
-            shard = np.array(shard)
-            who, n, docs = (np.array(x, np.int64) for x in numbers)
-            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                yield _packed(int(shard[a]), lang, number % parts, sources, list(terms[a:b]), who[a:b], n[a:b], docs[a:b])
-
-
-def runs(docs: DataFrame, shards: int, parts: int = 1, entries: int = ENTRIES) -> DataFrame:
+        encoded = pa.chunked_array([*self.chunks, pa.array(self.terms, pa.binary())]).dictionary_encode().combine_chunks()
+        if isinstance(encoded, pa.ChunkedArray):
+            encoded = pa.concat_arrays(encoded.unify_dictionaries().chunks)
+        shard = np.array([zlib.crc32(t) % shards for t in encoded.dictionary.to_pylist()], np.int64)
+        order = pc.sort_indices(pa.table({"shard": shard, "term": encoded.dictionary}), sort_keys=[("shard", "ascending"), ("term", "ascending")])
+        terms, shard = encoded.dictionary.take(order).to_pylist(), shard[order.to_numpy()]
+        rank = np.empty(len(terms), np.int64)
+        rank[order.to_numpy()] = np.arange(len(terms))
+        # occurrences of each term in each document, then both summed over the documents of a source
+        one, n = np.unique(np.repeat(np.arange(len(self.sizes)), self.sizes) * len(terms) + rank[encoded.indices.to_numpy()], return_counts=True)
+        names, group = sorted(self.groups), np.array(self.group, np.int64)
+        place = np.empty(len(names), np.int64)
+        place[[self.groups[x] for x in names]] = np.arange(len(names))
+        langs = [lang for lang, _ in names]
+        at = (one % max(len(terms), 1)) * len(names) + place[group[one // max(len(terms), 1)]]
+        found, back = np.unique(at, return_inverse=True)
+        n, docs = np.bincount(back, n, len(found)).astype(np.int64), np.bincount(back, minlength=len(found))
+        term, who = found // len(names) if names else found, found % max(len(names), 1)
+        for lang in dict.fromkeys(langs):
+            first, last = langs.index(lang), len(langs) - langs[::-1].index(lang)
+            sources = [s for _, s in names[first:last]]
+            zero = np.zeros(len(sources), np.int64)
+            yield _packed(zlib.crc32(b"") % shards, lang, number % parts, sources, [b""] * len(sources), np.arange(len(sources)), zero, zero)
+            own = np.flatnonzero((who >= first) & (who < last))
+            cuts = np.flatnonzero(np.diff(shard[term[own]])) + 1
+            for some in np.split(own, cuts) if len(own) else ():
+                yield _packed(int(shard[term[some[0]]]), lang, number % parts, sources, [terms[k] for k in term[some].tolist()], who[some] - first, n[some], docs[some])
+
+
+def runs(docs: DataFrame, shards: int, parts: int = 1, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Term-sorted segments of all blocks of ``docs`` (text, lang, source)."""
     as_bytes = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary").alias(c)
 
@@ -108,7 +130,7 @@ def runs(docs: DataFrame, shards: int, parts: int = 1, entries: int = ENTRIES) -
             langs, sources = batch["lang"].to_pylist(), batch["source"].to_pylist()
             for lang, source, text in zip(langs, sources, batch["text"], strict=True):
                 block.add(lang, source, text.as_py())
-                if block.entries > entries or block.bytes > BLOCK_BYTES:
+                if block.bytes > block_bytes:
                     yield from batches_of(block.run(shards, parts, number))
                     block, number = Block(), number + 1
         yield from batches_of(block.run(shards, parts, number))
@@ -140,7 +162,7 @@ def _summed(segments: pa.Table) -> Iterator[tuple[bytes, list[bytes], list[int],
         yield term, sources, n, docs
 
 
-def frequencies(docs: DataFrame, least: int = LEAST, entries: int = ENTRIES, fan_in: int = FAN_IN) -> DataFrame:
+def frequencies(docs: DataFrame, least: int = LEAST, block_bytes: int = BLOCK_BYTES, fan_in: int = FAN_IN) -> DataFrame:
     """(lang, term, source, n, everywhere, first): kept terms by source, and by language.
 
     The rows of a term come with ``everywhere``, its occurrences in the language, and ``first`` is true in one of
@@ -148,8 +170,8 @@ def frequencies(docs: DataFrame, least: int = LEAST, entries: int = ENTRIES, fan
     """
     spark, size = docs.sparkSession, text_bytes(docs)
     shards = buckets(spark, size, SHARD_BYTES)
-    parts = -(-(size // BLOCK_BYTES + 1) // fan_in)
-    segments = runs(docs, shards, parts, entries)
+    parts = -(-(size // block_bytes + 1) // fan_in)
+    segments = runs(docs, shards, parts, block_bytes)
 
     def shorter(table: pa.Table) -> pa.Table:
         """The segments of a part as one."""
@@ -226,9 +248,9 @@ def _corrections(rows: pa.Table, sources: pa.Table) -> pa.Table:
     })
 
 
-def audit(docs: DataFrame, least: int = LEAST, terms: int = TERMS, entries: int = ENTRIES, fan_in: int = FAN_IN, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def audit(docs: DataFrame, least: int = LEAST, terms: int = TERMS, block_bytes: int = BLOCK_BYTES, fan_in: int = FAN_IN, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(lang, source, part, item, value, rank): how far each source lies from the others of its language, and its ``terms`` most telling terms."""
-    found = settled(frequencies(docs, least, entries, fan_in), "frequencies")
+    found = settled(frequencies(docs, least, block_bytes, fan_in), "frequencies")
     groups = found.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     langs = found.groupBy("lang").agg(F.sum("n").alias("all_total"), F.sum((F.col("first") & (F.col("term") != "")).cast("long")).alias("size"))
     groups = settled(groups.join(langs, "lang"), "sources")

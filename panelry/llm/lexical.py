@@ -27,7 +27,6 @@ no document scores above 0, have no rows, nor have empty tables.  Other columns
 from __future__ import annotations
 
 import itertools
-import re
 from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -37,10 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parts_of, settled, tidy
+from .common import parts_of, settled, term_table, tidy
 
-TERM = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-_BREAK = re.compile(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
+#: What becomes of the bytes of a text before it is split at spaces.
+_TABLE = term_table(b"0123456789abcdefghijklmnopqrstuvwxyz")
 #: Text of a shard, rows in a file of the index, documents in a block, terms with pair lists, bytes of the terms of items in one job.
 SHARD_BYTES, FILE_ROWS, SPAN, PAIRED, ITEM_BYTES = 8 << 20, 4, 128, 48, 4 << 20
 _LAST = (1 << 63) - 1
@@ -59,8 +58,8 @@ class Gathered:
 
     def add(self, doc_id: int | None, text: bytes) -> None:
         count: Counter = Counter()
-        for part in parts_of(text, _BREAK):
-            count.update(TERM.findall(part.lower()))
+        for part in parts_of(text.translate(_TABLE)):
+            count.update(part.split())
         self.bytes += len(text) + 64
         if not count:
             return
@@ -265,7 +264,7 @@ def item_terms(items: DataFrame) -> DataFrame:
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(i, t) for i, text in zip(batch["item_id"].to_pylist(), batch["text"].to_pylist(), strict=True) for t in set(TERM.findall(text.lower()))]
+            found = [(i, t) for i, text in zip(batch["item_id"].to_pylist(), batch["text"].to_pylist(), strict=True) for t in set(text.translate(_TABLE).split())]
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([t for _, t in found], pa.binary())], names=["item_id", "term"])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text")
