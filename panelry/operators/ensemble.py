@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.io import settled
+
 
 def valid_formulas(signals: DataFrame, least: float = 1e-8) -> DataFrame:
     """Formulas whose signal varies (sample deviation over all)."""
@@ -76,22 +78,24 @@ def cv_vs_single_split(by_fold: DataFrame, single: DataFrame) -> DataFrame:
     return out.withColumns({"difference": F.col("single") - F.col("cv_mean"), "overfit": F.col("single") - F.col("cv_mean") > 0.3, "robustness": F.col("cv_mean") / (F.col("cv_std") + 1e-8)})
 
 
-def select_factors(quality: DataFrame, pairs: DataFrame, top_n: int, min_icir: float = 0.05, max_corr: float = 0.7, pool: int = 1000) -> DataFrame:
-    """(formula_id): names by falling ICIR, without any that correlates too much with a better one that is chosen.
+def select_factors(quality: DataFrame, pairs: DataFrame, top_n: int, min_icir: float = 0.05, max_corr: float = 0.7) -> DataFrame:
+    """(formula_id, place): names by falling ICIR, without any that correlates too much with a better one that is chosen.
 
-    The choice is greedy over the ``pool`` best names; only their names and their close pairs, ``pool`` a name
-    at most, meet in one row.
+    The choice is greedy, ``top_n`` rounds at most: the best name left is taken, and the names close to it are
+    struck off by a join with its own pairs.  The driver learns one name a round; ties go to the smaller name.
     """
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("icir"), "formula_id")
-    ranked = quality.where(F.col("icir") >= min_icir).orderBy(F.desc("icir"), "formula_id").limit(pool).withColumn("k", F.row_number().over(w)).select("formula_id", "k")
-    near = pairs.where(F.abs("corr") > max_corr)
-    near = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    close = near.join(ranked.select(F.col("formula_id").alias("a"), F.col("k").alias("ka")), "a").join(ranked.select(F.col("formula_id").alias("b"), F.col("k").alias("kb")), "b")
-    close = close.where("kb < ka").groupBy("a").agg(F.collect_set("b").alias("better"))
-    rows = ranked.join(close, F.col("formula_id") == F.col("a"), "left").select("k", "formula_id", F.coalesce("better", F.array().cast("array<string>")).alias("better"))
-    line = rows.agg(F.array_sort(F.collect_list(F.struct("k", "formula_id", "better"))).alias("line"))
-    chosen = F.aggregate("line", F.array().cast("array<string>"), lambda s, x: F.when((F.size(s) < top_n) & ~F.arrays_overlap(s, x.better), F.concat(s, F.array(x.formula_id))).otherwise(s))
-    return line.select(F.explode(chosen).alias("formula_id"))
+    spark = quality.sparkSession
+    left = settled(quality.where(F.col("icir") >= min_icir).select("formula_id", "icir"), "names")
+    near = pairs.where(F.abs("corr") > max_corr).select("a", "b")
+    near = settled(near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))), "near")
+    chosen: list[tuple[str, int]] = []
+    while len(chosen) < top_n and (best := left.orderBy(F.desc("icir"), "formula_id").select("formula_id").first()):
+        chosen.append((best[0], len(chosen) + 1))
+        close = near.where(F.col("a") == best[0]).select(F.col("b").alias("formula_id"))
+        left = left.where(F.col("formula_id") != best[0]).join(close, "formula_id", "left_anti")
+        if len(chosen) % 4 == 0:  # else every round would repeat the joins of those before
+            left = settled(left, "names")
+    return spark.createDataFrame(chosen, "formula_id string, place int")
 
 
 def signal_pairs(signals: DataFrame) -> DataFrame:

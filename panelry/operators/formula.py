@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rolling import ROW, TS, clip, cov, cross, cross_rank, decay, lag0, mean, over, std
+from .panel import time_index
 
 _ALL = "OVER (PARTITION BY address)"
 
@@ -126,16 +127,32 @@ def validity(tokens: Iterable[str], columns: Iterable[str]) -> str | None:
     return None
 
 
-def _ewma(df: DataFrame, column: str, of: str, halflife: int) -> DataFrame:
-    """Recursive average by address, started at the first value; one address's history is one group."""
-    out = df.withColumn(column, F.lit(0.0))
+#: Half-lives of an average in a block of times, and before it: what is older weighs less than 2**-80 of the newest value.
+BLOCK_LIVES, HALO_LIVES = 512, 80
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("time")
-        frame[column] = frame[of].ewm(halflife=halflife, adjust=False).mean()
-        return frame
 
-    return out.groupBy("address").applyInPandas(run, out.schema)
+def ewma(df: DataFrame, columns: dict[str, str], halflife: int, times: int, index: DataFrame, block: int | None = None, halo: int | None = None) -> DataFrame:
+    """Recursive averages by address, started at the first value: ``columns`` names each after the column it averages.
+
+    Histories are cut into blocks of ``block`` times; a row near the end of its block goes to the next one as well, as
+    its halo, so that blocks of one address are averaged by different tasks.  Inside a block the recursion is a running sum:
+    with d the decay and p the row number, ``d**(p+1) * first + (1-d) * d**p * sum(x * d**-p)``.  The weights rise by at most
+    2**(BLOCK_LIVES + HALO_LIVES), so the sum keeps its precision.  ``index`` is (time, t); one block needs none.
+    """
+    block, halo = block or BLOCK_LIVES * halflife, halo or HALO_LIVES * halflife
+    blocks = -(-times // block)
+    d = 0.5 ** (1 / halflife)
+    if blocks > 1:
+        own = F.floor(F.col("t") / block).cast("int")
+        last = F.least(F.floor((F.col("t") + halo) / block).cast("int"), F.lit(blocks - 1))
+        out = df.join(index.select("time", "t"), "time").withColumn("_b", F.explode(F.sequence(own, F.greatest(own, last)))).withColumn("_own", F.col("_b") == own).drop("t")
+        part = "PARTITION BY address, _b ORDER BY time"
+    else:
+        out, part = df, TS
+    out = out.withColumn("_p", F.expr(f"row_number() OVER ({part}) - 1"))
+    up = f"OVER ({part} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    out = out.withColumns({c: F.expr(f"pow({d!r}D, _p + 1) * first_value({x}) {up} + {1 - d!r}D * pow({d!r}D, _p) * sum({x} * pow({1 / d!r}D, _p)) {up}") for c, x in columns.items()})
+    return (out.where("_own").drop("_own", "_b") if blocks > 1 else out).drop("_p")
 
 
 def layers(formulas: dict[str, list[str]], columns: Iterable[str], times: int) -> tuple[list[list[Node]], dict[str, str]]:
@@ -150,10 +167,11 @@ def layers(formulas: dict[str, list[str]], columns: Iterable[str], times: int) -
     return [[n for n in found.values() if n.depth == d] for d in range(1, depth + 1)], results
 
 
-def evaluate(panel: DataFrame, formulas: dict[str, list[str]], times: int | None = None, keep: Iterable[str] = ()) -> tuple[DataFrame, dict[str, str]]:
+def evaluate(panel: DataFrame, formulas: dict[str, list[str]], times: int | None = None, keep: Iterable[str] = (), index: DataFrame | None = None) -> tuple[DataFrame, dict[str, str]]:
     """(address, time, the columns to ``keep`` and one column for each valid formula; the reason for each invalid one).
 
-    ``times`` is the number of times of the panel; without it the panel is counted first.
+    ``times`` is the number of times of the panel; without it the panel is counted first.  ``index`` numbers the times,
+    (time, t); without it they are taken from the panel where recursive averages need several blocks.
     """
     bad = {k: why for k, f in formulas.items() if (why := validity(f, panel.columns))}
     good = {k: f for k, f in formulas.items() if k not in bad}
@@ -167,9 +185,8 @@ def evaluate(panel: DataFrame, formulas: dict[str, list[str]], times: int | None
         plain = {n.name: F.expr(n.op.text(*n.args, times)) for n in step if n.op.text}
         if plain:
             out = out.withColumns(plain)
-        for n in step:
-            if not n.op.text:
-                out = _ewma(out, n.name, n.args[0], n.op.halflife)
+        for halflife in sorted({n.op.halflife for n in step if not n.op.text}):
+            out = ewma(out, {n.name: n.args[0] for n in step if n.op.halflife == halflife and not n.op.text}, halflife, times, time_index(panel) if index is None else index)
     return out.select("address", "time", *keep, *[F.col(r).cast("double").alias(k) for k, r in results.items()]), bad
 
 

@@ -15,20 +15,22 @@ def regime_features(returns: DataFrame, rows: int = 20, history: int = 120) -> D
     """By time: mean cross-section volatility and absolute return of the last ``rows``, mean pair correlation, and the ratio to history.
 
     The mean correlation needs no pairs: with returns standardised inside the window, the squared sum over
-    addresses holds all of them.
+    addresses holds all of them.  ``returns`` is dense: every address has every time.  An address standardises the
+    last ``rows`` returns beside each other, so a time has one sum for each of them, which tasks add up before anything moves.
     """
     by = returns.groupBy("time").agg(F.stddev_pop("ret").alias("cv"), F.avg(F.abs("ret")).alias("ar"))
     line = Window.partitionBy(F.lit(0)).orderBy("time")  # one row a time
     w, long = line.rowsBetween(-(rows - 1), 0), line.rowsBetween(-(history - 1), 0)
-    by = by.withColumns({"cross_vol": F.avg("cv").over(w), "abs_ret": F.avg("ar").over(w), "_hist": F.avg("cv").over(long), "t": F.row_number().over(line)})
-    at = by.select("time", "t")
-    r = returns.join(at, "time").select("address", "t", "ret")
-    ends = r.select("address", F.explode(F.sequence(F.col("t"), F.col("t") + rows - 1)).alias("end"), "t", "ret")
-    own = ends.groupBy("address", "end").agg(F.avg("ret").alias("mu"), F.stddev_pop("ret").alias("sd"), F.count(F.lit(1)).alias("n"))
-    z = ends.join(own, ["address", "end"]).where(F.col("n") >= 5).withColumn("z", F.coalesce(F.try_divide(F.col("ret") - F.col("mu"), F.col("sd")), F.lit(0.0)))
-    sums = z.groupBy("end", "t").agg(F.sum("z").alias("s"), F.count(F.lit(1)).alias("k"))
-    corr = sums.groupBy("end").agg(F.when(F.max("k") < 2, 0.0).otherwise((F.avg(F.col("s") * F.col("s")) - F.max("k")) / F.greatest(F.max("k") * (F.max("k") - 1), F.lit(1))).alias("avg_corr"))
-    out = by.join(corr, by["t"] == corr["end"], "left")
+    by = by.select("time", F.avg("cv").over(w).alias("cross_vol"), F.avg("ar").over(w).alias("abs_ret"), F.avg("cv").over(long).alias("_hist"))
+    own = Window.partitionBy("address").orderBy("time")
+    past = own.rowsBetween(-(rows - 1), 0)
+    r = returns.select("time", *[F.lag("ret", k).over(own).alias(f"r{k}") for k in range(rows)], F.avg("ret").over(past).alias("mu"), F.stddev_pop("ret").over(past).alias("sd"), F.count("ret").over(past).alias("n")).where("n >= 5")
+    z = [F.when(F.col(f"r{k}").isNotNull(), F.coalesce(F.try_divide(F.col(f"r{k}") - F.col("mu"), F.col("sd")), F.lit(0.0))) for k in range(rows)]
+    sums = r.groupBy("time").agg(*[F.sum(x).alias(f"s{k}") for k, x in enumerate(z)], F.greatest(*[F.count(x) for x in z]).alias("k"))
+    squares = F.filter(F.array(*[F.col(f"s{k}") * F.col(f"s{k}") for k in range(rows)]), lambda x: x.isNotNull())
+    mean = F.aggregate(squares, F.lit(0.0), lambda t, x: t + x) / F.size(squares)
+    corr = sums.select("time", F.when(F.col("k") < 2, 0.0).otherwise((mean - F.col("k")) / (F.col("k") * (F.col("k") - 1))).alias("avg_corr"))
+    out = by.join(corr, "time", "left")
     return out.select("time", "cross_vol", "abs_ret", F.coalesce("avg_corr", F.lit(0.0)).alias("avg_corr"), F.try_divide(F.col("cross_vol"), F.col("_hist")).alias("vol_ratio"))
 
 

@@ -193,7 +193,7 @@ def register(add: Callable, rounded: Callable) -> None:
         "e7_select_factors", chosen,
         f"""WITH {pair_sql}, {sql.QUALITY_SQL}, o AS (SELECT formula_id, row_number() OVER (ORDER BY icir DESC, formula_id) AS k FROM quality WHERE icir >= 0), one AS (SELECT formula_id FROM o WHERE k = 1),
         free AS (SELECT o.formula_id, k FROM o, one WHERE k > 1 AND NOT EXISTS (SELECT 1 FROM prs WHERE abs(corr) > 0.7 AND ((a = o.formula_id AND b = one.formula_id) OR (b = o.formula_id AND a = one.formula_id))))
-        SELECT formula_id FROM one UNION ALL SELECT formula_id FROM (SELECT formula_id FROM free ORDER BY k LIMIT 1)""",
+        SELECT formula_id, 1 AS place FROM one UNION ALL SELECT formula_id, 2 FROM (SELECT formula_id FROM free ORDER BY k LIMIT 1)""",
     )
 
     # the five features as factors: the first three are in use

@@ -55,6 +55,35 @@ def test_ewma_and_breakout_match_loops(panel):
     assert np.allclose(_wide(out, "b"), 2 * (x - low) / (high - low + 1e-6) - 1)
 
 
+def test_ewma_is_cut_into_blocks_of_one_address(spark):
+    n, rng = 3000, np.random.default_rng(2)
+    x = pd.Series(np.exp(rng.normal(0, 3, n)))
+    frame = spark.createDataFrame([("A", dt.date(2000, 1, 1) + dt.timedelta(i), float(v)) for i, v in enumerate(x)], "address string, time date, close double")
+    out = fm.ewma(frame, {"e": "close"}, 5, n, pn.time_index(frame), block=500)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    tasks = out.withColumn("task", F.spark_partition_id()).toPandas().sort_values("time")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(tasks) == n and tasks["task"].nunique() > 1  # one history, several tasks
+    assert np.allclose(tasks["e"], x.ewm(halflife=5, adjust=False).mean(), rtol=1e-12, atol=0)
+    whole = fm.ewma(frame, {"e": "close"}, 5, n, pn.time_index(frame)).toPandas().sort_values("time")
+    assert np.allclose(whole["e"], tasks["e"], rtol=1e-12, atol=0)
+
+
+def test_regimes_do_not_multiply_rows(panel):
+    rets = pn.simple_returns(panel)
+    plan = rk.regime_features(rets)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
+    got = rk.regime_features(rets).toPandas().sort_values("time")
+    r = _wide(rets, "ret").to_numpy()
+    for t in (3, 4, 10, 39):
+        w = r[max(0, t - 19) : t + 1]
+        z = (w - w.mean(0)) / w.std(0) if len(w) >= 5 else None
+        want = 0.0 if z is None else ((z.sum(1) ** 2).mean() - 4) / 12
+        assert abs(got["avg_corr"].iloc[t] - want) < 1e-9
+
+
 def test_formula_errors_and_sharing():
     columns = ["a", "b"]
     assert fm.validity(["a", "b", "ADD"], columns) is None
@@ -183,6 +212,10 @@ def test_select_factors_is_greedy(spark):
     quality = spark.createDataFrame([("a", 0.9), ("b", 0.8), ("c", 0.7), ("d", 0.6), ("e", 0.01)], "formula_id string, icir double")
     pairs = spark.createDataFrame([("a", "b", -0.9), ("b", "c", 0.95), ("c", "d", 0.8)], "a string, b string, corr double")
     assert [r.formula_id for r in en.select_factors(quality, pairs, 3).collect()] == ["a", "c"]  # b is close to a, d to c, e is too weak
+    # more names than fit one row; every second one is close to the one before
+    many = spark.range(3000).select(F.format_string("f%05d", "id").alias("formula_id"), (10.0 - F.col("id") / 1000).alias("icir"))
+    near = spark.range(2999).select(F.format_string("f%05d", "id").alias("a"), F.format_string("f%05d", F.col("id") + 1).alias("b"), F.lit(0.9).alias("corr"))
+    assert [r.formula_id for r in en.select_factors(many, near, 6).collect()] == [f"f{k:05d}" for k in range(0, 12, 2)]
 
 
 def test_densify_fills_forward(spark):
