@@ -59,6 +59,7 @@ def test_ewma_is_cut_into_blocks_of_one_address(spark):
     n, rng = 3000, np.random.default_rng(2)
     x = pd.Series(np.exp(rng.normal(0, 3, n)))
     frame = spark.createDataFrame([("A", dt.date(2000, 1, 1) + dt.timedelta(i), float(v)) for i, v in enumerate(x)], "address string, time date, close double")
+    frame = frame.repartition(6)
     out = fm.ewma(frame, {"e": "close"}, 5, n, pn.time_index(frame), block=500)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
