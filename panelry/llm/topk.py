@@ -10,13 +10,15 @@ postings.  Whatever is still to come of a vector is bounded by the number of its
 times the largest contribution left, so its score lies between two bounds.  Now and then the query looks:
 a vector whose upper bound lies under the k-th largest lower bound cannot be among the k best.  The query
 stops once rescoring the vectors that this proof leaves, exactly and whole, costs less than reading on.
-Sums are exact below 2**53.
+A vector of the index has integers under 2**21, so that with up to 2048 dimensions its sums and their bounds are exact in
+doubles as well.  Vectors with larger ones (or longer vectors) lie beside the index: every query meets them in whole numbers
+of any length, and such a query meets every vector so.
 
 Queries travel in blocks of ``BLOCK`` to all shards; a shard builds its index once a block and answers with
 its k best, and a query's answers are merged.  Equal scores go to the smaller vec_id; a vector that ties with the last place stays possible.
 
 Vectors that are null, or hold a null or a component that is not finite, take no part; nor do rows with
-a null id, or with a component of 2**31 or more when scaled (a sum of products could pass 64 bits).  Vectors of another length than the query's are no candidates for it.  Of rows that repeat a
+a null id.  A score that no long holds is shown as the nearest long, but ranked by its own value.  Vectors of another length than the query's are no candidates for it.  Of rows that repeat a
 query's id, the smallest vector asks; every row with another id is a candidate, and only such rows
 count for the bounds.  Empty tables give no
 rows.  Other columns play no part.
@@ -24,7 +26,7 @@ rows.  Other columns play no part.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,8 @@ from pyspark.sql import functions as F
 from .common import settled
 
 SCALE = 1024
+#: Integers of the index are smaller, and its vectors no longer; the largest long.
+PLAIN, WIDE, _MOST = 2.0**21, 2048, (1 << 63) - 1
 #: Vectors in a shard, queries in a block, levels of a dimension on either side of zero.
 SHARD, BLOCK, LEVELS = 16384, 8192, 24
 #: Looks at the bounds, after equal shares of the postings.
@@ -41,10 +45,35 @@ LOOKS = 12
 
 
 def integers(rows: DataFrame) -> DataFrame:
-    """(vec_id, v): the vectors that take part, as arrays of whole numbers."""
-    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) * SCALE < 2.0**31))
+    """(vec_id, v, x): the vectors that take part, as arrays of whole numbers v, or as they are, x, where these are too large."""
+    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
+    large = F.exists("embedding", lambda x: F.abs(x.cast("double")) * SCALE >= PLAIN) | (F.size("embedding") > WIDE)
     rows = rows.where("vec_id IS NOT NULL AND embedding IS NOT NULL").where(F.coalesce(fine, F.lit(False)))
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE).cast("long")).alias("v"))
+    whole = F.when(~large, F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE).cast("long")))
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"), F.when(large, F.col("embedding").cast("array<double>")).alias("x"))
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    """One vector an id: of rows that repeat one, the smallest."""
+    order = F.coalesce(F.col("v").cast("array<double>"), F.transform("x", lambda x: F.when(F.abs(x) < 2.0**53, F.floor(x * SCALE).cast("double")).otherwise(x * SCALE)))
+    best = F.min_by(F.struct("v", "x"), order)
+    return integers(queries).groupBy("vec_id").agg(best.alias("best")).select("vec_id", "best.v", "best.x")
+
+
+def exact(x: np.ndarray) -> list[int]:
+    """floor(SCALE * x) of finite doubles, in whole numbers of any length."""
+    return [math.floor(v * SCALE) if abs(v) < 2.0**53 else int(v) * SCALE for v in x.tolist()]
+
+
+def _exact_best(ids: list[int], vectors: list[list[int]], query: list[int], own: int, k: int) -> list[tuple[int, int]]:
+    """(id, score) of the k best of these vectors."""
+    scores = [(i, sum(a * b for a, b in zip(v, query, strict=True))) for i, v in zip(ids, vectors, strict=True) if i != own]
+    return sorted(scores, key=lambda r: (-r[1], r[0]))[:k]
+
+
+def _beyond(score: int) -> bytes | None:
+    """A key in the order of scores at the ends of the longs and beyond."""
+    return None if -_MOST <= score < _MOST else (score + (1 << 2200)).to_bytes(280, "big")
 
 
 class Shard:
@@ -115,32 +144,43 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` best rows for each query, both as (vec_id, embedding)."""
     spark = rows.sparkSession
     candidates = settled(integers(rows), "vectors")
-    asked = integers(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
+    asked = _asked(queries)
     n, q = candidates.count(), asked.count()
     shards, blocks = max(1, -(-n // SHARD), int(spark.conf.get("spark.sql.shuffle.partitions")) // max(1, -(-q // BLOCK)) if n > SHARD else 1), max(1, -(-q // BLOCK))
 
-    def packed(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
-        return table["vec_id"].to_numpy(), [x.values.to_numpy() for x in table["v"]]
+    def packed(table: pa.Table) -> tuple[list[int], list[np.ndarray | None], list[np.ndarray | None]]:
+        return table["vec_id"].to_pylist(), *([x.values.to_numpy() if x.is_valid else None for x in table[c]] for c in ("v", "x"))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, ...]] = []
-        ids, vectors = packed(left)
+        out: list[tuple[int, int, int]] = []
+        ids, vectors, large = packed(left)
         by_size: dict[int, list[int]] = {}
         for i, v in enumerate(vectors):
-            by_size.setdefault(len(v), []).append(i)
-        index = {size: Shard(ids[at], np.stack([vectors[i] for i in at])) for size, at in by_size.items()}
-        for own, v in zip(*packed(right), strict=True):
-            if len(v) in index:
-                found, score = index[len(v)].best(v, own, k)
-                out.append((np.full(len(found), own), found, score))
-        columns = [np.concatenate(c) if out else np.zeros(0, np.int64) for c in (zip(*out, strict=True) if out else ((), (), ()))]
-        return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2].astype(np.int64), pa.int64())})
+            if v is not None:
+                by_size.setdefault(len(v), []).append(i)
+        index = {size: Shard(np.array([ids[i] for i in at], np.int64), np.stack([vectors[i] for i in at])) for size, at in by_size.items()}
+        beside = [(i, exact(x)) for i, x in zip(ids, large, strict=True) if x is not None]
+        for own, v, x in zip(*packed(right), strict=True):
+            query = v.tolist() if x is None else exact(x)
+            fit = [r for r in beside if len(r[1]) == len(query)]
+            found = []
+            if x is not None:
+                fit += [(ids[i], vectors[i].tolist()) for i in by_size.get(len(query), ())]
+            elif len(v) in index:
+                found = [(int(i), int(score)) for i, score in zip(*index[len(v)].best(v, own, k), strict=True)]
+            if fit:
+                found = sorted(found + _exact_best([i for i, _ in fit], [y for _, y in fit], query, own, k), key=lambda r: (-r[1], r[0]))[:k]
+            out += [(own, i, score) for i, score in found]
+        return pa.table({
+            "query_id": pa.array([r[0] for r in out], pa.int64()), "vec_id": pa.array([r[1] for r in out], pa.int64()),
+            "score": pa.array([max(-_MOST - 1, min(_MOST, r[2])) for r in out], pa.int64()), "beyond": pa.array([_beyond(r[2]) for r in out], pa.binary()),
+        })
 
     # the stated queries meet all rows: every block goes to every shard
     spread = candidates.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(shards)))
     spread = spread.withColumn("cell", F.explode(F.sequence(F.col("shard"), F.lit(shards * blocks - 1).cast("long"), F.lit(shards).cast("long"))))
     block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) * shards
     asked = asked.withColumn("cell", F.explode(F.sequence(block, block + shards - 1)))
-    found = spread.select("cell", "vec_id", "v").groupBy("cell").cogroup(asked.select("cell", "vec_id", "v").groupBy("cell")).applyInArrow(search, "query_id long, vec_id long, score long")
-    window = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = spread.select("cell", "vec_id", "v", "x").groupBy("cell").cogroup(asked.select("cell", "vec_id", "v", "x").groupBy("cell")).applyInArrow(search, "query_id long, vec_id long, score long, beyond binary")
+    window = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
     return found.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
