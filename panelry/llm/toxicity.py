@@ -5,11 +5,16 @@ that an unseen form of a known stem is recognised.  Filters one to three words w
 whole text; each filter's largest response (max pooling) feeds a logistic output.  Only the winning
 positions receive gradients, so an epoch costs little more than a forward pass.
 
+The first number of a hashed vector starts as what its bucket tells alone, the log odds of toxic documents among
+those that hold it, shrunk towards the common rate; the first filter starts by reading it.  So what a few hundred
+labels can show is there before the first epoch, and training goes on from it only as long as the
+held-back rows are ranked better.
+
 Training reads at most ``SAMPLE`` labelled rows and ``common.SAMPLE_BYTES`` of their text, half of them
 toxic where there are enough, the first by a hash of the doc_id, in one task; the driver sees the model alone.  A quarter of them is held back to choose, for each language as told from the
 text alone, the logit that best parts the classes; the output is shifted so that this logit scores
 ``THRESHOLD``.  Held-back rows are weighted so that the classes have the rates of all allowed labels,
-however the sample is mixed.  A language with too few toxic rows uses the threshold of all.
+however the sample is mixed.  A language's logit is drawn towards that of all languages, the more the fewer toxic rows it has.
 
 Every whole text gets a score.  Null and empty texts, and texts without letters, give no evidence: their
 score is ``THRESHOLD`` times the share of toxic rows among all allowed labels, so they are never rejected.  Without labelled rows, or with only one class, the score is the share of toxic rows (0 if
@@ -36,7 +41,9 @@ THRESHOLD = 0.3
 BUCKETS, DIM = 1 << 16, 12
 WIDTHS, FILTERS = (1, 2, 3), 8
 PREFIXES = (3, 4, 5, 6)
-EPOCHS, BATCH, RATE = 10, 64, 0.08
+EPOCHS, BATCH, RATE, PATIENCE = 10, 64, 0.02, 2
+#: Documents at the common rate that are added to a bucket's own, and toxic rows at the common cut to a language's own.
+PRIOR, COMMON = 10, 15
 #: Words whose vectors are in memory at a time.
 GROUP = 1 << 16
 
@@ -112,8 +119,29 @@ class ToxicityModel:
             pooled.append(best), where.append(spot)
         return np.concatenate(pooled, 1), where
 
-    def fit(self, words: np.ndarray, first: np.ndarray, label: np.ndarray, seed: int = 7) -> None:
-        """Adaptive gradient descent on the log loss, in document batches."""
+    def prime(self, words: np.ndarray, first: np.ndarray, label: np.ndarray) -> None:
+        """Start from the log odds of each bucket: how many documents hold it as one feature, and how many of these are toxic."""
+        doc = np.repeat(np.arange(len(label), dtype=np.int64), np.diff(first))
+        held, toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
+        for k in range(words.shape[1]):
+            d, bucket = np.divmod(np.unique(doc * BUCKETS + words[:, k]), BUCKETS)
+            n, hit = np.bincount(bucket, minlength=BUCKETS), np.bincount(bucket, label[d], minlength=BUCKETS)
+            more = n > held
+            held, toxic = np.where(more, n, held), np.where(more, hit, toxic)
+        rate = label.mean()
+        self.table[:, 0] = np.log((toxic + PRIOR * rate) / (held + PRIOR) / rate) / words.shape[1]
+        self.kernel[0][:, 0] = 0
+        self.kernel[0][0, 0] = 1
+        self.out[0], self.base[0] = 4, -4
+
+    def fit(self, words: np.ndarray, first: np.ndarray, label: np.ndarray, held: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, seed: int = 7) -> None:
+        """Adaptive gradient descent on the log loss, in document batches, from the log odds of the buckets.
+
+        ``held`` has words, bounds and labels that don't teach; the weights after which they are ranked best stay (the
+        earliest of equals), and training ends when ``PATIENCE`` epochs have not ranked them better.
+        """
+        self.prime(words, first, label)
+        best = (self._ranked(*held), 0, self._weights()) if held is not None and len(set(held[2].tolist())) == 2 else None
         rng = np.random.default_rng(seed)
         names = ("out", "base")
         square = {k: np.full_like(getattr(self, k), 1e-2) for k in names} | {("k", i): np.full_like(k, 1e-2) for i, k in enumerate(self.kernel)} | {("b", i): np.full_like(b, 1e-2) for i, b in enumerate(self.bias)}
@@ -123,7 +151,7 @@ class ToxicityModel:
             square[key] += grad * grad
             param -= RATE * grad / np.sqrt(square[key])
 
-        for _ in range(EPOCHS):
+        for epoch in range(1, EPOCHS + 1):
             order = rng.permutation(len(label))
             for a in range(0, len(order), BATCH):
                 pick = order[a : a + BATCH]
@@ -157,13 +185,31 @@ class ToxicityModel:
                     np.add.at(total, inverse.reshape(row.shape).T, np.concatenate(grads)[None])
                     seen[uniq] += (total * total).mean(1)
                     self.table[uniq] -= RATE * total / np.sqrt(seen[uniq])[:, None]
+            if best:
+                rank = self._ranked(*held)
+                if rank > best[0]:
+                    best = rank, epoch, self._weights()
+                elif epoch - best[1] >= PATIENCE:
+                    break
+        if best:
+            self.table, self.kernel, self.bias, self.out, self.base = best[2]
+
+    def _weights(self) -> tuple:
+        return self.table.copy(), [k.copy() for k in self.kernel], [b.copy() for b in self.bias], self.out.copy(), self.base.copy()
+
+    def _ranked(self, words: np.ndarray, first: np.ndarray, label: np.ndarray) -> float:
+        """The share of pairs of a toxic and another document in which the toxic one has the larger logit (half for equal ones)."""
+        _, place, count = np.unique(self._pool(words, first)[0] @ self.out + self.base[0], return_inverse=True, return_counts=True)
+        rank = (np.cumsum(count) - (count - 1) / 2)[place]
+        n = (label > 0).sum()
+        return float((rank[label > 0].sum() - n * (n + 1) / 2) / (n * (len(label) - n)))
 
     def logits(self, letters: Letters) -> np.ndarray:
         pooled, _ = self._pool(_features(letters), letters.first)
         return pooled @ self.out + self.base[0]
 
     def calibrate(self, logit: np.ndarray, label: np.ndarray, lang: list[str], weight: np.ndarray) -> None:
-        """For each language, the middle of the logits at which the F1 score of the weighted rows is highest."""
+        """For each language, the middle of the logits at which the F1 score of the weighted rows is highest, drawn towards that of all."""
 
         def best(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
             order = np.argsort(-x)
@@ -177,8 +223,9 @@ class ToxicityModel:
         self.cut[""] = best(logit, label, weight)
         for x in np.unique(lang):
             own = lang == x
-            if label[own].sum() >= 15 and (1 - label[own]).sum() >= 15:
-                self.cut[str(x)] = best(logit[own], label[own], weight[own])
+            n = float(label[own].sum())
+            if 0 < n < own.sum():
+                self.cut[str(x)] = (n * best(logit[own], label[own], weight[own]) + COMMON * self.cut[""]) / (n + COMMON)
 
     def scores(self, letters: Letters) -> np.ndarray:
         if self.constant is not None:
@@ -231,9 +278,9 @@ def _fit(text: list[str], lang: list[str | None], label: np.ndarray, count: dict
         words = np.concatenate(parts.pop(held))
         return words, np.concatenate([[0], np.cumsum(size[back == held])])
 
-    model.fit(*chosen(False), label[~back])
-    logit = model._pool(*chosen(True))[0] @ model.out + model.base[0]
-    own = label[back]
+    own, held = label[back], chosen(True)
+    model.fit(*chosen(False), label[~back], (*held, own))
+    logit = model._pool(*held)[0] @ model.out + model.base[0]
     weight = np.where(own > 0, count[1] / max((own > 0).sum(), 1), count[0] / max((own == 0).sum(), 1))
     model.calibrate(logit, own, [x for x, b in zip(told, back, strict=True) if b], weight)
     return model
