@@ -292,7 +292,7 @@ class ContentModel:
                 param += rate * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.99**t)) + 1e-6)
 
 
-def labelled_pages(n: int = 240, seed: int = 11) -> list[str]:
+def labelled_pages(n: int = 400, seed: int = 11) -> list[str]:
     """Training pages: usual layouts of articles and what surrounds them, each block marked with its label.
 
     Words are drawn by rule and carry no meaning, so the model can learn from structure only.
@@ -366,17 +366,23 @@ def labelled_pages(n: int = 240, seed: int = 11) -> list[str]:
     def share() -> str:
         return el(either("div", "ul"), 0, "".join(f"<a href='/{word()}'>{word()}</a> " for _ in range(3)), named("share", "social"))
 
+    def linked_list() -> str:
+        """A list of links that is content: it has no name and lies in the article itself."""
+        return el(either("ul", "ol"), 1, "".join(el("li", 1, f"<a href='/{word()}'>{words(2, 8)}</a>" + rng.choice(("", "", f" {words(1, 6)}"))) for _ in range(rng.randint(2, 8))))
+
     def body_block() -> str:
         r = rng.random()
         if r < 0.68:
             return el("p", 1, rng.choice((prose(1, 6), prose(1, 6), prose(1, 6), words(1, 5) + ".")))
         if r < 0.76:
             return el(either("h2", "h3"), 1, words(1, 7))
-        if r < 0.82:
+        if r < 0.86:
+            return linked_list()
+        if r < 0.86:
             return el(either("ul", "ol"), 1, "".join(el("li", 1, rng.choice((words(2, 8), prose(1, 2)))) for _ in range(rng.randint(2, 5))))
-        if r < 0.87:
+        if r < 0.89:
             return el("blockquote", 1, rng.choice((prose(1, 3), el("p", 1, prose(1, 3)))))
-        if r < 0.90:
+        if r < 0.915:
             return el("pre", 1, words(3, 20))
         if r < 0.94:
             return el("table", 1, "".join(el("tr", 1, el("td", 1, words(1, 3)) + el("td", 1, words(1, 3))) for _ in range(rng.randint(2, 4))))
@@ -386,6 +392,10 @@ def labelled_pages(n: int = 240, seed: int = 11) -> list[str]:
 
     def page() -> str:
         inner = [el(either("h1", "h1", "h2"), 1, words(3, 12))] + [body_block() for _ in range(rng.choice((1, 2, 4, 8, 14)))]
+        if rng.random() < 0.2:  # an article that is a list of links
+            inner = inner[:1] + rng.choice(([], [el("p", 1, prose(1, 2))])) + [linked_list() for _ in range(rng.randint(1, 2))]
+        elif rng.random() < 0.1:  # many short lines, or words without an end
+            inner += rng.choice(([el("p", 1, words(1, 3) + rng.choice((".", ""))) for _ in range(rng.randint(8, 40))], [el("p", 1, words(40, 160))]))
         for extra in (advert, share, aside, comments, form, notice, menu):
             if rng.random() < 0.12:
                 inner.insert(rng.randint(1, len(inner)), extra())
