@@ -7,8 +7,8 @@ the ``PAIRED`` most frequent terms of the collection, pair lists: for two terms,
 in which they meet, with the largest joint contribution of both to one document there.
 
 *Query.*  A shard's terms are taken by falling largest contribution.  What the terms not yet taken can add
-is bounded from the left: either one more term by its own maximum, or two at once by their pair list, which is the
-largest of what both give together and what each gives alone; the smaller bound counts.  Once the bound lies under the
+is bounded by its own maxima, less what pairs save: two terms with a pair list add no more than the largest of what both give
+together and what each gives alone.  Once the bound lies under the
 k-th best score so far, no document that has only those terms can be among the k best, and the rest is looked
 up for the documents already met, whose own bound comes from their block's maxima and pairs.  A document
 is left out only if its bound is below the k-th best score, so ties stay possible and the answer is exact.  The best
@@ -139,6 +139,7 @@ class Shard:
         self.pairs = dict(_read_pairs(bytes(row["pairs"])))
         self.known: dict[bytes, tuple[np.ndarray, np.ndarray, int]] = {}
         self.known_blocks: dict[bytes, np.ndarray] = {}
+        self.known_joint: dict[tuple[bytes, bytes], tuple[np.ndarray, int]] = {}
         self.met = self.held = 0
 
     def gains(self, term: bytes) -> tuple[np.ndarray, np.ndarray, int]:
@@ -160,21 +161,40 @@ class Shard:
         return found
 
     def bounds(self, terms: list[bytes]) -> tuple[list[int], list[np.ndarray]]:
-        """What the first j of ``terms`` can add to one document, for j = 0, 1, ...: anywhere, and by block."""
+        """What the first j of ``terms`` can add to one document, for j = 0, 1, ...: anywhere, and by block.
+
+        Each term joins the free one before it with which it saves most over the sum of both maxima.
+        """
         most, by_block = [0], [np.zeros(self.blocks, np.int64)]
-        for j, term in enumerate(terms):
-            block = self.block_gains(term)
-            bound, bound_block = most[j] + self.gains(term)[2], by_block[j] + block
-            pair = self.pairs.get((min(term, terms[j - 1]), max(term, terms[j - 1]))) if j else None
-            if pair:
-                # what one of the two gives alone, or where they meet, what both give together
-                both = np.maximum(block, self.block_gains(terms[j - 1]))
-                both[pair[0]] = np.maximum(both[pair[0]], pair[1])
-                bound, bound_block = min(bound, most[j - 1] + int(both.max())), np.minimum(bound_block, by_block[j - 1] + both)
-            most.append(bound)
+        free: set[bytes] = set()
+        for term in terms:
+            own, block = self.gains(term)[2], self.block_gains(term)
+            saved, other = 0, None
+            for t in free:
+                both = self.joint(term, t)
+                if both is not None and own + self.gains(t)[2] - both[1] > saved:
+                    saved, other = own + self.gains(t)[2] - both[1], t
+            bound_block = by_block[-1] + block
+            if other is None:
+                free.add(term)
+            else:
+                free.remove(other)
+                bound_block = np.minimum(bound_block, by_block[-1] - self.block_gains(other) + self.joint(term, other)[0])
+            most.append(most[-1] + own - saved)
             by_block.append(bound_block)
         return most, by_block
 
+    def joint(self, a: bytes, b: bytes) -> tuple[np.ndarray, int] | None:
+        """What two terms with a pair list add to one document, by block and anywhere: where they meet, both together, and else one of them."""
+        key = (min(a, b), max(a, b))
+        found = self.known_joint.get(key)
+        if found is None and key in self.pairs:
+            blocks, gain = self.pairs[key]
+            both = np.maximum(self.block_gains(a), self.block_gains(b))
+            both[blocks] = np.maximum(both[blocks], gain)
+            found = self.known_joint[key] = both, int(both.max())
+        return found
+
     def best(self, query: list[bytes], k: int, least: int) -> tuple[np.ndarray, np.ndarray]:
         """(documents, scores): the shard's documents that may be among the k best, if k others have ``least`` or more."""
         terms = sorted((t for t in query if t in self.place), key=lambda t: (self.gains(t)[2], t))
@@ -226,9 +246,8 @@ def pair_lists(place: dict[bytes, int], start: np.ndarray, doc: np.ndarray, impa
     for k, t in enumerate(names[:-1]):
         joint = np.where(held[k + 1 :] & held[k], gain[k + 1 :] + gain[k] + 1, 0).reshape(len(names) - k - 1, blocks, SPAN).max(2)
         for other, row in zip(names[k + 1 :], joint, strict=True):
-            at = np.flatnonzero(row)
-            if len(at):
-                out += [np.array([len(t), len(other), len(at)], "<i4").tobytes(), t, other, at.astype("<i4").tobytes(), (row[at] - 1).astype("<i8").tobytes()]
+            at = np.flatnonzero(row)  # none, where the two never meet: that is what saves most
+            out += [np.array([len(t), len(other), len(at)], "<i4").tobytes(), t, other, at.astype("<i4").tobytes(), (row[at] - 1).astype("<i8").tobytes()]
     return b"".join(out)
 
 
