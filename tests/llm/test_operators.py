@@ -299,6 +299,23 @@ def test_top_k_of_a_query_stored_many_times(spark):
     assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
 
 
+def test_top_k_of_vectors_beyond_the_index(spark):
+    """Components of any finite size take part, in whole numbers: none is dropped, and scores past 64 bits rank by their value."""
+    rng = np.random.default_rng(11)
+    rows = [(i, [float(x) for x in rng.normal(size=2)]) for i in range(300)]
+    rows += [(0, [1.0, 1.0]), (901, [2.0**22, 0.0]), (902, [1e9, 3.0]), (903, [1e300, -1e299]), (904, [2e300, 0.1]), (1000, [1e18, 1e18]), (1100, [-1.7e308, 1.7e308]), (1101, [float("inf"), 0.0])]
+    df = spark.createDataFrame(rows[1:], "vec_id long, embedding array<double>").repartition(3)
+    got = topk.top_k(df, df.where("vec_id % 100 = 0"), 10).collect()
+    whole = [(i, topk.exact(np.array(v))) for i, v in rows[1:] if np.isfinite(v).all()]
+    want = []
+    for q, v in whole:
+        if q % 100 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in whole if i != q)[:10]
+            want += [(q, k + 1, i, max(-(2**63), min(2**63 - 1, -s))) for k, (s, i) in enumerate(scores)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
+    assert next(r for r in got if r.query_id == 0 and r["rank"] == 1).vec_id in (903, 904)
+
+
 def test_language_model_backs_off(spark, docs, empty):
     model = langid.LanguageModel(["the cat sat on the mat"] * 5 + ["der hund und die katze"] * 5, ["en"] * 5 + ["de"] * 5)
     from panelry.llm.letters import Letters
@@ -331,6 +348,43 @@ def test_toxicity_learns_and_handles_edges(spark, docs, empty):
     assert {r.score for r in toxicity.scored(docs, toxicity.train(train, labels.limit(0))).collect()} == {0.0}
 
 
+def test_toxicity_finds_what_labels_show():
+    """Quality on held-out labels of a given table: ranking, recall and precision, with a cut for every language."""
+    import duckdb
+
+    from panelry.llm.letters import Letters
+
+    folder = "/root/testdata/sf0.1"
+    rows = duckdb.sql(f"SELECT doc_id, text, lang, toxic FROM '{folder}/documents.parquet' JOIN '{folder}/labels.parquet' USING (doc_id) ORDER BY doc_id").fetchall()
+    held = np.array([zlib.crc32(str(r[0]).encode()) % 4 == 2 for r in rows])
+    train, test = [r for r, h in zip(rows, held) if not h], [r for r, h in zip(rows, held) if h]
+    label = np.array([r[3] for r in train], np.float32)
+    model = toxicity._fit([r[1] for r in train], [r[2] for r in train], label, {0: int((label == 0).sum()), 1: int(label.sum())})
+    score, truth = model.scores(Letters([r[1] for r in test])), np.array([r[3] for r in test]) == 1
+    told = score >= toxicity.THRESHOLD
+    ranked = (score[truth][:, None] > score[~truth]).mean() + (score[truth][:, None] == score[~truth]).mean() / 2
+    assert ranked > 0.93 and told[truth].mean() > 0.85 and truth[told].mean() > 0.85
+    assert set(model.cut) == {"", "de", "en", "es", "fr"}
+
+
+def test_convolution_and_pooling_match_loops():
+    rng = np.random.default_rng(6)
+    model = toxicity.ToxicityModel()
+    sizes = [5, 0, 1, 2, 9, 3]
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    words = rng.integers(0, toxicity.BUCKETS, (sum(sizes), 5)).astype(np.int32)
+    model.bias = [rng.normal(size=toxicity.FILTERS).astype(np.float32) for _ in toxicity.WIDTHS]
+    pooled, where = model._pool(words, first, track=True)
+    for d, n in enumerate(sizes):
+        emb = [sum(model.table[b].astype(float) for b in w) for w in words[first[d] : first[d] + n]]
+        for i, width in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                value = [float(model.bias[i][f] + np.concatenate(emb[k : k + width]) @ model.kernel[i][:, f]) for k in range(n - width + 1)]
+                best = max([0.0, *value])
+                assert abs(pooled[d, i * toxicity.FILTERS + f] - best) < 1e-5
+                assert where[i][d, f] == (first[d] + int(np.argmax(value)) if best > 0 else -1)
+
+
 def test_training_memory_follows_the_sample_bytes():
     """400 texts of 20,000 words are fitted in under 600 MB, Python and the texts included."""
     import subprocess
@@ -464,3 +518,13 @@ def test_extracted_pages_keep_columns(spark):
 
 def test_digest_matches_spark():
     assert hashlib.sha256(b"a b").hexdigest() == windowdedup.digest("a b") == suffixdedup.digest(b"a b")
+
+
+def test_a_list_of_links_in_the_article_is_content():
+    links = "<ul><li><a href=1>First link to a story</a></li><li><a href=2>Second link to a story</a></li></ul>"
+    pages = {
+        f"<article><h2>Links of the week</h2>{links}</article>": "Links of the week First link to a story Second link to a story",
+        f"<div class=menu>{links}</div><main><h1>A title here</h1><p>Some prose, that is long enough. And more of it.</p>{links}</main><aside><h3>Related</h3>{links}</aside>": "A title here Some prose, that is long enough. And more of it. First link to a story Second link to a story",
+        f"<header><a href=/>Home</a>{links}</header><div class=content><h1>T</h1><p>Words are here, and more. Yes.</p><div class=related>{links}</div></div>": "T Words are here, and more. Yes.",
+    }
+    assert htmlmain.main_texts(list(pages), htmlmain.trained_model()) == list(pages.values())
