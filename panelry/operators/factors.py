@@ -15,7 +15,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import blocks
+from .blocks import BLOCK
+from .panel import time_index
 from ..functions.rolling import ROW, clip, cov, cross, cross_rank, decay, duck_text, lag0, lag1st, mean, median, over, robust, spark_text, std, total
+from ..sources.io import settled
 
 Layers = list[dict[str, str]]
 
@@ -247,14 +251,14 @@ def duck_expression(x: str) -> str:
     return duck_text(x)
 
 
-def merged(names: Iterable[str], times: int) -> Layers:
-    """The layers of several factors put together; equal names mean equal expressions."""
+def merged(names: Iterable[str], times: int, scaled: bool = True) -> Layers:
+    """The layers of several factors put together, with those that scale them or without; equal names mean equal expressions."""
     out: Layers = []
     depth: dict[str, int] = {}
     known: dict[str, str] = {}
     for name in names:
         least = 0
-        for layer in FACTORS[name].all_layers(times):
+        for layer in FACTORS[name].all_layers(times) if scaled else FACTORS[name].layers(times):
             at = least
             for column, x in layer.items():
                 if known.setdefault(column, x) != x:
@@ -268,10 +272,11 @@ def merged(names: Iterable[str], times: int) -> Layers:
     return out
 
 
-def compute(panel: DataFrame, names: Iterable[str], times: int | None = None) -> tuple[DataFrame, list[str]]:
+def compute(panel: DataFrame, names: Iterable[str], times: int | None = None, index: DataFrame | None = None, block: int = BLOCK) -> tuple[DataFrame, list[str]]:
     """(panel with the factors, names skipped because the panel lacks a column they need).
 
-    A factor takes the place of a panel column of the same name, whatever the case.
+    A factor takes the place of a panel column of the same name, whatever the case.  Histories of more than ``block`` times
+    run in blocks, so that no task holds one address's whole history; ``index`` numbers the times then, (time, t).
     """
     names = list(dict.fromkeys(names))
     have = set(panel.columns)
@@ -279,7 +284,24 @@ def compute(panel: DataFrame, names: Iterable[str], times: int | None = None) ->
     if times is None:
         times = panel.select(F.countDistinct("time")).first()[0]
     out = panel
-    for layer in merged(ready, times):
-        out = out.withColumns({column: F.expr(spark_expression(x)) for column, x in layer.items()})
+    if times > block:
+        out = _in_blocks(panel, ready, times, time_index(panel) if index is None else index, block)
+    else:
+        for layer in merged(ready, times):
+            out = out.withColumns({column: F.expr(spark_expression(x)) for column, x in layer.items()})
     taken = {n.lower() for n in ready}
     return out.select(*[c for c in panel.columns if c.lower() not in taken], *[F.col(f"{n}__f").alias(n) for n in ready]), [n for n in names if n not in ready]
+
+
+def _in_blocks(panel: DataFrame, names: list[str], times: int, index: DataFrame, block: int) -> DataFrame:
+    """The panel with ``<name>__f`` of each factor: raw values first, then medians of all of them at once, twice."""
+    out = settled(panel.join(index.select("time", F.col("t").alias("__t")), "time"), "panel")
+    out = blocks.layered(out, merged(names, times, scaled=False), times, block, spark_expression)
+    out = settled(out.select(*panel.columns, *[f"{n}__x" for n in names]), "raw")
+    scaled = [n for n in names if FACTORS[n].scaled]
+    if scaled:
+        steps = {n: [next(iter(layer.items())) for layer in robust(f"{n}__x", f"{n}__f")] for n in scaled}
+        for k in (0, 2):  # the median, then the median deviation
+            out = out.join(blocks.medians(out, {steps[n][k][0]: f"{n}__x" if k == 0 else steps[n][1][0] for n in scaled}), "address", "left")
+            out = out.withColumns({steps[n][k + 1][0]: F.expr(spark_text(steps[n][k + 1][1])) for n in scaled})
+    return out.withColumns({f"{n}__f": F.col(f"{n}__x") for n in names if n not in scaled})
