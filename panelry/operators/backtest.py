@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.io import settled
+from .pairs import median_of_pairs
 from .panel import Profile
 
 
@@ -285,14 +287,13 @@ def shaped_reward(scores: DataFrame) -> DataFrame:
 
 
 def return_correlation(returns: DataFrame, rows: int = 200) -> DataFrame:
-    """(n_addresses, mean_corr): the mean correlation of the returns of two addresses over the last ``rows`` times.
+    """(n_addresses, mean_corr, median_corr, over_half, over_most): correlations of the returns of two addresses over the last ``rows`` times.
 
-    With returns standardised, the squared sums over addresses hold all pairs, so none is formed.  An address
-    whose return never changes counts with correlation 0.
+    An address whose return never changes counts with correlation 0.
     """
     last = returns.select("time").distinct().orderBy(F.desc("time")).limit(rows)
     part = returns.join(F.broadcast(last), "time", "left_semi")  # ``rows`` times at most
-    own = part.groupBy("address").agg(F.avg("ret").alias("mu"), F.stddev_pop("ret").alias("sd"))
-    z = part.join(own, "address").withColumn("z", F.coalesce(F.try_divide(F.col("ret") - F.col("mu"), F.col("sd")), F.lit(0.0)))
-    sums = z.groupBy("time").agg(F.sum("z").alias("s"), F.sum(F.col("z") * F.col("z")).alias("q"), F.count(F.lit(1)).alias("n"))
-    return sums.agg(F.max("n").alias("n_addresses"), F.try_divide(F.avg(F.col("s") * F.col("s") - F.col("q")), F.max("n") * (F.max("n") - 1)).alias("mean_corr"))
+    by = part.groupBy(F.col("address").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col("time").cast("timestamp")).alias("at"), F.col("ret").alias("v")))).alias("r"))
+    series = settled(by.select("id", F.col("r.at").alias("at"), F.col("r.v").alias("v")), "returns")
+    n = series.count()
+    return median_of_pairs(series, series_count=n).select(F.lit(n).cast("long").alias("n_addresses"), F.col("mean").alias("mean_corr"), F.col("median").alias("median_corr"), "over_half", "over_most")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.io import settled
+from .pairs import pairwise
 
 
 def valid_formulas(signals: DataFrame, least: float = 1e-8) -> DataFrame:
@@ -100,10 +101,7 @@ def select_factors(quality: DataFrame, pairs: DataFrame, top_n: int, min_icir: f
 
 def signal_pairs(signals: DataFrame) -> DataFrame:
     """(a, b, corr) of all pairs of formulas over the panel."""
-    a, b = signals.alias("a"), signals.alias("b")
-    both = a.join(b, (F.col("a.address") == F.col("b.address")) & (F.col("a.time") == F.col("b.time")) & (F.col("a.formula_id") < F.col("b.formula_id")))
-    both = both.select(F.col("a.formula_id").alias("a"), F.col("b.formula_id").alias("b"), F.col("a.signal").alias("x"), F.col("b.signal").alias("y"))
-    return both.groupBy("a", "b").agg(F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("corr"))
+    return pairwise(signals, ["address", "time"], "formula_id", "signal").select("a", "b", "corr")
 
 
 def swap_factors(current: DataFrame, quality: DataFrame, n: int) -> DataFrame:

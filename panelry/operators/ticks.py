@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .pairs import mean_with_others
 from .panel import main_ticks
 
 _DAY = "PARTITION BY address, day ORDER BY datetime"
@@ -132,14 +133,9 @@ def lone_goose(ticks: DataFrame, minutes: int = 1) -> DataFrame:
     bars = bars.withColumn("r", F.try_divide(F.col("close"), before) - 1)
     spread = bars.groupBy("day", "bar").agg(F.stddev_samp("r").alias("d")).where("d IS NOT NULL")
     calm = spread.withColumn("m", F.avg("d").over(Window.partitionBy("day"))).where("d < m").select("day", "bar")
-    rows = bars.join(calm, ["day", "bar"]).select("day", "bar", "address", "turnover")
-    a, b = rows.alias("a"), rows.alias("b")
-    # every address meets every other inside one bar: what the definition asks for
-    pair = a.join(b, (F.col("a.day") == F.col("b.day")) & (F.col("a.bar") == F.col("b.bar")) & (F.col("a.address") < F.col("b.address")))
-    pair = pair.select(F.col("a.day").alias("day"), F.col("a.address").alias("one"), F.col("b.address").alias("two"), F.col("a.turnover").alias("x"), F.col("b.turnover").alias("y"))
-    by = pair.groupBy("day", "one", "two").agg(F.expr("abs(try_divide(covar_pop(x, y), stddev_pop(x) * stddev_pop(y)))").alias("c"), F.count(F.lit(1)).alias("n")).where("n >= 3 AND c IS NOT NULL")
-    both = by.select("day", F.explode(F.array("one", "two")).alias("address"), "c")
-    return both.groupBy("address", "day").agg(F.avg("c").alias("lone_goose"))
+    rows = bars.join(calm, ["day", "bar"]).groupBy("day", F.col("address").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col("bar").cast("timestamp")).alias("at"), F.col("turnover").cast("double").alias("v")))).alias("r"))
+    out = mean_with_others(rows.select("day", "id", F.col("r.at").alias("at"), F.col("r.v").alias("v")), ["day"])
+    return out.select(F.col("id").alias("address"), "day", F.col("value").alias("lone_goose"))
 
 
 def tide_speed(ticks: DataFrame) -> DataFrame:
@@ -208,15 +204,8 @@ def morning_fog(ticks: DataFrame) -> DataFrame:
 def pair_mean(daily: DataFrame, column: str, rows: int = 20, ranked: bool = True) -> DataFrame:
     """Mean absolute correlation of an address's last ``rows`` values with every other address's, by day.
 
-    Windows become arrays first, so the pair join is by day over one row an address, not over history.
+    Of two addresses the days that both have are compared, by rank among these days where ``ranked``.
     """
     w = f"OVER (PARTITION BY address ORDER BY day ROWS BETWEEN {rows - 1} PRECEDING AND CURRENT ROW)"
-    d = daily.where(f"{column} IS NOT NULL").select("address", "day", F.expr(f"collect_list({column}) {w}").alias("v"), F.expr(f"collect_list(day) {w}").alias("d"))
-    long = d.select("address", "day", F.posexplode(F.arrays_zip("v", "d")).alias("k", "x")).select("address", "day", F.col("x.d").alias("at"), F.col("x.v").alias("v"))
-    pair = long.alias("a").join(long.alias("b"), (F.col("a.day") == F.col("b.day")) & (F.col("a.at") == F.col("b.at")) & (F.col("a.address") != F.col("b.address")))
-    pair = pair.select(F.col("a.address").alias("address"), F.col("b.address").alias("other"), F.col("a.day").alias("day"), F.col("a.at").alias("at"), F.col("a.v").alias("x"), F.col("b.v").alias("y"))
-    if ranked:
-        place = lambda c: F.row_number().over(Window.partitionBy("address", "other", "day").orderBy(c, "at")).cast("double")
-        pair = pair.withColumns({"x": place("x"), "y": place("y")})
-    by = pair.groupBy("address", "other", "day").agg(F.expr("try_divide(covar_pop(x, y), stddev_pop(x) * stddev_pop(y))").alias("c"), F.count(F.lit(1)).alias("n")).where("n >= 3 AND c IS NOT NULL")
-    return by.groupBy("address", "day").agg(F.avg(F.abs("c")).alias("value"))
+    d = daily.where(f"{column} IS NOT NULL").select("day", F.col("address").alias("id"), F.expr(f"collect_list(cast(unix_date(day) AS long)) {w}").alias("at"), F.expr(f"collect_list(cast({column} AS double)) {w}").alias("v"))
+    return mean_with_others(d, ["day"], ranked).select(F.col("id").alias("address"), "day", "value")

@@ -208,10 +208,10 @@ def register(add: Callable, rounded: Callable) -> None:
         SELECT formula_id, n, round(fe, 6) + 0e0 AS final_equity, round(be, 6) + 0e0 AS benchmark_equity, round(av, 6) + 0e0 AS annual_vol, round(dd, 6) + 0e0 AS max_drawdown, round(ar, 6) + 0e0 AS annual_return, round((ar - 0.02e0) / (av + 1e-9), 6) + 0e0 AS sharpe, round(ar / (dd + 1e-9), 6) + 0e0 AS calmar FROM b""",
     )
     add(
-        "b25_return_correlation", lambda s, d: bt.return_correlation(simple_returns(fixtures.panel(s, d))).select("n_addresses", rounded("mean_corr", 5).alias("mean_corr")),
+        "b25_return_correlation", lambda s, d: bt.return_correlation(simple_returns(fixtures.panel(s, d))).select("n_addresses", *[rounded(c, 5).alias(c) for c in ("mean_corr", "median_corr", "over_half", "over_most")]),
         f"""WITH {fixtures.PANEL_SQL}, r AS (SELECT address, time, greatest(-0.2e0, least(0.2e0, coalesce((close - lag(close) OVER w) / (abs(lag(close) OVER w) + 1e-10), 0e0))) AS ret FROM panel WINDOW w AS (PARTITION BY address ORDER BY time)),
         l AS (SELECT * FROM r WHERE time IN (SELECT DISTINCT time FROM r ORDER BY time DESC LIMIT 200)), c AS (SELECT coalesce(corr(a.ret, b.ret), 0) AS c FROM l a JOIN l b ON a.time = b.time AND a.address < b.address GROUP BY a.address, b.address)
-        SELECT (SELECT count(DISTINCT address) FROM r) AS n_addresses, round(avg(CASE WHEN isnan(c) THEN 0 ELSE c END), 5) + 0e0 AS mean_corr FROM c""",
+        SELECT (SELECT count(DISTINCT address) FROM r) AS n_addresses, round(avg(v), 5) + 0e0 AS mean_corr, round(median(v), 5) + 0e0 AS median_corr, round(avg((v > 0.5)::INT), 5) + 0e0 AS over_half, round(avg((v > 0.8)::INT), 5) + 0e0 AS over_most FROM (SELECT CASE WHEN isnan(c) THEN 0e0 ELSE c END AS v FROM c)""",
     )
     add(
         "b25_data_quality_report", lambda s, d: bt.data_quality_report(features(s, d), ["RET", "DEV", "LOG_VOL"]).select("column", "n", *[rounded(c, 5).alias(c) for c in ("mean", "median", "std", "skewness", "low", "high", "share_positive", "share_zero")]),
