@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..operators import backtest as bt
 from ..operators import formula as fm
-from ..operators.factors import compute
+from ..functions.rolling import mean
+from ..operators.factors import FACTORS, compute, register_factor
 from ..operators.panel import Profile, rebalance_mask, simple_returns, target_return
 from ..oracle import text as sql
 from ..sources import fixtures, io
@@ -117,6 +118,36 @@ def register(add: Callable, rounded: Callable) -> None:
 
     for name, tokens in OPERATORS.items():
         add(name, operator(tokens), f"WITH {sql.formulas_sql({'signal': tokens})} SELECT address, time, round(signal, 5) + 0e0 AS signal FROM evaluated")
+    def own_op(s: SparkSession, d: str) -> DataFrame:
+        """A formula with an operator that the caller adds."""
+        fm.register_op("OWN_CLIP", 1, lambda x, T: f"greatest(-3e0, least(3e0, 2 * {x}))")
+        try:
+            out, bad = fm.evaluate(features(s, d), {"signal": ["RET", "OWN_CLIP", "DEV", "ADD"]}, fixtures.weeks(s, d))
+        finally:
+            del fm.OPS["OWN_CLIP"]
+        if bad:
+            raise fm.InvalidFormula(str(bad))
+        return out.select("address", "time", rounded("signal", 5).alias("signal"))
+
+    def own_factor(s: SparkSession, d: str) -> DataFrame:
+        """A factor that the caller adds, scaled like the built-in ones."""
+        register_factor("OWN_GAP", ("open", "close"), lambda T: [{"_own": "close / (open + 1e-9) - 1"}, {"OWN_GAP__x": mean("_own", 5)}], category="own")
+        try:
+            out, _ = compute(fixtures.panel(s, d), ["OWN_GAP"], fixtures.weeks(s, d))
+        finally:
+            del FACTORS["OWN_GAP"]
+        return out.select("address", "time", rounded("OWN_GAP", 4).alias("OWN_GAP"))
+
+    add("ud1_own_factor", own_factor, f"""WITH {fixtures.PANEL_SQL}, a AS (SELECT address, time, sum(close / (open + 1e-9) - 1) OVER (PARTITION BY address ORDER BY time ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) / 5 AS x FROM panel),
+    m AS (SELECT *, quantile_disc(x, 0.5) OVER (PARTITION BY address) AS middle FROM a), s AS (SELECT *, quantile_disc(abs(x - middle), 0.5) OVER (PARTITION BY address) AS spread FROM m)
+    SELECT address, time, round(greatest(-5e0, least(5e0, (x - middle) / (spread + 1e-6))), 4) + 0e0 AS OWN_GAP FROM s""")
+    add("ud2_own_op", own_op, f"WITH {sql.FEATURES_SQL} SELECT address, time, round(greatest(-3e0, least(3e0, 2 * RET)) + DEV, 5) + 0e0 AS signal FROM feats")
+    # another market: higher fees and larger trades
+    dear = Profile(base_fee=0.001, trade_size=50000.0, bars_per_year=52.0)
+    add(
+        "p10_profile", lambda s, d: bt.sharpe(KEYS, bt.portfolio_pnl(bt.net_pnl(bt.position(signals(s, d), "rank", KEYS), dear, KEYS), KEYS), dear).select("formula_id", rounded("sharpe", 5).alias("sharpe")),
+        f"WITH {sql.PNL_SQL.replace('0.0003e0', '0.001e0').replace('10000 /', '50000 /')}, {sql.SHARPE_SQL} SELECT formula_id, round(sharpe, 5) + 0e0 AS sharpe FROM sharpes",
+    )
     add("o30_eval_formulas", lambda s, d: fm.evaluate_long(features(s, d), _MANY, fixtures.weeks(s, d)).select("formula_id", "address", "time", rounded("signal", 5).alias("signal")), f"WITH {sql.formulas_sql(_MANY)} " + " UNION ALL ".join(f"SELECT '{k}' AS formula_id, address, time, round({k}, 5) + 0e0 AS signal FROM evaluated" for k in _MANY))
     add(
         "o31_validate_formula", lambda s, d: fm.validate_table(formula_table(s, d)).select("formula_id", "underflow_at", "final_depth", rounded("shaped_score").alias("shaped_score")),
@@ -125,7 +156,13 @@ def register(add: Callable, rounded: Callable) -> None:
         agg AS (SELECT formula_id, coalesce(min(CASE WHEN depth - (1 - need) < need THEN i END), -1) AS underflow_at, arg_max(depth, i) AS final_depth, max(n) AS n FROM run GROUP BY formula_id)
         SELECT formula_id, underflow_at::INT AS underflow_at, final_depth::INT AS final_depth, round(CASE WHEN underflow_at >= 0 THEN -5 + 2 * underflow_at / n::DOUBLE WHEN final_depth <> 1 THEN -3 - least(1e0, abs(final_depth - 1) / 10e0) ELSE 0e0 END, 6) + 0e0 AS shaped_score FROM agg""",
     )
-    add("o32_decode_formula", lambda s, d: fm.decode_table(formula_table(s, d)).select("formula_id", "postfix", "prefix"))
+    n = f"({_ARITY_SQL.replace('CASE t', 'CASE x[1]')})"
+    add(
+        "o32_decode_formula", lambda s, d: fm.decode_table(formula_table(s, d)).select("formula_id", "postfix", "prefix"),
+        f"""WITH {_PARTS_SQL}, read AS (SELECT formula_id, tokens, list_reduce(list_prepend([]::VARCHAR[], list_transform(tokens, lambda t: [t])), lambda s, x: list_append(list_slice(s, 1, greatest(len(s) - {n}, 0)),
+          CASE WHEN {n} = 0 THEN x[1] ELSE x[1] || '(' || array_to_string(list_slice(s, greatest(len(s) - {n} + 1, 1), len(s)), ', ') || ')' END)) AS stack FROM parts)
+        SELECT formula_id, array_to_string(tokens, ' ') AS postfix, CASE WHEN len(stack) = 1 THEN stack[1] END AS prefix FROM read""",
+    )
     ops = ", ".join(f"'{n}'" for n in _TOKENS if n in fm.OPS)
     add(
         "o33_formula_stats", lambda s, d: fm.stats_table(formula_table(s, d)).select("formula_id", "length", "n_distinct", "skeleton", rounded("structure_penalty").alias("structure_penalty"), rounded("diversity_bonus").alias("diversity_bonus"), "novelty"),

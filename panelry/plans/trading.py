@@ -100,6 +100,26 @@ mwu AS (
 )"""
 
 
+def _floored(inner: str, passes: int = 10) -> str:
+    """Weights raised to the floor and renormalised, until none is under it or the passes are over."""
+    for _ in range(passes):
+        whole = "(greatest(a, 0.02e0) + greatest(b, 0.02e0) + greatest(c, 0.02e0))"
+        inner = "SELECT t, " + ", ".join(f"CASE WHEN least(a, b, c) >= 0.02 THEN {x} ELSE greatest({x}, 0.02e0) / {whole} END AS {x}" for x in "abc") + f" FROM ({inner})"
+    return inner
+
+
+# decayed means of the last ten quarters: decay 0.9, blend 0.3, warm-up 2, floor 0.02
+_AGED = lambda k: "(" + " + ".join(f"coalesce(lag({k}, {i}) OVER (ORDER BY t), 0e0) * {0.9**i!r}" for i in range(10)) + ") / (" + " + ".join(f"CASE WHEN t >= {i} THEN {0.9**i!r} ELSE 0e0 END" for i in range(10)) + ")"
+_STEP = ", ".join(f"CASE WHEN s.t < 2 THEN e.{x} ELSE 0.7e0 * e.{x} + 0.3e0 * exp(s.z{x} - greatest(s.za, s.zb, s.zc)) / (exp(s.za - greatest(s.za, s.zb, s.zc)) + exp(s.zb - greatest(s.za, s.zb, s.zc)) + exp(s.zc - greatest(s.za, s.zb, s.zc))) END AS {x}" for x in "abc")
+EMA_QUERY = f"""WITH RECURSIVE {sql.positions_sql()}, {_MWU_SQL[: _MWU_SQL.index("qg AS")].rstrip().rstrip(",")}, em AS (SELECT t, {", ".join(f"{_AGED(k)} AS m{x}" for k, x in zip(_WEIGHTS, "abc", strict=True))} FROM qw),
+es AS (SELECT t, {", ".join(f"m{x} / (sqrt(((ma - mu) * (ma - mu) + (mb - mu) * (mb - mu) + (mc - mu) * (mc - mu)) / 3) + 1e-8) AS z{x}" for x in "abc")} FROM (SELECT *, (ma + mb + mc) / 3 AS mu FROM em)),
+ema AS (
+  SELECT -1::BIGINT AS t, 1 / 3e0 AS a, 1 / 3e0 AS b, 1 / 3e0 AS c
+  UNION ALL
+  {_floored(f"SELECT s.t, {_STEP} FROM ema e JOIN es s ON s.t = e.t + 1")}
+)
+SELECT 'ema' AS run_id, period, formula_id, round(weight, 6) + 0e0 AS weight FROM (SELECT t, 'fa' AS formula_id, a AS weight FROM ema UNION ALL SELECT t, 'fb', b FROM ema UNION ALL SELECT t, 'fc', c FROM ema) JOIN qi USING (t)"""
+
 MWU_QUERY = f"WITH RECURSIVE {sql.positions_sql()}, {_MWU_SQL} SELECT period, formula_id, round(weight, 6) + 0e0 AS weight FROM learned JOIN qi USING (t)"
 
 
@@ -221,7 +241,7 @@ def register(add: Callable, rounded: Callable) -> None:
         "e11_mwu_weights", lambda s, d: cols(en.online_weights(panel_by_quarter(s, d), parameter_runs(s).where(_MWU)), ["period", "formula_id"], ["weight"]),
         MWU_QUERY,
     )
-    add("e12_ema_weights", lambda s, d: cols(en.online_weights(panel_by_quarter(s, d), parameter_runs(s).where("run_id = 'ema'")), ["run_id", "period", "formula_id"], ["weight"]))
+    add("e12_ema_weights", lambda s, d: cols(en.online_weights(panel_by_quarter(s, d), parameter_runs(s).where("run_id = 'ema'")), ["run_id", "period", "formula_id"], ["weight"]), EMA_QUERY)
 
     def online(s: SparkSession, d: str, runs: DataFrame) -> DataFrame:
         panel = io.settled(panel_by_quarter(s, d), "quarters")
@@ -331,7 +351,17 @@ def register(add: Callable, rounded: Callable) -> None:
     add("v1_replay_backtest", lambda s, d: cols(replayed(s, d), ["mode", "time"], ["pnl"]), f"WITH RECURSIVE {rep_sql} SELECT mode, time, round(pnl, 6) + 0e0 AS pnl FROM rp")
     values = ["total", "sharpe", "win_rate", "max_drawdown", "best", "worst"]
     add("v2_performance_summary", lambda s, d: cols(rk.performance_summary(replayed(s, d), ["mode"], 52.0), ["mode"], values, 5), f"WITH RECURSIVE {rep_sql}, c AS (SELECT *, sum(pnl) OVER (PARTITION BY mode ORDER BY time ROWS UNBOUNDED PRECEDING) AS s FROM rp), t AS (SELECT *, max(s) OVER (PARTITION BY mode ORDER BY time ROWS UNBOUNDED PRECEDING) AS top, CASE WHEN abs(pnl) > 1e-12 THEN pnl END AS live FROM c) SELECT mode, round(sum(pnl), 5) + 0e0 AS total, round(avg(live) / (stddev_pop(live) + 1e-8) * sqrt(52e0), 5) + 0e0 AS sharpe, round(avg((live > 0)::INT), 5) + 0e0 AS win_rate, round(max(top - s), 5) + 0e0 AS max_drawdown, round(max(pnl), 5) + 0e0 AS best, round(min(pnl), 5) + 0e0 AS worst FROM t GROUP BY mode")
-    add("v3_decay_triggers", lambda s, d: rk.decay_triggers(portfolio(s, d), per_year=WEEKLY.bars_per_year).select("formula_id", "time", "level"))
+    add(
+        "v3_decay_triggers", lambda s, d: rk.decay_triggers(portfolio(s, d), per_year=WEEKLY.bars_per_year).select("formula_id", "time", "level"),
+        f"""WITH RECURSIVE {sql.PNL_SQL}, d1 AS (SELECT *, row_number() OVER (PARTITION BY formula_id ORDER BY time) AS t, avg(pnl) OVER w / (stddev_pop(pnl) OVER w + 1e-8) * sqrt(52e0) AS ratio FROM pf WINDOW w AS (PARTITION BY formula_id ORDER BY time ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)),
+        d2 AS (SELECT *, (t >= 60 AND ratio < 0)::INT AS bad FROM d1), d3 AS (SELECT *, sum(1 - bad) OVER (PARTITION BY formula_id ORDER BY time ROWS UNBOUNDED PRECEDING) AS island FROM d2), d4 AS (SELECT *, sum(bad) OVER (PARTITION BY formula_id, island ORDER BY time ROWS UNBOUNDED PRECEDING) AS streak FROM d3),
+        hit AS (SELECT formula_id, time, t, CASE WHEN ratio < -1.5 THEN 3 WHEN ratio < -0.5 THEN 2 ELSE 1 END AS level, row_number() OVER (PARTITION BY formula_id ORDER BY t) AS k FROM d4 WHERE streak >= 10),
+        seen AS (
+          SELECT formula_id, 0::BIGINT AS k, NULL::DATE AS time, 0 AS level, false AS keep, -1000000000::BIGINT AS last FROM (SELECT DISTINCT formula_id FROM hit)
+          UNION ALL
+          SELECT h.formula_id, h.k, h.time, h.level, h.t - s.last >= 30, CASE WHEN h.t - s.last >= 30 AND h.level > 1 THEN h.t ELSE s.last END FROM seen s JOIN hit h ON h.formula_id = s.formula_id AND h.k = s.k + 1
+        ) SELECT formula_id, time, level FROM seen WHERE keep""",
+    )
 
     def plan(s: SparkSession, d: str) -> DataFrame:
         board = leaderboard(s, d, CANDIDATES).select("formula_id", F.round("fitness", 6).alias("fitness"))
