@@ -164,10 +164,14 @@ def text_slices(texts: list[str | None], size: int = SLICE_BYTES) -> Iterator[tu
 
 
 def within_bytes(rows: DataFrame, order: tuple[Column, ...], size: int = SAMPLE_BYTES) -> DataFrame:
-    """The first rows of a bounded sample, in that order, whose texts have ``size`` bytes together; longer texts are passed over."""
-    small = rows.where(F.octet_length("text") <= size)
-    past = Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)  # a bounded sample
-    return small.withColumn("_bytes", F.sum(F.octet_length("text")).over(past)).where(F.col("_bytes") <= size).drop("_bytes")
+    """The first rows of a bounded sample, in that order, whose texts have ``size`` bytes together; longer texts are passed over.
+
+    ``rows`` has one row a doc_id.  Only ids and lengths are put in order in one place, and the texts of the ids kept are fetched after.
+    """
+    past = Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)  # a bounded sample, without its texts
+    small = rows.select("doc_id", F.octet_length("text").alias("_bytes")).where(F.col("_bytes") <= size)
+    kept = small.withColumn("_bytes", F.sum("_bytes").over(past)).where(F.col("_bytes") <= size).select("doc_id")
+    return rows.join(F.broadcast(kept), "doc_id", "left_semi")  # at most as many ids as the sample has
 
 
 def fitted(sample: DataFrame, fit: Callable[[pa.Table], object]) -> object:
