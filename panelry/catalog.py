@@ -31,7 +31,7 @@ def rounded(column: str | Column, digits: int = 6) -> Column:
 
 
 #: Factors over the daily panel of ticks, and over the weekly panel with its caches; all others are over the weekly panel.
-FROM_TICKS = set("VWAP_DEV OI_CHANGE VOL_SKEW VOL_CONC SMART_MONEY TWAP_DEV TERM_SPREAD PINDYCK_VOL CARRY BASIS NEAR_SUB_SPREAD BASIS_MOM BASIS_MOM_LOG INTRADAY_RSI INTRADAY_REV BUY_WILL DAZZLE_RET VOL_RATIO INFLECTION LARGE_ORDER VP_SKEW VOL_ENTROPY_STD PRICE_OI_CORR VOL_TIDE JUMP_INTENSITY INTRADAY_CVAR RET_VOL_COV AMB_VOL_CORR FOLLOW_CROWD LONE_GOOSE HURST FLOW_IN_RATIO TGD NET_SUPPORT_VOL RET_SKEW".split())
+FROM_TICKS = set("VWAP_DEV OI_CHANGE VOL_SKEW VOL_CONC SMART_MONEY TWAP_DEV TERM_SPREAD PINDYCK_VOL CARRY BASIS NEAR_SUB_SPREAD BASIS_MOM BASIS_MOM_LOG INTRADAY_RSI INTRADAY_REV BUY_WILL DAZZLE_RET VOL_RATIO INFLECTION LARGE_ORDER VP_SKEW VOL_ENTROPY_STD PRICE_OI_CORR VOL_TIDE JUMP_INTENSITY INTRADAY_CVAR RET_VOL_COV AMB_VOL_CORR FOLLOW_CROWD LONE_GOOSE HURST FLOW_IN_RATIO TGD NET_SUPPORT_VOL RET_SKEW MORNING_FOG SHADING_TREE".split())
 FROM_CACHES = set("MEMBER_LS LONG_CONC_STD LS_STRENGTH LRSR SHORT_WEIGHTED WAREHOUSE_CHG INVENTORY_MOM INV_LUNAR_YOY".split())
 
 

@@ -6,8 +6,6 @@ more), so one shuffle by (address, day) serves the windows and the aggregation.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -151,42 +149,57 @@ def tide_speed(ticks: DataFrame) -> DataFrame:
     return by.select("address", "day", F.expr("(n.close - m.close) / nullif(m.close, 0e0) / (n.i - m.i)").alias("tide_speed"))
 
 
+def regression_layers(lags: int) -> list[dict[str, str]]:
+    """Layers that solve the normal equations of returns on a constant (place 0) and ``lags`` columns, one row each.
+
+    ``s0_i_j`` are the sums of products, the return in the last place, and n the rows.  Sweeping the places one after another
+    leaves the slopes, the inverse with its sign turned, and the squared residuals.  A place that depends on those before has no pivot,
+    and all becomes null, as it does where rows are too few.  The layers end with t0, t1, ... and f_value.
+    """
+    k = lags + 1
+    a = lambda level, i, j: f"s{level}_{min(i, j)}_{max(i, j)}"
+    out: list[dict[str, str]] = []
+    for p in range(k):
+        out.append({f"d{p}": f"CASE WHEN n > {k + 1} AND {a(p, p, p)} > 1e-10 * {a(0, p, p)} THEN {a(p, p, p)} END"})
+        layer = {}
+        for i in range(k + 1):
+            for j in range(i, k + 1):
+                if i == p == j:
+                    layer[a(p + 1, i, j)] = f"-1e0 / d{p}"
+                elif p in (i, j):
+                    layer[a(p + 1, i, j)] = f"{a(p, i, j)} / d{p}"
+                else:
+                    layer[a(p + 1, i, j)] = f"{a(p, i, j)} - {a(p, i, p)} * {a(p, p, j)} / d{p}"
+        out.append(layer)
+    out.append({"rss": f"CASE WHEN {a(k, k, k)} IS NOT NULL THEN greatest({a(k, k, k)}, 0e0) END", "tss": f"{a(0, k, k)} - {a(0, 0, k)} * {a(0, 0, k)} / n"})
+    tests = {f"t{i}": f"CASE WHEN rss IS NOT NULL THEN {a(k, i, k)} / sqrt(greatest(-{a(k, i, i)} * rss / (n - {k}), 1e-300)) END" for i in range(k)}
+    out.append(tests | {"f_value": f"((tss - rss) / {lags}) / (rss / nullif(n - {k}, 0) + 1e-300)"})
+    return out
+
+
+def regression_value(lags: int, what: str) -> str:
+    """What a regression is read for: the constant's t value, or the deviation of the slopes' t values."""
+    if what == "intercept_t":
+        return "abs(t0)"
+    total, squares = " + ".join(f"t{i}" for i in range(1, lags + 1)), " + ".join(f"t{i} * t{i}" for i in range(1, lags + 1))
+    return f"CASE WHEN rss IS NOT NULL THEN sqrt(greatest(0e0, ({squares} - ({total}) * ({total}) / {lags}) / {lags - 1})) END"
+
+
 def lag_regression(ticks: DataFrame, lags: int, what: str) -> DataFrame:
-    """Per day, least squares of returns on ``lags`` volume differences and a constant.
+    """(address, day, value, f_value): per day, least squares of returns on ``lags`` volume differences and a constant.
 
-    Spark sums the normal equations by address and day; only these small matrices are solved in Python,
-    one row each.  ``what``: "intercept_t" gives the absolute t value of the constant, and F; "t_std" the
-    deviation of the slopes' t values.  Days with too few bars, or a singular matrix, give null.
+    Spark sums the normal equations by address and day and solves them in place.  ``what``: "intercept_t" gives the absolute t
+    value of the constant; "t_std" the deviation of the slopes' t values.  Days with too few bars, or a singular
+    matrix, give null.
     """
     m = minute_columns(ticks)
-    m = m.withColumns({f"x{k}": F.expr(f"lag(dv, {k}) OVER (PARTITION BY address, day ORDER BY datetime)") for k in range(1, lags + 1)}).withColumn("x0", F.lit(1.0))
-    m = m.where(" AND ".join(f"x{k} IS NOT NULL" for k in range(lags + 1)) + " AND ret IS NOT NULL")
-    names = [f"x{k}" for k in range(lags + 1)]
-    sums = [F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for i, a in enumerate(names) for b in names[i:]]
-    sums += [F.sum(F.col(a) * F.col("ret")).alias(f"{a}_y") for a in names] + [F.sum(F.col("ret") * F.col("ret")).alias("yy"), F.count(F.lit(1)).alias("n")]
-    by = m.groupBy("address", "day").agg(*sums)
-
-    def solve(frames):
-        for f in frames:
-            value, second = [], []
-            for r in f.itertuples():
-                k = lags + 1
-                a = np.array([[getattr(r, f"{names[min(i, j)]}_{names[max(i, j)]}") for j in range(k)] for i in range(k)], float)
-                b = np.array([getattr(r, f"{c}_y") for c in names], float)
-                v = s = None
-                if r.n > k + 1 and np.linalg.cond(a) < 1e12:
-                    inverse = np.linalg.inv(a)
-                    beta = inverse @ b
-                    rss = max(float(r.yy - beta @ b), 0.0)
-                    error = np.sqrt(np.maximum(np.diag(inverse) * rss / (r.n - k), 1e-300))
-                    t = beta / error
-                    tss = r.yy - b[0] ** 2 / r.n
-                    v = float(abs(t[0])) if what == "intercept_t" else float(t[1:].std(ddof=1))
-                    s = float(((tss - rss) / lags) / (rss / (r.n - k) + 1e-300))
-                value.append(v), second.append(s)
-            yield pd.DataFrame({"address": f["address"], "day": f["day"], "value": value, "f_value": second})
-
-    return by.mapInPandas(solve, "address string, day date, value double, f_value double")
+    m = m.select("address", "day", F.col("ret").alias(f"x{lags + 1}"), F.lit(1.0).alias("x0"), *[F.expr(f"cast(lag(dv, {k}) OVER (PARTITION BY address, day ORDER BY datetime) AS double)").alias(f"x{k}") for k in range(1, lags + 1)])
+    m = m.where(" AND ".join(f"x{k} IS NOT NULL" for k in range(lags + 2)))
+    sums = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s0_{i}_{j}") for i in range(lags + 2) for j in range(i, lags + 2)]
+    out = m.groupBy("address", "day").agg(*sums, F.count(F.lit(1)).cast("double").alias("n"))
+    for layer in regression_layers(lags):
+        out = out.withColumns({c: F.expr(x) for c, x in layer.items()})
+    return out.select("address", "day", F.expr(regression_value(lags, what)).alias("value"), "f_value")
 
 
 def shading_tree(ticks: DataFrame) -> DataFrame:

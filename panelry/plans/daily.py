@@ -53,9 +53,24 @@ _PAIRS_SQL = "pairs AS (SELECT product_id || '.' || exchange AS address, day AS
 _EXPIRY_SQL = """exp0 AS (SELECT *, make_date(2000 + F1_symbol[-4:-3]::INT, F1_symbol[-2:]::INT, 15) AS e1, make_date(2000 + F2_symbol[-4:-3]::INT, F2_symbol[-2:]::INT, 15) AS e2 FROM pairs),
 expiries AS (SELECT address, time, greatest(date_diff('day', time, e1), 1)::INT AS days_to_expiry, greatest(abs(date_diff('day', e1, e2)), 1)::INT AS expiry_gap FROM exp0)"""
 
+
+
+def _regression_sql(lags: int, what: str, name: str) -> str:
+    """Normal equations by address and day, solved by the same steps."""
+    k = lags + 1
+    sums = ", ".join(f"sum(x{i} * x{j}) AS s0_{i}_{j}" for i in range(k + 1) for j in range(i, k + 1))
+    rows = ", ".join(f"(lag(dv, {i}) OVER (PARTITION BY address, day ORDER BY datetime))::DOUBLE AS x{i}" for i in range(1, k))
+    whole = " AND ".join(f"x{i} IS NOT NULL" for i in range(k + 1))
+    return f"""{name}_x AS (SELECT address, day, ret AS x{k}, 1e0 AS x0, {rows} FROM minutes), {name}_s AS (SELECT address, day, {sums}, count(*)::DOUBLE AS n FROM {name}_x WHERE {whole} GROUP BY address, day),
+    {_layers(f"{name}_s", tk.regression_layers(lags), f"{name}_l")}, {name} AS (SELECT address, day, {tk.regression_value(lags, what)} AS value, f_value FROM {name}_l)"""
+
+
+_TREE_SQL = f"{_regression_sql(6, 'intercept_t', 'tree')}, trees AS (SELECT address, day, CASE WHEN f_value < avg(f_value) OVER (PARTITION BY day) THEN -value ELSE value END AS shading_tree FROM tree)"
+_FOG_SQL = f"{_regression_sql(5, 't_std', 'fog')}, fogs AS (SELECT address, day, value AS morning_fog FROM fog)"
+
 #: Columns of the daily panel by producer.
 TICK_DAILY = ("open", "high", "low", "close", "volume", "twap", "vwap_dev", "twap_dev", "oi_change", "vol_skew", "vol_conc", "smart_money", "intraday_rsi", "buy_ratio", "dazzle_ret", "vol_ratio", "inflection_ratio", "large_order_ret", "vsp_position", "price_oi_corr", "jump_ratio", "cvar_5pct", "ret_vol_cov", "amb_vol_corr", "hurst", "flow_in_ratio", "tgd", "net_support_vol")
-TICK_MORE = ("ret_skew", "tide_speed", "follow_crowd", "lone_goose", "f1_close", "f2_close", "days_to_expiry", "expiry_gap")
+TICK_MORE = ("ret_skew", "tide_speed", "follow_crowd", "lone_goose", "shading_tree", "morning_fog", "f1_close", "f2_close", "days_to_expiry", "expiry_gap")
 
 
 def tick_panel(spark: SparkSession, sf_dir: str, wanted: Iterable[str] = (*TICK_DAILY, *TICK_MORE, "spot")) -> DataFrame:
@@ -67,7 +82,7 @@ def tick_panel(spark: SparkSession, sf_dir: str, wanted: Iterable[str] = (*TICK_
     t = fixtures.ticks(spark, sf_dir)
     columns = tk.daily_columns(t)
     out = columns.select("address", F.col("day").alias("time"), *[F.col(c).cast("double").alias(c) for c in wanted if c in TICK_DAILY])
-    by_day = {"ret_skew": lambda: tk.ret_skew(t), "tide_speed": lambda: tk.tide_speed(t), "follow_crowd": lambda: tk.pair_mean(columns, "crowd").withColumnRenamed("value", "follow_crowd"), "lone_goose": lambda: tk.lone_goose(t, GOOSE)}
+    by_day = {"ret_skew": lambda: tk.ret_skew(t), "tide_speed": lambda: tk.tide_speed(t), "follow_crowd": lambda: tk.pair_mean(columns, "crowd").withColumnRenamed("value", "follow_crowd"), "lone_goose": lambda: tk.lone_goose(t, GOOSE), "shading_tree": lambda: tk.shading_tree(t), "morning_fog": lambda: tk.morning_fog(t)}
     for c in wanted:
         if c in by_day:
             out = out.join(by_day[c]().withColumnRenamed("day", "time"), ["address", "time"], "left")
@@ -79,9 +94,10 @@ def tick_panel(spark: SparkSession, sf_dir: str, wanted: Iterable[str] = (*TICK_
     return dense.withColumn("spot", F.col("twap")) if "twap" in wanted else dense
 
 
-TICK_PANEL_SQL = f"""{_DAILY_SQL}, {_SKEW_SQL}, {_TIDE_SQL}, {_CROWD_SQL}, {_GOOSE_SQL}, {_PAIRS_SQL}, {_EXPIRY_SQL},
-tk_all AS (SELECT d.address, d.day AS time, {", ".join(f"d.{c}::DOUBLE AS {c}" for c in TICK_DAILY)}, ret_skew, tide_speed, follow_crowd, lone_goose, p.F1_close AS f1_close, p.F2_close AS f2_close, e.days_to_expiry::DOUBLE AS days_to_expiry, e.expiry_gap::DOUBLE AS expiry_gap FROM daily d
+TICK_PANEL_SQL = f"""{_DAILY_SQL}, {_SKEW_SQL}, {_TIDE_SQL}, {_CROWD_SQL}, {_GOOSE_SQL}, {_TREE_SQL}, {_FOG_SQL}, {_PAIRS_SQL}, {_EXPIRY_SQL},
+tk_all AS (SELECT d.address, d.day AS time, {", ".join(f"d.{c}::DOUBLE AS {c}" for c in TICK_DAILY)}, ret_skew, tide_speed, follow_crowd, lone_goose, shading_tree, morning_fog, p.F1_close AS f1_close, p.F2_close AS f2_close, e.days_to_expiry::DOUBLE AS days_to_expiry, e.expiry_gap::DOUBLE AS expiry_gap FROM daily d
   LEFT JOIN skews s ON s.address = d.address AND s.day = d.day LEFT JOIN tides t ON t.address = d.address AND t.day = d.day LEFT JOIN crowds c ON c.address = d.address AND c.day = d.day LEFT JOIN geese g ON g.address = d.address AND g.day = d.day
+  LEFT JOIN trees tr ON tr.address = d.address AND tr.day = d.day LEFT JOIN fogs fo ON fo.address = d.address AND fo.day = d.day
   LEFT JOIN pairs p ON p.address = d.address AND p.time = d.day LEFT JOIN expiries e ON e.address = d.address AND e.time = d.day),
 tk_grid AS (SELECT address, time FROM (SELECT DISTINCT address FROM tk_all) CROSS JOIN (SELECT DISTINCT time FROM tk_all)),
 panel AS (SELECT *, twap AS spot FROM (SELECT address, time, {", ".join(f"coalesce(last_value({c} IGNORE NULLS) OVER w, 0e0) AS {c}" for c in (*TICK_DAILY, *TICK_MORE))} FROM tk_grid LEFT JOIN tk_all USING (address, time) WINDOW w AS (PARTITION BY address ORDER BY time ROWS UNBOUNDED PRECEDING)))"""
@@ -150,10 +166,10 @@ def register(add: Callable, rounded: Callable) -> None:
     for name, (columns, digits) in COLUMNS.items():
         add(name, daily(columns, digits), f"WITH {_DAILY_SQL} SELECT address, day, {', '.join(f'round({c}::DOUBLE, {digits}) + 0e0 AS {c}' for c in columns)} FROM daily")
     add("h1_tide_speed", lambda s, d: tk.tide_speed(ticks(s, d)).select("address", "day", rounded("tide_speed").alias("tide_speed")), f"WITH {_MINUTE_SQL}, {_TIDE_SQL} SELECT address, day, round(tide_speed, 6) + 0e0 AS tide_speed FROM tides")
-    add("h2_shading_tree", lambda s, d: tk.shading_tree(ticks(s, d)))
+    add("h2_shading_tree", lambda s, d: tk.shading_tree(ticks(s, d)).select("address", "day", rounded("shading_tree", 5).alias("shading_tree")), f"WITH {_MINUTE_SQL}, {_TREE_SQL} SELECT address, day, round(shading_tree, 5) + 0e0 AS shading_tree FROM trees")
     add("h5_ret_skew", lambda s, d: tk.ret_skew(ticks(s, d)).select("address", "day", rounded("ret_skew", 4).alias("ret_skew")), f"WITH {_MAIN_SQL}, {_SKEW_SQL} SELECT address, day, round(ret_skew, 4) + 0e0 AS ret_skew FROM skews")
     add("h6_inv_lunar_yoy", lambda s, d: pn.inv_lunar_yoy(stock(s, d), calendar(stock(s, d))).select("address", "time", rounded("inv_lunar_yoy").alias("inv_lunar_yoy")), f"WITH {_STOCK_SQL}, {_YOY_SQL} SELECT address, time, round(inv_lunar_yoy, 6) + 0e0 AS inv_lunar_yoy FROM yoys")
-    add("h19_morning_fog", lambda s, d: tk.morning_fog(ticks(s, d)))
+    add("h19_morning_fog", lambda s, d: tk.morning_fog(ticks(s, d)).select("address", "day", rounded("morning_fog", 5).alias("morning_fog")), f"WITH {_MINUTE_SQL}, {_FOG_SQL} SELECT address, day, round(morning_fog, 5) + 0e0 AS morning_fog FROM fogs")
     add("h14_follow_crowd", lambda s, d: tk.pair_mean(tk.daily_columns(ticks(s, d)), "crowd").select("address", "day", rounded("value").alias("follow_crowd")), f"WITH {_DAILY_SQL}, {_CROWD_SQL} SELECT address, day, round(follow_crowd, 6) + 0e0 AS follow_crowd FROM crowds")
     add("h15_lone_goose", lambda s, d: tk.lone_goose(ticks(s, d), GOOSE).select("address", "day", rounded("lone_goose", 5).alias("lone_goose")), f"WITH {_MAIN_SQL}, {_GOOSE_SQL} SELECT address, day, round(lone_goose, 5) + 0e0 AS lone_goose FROM geese")
     members = f"{fixtures.BARS_SQL}, mem AS (SELECT address, time, l_suppkey AS member, sum(CASE l_returnflag WHEN 'A' THEN l_quantity ELSE 0e0 END) AS long_oi, sum(CASE l_returnflag WHEN 'R' THEN l_quantity ELSE 0e0 END) AS short_oi FROM priced GROUP BY ALL)"

@@ -133,7 +133,11 @@ _MWU = "run_id = 'mwu-10-0.01-rule'"
 
 
 def regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rk.vol_regime_scale(rk.regime_features(returns(spark, sf_dir))).select(F.col("time").alias("date"), "scale", "regime")
+    return regimes_of(returns(spark, sf_dir))
+
+
+def regimes_of(rets: DataFrame) -> DataFrame:
+    return rk.vol_regime_scale(rk.regime_features(rets)).select(F.col("time").alias("date"), "scale", "regime")
 
 
 _REGIME_SQL = "CASE WHEN coalesce(vol_ratio, 1e0) < 0.7 AND avg_corr < 0.3 THEN 'calm' WHEN coalesce(vol_ratio, 1e0) < 1.3 AND avg_corr < 0.5 THEN 'normal' WHEN coalesce(vol_ratio, 1e0) < 2 THEN 'stress' ELSE 'crisis' END"
@@ -145,9 +149,10 @@ def modes(spark: SparkSession) -> DataFrame:
 
 def replayed(spark: SparkSession, sf_dir: str, n: int = 4) -> DataFrame:
     """All seven modes over all dates, with the weights learned up to the quarter before and the ensemble's own past for the legacy scale."""
-    runs = with_sector(signals(spark, sf_dir).select("formula_id", "address", "time", "signal", "target_ret", "is_safe"), sectors(spark, sf_dir))
+    runs = with_sector(signals(spark, sf_dir).select("formula_id", "address", "time", "signal", "target_ret", "is_safe", "close"), sectors(spark, sf_dir))
     runs = io.settled(runs, "signals")
-    market = regimes(spark, sf_dir)
+    # every formula has every address and time, so one of them holds the panel's prices
+    market = regimes_of(pn.simple_returns(runs.where(F.col("formula_id") == KEYS_IN_USE[0])).select("address", "time", "ret"))
     panel = by_quarter(runs)
     after = en.online_weights(panel, parameter_runs(spark).where(_MWU)).select("formula_id", "period", "weight")
     before = after.withColumn("weight", F.lag("weight").over(Window.partitionBy("formula_id").orderBy("period")))

@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 #: Columns of the weekly panel that ``lineitem`` has no producer for; these aggregates stand in for them.
 STAND_INS = {
     "oi_change": "sum(CASE l_returnflag WHEN 'A' THEN l_quantity WHEN 'R' THEN -l_quantity ELSE 0e0 END)",
-    "morning_fog": "max(l_tax) - min(l_tax)",
-    "shading_tree": "avg(abs(l_discount - 0.05)) * CASE WHEN count(l_orderkey) % 2 = 0 THEN 1 ELSE -1 END",
 }
 
 

@@ -1,5 +1,6 @@
 """Daily columns of the main contracts against pandas loops over each day's bars."""
 
+import datetime as dt
 import math
 
 import numpy as np
@@ -93,3 +94,26 @@ def test_inv_lunar_yoy_falls_back_to_near_days(spark):
     got = {r.time: r.inv_lunar_yoy for r in pn.inv_lunar_yoy(values, calendar).collect()}
     # the same day of two years, and two days away; a negative value is none to compare with
     assert got == pytest.approx({d(2021, 1, 1): 1.0, d(2022, 1, 1): 1.0, d(2022, 2, 1): 40 / 15 - 1})
+
+
+@pytest.mark.parametrize("lags, what", [(6, "intercept_t"), (5, "t_std")])
+def test_lag_regression_matches_least_squares(spark, lags, what):
+    """Against numpy's own solver; too few bars and a column that repeats another give null."""
+    rng = np.random.default_rng(12)
+    n, start = 60, dt.datetime(2024, 1, 2, 9)
+    days = {"a": (rng.integers(1, 100, n), 100 + rng.normal(size=n).cumsum()), "b": (rng.integers(1, 100, lags + 4), 50 + rng.normal(size=lags + 4)), "c": (np.tile([3, 9], n // 2), 80 + rng.normal(size=n))}
+    rows = [("X", p, f"{p}2402", start + dt.timedelta(minutes=i), float(c[i]), float(c[i]) + 1, float(c[i]) - 1, float(c[i]), int(v[i]), 1000, 1000) for p, (v, c) in days.items() for i in range(len(v))]
+    ticks = spark.createDataFrame(rows, "exchange string, product_id string, symbol string, datetime timestamp_ntz, open double, high double, low double, close double, volume long, open_oi long, close_oi long")
+    got = {r.address.split(".")[0]: (r.value, r.f_value) for r in tk.lag_regression(ticks, lags, what).collect()}
+    volume, close = days["a"]
+    dv, ret = np.diff(volume).astype(float), close[1:] / close[:-1] - 1
+    x = np.stack([np.ones(len(dv) - lags)] + [dv[lags - k : len(dv) - k] for k in range(1, lags + 1)], 1)
+    y = ret[lags:]
+    beta, _, _, _ = np.linalg.lstsq(x, y, rcond=None)
+    rss = ((y - x @ beta) ** 2).sum()
+    t = beta / np.sqrt(np.diag(np.linalg.inv(x.T @ x)) * rss / (len(y) - lags - 1))
+    value = abs(t[0]) if what == "intercept_t" else t[1:].std(ddof=1)
+    f = ((((y - y.mean()) ** 2).sum() - rss) / lags) / (rss / (len(y) - lags - 1))
+    assert np.allclose(got["a"], (value, f), rtol=1e-6)
+    assert got.get("b", (None, None))[0] is None and got["c"][0] is None
+    assert "Python" not in tk.lag_regression(ticks, lags, what)._jdf.queryExecution().executedPlan().toString()
