@@ -111,13 +111,15 @@ def _floored(inner: str, passes: int = 10) -> str:
 # decayed means of the last ten quarters: decay 0.9, blend 0.3, warm-up 2, floor 0.02
 _AGED = lambda k: "(" + " + ".join(f"coalesce(lag({k}, {i}) OVER (ORDER BY t), 0e0) * {0.9**i!r}" for i in range(10)) + ") / (" + " + ".join(f"CASE WHEN t >= {i} THEN {0.9**i!r} ELSE 0e0 END" for i in range(10)) + ")"
 _STEP = ", ".join(f"CASE WHEN s.t < 2 THEN e.{x} ELSE 0.7e0 * e.{x} + 0.3e0 * exp(s.z{x} - greatest(s.za, s.zb, s.zc)) / (exp(s.za - greatest(s.za, s.zb, s.zc)) + exp(s.zb - greatest(s.za, s.zb, s.zc)) + exp(s.zc - greatest(s.za, s.zb, s.zc))) END AS {x}" for x in "abc")
-EMA_QUERY = f"""WITH RECURSIVE {sql.positions_sql()}, {_MWU_SQL[: _MWU_SQL.index("qg AS")].rstrip().rstrip(",")}, em AS (SELECT t, {", ".join(f"{_AGED(k)} AS m{x}" for k, x in zip(_WEIGHTS, "abc", strict=True))} FROM qw),
+_EMA_SQL = f"""em AS (SELECT t, {", ".join(f"{_AGED(k)} AS m{x}" for k, x in zip(_WEIGHTS, "abc", strict=True))} FROM qw),
 es AS (SELECT t, {", ".join(f"m{x} / (sqrt(((ma - mu) * (ma - mu) + (mb - mu) * (mb - mu) + (mc - mu) * (mc - mu)) / 3) + 1e-8) AS z{x}" for x in "abc")} FROM (SELECT *, (ma + mb + mc) / 3 AS mu FROM em)),
 ema AS (
   SELECT -1::BIGINT AS t, 1 / 3e0 AS a, 1 / 3e0 AS b, 1 / 3e0 AS c
   UNION ALL
   {_floored(f"SELECT s.t, {_STEP} FROM ema e JOIN es s ON s.t = e.t + 1")}
-)
+)"""
+_PERIODS_SQL = f'WITH RECURSIVE {sql.positions_sql()}, {_MWU_SQL[: _MWU_SQL.index("qg AS")].rstrip().rstrip(",")}'
+EMA_QUERY = f"""{_PERIODS_SQL}, {_EMA_SQL}
 SELECT 'ema' AS run_id, period, formula_id, round(weight, 6) + 0e0 AS weight FROM (SELECT t, 'fa' AS formula_id, a AS weight FROM ema UNION ALL SELECT t, 'fb', b FROM ema UNION ALL SELECT t, 'fc', c FROM ema) JOIN qi USING (t)"""
 
 MWU_QUERY = f"WITH RECURSIVE {sql.positions_sql()}, {_MWU_SQL} SELECT period, formula_id, round(weight, 6) + 0e0 AS weight FROM learned JOIN qi USING (t)"
@@ -258,7 +260,23 @@ def register(add: Callable, rounded: Callable) -> None:
         SELECT round(sum(o), 6) + 0e0 AS online_pnl, round(sum(s), 6) + 0e0 AS static_pnl, round(avg(o) / (stddev_samp(o) + 1e-8), 6) + 0e0 AS online_ratio, round(avg(s) / (stddev_samp(s) + 1e-8), 6) + 0e0 AS static_ratio FROM x""",
     )
     # five look-backs, four floors and three rates, in one pass
-    add("e14_ab_compare", lambda s, d: online(s, d, parameter_runs(s, (4, 6, 8, 10, 12), (0.005, 0.01, 0.02, 0.05), (None, 0.1, 0.3))))
+    lookbacks, floors, etas = (4, 6, 8, 10, 12), (0.005, 0.01, 0.02, 0.05), (None, 0.1, 0.3)
+    values = ", ".join(f"('mwu-{k}-{f}-{e or 'rule'}', {f'{e}e0' if e else f'sqrt(ln(3e0) / {max(10 * k, 100)})'}, {f}e0, {k})" for k in lookbacks for f in floors for e in etas)
+    moved = {x: f"greatest(w{x} * (1 + eta * f{x} / top), floor)" for x in "abc"}
+    whole = f"({' + '.join(moved.values())})"
+    add(
+        "e14_ab_compare", lambda s, d: online(s, d, parameter_runs(s, lookbacks, floors, etas)),
+        f"""{_PERIODS_SQL}, {_EMA_SQL}, ab AS (SELECT * FROM (VALUES {values}) AS v(run_id, eta, floor, lookback)),
+        abg AS (SELECT run_id, eta, floor, q.t, avg(p.fa) AS fa, avg(p.fb) AS fb, avg(p.fc) AS fc FROM ab JOIN qw q ON true JOIN qw p ON p.t BETWEEN q.t - lookback + 1 AND q.t GROUP BY run_id, eta, floor, q.t),
+        abw AS (
+          SELECT run_id, -1::BIGINT AS t, 1 / 3e0 AS wa, 1 / 3e0 AS wb, 1 / 3e0 AS wc FROM ab
+          UNION ALL
+          SELECT run_id, t, {", ".join(f"CASE WHEN still THEN w{x} ELSE {moved[x]} / {whole} END" for x in "abc")} FROM (
+            SELECT abw.run_id, abg.t, wa, wb, wc, fa, fb, fc, eta, floor, abg.t < 2 OR greatest(abs(fa), abs(fb), abs(fc)) < 1e-12 AS still, greatest(abs(fa), abs(fb), abs(fc), 1e-300) AS top FROM abw JOIN abg ON abg.run_id = abw.run_id AND abg.t = abw.t + 1)
+        ), abl AS (SELECT run_id, t, unnest(['fa', 'fb', 'fc']) AS formula_id, unnest([wa, wb, wc]) AS weight FROM abw UNION ALL SELECT 'ema', t, unnest(['fa', 'fb', 'fc']), unnest([a, b, c]) FROM ema),
+        x AS (SELECT run_id, period, sum(weight * pnl) AS o, avg(pnl) AS s FROM qp JOIN qi USING (period) JOIN (SELECT run_id, t + 1 AS t, formula_id, weight FROM abl WHERE t >= 0) l USING (t, formula_id) GROUP BY run_id, period)
+        SELECT run_id, round(sum(o), 6) + 0e0 AS online_pnl, round(sum(s), 6) + 0e0 AS static_pnl, round(avg(o) / (stddev_samp(o) + 1e-8), 6) + 0e0 AS online_ratio, round(avg(s) / (stddev_samp(s) + 1e-8), 6) + 0e0 AS static_ratio FROM x GROUP BY run_id""",
+    )
     add(
         "e15_inverse_vol_mix", lambda s, d: cols(en.inverse_vol_mix(signals(s, d), weights(s)), KEYS, ["weight"]),
         f"""WITH {sql.RUNS_SQL}, {_WEIGHTS_SQL}, l AS (SELECT formula_id, time, avg(signal) AS m, row_number() OVER (PARTITION BY formula_id ORDER BY time DESC) AS k FROM runs GROUP BY formula_id, time), v AS (SELECT formula_id, 1 / (stddev_samp(m) + 1e-10) AS inv FROM l WHERE k <= 20 GROUP BY formula_id),
