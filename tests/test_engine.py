@@ -171,6 +171,7 @@ def test_corr_dedup_matches_a_loop(spark):
 
 def test_exit_rules_match_the_monitor(spark, tmp_path):
     """The batch rules and the stream's state give the same events."""
+    from panelry.plans import streams
     from panelry.streaming import positions as sp
 
     rng = np.random.default_rng(3)
@@ -178,9 +179,8 @@ def test_exit_rules_match_the_monitor(spark, tmp_path):
     df = spark.createDataFrame(rows, "position_id string, time timestamp, price double, entry_price double, score double")
     batch = {(r.position_id, r.time, r.event) for r in rk.exit_rules(df).collect()}
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    q = sp.monitor(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("exits").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    stream = {(r.position_id, r.time, r.event) for r in spark.sql("SELECT * FROM exits").collect()}
+    ticks = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    stream = {(r.position_id, r.time, r.event) for r in streams.closed(spark, ticks, "time", sp.monitor, "10 minutes", dt.timedelta(hours=1)).collect()}
     assert batch == stream and {e for *_, e in batch} == {"stop_loss", "take_half", "trailing_stop", "low_score"}
 
 
