@@ -528,3 +528,44 @@ def test_a_list_of_links_in_the_article_is_content():
         f"<header><a href=/>Home</a>{links}</header><div class=content><h1>T</h1><p>Words are here, and more. Yes.</p><div class=related>{links}</div></div>": "T Words are here, and more. Yes.",
     }
     assert htmlmain.main_texts(list(pages), htmlmain.trained_model()) == list(pages.values())
+
+
+def test_backoff_matches_loops_and_ties_go_by_alphabet():
+    """Log frequencies of words, else of the longest n-grams that were seen, counted in dictionaries."""
+    from panelry.llm.letters import Letters
+
+    rng = np.random.default_rng(10)
+    parts = {"de": "ung heit schau er ist gut".split(), "en": "the ing thor er is good".split(), "fr": "que ment éa er est bon".split()}
+    texts, langs = [], []
+    for i in range(60):
+        lang = ("de", "en", "fr")[i % 3]
+        texts.append(" ".join("".join(rng.choice(parts[lang], rng.integers(1, 3))) for _ in range(12)))
+        langs.append(lang)
+    model = langid.LanguageModel(texts, langs)
+    words = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    grams = lambda w, n: [(w[k : k + n], k == 0, k == len(w) - n) for k in range(len(w) - n + 1)]
+    tables = {}
+    for n in (0, *langid.GRAMS):
+        count = {}
+        for t, lang in zip(texts, langs):
+            for w in words(t):
+                for g in [w] if n == 0 else grams(w, n):
+                    count.setdefault(g, dict.fromkeys(parts, 0))[lang] += 1
+        total = {x: sum(c[x] for c in count.values()) for x in parts}
+        tables[n] = {g: np.array([np.log((c[x] + 0.1) / (total[x] + 0.1 * len(count) + 1)) for x in parts]) for g, c in count.items() if sum(c.values()) >= langid.LEAST_SEEN}
+
+    def score(w):
+        if w in tables[0]:
+            return tables[0][w]
+        for n in langid.GRAMS:
+            found = [tables[n][g] for g in grams(w, n) if g in tables[n]]
+            if found:
+                return np.mean(found, axis=0)
+        return np.zeros(3)
+
+    asked = [*texts[:6], "thing heiten quement", "zzz erer", "x", "unknown gooding schauist", ""]
+    got = model.scores(Letters(asked))
+    for t, row in zip(asked, got):
+        assert np.allclose(row[:3], sum((score(w) for w in words(t)), np.zeros(3)), atol=1e-4) and row[3] == len(words(t))
+    same = langid.LanguageModel(["one two three"] * 8, ["xx", "bb", "cc", "aa"] * 2)
+    assert same.predict(Letters(["two three", "zz"]))[0] == ["aa", "aa"]
