@@ -12,8 +12,8 @@ doc_id.
    A batch of documents sends equal suffixes once, with their smallest doc_id.  A boundary never parts
    suffixes with the same leading ``seed`` bytes, and no match is shorter, so comparing neighbours
    inside a range compares across boundaries too.
-3. *Sort.*  Each range sorts its suffixes by multikey quicksort, eight bytes a step, only suffixes still
-   tied going on to the next.  Common prefixes of neighbours give the classes of equal strings for every
+3. *Sort.*  Each range sorts its suffixes by several keys, eight bytes a step, only suffixes still tied going on to
+   the next; numpy's own sort takes the place of a quicksort's three-way partition.  Common prefixes of neighbours give the classes of equal strings for every
    place of the anchor in the string, and each class its smallest doc_id.
 4. Batches learn which of their strings have a smaller owner and cut their texts.
 
@@ -92,7 +92,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, seed: int) -> tu
 
 
 def multikey_order(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sort rows of big-endian words by multikey quicksort.
+    """Sort rows of big-endian words, one word after another.
 
     Rows are ordered by their first word; each further word orders only rows that are tied so far.
     Returns the order, and for each place whether its row equals the one before.
