@@ -80,4 +80,5 @@ def lag_columns(ticks: DataFrame) -> DataFrame:
     """
     day = F.to_date("datetime")
     rows = ticks.select("symbol", day.alias("day"), F.unix_millis(F.date_add(day, 1).cast("timestamp")).alias("day_end"), "datetime", F.unix_micros("datetime").alias("at"), F.col("close").cast("double").alias("close"), F.col("volume").cast("double").alias("volume"))
+    rows = rows.where("at IS NOT NULL AND close IS NOT NULL AND volume IS NOT NULL")  # a tick without one of them has no place
     return rows.groupBy("symbol", "day", "day_end").transformWithStateInPandas(Lags(), OUT, "Append", "EventTime")

@@ -72,7 +72,7 @@ class Monitor(StatefulProcessor):
             return
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         waiting = sorted((tuple(t) for t in self.waiting.get()), key=lambda t: t[0])
-        out, done, last = [], 0, 0
+        out, done = [], 0
         for tick in waiting:
             if tick[0] > passed or state[2]:
                 break
@@ -102,9 +102,11 @@ def monitor(ticks: DataFrame, stop: float = -0.05, take: float = 0.10, gain: flo
     The rules are those of ``risk.exit_rules``: the stop loss closes; at the target half is sold, once; a trailing
     stop closes after a gain is given back; a score under ``least_score`` (null: none is known) closes while nothing has
     been sold.  Ticks may come in any order inside the watermark, across batches as well; later ones are dropped.
-    A closed position takes no more ticks until none has come for ``keep``; after that its name may be used again.
+    A closed position takes no more ticks until none has come for ``keep``; after that its name may be used again.  A tick
+    without position, time, price or entry price says nothing.
     """
     millis = int(pd.Timedelta(keep).total_seconds() * 1000)
     rows = ticks.select("position_id", "time", F.unix_micros("time").alias("at"), *[F.col(c).cast("double").alias(c) for c in ("price", "entry_price", "score")])
+    rows = rows.where("position_id IS NOT NULL AND at IS NOT NULL AND price IS NOT NULL AND entry_price IS NOT NULL")
     out = rows.groupBy("position_id").transformWithStateInPandas(Monitor(stop, take, gain, drop, least_score, millis), OUT, "Append", "EventTime")
     return out.select("position_id", F.timestamp_micros("at").alias("time"), "event")

@@ -78,6 +78,6 @@ def learn_weights(pnl: DataFrame, runs: DataFrame, formulas: list[str]) -> DataF
     counts it among the rows dropped).  ``formulas`` are those in use; others take no part, and one that a period lacks
     counts as zero in it.
     """
-    rows = pnl.where(F.col("formula_id").isin(formulas)).crossJoin(F.broadcast(runs))  # a table of parameters
+    rows = pnl.where(F.col("formula_id").isin(formulas) & F.col("closes").isNotNull()).crossJoin(F.broadcast(runs))  # a table of parameters
     rows = rows.select("run_id", "strategy", "eta", "floor", "lookback", "warmup", "closes", F.unix_millis("closes").alias("at"), "formula_id", "pnl")
     return rows.groupBy("run_id").transformWithStateInPandas(Learner(formulas), OUT, "Append", "EventTime")

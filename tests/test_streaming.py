@@ -102,6 +102,7 @@ def test_monitor_equals_batch_over_shuffled_batches_and_restarts(spark, tmp_path
 def test_a_closed_position_takes_no_ticks_and_leaves_no_state(spark, tmp_path):
     at = lambda m: START + timedelta(minutes=m)
     stream = _monitor(spark, str(tmp_path), keep="1 hour")
+    stream.feed([(None, at(0), 1.0, 1.0, None), ("a", None, 1.0, 100.0, None), ("a", at(0), None, 100.0, None), ("a", at(0), 1.0, None, None)])  # none of them says anything
     stream.feed([("a", at(0), 100.0, 100.0, None), ("a", at(1), 90.0, 100.0, None), ("b", at(0), 100.0, 100.0, None), ("b", at(20), 100.0, 100.0, None)])
     held = _state_rows(stream.feed([("a", at(25), 80.0, 100.0, None), ("b", at(40), 101.0, 100.0, None)]))  # a is closed: no second event
     assert [(r.position_id, r.event) for r in stream.rows()] == [("a", "stop_loss")]
