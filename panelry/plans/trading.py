@@ -203,9 +203,9 @@ def register(add: Callable, rounded: Callable) -> None:
         return en.cv_evaluate(pnl.groupBy("formula_id", "fold", "time").agg(F.avg("pnl").alias("pnl"), F.avg("turnover").alias("turnover")), 52.0)
 
     add("e5_cv_evaluate", lambda s, d: cols(cv(s, d), ["formula_id", "fold", "n"], ["sharpe", "max_drawdown", "turnover"]), f"WITH {cv_sql} SELECT formula_id, fold, n, round(sharpe, 6) + 0e0 AS sharpe, round(max_drawdown, 6) + 0e0 AS max_drawdown, round(turnover, 6) + 0e0 AS turnover FROM cv")
-    whole = lambda s, d: bt.sharpe(KEYS, bt.portfolio_pnl(held(signals(s, d)), KEYS), WEEKLY)
+    single = lambda s, d: bt.sharpe(KEYS, bt.portfolio_pnl(held(signals(s, d)), KEYS), WEEKLY)
     add(
-        "e6_cv_vs_single_split", lambda s, d: cols(en.cv_vs_single_split(cv(s, d), whole(s, d)), ["formula_id", "overfit"], ["cv_mean", "cv_std", "single", "difference", "robustness"], 5),
+        "e6_cv_vs_single_split", lambda s, d: cols(en.cv_vs_single_split(cv(s, d), single(s, d)), ["formula_id", "overfit"], ["cv_mean", "cv_std", "single", "difference", "robustness"], 5),
         f"""WITH a AS (SELECT formula_id, avg(sharpe) AS cv_mean, stddev_pop(sharpe) AS cv_std FROM (WITH {cv_sql} SELECT * FROM cv) GROUP BY formula_id), s AS (SELECT * FROM (WITH {sql.HELD_SQL}, {sql.SHARPE_SQL} SELECT * FROM sharpes))
         SELECT formula_id, s.sharpe - cv_mean > 0.3 AS overfit, round(cv_mean, 5) + 0e0 AS cv_mean, round(cv_std, 5) + 0e0 AS cv_std, round(s.sharpe, 5) + 0e0 AS single, round(s.sharpe - cv_mean, 5) + 0e0 AS difference, round(cv_mean / (cv_std + 1e-8), 5) + 0e0 AS robustness FROM a JOIN s USING (formula_id)""",
     )

@@ -271,5 +271,12 @@ def test_queries_match_duckdb(spark, duck, name):
             assert (a[c] == b[c]).all(), c
 
 
+def test_cv_against_the_single_split_matches_duckdb(spark, duck):
+    a, b = (rows.set_index("formula_id").sort_index() for rows in (catalog.QUERIES["e6_cv_vs_single_split"](spark, SF).toPandas(), duck.execute(catalog.SQL["e6_cv_vs_single_split"]).df()))
+    assert list(a.index) == list(b.index) == ["fa", "fb", "fc"] and (a["overfit"] == b["overfit"]).all()
+    for c in ("cv_mean", "cv_std", "single", "difference", "robustness"):
+        assert np.allclose(a[c], b[c], atol=2e-5), c
+
+
 def test_every_query_with_sql_is_registered():
     assert set(catalog.SQL) <= set(catalog.QUERIES) and len(catalog.QUERIES) > 150
