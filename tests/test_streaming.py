@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,3 +157,72 @@ def test_weights_learn_one_step_a_period_from_shuffled_files(spark, tmp_path):
     assert len(rows) == len(want) == 72
     for r in rows:
         assert abs(r.weight - want[r.run_id, r.period, r.formula_id]) < 1e-12
+
+
+class _Handle:
+    """State of one key in memory, with its timers."""
+
+    class State:
+        def __init__(self):
+            self.kept = None
+
+        def exists(self):
+            return self.kept is not None
+
+        def get(self):
+            return self.kept or []
+
+        def update(self, value):
+            self.kept = value
+
+        put = update
+
+        def appendList(self, rows):  # noqa: N802
+            self.kept = [*(self.kept or []), *rows]
+
+        def clear(self):
+            self.kept = None
+
+    def __init__(self):
+        self.timers, self.set = set(), 0
+
+    def getValueState(self, *_):  # noqa: N802
+        return self.State()
+
+    getListState = getValueState  # noqa: N815
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.add(at)
+        self.set += 1
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.discard(at)
+
+    def listTimers(self):  # noqa: N802
+        return list(self.timers)
+
+
+def test_lag_columns_take_a_step_for_each_advance_of_the_watermark_not_each_minute():
+    start, day = 1_704_067_200_000, 86_400_000
+    rng = np.random.default_rng(5)
+    at = start * 1000 + rng.permutation(1440) * 60_000_000 + 7
+    close, volume = 100 + rng.normal(size=1440), rng.integers(1, 9, 1440).astype(float)
+    frame = pd.DataFrame({"at": at, "close": close, "volume": volume})
+    handle, one = _Handle(), lags.Lags()
+    one.init(handle)
+    key, steps, rows = ("a", None, start + day), 0, []
+    for cut, mark in ((slice(0, 700), 0), (slice(700, 1440), start + day // 2), (slice(1440, 1440), start + 2 * day)):
+        part = frame[cut][frame[cut]["at"] > mark * 1000] if mark == start + day // 2 else frame[cut]
+        list(one.handleInputRows(key, iter([part] if len(part) else []), None))
+        while due := [t for t in handle.timers if t <= mark]:
+            handle.timers.discard(due[0])
+            watermark = type("Times", (), {"getCurrentWatermarkInMs": lambda self, m=mark: m})()
+            expired = type("Expired", (), {"getExpiryTimeInMs": lambda self, t=due[0]: t})()
+            rows += [tuple(r) for f in one.handleExpiredTimer(key, watermark, expired) for r in f.itertuples(index=False)]
+            steps += 1
+    taken = pd.concat([frame[:700], frame[700:][frame[700:]["at"] > (start + day // 2) * 1000]]).sort_values("at")
+    change = taken["close"].diff().to_numpy()[1:]
+    assert steps <= 2 and handle.set <= 4 and not handle.timers
+    assert len(rows) == 1 and rows[0][2] == len(taken)
+    assert rows[0][3] == pytest.approx(np.maximum(change, 0).sum() / np.abs(change).sum() * 100)
+    assert rows[0][4] == pytest.approx(np.mean(change[1:] * change[:-1] < 0))
