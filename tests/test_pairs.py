@@ -78,3 +78,15 @@ def test_pairwise_matches_numpy(spark, slab):
         assert n == len(both)
         assert c is None if 2 in (i, j) else abs(c - np.corrcoef(x[i, both], x[j, both])[0, 1]) < 1e-9
     assert pairs.pairwise(df.where(F.lit(False)), ["address", "time"], "formula_id", "signal").count() == 0
+
+
+def test_median_of_pairs_sends_no_series_through_a_shuffle(spark):
+    """Tiles sent each series to every other tile."""
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(600, 200))
+    df = spark.createDataFrame([(f"s{i:03d}", list(range(200)), [float(v) for v in row]) for i, row in enumerate(x)], "id string, at array<long>, v array<double>").repartition(3)
+    r = pairs.median_of_pairs(df, tile=250, series_count=600)
+    assert "FlatMapGroupsInArrow" not in r._jdf.queryExecution().executedPlan().toString()
+    c = np.corrcoef(x)[np.triu_indices(600, 1)]
+    got = r.first()
+    assert got.pairs == len(c) and np.allclose([got.mean, got.median], [c.mean(), np.median(c)], atol=1e-12)
